@@ -6,6 +6,7 @@ import public_tokenizers
 
 from arcwise.llm.byte_bpe import bpe_round_trip
 from arcwise.llm.decontaminate import decontamination_digest
+from arcwise.llm.jaccard_join import shingle_components
 from arcwise.llm.language import language_predictions
 from arcwise.llm.secrets import secret_digest
 from arcwise.llm.shared import table
@@ -24,6 +25,10 @@ def op2_language_id(spark, sf_dir):
     return language_predictions(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return shingle_components(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,7 +41,7 @@ def op10_secrets(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op7_decontamination, op9_warc, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op7_decontamination, op9_warc, op10_secrets)}
 
 ORACLES: dict[str, str] = {
     "op9_warc": """

@@ -64,3 +64,43 @@ def base_spans(t):
 
 def said(spans):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def shingles(t, size=4):
+    w = re.findall(rb"[^\x20\x09-\x0d]+", lower(t).encode())
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def components(nodes, links):
+    up = {n: n for n in nodes}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {n: top(n) for n in nodes}
+
+
+def jaccard_components(docs, size=4, share=85):
+    sets = [(d, shingles(t, size)) for d, t in docs]
+    by = {}
+    for i, (_, s) in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(i)
+    links = set()
+    for i, (d, s) in enumerate(sets):
+        if d is None:
+            continue
+        count = {}
+        for x in s:
+            for j in by[x]:
+                if j < i:
+                    count[j] = count.get(j, 0) + 1
+        links |= {(d, sets[j][0]) for j, o in count.items() if sets[j][0] is not None and 100 * o >= share * (len(s) + len(sets[j][1]) - o)}
+    comp = components({d for d, _ in docs}, links)
+    return sorted(((d, len(s), comp[d]) for d, s in sets), key=str)
