@@ -8,6 +8,7 @@ from arcwise.llm.byte_bpe import bpe_round_trip
 from arcwise.llm.decontaminate import decontamination_digest
 from arcwise.llm.jaccard_join import shingle_components
 from arcwise.llm.language import language_predictions
+from arcwise.llm.line_dedup import line_digest
 from arcwise.llm.secrets import secret_digest
 from arcwise.llm.shared import table
 from arcwise.llm.warc import archive_round_trip
@@ -29,6 +30,10 @@ def op3_jaccard_join(spark, sf_dir):
     return shingle_components(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +46,7 @@ def op10_secrets(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op7_decontamination, op9_warc, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op6_line_dedup, op7_decontamination, op9_warc, op10_secrets)}
 
 ORACLES: dict[str, str] = {
     "op9_warc": """

@@ -104,3 +104,21 @@ def jaccard_components(docs, size=4, share=85):
         links |= {(d, sets[j][0]) for j, o in count.items() if sets[j][0] is not None and 100 * o >= share * (len(s) + len(sets[j][1]) - o)}
     comp = components({d for d, _ in docs}, links)
     return sorted(((d, len(s), comp[d]) for d, s in sets), key=str)
+
+
+def repeated_lines(docs, min_words=5, share=80):
+    """(doc, line number) of lines that match an earlier one."""
+    lines = sorted({(d, i, frozenset(re.findall(rb"[^\x20\x09-\x0d]+", lower(x).encode()))) for d, t in docs if d is not None and t is not None for i, x in enumerate(t.split("\n"))}, key=lambda x: x[:2])
+    by, out = {}, set()
+    for k, (d, i, s) in enumerate(lines):
+        if len(s) < min_words:
+            continue
+        count = {}
+        for w in s:
+            for j in by.get(w, ()):
+                count[j] = count.get(j, 0) + 1
+        if any((100 + share) * o >= share * (len(s) + len(lines[j][2])) and lines[j][:2] < (d, i) for j, o in count.items()):
+            out.add((d, i))
+        for w in s:
+            by.setdefault(w, []).append(k)
+    return out

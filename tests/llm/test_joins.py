@@ -1,6 +1,6 @@
 import random
 
-from arcwise.llm import components, jaccard_join
+from arcwise.llm import components, jaccard_join, line_dedup
 from tests.llm import brute
 from tests.llm.test_text_operators import documents, sorted_rows
 
@@ -49,3 +49,64 @@ def test_jaccard_bound_holds():
         a, b = (np.unique(np.concatenate([both, r.integers(0, 2**63, k, dtype=np.uint64)])) for k in (n, m))
         overlap = len(np.intersect1d(a, b))
         assert (len(a) + len(b) - jaccard_join.differing(jaccard_join.bitmap(a), jaccard_join.bitmap(b))) // 2 >= overlap
+
+
+def line_docs(n=40, seed=11):
+    r = random.Random(seed)
+    lines = [" ".join(r.choice("abcdefghijklmnopqrst") * r.randrange(1, 4) for _ in range(r.randrange(1, 40))) for _ in range(60)]
+    out = []
+    for d in range(n):
+        own = []
+        for _ in range(r.randrange(1, 9)):
+            w = r.choice(lines).split(" ")
+            for _ in range(r.choice([0, 0, 1, 2])):
+                w[r.randrange(len(w))] = r.choice(["zz", "Yy", "xx"]) + str(r.randrange(9))
+            own.append(" ".join(w))
+        out.append((2000 + d, r.choice(["\n", "\n\n", "\r\n"]).join(own)))
+    return out
+
+
+def expected_lines(docs):
+    gone = brute.repeated_lines(docs)
+    out = []
+    for d, t in docs:
+        lines = [] if t is None else t.split("\n")
+        cut = [i for i in range(len(lines)) if (d, i) in gone]
+        out.append((d, len(lines), len(cut), brute.sha("\n".join(x for i, x in enumerate(lines) if i not in cut))))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_equals_brute_force(spark, tables, monkeypatch):
+    docs = [*documents(spark, tables), *brute.ODD, *line_docs(), (9, "same text of more than five words STANDS here twice\nx"), (9000, "\n" * 50 + "\n".join(t for _, t in line_docs(90, 5)))]
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id bigint, text string, n_lines string")
+    want = expected_lines(docs)
+    assert sum(n for _, _, n, _ in want) > 100
+    assert sorted_rows(line_dedup.line_digest(df)) == want
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    assert sorted_rows(line_dedup.line_digest(df.repartition(3))) == want
+    assert line_dedup.line_digest(df.limit(0)).count() == 0
+
+
+def test_long_texts_in_pieces_give_the_same_lines(monkeypatch):
+    import pyarrow as pa
+
+    text = "\n".join(f"line {i} has words number {i * 7} and {i * i} more" for i in range(300)) + "\n\ntail of the text has words too"
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], names=["doc", "text"])
+    monkeypatch.setattr(line_dedup, "chunks", lambda o: [(0, 1)])
+
+    def sets():
+        return [(int(n), x.hashes()[s : s + k].tolist()) for _, x in line_dedup._blocks([batch], 5) for n, s, k in zip(x.number, x.starts, x.sizes, strict=True)]
+
+    whole = sets()
+    assert len(whole) == 301
+    for size in (40, 100, 1000, len(text) - 5):
+        monkeypatch.setattr(line_dedup, "_LONG", size)
+        assert sets() == whole
+
+
+def test_hash_equals_sparks(spark):
+    import numpy as np
+
+    x = np.array([0, 1, -1, 2**62, -(2**63), 12345678901], np.int64)
+    want = [r[0] for r in spark.createDataFrame([(int(v),) for v in x], "v bigint").selectExpr("xxhash64(v)").collect()]
+    assert line_dedup._xxhash64(x).tolist() == want
