@@ -147,18 +147,22 @@ def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
     return _mapped(df, [ids], [("decoded", "binary")], work)
 
 
-def bpe_round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass; adds n_tokens, ids_sha256 (ids as little-endian uint32) and decoded_sha256."""
+def bpe_round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass; adds n_tokens, ids_sha256 (ids as little-endian uint32) and decoded_sha256, and ids if they are to be kept."""
     prepared(df.sparkSession)
     load = _shipped(df, path, pattern)
 
     def work(batch):
-        bpe, n, i_sha, d_sha = load(), [], [], []
+        bpe, n, i_sha, d_sha, kept = load(), [], [], [], []
         for texts in _text_lists(batch.column(text)):
             for ids in bpe.encode(texts):
                 n.append(len(ids))
-                i_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                packed = np.array(ids, "<u4")
+                i_sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
+                if keep_ids:
+                    kept.append(packed.astype(np.int32))
                 d_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(i_sha, pa.string()), pa.array(d_sha, pa.string())]
+        ids = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.concatenate(kept)))] if keep_ids else []
+        return [pa.array(n, pa.int64()), pa.array(i_sha, pa.string()), pa.array(d_sha, pa.string()), *ids]
 
-    return _mapped(df, [text], [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")], work)
+    return _mapped(df, [text], [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *[("ids", "array<int>")] * keep_ids], work)
