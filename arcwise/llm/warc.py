@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import uuid
 import zlib
 
@@ -128,9 +127,9 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
 
     def work(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                for x in records_of(r["page"], r["url"], r["kind"], r["first"], r["digest"], r["html"], segment_bytes):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], names=["record"])
+            for a in range(0, batch.num_rows, 64):
+                out = [x for r in batch.slice(a, 64).to_pylist() for x in records_of(r["page"], r["url"], r["kind"], r["first"], r["digest"], r["html"], segment_bytes)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     out = rows.mapInArrow(work, "record binary").select(F.col("record").cast("string").alias("value"))
     out.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
@@ -140,54 +139,64 @@ def read_archives(spark, path: str) -> DataFrame:
     """Rows (record_id, page, record_type, refers_to, payload_bytes, payload_digest, payload) of the archives under path; a revisit has no payload."""
     prepared(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
-    schema = "origin string, number int, total bigint, page string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, block binary"
-
-    def split(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                rows, held = [], 0
-                for f, block in read_records(gzip.open(io.BytesIO(content.as_py()))):
-                    number = int(f["warc-segment-number"]) if "warc-segment-number" in f else None
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), number, int(t) if (t := f.get("warc-segment-total-length")) else None, f.get("x-page-id"), f["warc-type"], f.get("x-refers-to-page-id"), int(n) if (n := f.get("x-payload-length")) else None, (f.get("warc-payload-digest") or "").removeprefix("sha256:"), zlib.compress(block, 1) if number else block))
-                    held += len(block)
-                    if held > 4_000_000:
-                        yield _batch(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _batch(rows)
-
-    def _batch(rows):
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["origin", "number", "total", "page", "record_type", "refers_to", "payload_bytes", "payload_digest", "block"])
-
-    def decode(batches):
+    said = [("record_id", pa.string()), ("page", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
+    part = [*said[:-1], ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
+    names = {pa.string(): "string", pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary"}
+    schema = lambda fields: ", ".join(f"{n} {names[t]}" for n, t in fields)
+
+    def batch_of(rows, fields):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    def header(f):
+        size = f.get("x-payload-length")
+        return (f.get("warc-segment-origin-id", f["warc-record-id"]), f.get("x-page-id"), f["warc-type"], f.get("x-refers-to-page-id"), int(size) if size else None, (f.get("warc-payload-digest") or "").removeprefix("sha256:"))
+
+    def checked(head, block):
+        payload = _body(block)
+        if len(payload) != head[4] or hashlib.sha256(payload).hexdigest() != head[5]:
+            raise ValueError(f"payload of {head[0]} differs from its digest or length")
+        return payload
+
+    def parsed(segments):
+        """Whole records with their payload, or segments, whose block is compressed for the shuffle."""
+
+        def run(batches):
+            for batch in batches:
+                for content in batch.column(0):
+                    rows, held = [], 0
+                    for f, block in read_records(gzip.open(pa.BufferReader(content.as_buffer()))):
+                        number, head = f.get("warc-segment-number"), header(f)
+                        if bool(number) != segments:
+                            continue
+                        if segments:
+                            total = f.get("warc-segment-total-length")
+                            rows.append((*head, int(number), int(total) if total else None, zlib.compress(block, 1)))
+                        else:
+                            rows.append((*head, None if head[2] == "revisit" else checked(head, block)))
+                        held += len(block)
+                        if held > 1_000_000:
+                            yield batch_of(rows, part if segments else said)
+                            rows, held = [], 0
+                    if rows:
+                        yield batch_of(rows, part if segments else said)
+
+        return run
+
+    def joined(batches):
         for batch in batches:
-            got = []
             for r in batch.to_pylist():
-                parts, copies = r["parts"], 1
-                if parts is None:
-                    block = r["block"]
-                else:
-                    by = {p["number"]: p["block"] for p in parts}
-                    copies = len(parts) // len(by)
-                    block = b"".join(zlib.decompress(by[n]) for n in sorted(by))
-                    if sorted(p["number"] for p in parts) != sorted([*range(1, len(by) + 1)] * copies) or len(block) != r["total"]:
-                        raise ValueError(f"segments of {r['origin']} are missing or of the wrong length")
-                revisit = r["record_type"] == "revisit"
-                payload = None if revisit else _body(block)
-                if not revisit and (len(payload) != r["payload_bytes"] or hashlib.sha256(payload).hexdigest() != r["payload_digest"]):
-                    raise ValueError(f"payload of {r['origin']} differs from its digest or length")
-                got += [(r["origin"], r["page"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], payload)] * copies
-            if got:
-                kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names=["record_id", "page", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
-
-    records = files.mapInArrow(split, schema)
-    parts = "array<struct<number: int, block: binary>>"
-    whole = records.filter("number is null").select("origin", F.lit(None).cast("bigint").alias("total"), "page", "record_type", "refers_to", "payload_bytes", "payload_digest", "block", F.lit(None).cast(parts).alias("parts"))
+                by = {p["number"]: p["block"] for p in r["parts"]}
+                copies = len(r["parts"]) // len(by)
+                block = b"".join(zlib.decompress(by[n]) for n in sorted(by))
+                if sorted(p["number"] for p in r["parts"]) != sorted([*range(1, len(by) + 1)] * copies) or len(block) != r["total"]:
+                    raise ValueError(f"segments of {r['record_id']} are missing or of the wrong length")
+                head = (r["record_id"], r["page"], "response", None, r["payload_bytes"], r["payload_digest"])
+                yield batch_of([(*head, checked(head, block))] * copies, said)
+
+    whole = files.mapInArrow(parsed(False), schema(said))
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
-    joined = records.filter("number is not null").groupBy("origin").agg(F.max("total").alias("total"), first("page"), F.lit("response").alias("record_type"), first("refers_to"), first("payload_bytes"), first("payload_digest"), F.lit(None).cast("binary").alias("block"), F.collect_list(F.struct("number", "block")).alias("parts"))
-    return whole.unionByName(joined).mapInArrow(decode, "record_id string, page string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, payload binary")
+    parts = files.mapInArrow(parsed(True), schema(part)).groupBy("record_id").agg(F.max("total").alias("total"), first("page"), first("payload_bytes"), first("payload_digest"), F.collect_list(F.struct("number", "block")).alias("parts"))
+    return whole.unionByName(parts.mapInArrow(joined, schema(said)))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
