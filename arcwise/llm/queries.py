@@ -11,6 +11,7 @@ from arcwise.llm.language import language_predictions
 from arcwise.llm.line_dedup import line_digest
 from arcwise.llm.secrets import secret_digest
 from arcwise.llm.shared import table
+from arcwise.llm.vector_index import near_duplicate_vectors
 from arcwise.llm.warc import archive_round_trip
 
 #: The vocabulary that op1 and the pipeline encode with.
@@ -38,6 +39,10 @@ def op7_decontamination(spark, sf_dir):
     return decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_vector_index(spark, sf_dir):
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark, sf_dir):
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -46,9 +51,20 @@ def op10_secrets(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op6_line_dedup, op7_decontamination, op9_warc, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op6_line_dedup, op7_decontamination, op8_vector_index, op9_warc, op10_secrets)}
 
 ORACLES: dict[str, str] = {
+    "op8_vector_index": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v),
+        p AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+        r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT p.b, r.root FROM r JOIN p ON r.node = p.a)
+        SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS n_links, c.root AS component_id, e.vec_id = c.root AS kept
+        FROM embeddings e JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) c ON c.node = e.vec_id""",
     "op9_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, row_number() OVER () AS n FROM pages),
         d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
