@@ -56,7 +56,7 @@ QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op3_jaccard_jo
 ORACLES: dict[str, str] = {
     "op8_vector_index": """
         WITH RECURSIVE v AS (
-            SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL),
         u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v),
         p AS (
