@@ -9,7 +9,8 @@ decided by exact intersection of the sorted arrays.
 
 Work stays in proportion to links: sets that are equal meet by their signature; in each tile a
 document is first compared with the smallest set of its band (a star), whatever the number of near copies;
-after a first round of components only documents of different components are compared.
+after that only documents of different components are compared, and of these each names just its nearest
+in a tile, until that joins no more components; then all pairs that are left are compared.
 Broadcast are the counters' levels (4 MB) and Bloom filters (1 MB), whose size doesn't grow.
 
 Null, empty and wordless texts have the empty set and link with nothing. Rows that repeat a doc_id are
@@ -33,6 +34,8 @@ SIZE = 4
 SHARE = 85
 _RECORD = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4")])
 _MOST_BITS = 1 << 16
+#: Rows, pairs, and words of signatures that a tile's comparison holds at once.
+_ROWS, _PAIRS, _WORDS = 20_000, 1_000_000, 4_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -130,7 +133,7 @@ def _rarest(docs: DataFrame, table, size: int, share: int) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, share: int) -> DataFrame:
-    """(token, doc, n, lead) of tokens that two documents or more name; lead: the tile's smallest set in the document's size band."""
+    """(token, doc, n, lead, many) of tokens that two documents or more name; lead: the tile's smallest set in the document's size band."""
 
     def work(r):
         r = r[np.lexsort((r["doc"], r["n"], r["token"]))]
@@ -138,16 +141,95 @@ def _tiles(rows: DataFrame, share: int) -> DataFrame:
         at = np.flatnonzero(new)
         many = np.diff(np.r_[at, len(r)])
         keep = np.repeat(many > 1, many)
-        r, new = r[keep], new[keep]
+        r, new, many = r[keep], new[keep], np.repeat(many, many)[keep]
         if not len(r):
             return
         # The first row of the token whose size the row's own allows: rows of a token stand by size.
         group = np.cumsum(new) - 1
         least = -(-share * r["n"].astype(np.int64) // 100)
         place = np.searchsorted((group << 32) + r["n"], (group << 32) + least)
-        yield pa.RecordBatch.from_arrays([pa.array(r["token"].view(np.int64)), pa.array(r["doc"]), pa.array(r["n"].astype(np.int64)), pa.array(r["doc"][place])], names=["token", "doc", "n", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(r["token"].view(np.int64)), pa.array(r["doc"]), pa.array(r["n"].astype(np.int64)), pa.array(r["doc"][place]), pa.array(many.astype(np.int64))], names=["token", "doc", "n", "lead", "many"])
+
+    return packed.by_bucket(rows, work, _RECORD, "token bigint, doc bigint, n bigint, lead bigint, many bigint")
+
+
+def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Signatures, one a row, folded to so many words."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def _nearest(rows, apart):
+    """Places at which each row has its least distance."""
+    order = np.lexsort((apart, rows))
+    return order[np.r_[True, rows[order][1:] != rows[order][:-1]]] if len(rows) else order
+
+
+def _crossing(doc, n, component, group, bits, share: int, nearest: bool):
+    """Pairs (a, b) of rows of one group and different components that sizes and signatures leave, or of these each row's nearest. Rows stand by group and size."""
+    words = np.array([len(x) // 8 for x in bits])
+    place, tables = np.zeros(len(bits), np.int64), {}
+    for w in np.unique(words):
+        own = np.flatnonzero(words == w)
+        place[own] = np.arange(len(own))
+        tables[w] = np.frombuffer(b"".join(bits[i] for i in own), U64).reshape(-1, w)
+    stop = np.searchsorted((group << 32) + n, (group << 32) + n * 100 // share, "right")
+    count = np.maximum(stop - np.arange(len(n)) - 1, 0)
+    total = np.cumsum(count)
+    i0 = 0
+    while i0 < len(n):
+        i1 = max(i0 + 1, int(np.searchsorted(total, (total[i0 - 1] if i0 else 0) + _PAIRS, "right")))
+        c = count[i0:i1]
+        i = np.repeat(np.arange(i0, i1), c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        i0 = i1
+        ok = component[i] != component[j]
+        i, j = i[ok], j[ok]
+        kinds = words[i] * (1 << 20) + words[j]
+        for kind in np.unique(kinds):
+            low, high = int(kind >> 20), int(kind & ((1 << 20) - 1))
+            x, y = tables[low], tables[high]
+            low = min(low, high)
+            x, y = _folded(x, low), _folded(y, low)
+            own = np.flatnonzero(kinds == kind)
+            step = max(1, _WORDS // low)
+            for s in range(0, len(own), step):
+                a, b = i[own[s : s + step]], j[own[s : s + step]]
+                apart = bit_count(x[place[a]] ^ y[place[b]]).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero((n[a] + n[b] - apart) // 2 >= least_overlap(n[a], n[b], share))
+                if nearest:
+                    near = near[np.union1d(_nearest(a[near], apart[near]), _nearest(b[near], apart[near]))]
+                yield np.minimum(doc[a[near]], doc[b[near]]), np.maximum(doc[a[near]], doc[b[near]])
+
+
+def _across(rows: DataFrame, share: int, nearest: bool) -> DataFrame:
+    """(a, b) of tiles' documents that are in different components and may be similar, by signatures in blocks; no other pair leaves a tile."""
 
-    return packed.by_bucket(rows, work, _RECORD, "token bigint, doc bigint, n bigint, lead bigint")
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            token = held.column("token").to_numpy()
+            whole = int(np.searchsorted(token, token[-1], "left")) if len(token) else 0
+            if whole >= _ROWS:
+                yield from pairs(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield from pairs(held)
+
+    def pairs(table):
+        if not table.num_rows:
+            return
+        token, doc, n, component = (table.column(c).to_numpy() for c in ("token", "doc", "n", "component"))
+        group = np.cumsum(np.r_[True, token[1:] != token[:-1]])
+        for a, b in _crossing(doc, n, component, group, table.column("bits").to_pylist(), share, nearest):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "token").sortWithinPartitions("token", "n").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, share: int) -> DataFrame:
@@ -209,14 +291,19 @@ def shingle_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     links = written(copies.unionByName(_verified(stars, some, source, size, share)).distinct(), "links")
     first = written(connected_components(links), "components")
 
-    # Tiles that still hold different components: each pair of documents across them, if the sizes allow it.
-    known = tiles.select("token", "doc", "n").join(first.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
-    open_ = written(known.join(mixed, "token"), "open")
-    x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "component")]) for s in "xy")
-    across = x.join(y, "token").filter(f"component_x < component_y and 100 * least(n_x, n_y) >= {share} * greatest(n_x, n_y)")
-    pairs = across.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(pairs, some, source, size, share)
-    final = first if more.isEmpty() else connected_components(links.unionByName(more))
-    ids = signed.select(F.col("doc").alias("node"), F.col("n").alias("n_shingles")).join(final, "node", "left")
+    # Tiles of three documents or more that still hold different components; where two meet, the star has compared them.
+    tested, rest = stars, tiles.filter("many > 2").select("token", "doc", "n")
+    for nearest in (True, True, False):
+        known = rest.join(first.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        mixed = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
+        known = written(known.join(mixed, "token"), "open")
+        rest = known.select("token", "doc", "n")
+        signs = known.join(some.select("doc", F.col("n").alias("size"), "bits"), "doc").filter("n = size").select("token", "doc", "n", "component", "bits")
+        pairs = written(_across(signs, share, nearest).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = _verified(pairs, some, source, size, share)
+        if not more.isEmpty():
+            links = written(links.unionByName(more), "links")
+            first = written(connected_components(links), "components")
+        tested = tested.unionByName(pairs)
+    ids = signed.select(F.col("doc").alias("node"), F.col("n").alias("n_shingles")).join(first, "node", "left")
     return ids.select(F.col("node").alias(doc), "n_shingles", F.coalesce("component", "node").alias("component_id"))
