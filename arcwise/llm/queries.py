@@ -11,6 +11,7 @@ from arcwise.llm.language import language_predictions
 from arcwise.llm.line_dedup import line_digest
 from arcwise.llm.secrets import secret_digest
 from arcwise.llm.shared import table
+from arcwise.llm.suffix_dedup import suffix_digest
 from arcwise.llm.vector_index import near_duplicate_vectors
 from arcwise.llm.warc import archive_round_trip
 
@@ -31,6 +32,10 @@ def op3_jaccard_join(spark, sf_dir):
     return shingle_components(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_digest(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_secrets(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op6_line_dedup, op7_decontamination, op8_vector_index, op9_warc, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_vector_index, op9_warc, op10_secrets)}
 
 ORACLES: dict[str, str] = {
     "op8_vector_index": """
