@@ -8,6 +8,7 @@ from arcwise.llm.byte_bpe import bpe_round_trip
 from arcwise.llm.decontaminate import decontamination_digest
 from arcwise.llm.jaccard_join import shingle_components
 from arcwise.llm.language import language_predictions
+from arcwise.llm.language_model import held_out, score_texts
 from arcwise.llm.line_dedup import line_digest
 from arcwise.llm.secrets import secret_digest
 from arcwise.llm.shared import table
@@ -32,6 +33,10 @@ def op3_jaccard_join(spark, sf_dir):
     return shingle_components(table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(), RANKS, public_tokenizers.PATTERN)
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_digest(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_secrets(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_vector_index, op9_warc, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op4_language_model, op5_suffix_dedup, op6_line_dedup, op7_decontamination, op8_vector_index, op9_warc, op10_secrets)}
 
 ORACLES: dict[str, str] = {
     "op8_vector_index": """
