@@ -82,7 +82,7 @@ def test_line_dedup_equals_brute_force(spark, tables, monkeypatch):
     want = expected_lines(docs)
     assert sum(n for _, _, n, _ in want) > 100
     assert sorted_rows(line_dedup.line_digest(df)) == want
-    monkeypatch.setattr(line_dedup, "FEW", 1)
+    monkeypatch.setattr(line_dedup, "FEW", 1)  # so that lines stay open
     assert sorted_rows(line_dedup.line_digest(df.repartition(3))) == want
     assert line_dedup.line_digest(df.limit(0)).count() == 0
 
@@ -110,3 +110,27 @@ def test_hash_equals_sparks(spark):
     x = np.array([0, 1, -1, 2**62, -(2**63), 12345678901], np.int64)
     want = [r[0] for r in spark.createDataFrame([(int(v),) for v in x], "v bigint").selectExpr("xxhash64(v)").collect()]
     assert line_dedup._xxhash64(x).tolist() == want
+
+
+def test_no_similar_pair_across_components_is_lost():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = []
+    for g in range(5):
+        base = r.integers(0, 2**63, r.integers(5, 200), dtype=np.uint64)
+        for _ in range(12):
+            cut = base[r.random(len(base)) > r.choice([0, 0.02, 0.1])]
+            rows.append((g, np.unique(np.concatenate([cut, r.integers(0, 2**63, r.integers(0, 1 + len(base) // 8), dtype=np.uint64)])), int(r.integers(0, 3))))
+    rows.sort(key=lambda x: (x[0], len(x[1])))
+    n = np.array([len(s) for _, s, _ in rows])
+    part = np.array([c for _, _, c in rows])
+    want = set()
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            overlap = len(np.intersect1d(rows[i][1], rows[j][1]))
+            if rows[i][0] == rows[j][0] and part[i] != part[j] and overlap >= jaccard_join.least_overlap(n[i], n[j], 85):
+                want.add((i, j))
+    call = lambda nearest: {(int(x), int(y)) for a, b in jaccard_join._crossing(np.arange(len(rows)), n, part, np.array([g for g, _, _ in rows]), [jaccard_join.bitmap(s) for _, s, _ in rows], 85, nearest) for x, y in zip(a, b, strict=True)}
+    every, few = call(False), call(True)
+    assert len(want) > 50 and want <= every and few <= every and {x for p in every for x in p} == {x for p in few for x in p}
