@@ -29,8 +29,10 @@ from arcwise.llm.shared import prepared, written
 
 MIN_WORDS = 5
 SHARE = 80
-FEW = 8
-_ROW = np.dtype([("token", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("n", "<u2"), ("at", "<u2"), ("bits", "<u8")])
+FEW = 16
+_ROW = np.dtype([("token", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("n", "<u2"), ("at", "<u2"), ("sum", "<u4"), ("bits", "<u8")])
+#: Level of a counter that has counted one line only: nothing else holds its words.
+_ONCE = 2
 _SAME = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("doc", "<i8"), ("line", "<u4")])
 #: Bytes of a text beyond which it is handled in pieces.
 _LONG = 8_000_000
@@ -157,12 +159,14 @@ def _rarest(docs: DataFrame, table, min_words: int, share: int) -> DataFrame:
             # Bits from the hash part of the key: levels are the same wherever the word stands.
             h = mix((x.keys >> U64(x.width - 44)).copy())
             bits = np.bitwise_xor.reduceat(U64(1) << (h & U64(63)), x.starts)
-            keep = at < np.repeat(prefix, x.sizes)
-            own = np.repeat(np.arange(len(x.sizes)), prefix)
+            keep = (at < np.repeat(prefix, x.sizes)) & (x.keys >> U64(x.width - 6) > _ONCE)
+            own = np.repeat(np.arange(len(x.sizes)), x.sizes)[keep]
+            sums = np.add.reduceat(h, x.starts) >> U64(32)
             out = np.empty(len(own), _ROW)
             out["token"] = (h[keep] >> U64(6)).astype(np.uint32)
             out["line"], out["doc"] = x.number[own], ids[x.row][own]
             out["n"], out["at"], out["bits"] = np.minimum(x.sizes, 65535)[own], np.minimum(at[keep], 65535), bits[own]
+            out["sum"] = sums[own]
             yield packed.packed(h[keep], out, buckets)
 
     return docs.mapInArrow(run, "bucket int, block binary")
@@ -171,11 +175,17 @@ def _rarest(docs: DataFrame, table, min_words: int, share: int) -> DataFrame:
 _PAIR = "doc bigint, line bigint, doc_a bigint, line_a bigint, more boolean"
 
 
-def _candidates(rows: DataFrame, share: int, few: int | None) -> DataFrame:
-    """(doc, line, doc_a, line_a, more): lines and earlier lines that the filters leave; the few earliest for each word, more: there were others."""
+def _candidates(rows: DataFrame, share: int, few: int | None, only=None) -> DataFrame:
+    """(doc, line, doc_a, line_a, more): lines and earlier lines that the filters leave; the few earliest for each word, more: there were others.
+
+    only: a broadcast Bloom filter of the lines that are asked about.
+    """
 
     def work(r):
-        r = r[np.lexsort((r["line"], r["doc"], r["n"], r["token"]))]
+        # Of lines with equal sets, told by 32 bits of sum besides bits, size and place, the earliest stands for all: the others go as copies.
+        r = r[np.lexsort((r["line"], r["doc"], r["at"], r["sum"], r["bits"], r["n"], r["token"]))]
+        if len(r):
+            r = r[np.r_[True, np.any([r[c][1:] != r[c][:-1] for c in ("token", "n", "bits", "sum", "at")], axis=0)]]
         n, bits, at = r["n"].astype(np.int64), r["bits"], r["at"].astype(np.int64)
         group = np.cumsum(np.r_[True, r["token"][1:] != r["token"][:-1]])
         # Partners of row i are the rows after it, of the same word, up to the size that its own allows.
@@ -199,6 +209,8 @@ def _candidates(rows: DataFrame, share: int, few: int | None) -> DataFrame:
             swap = (r["doc"][i] > r["doc"][j]) | ((r["doc"][i] == r["doc"][j]) & (r["line"][i] > r["line"][j]))
             a, b = np.where(swap, j, i), np.where(swap, i, j)
             ok = (r["doc"][a] != r["doc"][b]) | (r["line"][a] != r["line"][b])
+            if only:
+                ok &= packed.bloom_has(only.value, _xxhash64(_line_id(r["doc"][b], r["line"][b].astype(np.int64))))
             a, b = a[ok], b[ok]
             order = np.lexsort((r["line"][a], r["doc"][a], b))
             a, b = a[order], b[order]
@@ -218,18 +230,23 @@ def _matches(pairs: DataFrame, docs: DataFrame, min_words: int, share: int) -> D
     """The lines (doc, line) of pairs that are similar to (doc_a, line_a)."""
     spark = pairs.sparkSession
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")))
-    wanted = spark.sparkContext.broadcast(packed.bloom(ends.select((F.col("doc") * 1_000_003 + F.col("line")).alias("id")), "id"))
+    ids, lines = spark.sparkContext.broadcast(packed.bloom(ends, "doc")), spark.sparkContext.broadcast(packed.bloom(ends.select(_line_id(F.col("doc"), F.col("line")).alias("id")), "id"))
+
+    def asked(batches):
+        # Only documents of which lines are asked for are cut into words.
+        for batch in batches:
+            yield batch.filter(pa.array(packed.bloom_has(ids.value, _xxhash64(batch.column("doc").to_numpy()))))
 
     def sets(batches):
-        for ids, x in _blocks(batches, min_words):
+        for doc, x in _blocks(asked(batches), min_words):
             if not len(x.sizes):
                 continue
-            hit = np.flatnonzero(packed.bloom_has(wanted.value, _xxhash64(ids[x.row] * 1_000_003 + x.number)))
+            hit = np.flatnonzero(packed.bloom_has(lines.value, _xxhash64(_line_id(doc[x.row], x.number))))
             h = x.hashes()
             got = [h[x.starts[k] : x.starts[k] + x.sizes[k]].tobytes() for k in hit]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[x.row[hit]]), pa.array(x.number[hit].astype(np.int64)), pa.array(got, pa.binary())], names=["doc", "line", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[x.row[hit]]), pa.array(x.number[hit].astype(np.int64)), pa.array(got, pa.binary())], names=["doc", "line", "items"])
 
-    own = docs.mapInArrow(sets, "doc bigint, line bigint, items binary")
+    own = written(docs.mapInArrow(sets, "doc bigint, line bigint, items binary"), "sets")
     full = pairs.select("doc", "line", "doc_a", "line_a").join(own.withColumnRenamed("items", "x"), ["doc", "line"])
     full = full.join(own.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("items").alias("y")), ["doc_a", "line_a"])
 
@@ -245,6 +262,11 @@ def _matches(pairs: DataFrame, docs: DataFrame, min_words: int, share: int) -> D
     return full.select("doc", "line", "x", "y").mapInArrow(exact, "doc bigint, line bigint")
 
 
+def _line_id(doc, line):
+    """One number for a line; others may share it."""
+    return doc % 1_000_000_007 * 1_000_003 + line
+
+
 def _xxhash64(x: np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of longs, seed 42."""
     p1, p2, p3, p4, p5 = (U64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -277,7 +299,8 @@ def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min
         near = written(near.unionByName(_matches(rest, source, min_words, share).distinct()), "matches")
     open_ = written(found.filter("more").select("doc", "line").distinct().join(near, ["doc", "line"], "left_anti"), "open")
     if not open_.isEmpty():
-        every = _candidates(_rarest(source, table, min_words, share), share, None).join(open_, ["doc", "line"], "left_semi").select("doc", "line", "doc_a", "line_a").distinct()
+        asked = spark.sparkContext.broadcast(packed.bloom(open_.select(_line_id(F.col("doc"), F.col("line")).alias("id")), "id"))
+        every = _candidates(_rarest(source, table, min_words, share), share, None, asked).join(open_, ["doc", "line"], "left_semi").select("doc", "line", "doc_a", "line_a").distinct()
         near = near.unionByName(_matches(written(every, "candidates"), source, min_words, share).distinct())
     return gone.unionByName(near)
 
