@@ -38,3 +38,11 @@ def test_run_equals_its_stages(spark, tables):
     df = corpus_pipeline.run(spark, tables)
     assert df.count() > 50 and df.filter("n_tokens = 0").count() == 0
     assert sorted_rows(df.select("doc_id")) == sorted_rows(df.select("doc_id").distinct())
+
+
+def test_stages_take_nulls_and_empty_tables(spark, tables):
+    docs = spark.createDataFrame([(None, None, None, None, None, "x"), (None, "some words of English text stand here", "en", "s", 1, "y"), (7, None, None, "s", None, "z")], brute.DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), tables).count() == 0
+        rows = stage(spark, docs, tables).collect()
+        assert len(rows) == (0 if name == "language ID" else 3)
