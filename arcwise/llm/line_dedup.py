@@ -2,7 +2,7 @@
 
 A line's set holds its distinct words (A-Z as a-z). Words are ordered by rarity, from counters over all lines.
 Lines of similarity share/100 or more share one of their rarest words, so each line names these (prefix
-filter) with its size, the word's place and a 64-bit signature. Lines that meet are kept apart by size
+filter) with its size, the word's place and a 128-bit signature. Lines that meet are kept apart by size
 (length filter), by what can still follow the shared word (positional filter) and by the bits in which
 their signatures differ; then Jaccard is verified on the whole sets. A line goes if it matches any line
 that stands earlier, by doc_id and line number, whether or not that one goes too.
@@ -29,8 +29,8 @@ from arcwise.llm.shared import prepared, written
 
 MIN_WORDS = 5
 SHARE = 80
-FEW = 16
-_ROW = np.dtype([("token", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("n", "<u2"), ("at", "<u2"), ("sum", "<u4"), ("bits", "<u8")])
+FEW = 48
+_ROW = np.dtype([("token", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("n", "<u2"), ("at", "<u2"), ("sum", "<u4"), ("bits", "<u8", 2)])
 #: Level of a counter that has counted one line only: nothing else holds its words.
 _ONCE = 2
 _SAME = np.dtype([("s1", "<u8"), ("s2", "<u8"), ("doc", "<i8"), ("line", "<u4")])
@@ -146,32 +146,64 @@ def _later_copies(blocks: DataFrame) -> DataFrame:
     return packed.by_bucket(blocks, work, _SAME, "doc bigint, line bigint")
 
 
-def _rarest(docs: DataFrame, table, min_words: int, share: int) -> DataFrame:
-    """Packed rows of each line's rarest words."""
+def _prefix(x: Lines, share: int):
+    """(kept, line, place, hash): of each line's rarest words that other lines may have; hash: the key's upper 44 bits, mixed."""
+    size = x.sizes - -(-share * x.sizes // 100) + 1
+    at = np.arange(len(x.keys)) - np.repeat(x.starts, x.sizes)
+    # Levels are part of the key, the same wherever the word stands.
+    h = mix((x.keys >> U64(x.width - 44)).copy())
+    kept = (at < np.repeat(size, x.sizes)) & (x.keys >> U64(x.width - 6) > _ONCE)
+    return kept, np.repeat(np.arange(len(x.sizes)), x.sizes)[kept], at[kept], h
+
+
+def _rarest(docs: DataFrame, table, min_words: int, share: int, tokens=None) -> DataFrame:
+    """Packed rows of each line's rarest words; tokens: a broadcast Bloom filter of the words that are asked about."""
     buckets = packed.buckets_of(docs.sparkSession)
 
     def run(batches):
         for ids, x in _blocks(batches, min_words, table.value):
             if not len(x.sizes):
                 continue
-            prefix = x.sizes - -(-share * x.sizes // 100) + 1
-            at = np.arange(len(x.keys)) - np.repeat(x.starts, x.sizes)
-            # Bits from the hash part of the key: levels are the same wherever the word stands.
-            h = mix((x.keys >> U64(x.width - 44)).copy())
-            bits = np.bitwise_xor.reduceat(U64(1) << (h & U64(63)), x.starts)
-            keep = (at < np.repeat(prefix, x.sizes)) & (x.keys >> U64(x.width - 6) > _ONCE)
-            own = np.repeat(np.arange(len(x.sizes)), x.sizes)[keep]
+            kept, own, at, h = _prefix(x, share)
+            one = U64(1) << (h & U64(63))
+            half = h & U64(64) > 0
+            bits = np.stack([np.bitwise_xor.reduceat(np.where(half == k, one, U64(0)), x.starts) for k in (False, True)], axis=1)
             sums = np.add.reduceat(h, x.starts) >> U64(32)
+            h = h[kept]
+            if tokens:
+                ask = packed.bloom_has(tokens.value, _xxhash64(h.view(np.int64)))
+                own, at, h = own[ask], at[ask], h[ask]
             out = np.empty(len(own), _ROW)
-            out["token"] = (h[keep] >> U64(6)).astype(np.uint32)
+            out["token"] = (h >> U64(7)).astype(np.uint32)
             out["line"], out["doc"] = x.number[own], ids[x.row][own]
-            out["n"], out["at"], out["bits"] = np.minimum(x.sizes, 65535)[own], np.minimum(at[keep], 65535), bits[own]
+            out["n"], out["at"], out["bits"] = np.minimum(x.sizes, 65535)[own], np.minimum(at, 65535), bits[own]
             out["sum"] = sums[own]
-            yield packed.packed(h[keep], out, buckets)
+            yield packed.packed(h, out, buckets)
 
     return docs.mapInArrow(run, "bucket int, block binary")
 
 
+def _words_of(docs: DataFrame, table, lines: DataFrame, min_words: int, share: int) -> DataFrame:
+    """(word): the rarest words of the given lines, and of others that the filters take for them."""
+    sc = docs.sparkSession.sparkContext
+    ids, asked = sc.broadcast(packed.bloom(lines, "doc")), sc.broadcast(packed.bloom(lines.select(_line_id(F.col("doc"), F.col("line")).alias("id")), "id"))
+
+    def run(batches):
+        for doc, x in _blocks(_asked(batches, ids), min_words, table.value):
+            if len(x.sizes):
+                kept, own, _, h = _prefix(x, share)
+                hit = packed.bloom_has(asked.value, _xxhash64(_line_id(doc[x.row], x.number)))
+                yield pa.RecordBatch.from_arrays([pa.array(h[kept][hit[own]].view(np.int64))], names=["word"])
+
+    return docs.mapInArrow(run, "word bigint")
+
+
+def _asked(batches, ids):
+    """Batches without the documents that a broadcast Bloom filter rules out."""
+    for batch in batches:
+        yield batch.filter(pa.array(packed.bloom_has(ids.value, _xxhash64(batch.column("doc").to_numpy()))))
+
+
 _PAIR = "doc bigint, line bigint, doc_a bigint, line_a bigint, more boolean"
 
 
@@ -183,10 +215,10 @@ def _candidates(rows: DataFrame, share: int, few: int | None, only=None) -> Data
 
     def work(r):
         # Of lines with equal sets, told by 32 bits of sum besides bits, size and place, the earliest stands for all: the others go as copies.
-        r = r[np.lexsort((r["line"], r["doc"], r["at"], r["sum"], r["bits"], r["n"], r["token"]))]
+        r = r[np.lexsort((r["line"], r["doc"], r["at"], r["sum"], r["bits"][:, 0], r["bits"][:, 1], r["n"], r["token"]))]
         if len(r):
-            r = r[np.r_[True, np.any([r[c][1:] != r[c][:-1] for c in ("token", "n", "bits", "sum", "at")], axis=0)]]
-        n, bits, at = r["n"].astype(np.int64), r["bits"], r["at"].astype(np.int64)
+            r = r[np.r_[True, np.any([x[1:] != x[:-1] for x in (r["token"], r["n"], r["bits"][:, 0], r["bits"][:, 1], r["sum"], r["at"])], axis=0)]]
+        n, bits, at = r["n"].astype(np.int64), np.ascontiguousarray(r["bits"]), r["at"].astype(np.int64)
         group = np.cumsum(np.r_[True, r["token"][1:] != r["token"][:-1]])
         # Partners of row i are the rows after it, of the same word, up to the size that its own allows.
         stop = np.searchsorted((group << 20) + n, (group << 20) + n * 100 // share, "right")
@@ -201,7 +233,7 @@ def _candidates(rows: DataFrame, share: int, few: int | None, only=None) -> Data
             i0 = i1
             if not len(i):
                 continue
-            apart = bit_count(bits[i] ^ bits[j]).astype(np.int64)
+            apart = bit_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
             need = -(-share * (n[i] + n[j]) // (100 + share))
             whole = (n[i] == 65535) | (n[j] == 65535)
             ok = (((n[i] + n[j] - apart) // 2 >= need) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)) | whole
@@ -232,13 +264,8 @@ def _matches(pairs: DataFrame, docs: DataFrame, min_words: int, share: int) -> D
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")))
     ids, lines = spark.sparkContext.broadcast(packed.bloom(ends, "doc")), spark.sparkContext.broadcast(packed.bloom(ends.select(_line_id(F.col("doc"), F.col("line")).alias("id")), "id"))
 
-    def asked(batches):
-        # Only documents of which lines are asked for are cut into words.
-        for batch in batches:
-            yield batch.filter(pa.array(packed.bloom_has(ids.value, _xxhash64(batch.column("doc").to_numpy()))))
-
     def sets(batches):
-        for doc, x in _blocks(asked(batches), min_words):
+        for doc, x in _blocks(_asked(batches, ids), min_words):
             if not len(x.sizes):
                 continue
             hit = np.flatnonzero(packed.bloom_has(lines.value, _xxhash64(_line_id(doc[x.row], x.number))))
@@ -300,7 +327,8 @@ def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min
     open_ = written(found.filter("more").select("doc", "line").distinct().join(near, ["doc", "line"], "left_anti"), "open")
     if not open_.isEmpty():
         asked = spark.sparkContext.broadcast(packed.bloom(open_.select(_line_id(F.col("doc"), F.col("line")).alias("id")), "id"))
-        every = _candidates(_rarest(source, table, min_words, share), share, None, asked).join(open_, ["doc", "line"], "left_semi").select("doc", "line", "doc_a", "line_a").distinct()
+        tokens = spark.sparkContext.broadcast(packed.bloom(_words_of(source, table, open_, min_words, share), "word"))
+        every = _candidates(_rarest(source, table, min_words, share, tokens), share, None, asked).join(open_, ["doc", "line"], "left_semi").select("doc", "line", "doc_a", "line_a").distinct()
         near = near.unionByName(_matches(written(every, "candidates"), source, min_words, share).distinct())
     return gone.unionByName(near)
 
