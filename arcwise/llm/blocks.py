@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_000_000
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
