@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from arcwise.llm.blocks import U64, chunks, mix, text_bytes
-from arcwise.llm.shared import prepared
+from arcwise.llm.shared import least_hashed, prepared
 
 DIMS = 1 << 14
 SAMPLE = 1500
@@ -158,7 +158,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
             got = [(p := np.flatnonzero(c), c[p]) for c in counts(texts, dims)]
             yield pa.RecordBatch.from_arrays([pa.array([p.astype("<i4").tobytes() for p, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary()), batch.column(1)], names=["place", "n", "lang"])
 
-    chosen = rows.orderBy(F.xxhash64("key"), "key").limit(sample).select("text", "lang")
+    chosen = least_hashed(rows, sample, "key").select("text", "lang")
     own = chosen.mapInArrow(sparse, "place binary, n binary, lang string").collect()  # sample rows of dims places at most
     languages = sorted({r["lang"] for r in own})
     if not languages:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm.components import connected_components
-from arcwise.llm.shared import prepared, written
+from arcwise.llm.shared import least_hashed, prepared, written
 
 COSINE = 0.93
 SAMPLE = 20_000
@@ -99,7 +99,7 @@ def _clean(vectors: DataFrame, key: str, embedding: str, label: str) -> DataFram
 
 def fit(rows: DataFrame, total: int, sample: int = SAMPLE) -> MultiIndex | None:
     """Codebooks of a bounded sample; their size follows the number of vectors."""
-    own = [np.array(r[0], float) for r in rows.orderBy(F.xxhash64("vec"), "vec").select("embedding").limit(sample).collect()]
+    own = [np.array(r[0], float) for r in least_hashed(rows.select("vec", "embedding"), sample, "vec").select("embedding").collect()]
     if not own:
         return None
     size = int(np.bincount([len(x) for x in own]).argmax())
@@ -111,7 +111,7 @@ def fit(rows: DataFrame, total: int, sample: int = SAMPLE) -> MultiIndex | None:
 def cells_for(rows: DataFrame, index: MultiIndex, cosine: float, recall: float, queries: int = QUERIES) -> tuple[int, float]:
     """(cells to visit, recall that the sampled queries reach with them), by brute force over all rows."""
     spark = rows.sparkSession
-    asked = rows.orderBy(F.xxhash64("vec", F.lit(7)), "vec").select("vec", "label", "embedding").limit(queries).collect()
+    asked = least_hashed(rows.select("vec", "label", "embedding"), queries, "label", "vec").collect()
     own = [np.array(r["embedding"], float) for r in asked]
     order = index.visits(unit(own, index.size), len(index.first) * len(index.second))
     rank = np.empty_like(order)
