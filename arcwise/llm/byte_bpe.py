@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with the ``tokenizers`` library over Arrow batches.
 
 A rank file (lines of base64 token and rank) becomes a ``tokenizers`` model: bytes are mapped to
-printable characters, and each token's merge is the pair that lower ranks leave of it. Offsets
-are given in characters of the input text. Decoding maps ids back to bytes by the same table, so
+printable characters, and each token's merge is the pair that lower ranks leave of it. Without
+offsets, texts are split by the pattern first and each distinct piece is encoded once; pieces are
+kept, KEPT at most. Offsets are given in characters of the input text. Decoding maps ids back to bytes by the same table, so
 characters whose bytes lie in several tokens come out whole.
 
 Null text is empty: no ids. Empty text: no ids. Very long texts are encoded whole. Repeated rows
@@ -16,6 +17,7 @@ import base64
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from arcwise.llm.blocks import chunks, text_bytes
 from arcwise.llm.shared import prepared
 
 _loaded: dict[str, "ByteBpe"] = {}
+#: Pieces of text whose ids a worker keeps.
+KEPT = 600_000
 
 
 def byte_chars() -> list[str]:
@@ -53,21 +57,34 @@ class ByteBpe:
 
     def __init__(self, content: bytes, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in content.splitlines() if x.strip())}
         chars = byte_chars()
         shown = {token: "".join(chars[b] for b in token) for token in ranks}
         merges = [p for t in sorted(ranks, key=ranks.get) if len(t) > 1 and (p := merge_of(t, ranks))]
-        self.model = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=[(shown[a], shown[b]) for a, b in merges]))
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        model = models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=[(shown[a], shown[b]) for a, b in merges])
+        chars_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model, self.pieces = Tokenizer(model), Tokenizer(model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), chars_only])
+        self.pieces.pre_tokenizer = chars_only
+        self.split = regex.compile(pattern).findall
+        self.kept: dict[str, list[int]] = {}
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         back = {c: b for b, c in enumerate(chars)}
         for text, i in self.model.get_vocab().items():
             self.bytes_of[i] = bytes(back[c] for c in text)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [self.split(t) for t in texts]
+        if new := list({p for pieces in split for p in pieces} - self.kept.keys()):
+            if len(self.kept) + len(new) > KEPT:
+                self.kept.clear()
+                new = list({p for pieces in split for p in pieces})
+            self.kept.update(zip(new, [x.ids for x in self.pieces.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+        of = self.kept.__getitem__
+        return [list(chain.from_iterable(map(of, pieces))) for pieces in split]
 
     def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         return [(x.ids, x.offsets) for x in self.model.encode_batch(texts, add_special_tokens=False)]
@@ -88,13 +105,14 @@ def _shipped(df: DataFrame, path: str, pattern: str):
     """Broadcasts the rank file (below 1 MB; its size doesn't depend on the data); returns what loads it once in a worker."""
     content, name = rank_file(path)
     sent = df.sparkSession.sparkContext.broadcast(content)
+    return lambda: loaded(name, sent.value, pattern)
 
-    def load() -> ByteBpe:
-        if (key := name + pattern) not in _loaded:
-            _loaded[key] = ByteBpe(sent.value, pattern)
-        return _loaded[key]
 
-    return load
+def loaded(name: str, content: bytes, pattern: str) -> ByteBpe:
+    """A rank file's tokenizer, made once in a worker."""
+    if (key := name + pattern) not in _loaded:
+        _loaded[key] = ByteBpe(content, pattern)
+    return _loaded[key]
 
 
 def _text_lists(column) -> Iterator[list[str]]:
