@@ -344,6 +344,12 @@ def k7_offsets(spark, sf_dir):
     return storage.offsets(walk(spark, sf_dir))
 
 
+@query(f", d AS (SELECT id, count(src) AS degree FROM ids LEFT JOIN walk ON src = id GROUP BY id) SELECT id, CAST({_gamma('degree')} AS BIGINT) AS bits FROM d")
+def k6_degree_bits(spark, sf_dir):
+    e = walk(spark, sf_dir)
+    return access.out_degrees(e, walk_ids(spark, e)).select("id", codec.gamma_bits("degree").alias("bits"))
+
+
 def _sweep_sql() -> str:
     parts = []
     for f in storage.SWEEP_FACTORS:
