@@ -18,7 +18,7 @@ from arcwise.llm.queries import RANKS
 from arcwise.llm.shared import table, written
 
 #: A document whose likeliest language is less likely than this is rejected.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
