@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
-from arcwise.llm.blocks import U64, mix, prefix_sums, span_hashes, text_bytes
+from arcwise.llm.blocks import U64, mix, powers, prefix_sums, span_hashes, text_bytes
 from arcwise.llm.shared import prepared, written
 from arcwise.llm.suffix_groups import sort_many, sort_one
 
@@ -36,7 +36,9 @@ SLOT_BITS = 26
 #: Strings of one fragment at most.
 _MOST = 64
 #: Bytes of text that a pass looks at together, bytes of joined fragments sorted together, and from where on one hash's are sorted alone.
-_PIECE, _TOGETHER, _ALONE = 2_000_000, 1_500_000, 6_000
+_PIECE, _TOGETHER, _ALONE = 500_000, 600_000, 6_000
+#: Groups that are sorted together at least.
+_ROWS = 64
 
 _SEEN = np.dtype([("h", "<u4"), ("h2", "u1"), ("f", "<u4")])
 _PLACE = np.dtype([("h", "<u4"), ("h2", "u1"), ("doc", "<i8"), ("text", "<u2"), ("at", "<u4"), ("n", "u1")])
@@ -50,8 +52,10 @@ def fragments(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
     """
     width = length - gram + 1
     sums = prefix_sums(data)
-    places = np.arange(len(data) - gram + 1)
-    low = span_hashes(sums, places, places + gram)
+    _, down = powers(len(data) + 1)
+    low = sums[gram:] - sums[:-gram]
+    low *= down[: len(low)]
+    low = mix(low)
     span = 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -75,7 +79,8 @@ def fragments(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
         n = np.minimum(np.repeat(cut + n, parts) - at, _MOST)
         cut = at
     start = sel[cut]
-    return h[cut], start, n, span_hashes(sums, start, start + n + length - 1)
+    # Least hashes are small numbers; mixed again they spread over buckets and slots.
+    return mix(h[cut]), start, n, span_hashes(sums, start, start + n + length - 1)
 
 
 def _pieces(batches, length: int, gram: int):
@@ -132,7 +137,7 @@ def _slots(docs: DataFrame, length: int, gram: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([tables[0]], pa.binary()), pa.array([tables[1]], pa.binary())], names=["low", "twice", "several"])
 
     out = np.zeros((2, (1 << SLOT_BITS) // 8), np.uint8)
-    for r in packed.by_bucket(docs.mapInArrow(seen, "bucket int, block binary"), count, _SEEN, "low bigint, twice binary, several binary").toLocalIterator():  # 16 MB in all
+    for r in packed.by_bucket(docs.mapInArrow(seen, "bucket int, block binary"), count, _SEEN, "low bigint, twice binary, several binary").collect():  # 16 MB in all
         for table, part in zip(out, (r["twice"], r["several"]), strict=True):
             table[r["low"] : r["low"] + len(part)] |= np.frombuffer(part, np.uint8)
     return out
@@ -217,8 +222,15 @@ def least_ids(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], data: np.
             i += 1
             continue
         j = i
-        while j < len(ranked) and sizes[ranked[j]] <= _ALONE and sizes[ranked[j]] * (j - i + 1) <= _TOGETHER and sizes[ranked[j]] <= max(1.15 * sizes[k], sizes[k] + 40):
+        while j < len(ranked) and sizes[ranked[j]] <= _ALONE and sizes[ranked[j]] * (j - i + 1) <= _TOGETHER and sizes[ranked[j]] <= max(1.3 * sizes[k], sizes[k] + 40):
             j += 1
+        if j - i < _ROWS:
+            # Too few for a step in all rows at once to pay.
+            for k in ranked[i:j]:
+                x, at = joined(k)
+                decided(k, x, at, np.array(sort_one(x.tolist())))
+            i = j
+            continue
         texts = [joined(k) for k in ranked[i:j]]
         width = int(sizes[ranked[j - 1]])
         table = np.zeros((j - i, width), np.uint8)
@@ -296,7 +308,6 @@ def _runs(travelling: DataFrame, length: int) -> DataFrame:
     """(bucket, block) of removed runs, by document."""
     spark = travelling.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = packed.buckets_of(spark)
 
     def work(places, known, texts):
         rows, starts, base = [], [], 0
@@ -310,7 +321,8 @@ def _runs(travelling: DataFrame, length: int) -> DataFrame:
             starts.append(at)
             base += len(t)
         out = _removed(np.concatenate(rows), np.concatenate(starts), np.frombuffer(b"".join(texts), np.uint8), length)
-        yield packed.packed(mix(out["doc"].astype(np.int64).view(U64)), out, buckets)
+        # Each bucket writes a block for each partition of documents.
+        yield packed.packed(mix(out["doc"].astype(np.int64).view(U64)), out, n)
 
     def run(batches):
         now, places, known, texts = None, [], [], []

@@ -83,6 +83,7 @@ def test_pieces_and_paths_agree(monkeypatch):
     assert strings() == whole
     data = np.frombuffer(text.encode(), np.uint8)
     groups = [(np.array([0, 40, 5200]), np.array([30, 64, 20]), np.array([3, 2, 5])), (np.array([5000, 5200]), np.array([60, 64]), np.array([9, 1]))]
+    monkeypatch.setattr(suffix_dedup, "_ROWS", 1)
     one = suffix_dedup.least_ids(groups, data, 50)
     monkeypatch.setattr(suffix_dedup, "_ALONE", 10)
     assert all(np.array_equal(a, b) for a, b in zip(one, suffix_dedup.least_ids(groups, data, 50), strict=True))
