@@ -3,9 +3,10 @@
 Vectors are scaled to length one and cut into halves; a codebook for each half is fitted on a bounded sample
 (``sample`` vectors of least hash), and pairs of codewords form a grid of cells. Each vector stands in the
 cell of its nearest codewords and visits the cells that the multi-sequence order of its distances gives, the
-nearest first. How many it visits follows from ``queries`` sampled vectors that are compared with all rows
-by brute force: the least number with which they find ``recall`` of their links (``MOST_CELLS`` at most). Pairs that meet
-are verified by cosine in double precision.
+nearest first. How many it visits follows from sampled vectors that are compared with all rows by brute force: the
+least number with which a vector that has links finds ``recall`` of them on average, each vector with equal weight.
+Vectors are sampled until ``LINKED`` of them have links, or all were asked; the number of cells has no bound but the
+grid. Pairs that meet are verified by cosine in double precision.
 
 Every row is indexed. Vectors with equal label and components are one vector with a count. Cells with more than
 ``TILE`` vectors are dealt into tiles; a visitor goes to all tiles of a cell. A tile gives counts and a
@@ -29,9 +30,12 @@ from arcwise.llm.shared import least_hashed, prepared, written
 
 COSINE = 0.93
 SAMPLE = 20_000
+#: Vectors asked in the first round; each round asks four times as many as the one before, up to ROUND.
 QUERIES = 1_000
+ROUND = 16_000
+#: Asked vectors with links that are enough: if all find theirs, recall is 0.99 or more at a confidence of 0.95.
+LINKED = 300
 RECALL = 0.999
-MOST_CELLS = 64
 TILE = 2_000
 
 
@@ -108,23 +112,21 @@ def fit(rows: DataFrame, total: int, sample: int = SAMPLE) -> MultiIndex | None:
     return MultiIndex(codebook(points[:, : size // 2], k), codebook(points[:, size // 2 :], k, seed=2))
 
 
-def cells_for(rows: DataFrame, index: MultiIndex, cosine: float, recall: float, queries: int = QUERIES) -> tuple[int, float]:
-    """(cells to visit, recall that the sampled queries reach with them), by brute force over all rows."""
-    spark = rows.sparkSession
-    asked = least_hashed(rows.select("vec", "label", "embedding"), queries, "label", "vec").collect()
+def _asked(rows: DataFrame, index: MultiIndex, low: float, high: float, cosine: float) -> tuple[DataFrame, int]:
+    """((query, rank, n): on how many links of a query is the other's home at a rank of its visits; number of queries), for the vectors whose place by hash is in [low, high)."""
+    place = F.pmod(F.xxhash64("label", "vec", "h1", "h2"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    asked = rows.filter((place >= low) & (place < high)).select("vec", "label", "embedding").collect()  # ROUND vectors on average at most
     own = [np.array(r["embedding"], float) for r in asked]
-    order = index.visits(unit(own, index.size), len(index.first) * len(index.second))
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], 1)
     kinds: dict = {}
     for i, r in enumerate(asked):
         kinds.setdefault((r["label"], len(own[i])), []).append(i)
-    groups = {k: (np.array(i), np.array([r["vec"] for r in asked])[i], np.stack([own[j] / np.sqrt(own[j] @ own[j]) for j in i])) for k, i in kinds.items()}
-    sent = spark.sparkContext.broadcast((index, rank, groups))
+    vec = np.array([r["vec"] for r in asked], np.int64)
+    groups = {k: (np.array(i), vec[i], np.stack([own[j] / np.sqrt(own[j] @ own[j]) for j in i])) for k, i in kinds.items()}
+    sent = rows.sparkSession.sparkContext.broadcast((index, index.distances(unit(own, index.size)), groups))
 
     def run(batches):
-        index, rank, groups = sent.value
-        total = np.zeros(rank.shape[1], np.int64)
+        index, (d1, d2), groups = sent.value
+        cells = len(index.first) * len(index.second)
         for batch in batches:
             xs, labels, vec = vectors_of(batch.column("embedding")), batch.column("label").to_pylist(), batch.column("vec").to_numpy()
             home = index.visits(unit(xs, index.size), 1)[:, 0]
@@ -132,23 +134,43 @@ def cells_for(rows: DataFrame, index: MultiIndex, cosine: float, recall: float,
             for i, x in enumerate(xs):
                 if (k := (labels[i], len(x))) in groups:
                     kinds.setdefault(k, []).append(i)
+            met = [np.zeros(0, np.int64)]
             for k, i in kinds.items():
                 which, ids, q = groups[k]
-                a, b = np.nonzero(q @ np.stack([xs[j] / np.sqrt(xs[j] @ xs[j]) for j in i]).T >= cosine)
-                i = np.array(i)
-                other = ids[a] != vec[i[b]]
-                total += np.bincount(rank[which[a[other]], home[i[b[other]]]], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["rank", "n"])
-
-    got = {r["rank"]: r["n"] for r in rows.select("vec", "label", "embedding").mapInArrow(run, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n")).collect()}  # a row for each rank
-    if not got:
-        return 4, 1.0
-    found = np.zeros(max(got) + 1)
-    found[list(got)] = list(got.values())
+                x, i = np.stack([xs[j] / np.sqrt(xs[j] @ xs[j]) for j in i]).T, np.array(i)
+                for at in range(0, len(q), 500):
+                    a, b = np.nonzero(q[at : at + 500] @ x >= cosine)
+                    other = ids[at + a] != vec[i[b]]
+                    met.append(which[at + a[other]] * cells + home[i[b[other]]])
+            pair, n = np.unique(np.concatenate(met), return_counts=True)
+            query, cell = pair // cells, pair % cells
+            rank = np.empty(len(pair), np.int64)
+            for at in range(0, len(pair), 200):
+                own, c = query[at : at + 200], cell[at : at + 200]
+                cost = (d1[own][:, :, None] + d2[own][:, None, :]).reshape(len(own), cells)
+                rank[at : at + 200] = (cost <= cost[np.arange(len(own)), c][:, None]).sum(axis=1) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(rank), pa.array(n.astype(np.int64))], names=["query", "rank", "n"])
+
+    return rows.select("vec", "label", "embedding").mapInArrow(run, "query bigint, rank bigint, n bigint").groupBy("query", "rank").agg(F.sum("n").alias("n")), len(asked)
+
+
+def cells_for(rows: DataFrame, index: MultiIndex, cosine: float, recall: float, queries: int = QUERIES, linked: int = LINKED) -> tuple[int, float]:
+    """(cells to visit, average share of its links that a sampled vector with links finds with them), by brute force over all rows."""
+    total, cells = max(rows.count(), 1), len(index.first) * len(index.second)
+    found, some, low, size = np.zeros(cells), 0.0, 0.0, queries
+    while low < 1 and some < linked:
+        high = low + size / total
+        got, asked = _asked(rows, index, low, high, cosine)
+        if asked:
+            of = got.groupBy("query").agg(F.sum("n").alias("all"))
+            for r in got.join(of, "query").groupBy("rank").agg(F.sum(F.col("n") / F.col("all")).alias("share")).collect():  # a row for each rank
+                found[r["rank"]] += r["share"]
+        some, low, size = found.sum() + 1e-6, high, min(size * 4, ROUND)
+    if not found.any():
+        return 4, 1.0  # all were asked, and none has links
     share = np.cumsum(found) / found.sum()
-    n = min(max(4, int(np.searchsorted(share, recall)) + 1), MOST_CELLS)
-    return n, float(share[min(n, len(share)) - 1])
+    n = min(max(4, int(np.argmax(share >= min(recall, 1 - 1e-9))) + 1), cells)
+    return n, float(share[n - 1])
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,18 +197,25 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
     if index is None:
         return everyone.select(F.col("vec").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("vec").alias("component_id"), F.lit(True).alias("kept"))
     cells, _ = cells_for(reps, index, cosine, recall)
+    grid = len(index.first) * len(index.second)
     sent = spark.sparkContext.broadcast(index)
 
     def place(batches):
-        for batch in batches:
-            xs = vectors_of(batch.column("embedding"))
-            visits = sent.value.visits(unit(xs, sent.value.size), cells)
-            n = visits.shape[1]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, visits.size + 1, n), pa.int32()), pa.array(visits.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("label"), pa.array([len(x) for x in xs], pa.int32()), batch.column("rows"), batch.column("embedding"), flat], names=["vec", "label", "size", "rows", "embedding", "visits"])
+        step = max(1, 8_000_000 // grid)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                xs = vectors_of(batch.column("embedding"))
+                visits = sent.value.visits(unit(xs, sent.value.size), cells)
+                n = visits.shape[1]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, visits.size + 1, n), pa.int32()), pa.array(visits.ravel().astype(np.int32)))
+                bits = np.zeros((len(xs), grid), bool)
+                np.put_along_axis(bits, visits, True, 1)
+                seen = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("label"), pa.array([len(x) for x in xs], pa.int32()), batch.column("rows"), batch.column("embedding"), flat, seen], names=["vec", "label", "size", "rows", "embedding", "visits", "seen"])
 
     kind = reps.schema["label"].dataType.simpleString()
-    placed = reps.select("vec", "label", "rows", "embedding").mapInArrow(place, f"vec bigint, label {kind}, size int, rows bigint, embedding array<double>, visits array<int>")
+    placed = reps.select("vec", "label", "rows", "embedding").mapInArrow(place, f"vec bigint, label {kind}, size int, rows bigint, embedding array<double>, visits array<int>, seen binary")
     placed = written(placed.withColumn("home", F.element_at("visits", 1)), "placed")
     spread = placed.groupBy("label", "size", "home").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).withColumnRenamed("home", "cell")
     home = placed.withColumn("cell", F.col("home")).join(spread, ["label", "size", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec"), F.col("tiles")).cast("int"))
@@ -194,7 +223,7 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
     visitor = placed.withColumn("cell", F.explode("visits")).join(spread, ["label", "size", "cell"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     # Visitors of a tile are dealt too, so that a task holds TILE of each at most on average.
     crowd = visitor.groupBy("label", "size", "cell").agg(F.ceil(F.countDistinct("vec") / TILE).cast("int").alias("parts"))
-    columns = ["label", "size", "cell", "tile", "part", "vec", "rows", "embedding", "visits", "home"]
+    columns = ["label", "size", "cell", "tile", "part", "vec", "rows", "embedding", "seen", "home"]
     home = home.join(crowd, ["label", "size", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns, F.lit(True).alias("owner"))
     visitor = visitor.join(crowd, ["label", "size", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec", F.lit(3)), F.col("parts")).cast("int")).select(*columns, F.lit(False).alias("owner"))
 
@@ -205,7 +234,7 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
         x = np.stack(vectors_of(table.column("embedding").combine_chunks()))
         x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         vec, rows, home = (table.column(c).to_numpy() for c in ("vec", "rows", "home"))
-        visits = np.stack([v.values.to_numpy() for v in table.column("visits").combine_chunks()])
+        seen = np.frombuffer(b"".join(table.column("seen").to_pylist()), np.uint8).reshape(len(vec), -1)
         ids, node = np.unique(vec, return_inverse=True)
         links, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
         own, guests = np.flatnonzero(owner), np.flatnonzero(~owner)
@@ -217,7 +246,7 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
             i, j = i[ok], j[ok]
             np.add.at(links, node[i], rows[j])
             # A pair of which only one visits the other counts for both.
-            one = ~(visits[j] == home[i][:, None]).any(axis=1)
+            one = (seen[j, home[i] >> 3] >> (7 - (home[i] & 7)) & 1) == 0
             np.add.at(links, node[j[one]], rows[i[one]])
             low = _forest(len(ids), np.concatenate([node[i], np.arange(len(ids))]), np.concatenate([node[j], low]))
         some = (links > 0) | (low != np.arange(len(ids)))

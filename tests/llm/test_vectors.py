@@ -54,3 +54,27 @@ def test_visits_are_the_nearest_cells():
     cost = (d1[:, :, None] + d2[:, None, :]).reshape(20, -1)
     for n in (1, 4, 9, 35):
         assert np.allclose(np.sort(np.take_along_axis(cost, index.visits(x, n), 1), 1), np.sort(cost, 1)[:, :n])
+
+
+def test_cells_follow_from_every_query_alike(spark):
+    """Few vectors have links, a hot group has nearly all of them, and the rest need more than 64 cells."""
+    r = np.random.default_rng(4)
+    hot = r.normal(size=16)
+    x = [*(hot + r.normal(size=(60, 16)) * 0.01), *r.normal(size=(900, 16))]
+    for _ in range(25):
+        y = r.normal(size=16)
+        x += [y, y + r.normal(size=16) * 0.6]
+    rows = spark.createDataFrame([(i, v.tolist(), 1, "x") for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int, kept string")
+    index = vector_index.MultiIndex(r.normal(size=(24, 8)) / 4, r.normal(size=(24, 8)) / 4)
+    q = vector_index.unit(x, 16)
+    link = q @ q.T >= 0.8
+    np.fill_diagonal(link, False)
+    order = index.visits(q, 576)
+    rank = np.argsort(order, axis=1)[:, order[:, 0]]
+    share = np.array([[(link[i] & (rank[i] < n)).sum() / link[i].sum() for n in range(1, 577)] for i in np.flatnonzero(link.any(axis=1))]).mean(axis=0)
+    want = int(np.argmax(share >= 0.999)) + 1
+    assert want > 64
+    reps = vector_index._clean(rows, "vec_id", "embedding", "label")
+    for queries in (5, 5000):
+        n, got = vector_index.cells_for(reps, index, 0.8, 0.999, queries)
+        assert n == want and abs(got - share[n - 1]) < 1e-9
