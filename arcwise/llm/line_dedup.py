@@ -11,7 +11,8 @@ Lines with equal sets meet by a signature of 128 bits, so copies need no pairs:
 each names its ``FEW`` earliest candidates for each word; the earliest is verified first, then the rest for
 lines still undecided. Lines with yet more candidates and no match among these are joined again with all.
 
-Lines of fewer than ``min_words`` distinct words stay. Null texts stay null, empty texts empty. Rows that
+Lines of fewer than ``min_words`` distinct words stay; with 1, every line that has a word takes part. Lines so short that
+only equal sets are similar need no join: the signatures find them. Null texts stay null, empty texts empty. Rows that
 repeat a doc_id are handled alike; lines of equal doc_id and number are not earlier than one another.
 Rows without doc_id have no place in the order: they stay whole and remove nothing. Very long lines and texts
 count whole. An empty table gives an empty result. Extra columns are kept; output columns replace namesakes.
@@ -73,6 +74,7 @@ class Lines:
         ids = at[self.starts]
         # Where each line's first word stands tells its text and its number there.
         head = first[np.searchsorted(line, ids)] if len(ids) else np.zeros(0, np.int64)
+        self.lead = h[np.searchsorted(line, ids)] if len(ids) else np.zeros(0, U64)
         self.row = np.searchsorted(offsets, head, "right") - 1
         feeds = np.flatnonzero(data == 10)
         self.number = np.searchsorted(feeds, head) - np.searchsorted(feeds, offsets[self.row])
@@ -122,7 +124,8 @@ def _census(docs: DataFrame, min_words: int) -> DataFrame:
             m = mix(h + U64(0x632BE59BD9B4E019))
             out = np.empty(len(x.sizes), _SAME)
             out["s1"] = np.bitwise_xor.reduceat(m, x.starts) + x.sizes.astype(U64)
-            out["s2"] = np.add.reduceat(m, x.starts)
+            # A line of one word is told by all 64 bits of it, not by the 44 of its key.
+            out["s2"] = np.where(x.sizes == 1, mix(x.lead.copy()), np.add.reduceat(m, x.starts))
             out["doc"], out["line"] = ids[x.row], x.number
             b = packed.packed(mix(out["s1"].copy()), out, buckets)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, k) for k in kinds[2:]]], names=names)
@@ -152,7 +155,7 @@ def _prefix(x: Lines, share: int):
     at = np.arange(len(x.keys)) - np.repeat(x.starts, x.sizes)
     # Levels are part of the key, the same wherever the word stands.
     h = mix((x.keys >> U64(x.width - 44)).copy())
-    kept = (at < np.repeat(size, x.sizes)) & (x.keys >> U64(x.width - 6) > _ONCE)
+    kept = (at < np.repeat(np.where(x.sizes * 100 // share > x.sizes, size, 0), x.sizes)) & (x.keys >> U64(x.width - 6) > _ONCE)
     return kept, np.repeat(np.arange(len(x.sizes)), x.sizes)[kept], at[kept], h
 
 
@@ -345,6 +348,6 @@ def drop_repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text"
     return rows.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(f"`{c}`") for c in kept], F.when(F.col(text).isNull(), 0).otherwise(n).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
-def line_digest(docs: DataFrame) -> DataFrame:
-    out = drop_repeated_lines(docs.select("doc_id", "text"))
+def line_digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    out = drop_repeated_lines(docs.select("doc_id", "text"), min_words=min_words)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -42,7 +42,7 @@ def op5_suffix_dedup(spark, sf_dir):
 
 
 def op6_line_dedup(spark, sf_dir):
-    return line_digest(table(spark, sf_dir, "documents"))
+    return line_digest(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op7_decontamination(spark, sf_dir):

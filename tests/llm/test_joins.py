@@ -87,6 +87,19 @@ def test_line_dedup_equals_brute_force(spark, tables, monkeypatch):
     assert line_dedup.line_digest(df.limit(0)).count() == 0
 
 
+def test_short_and_unspaced_lines_equal_brute_force(spark, tmp_path):
+    from arcwise.llm.queries import op6_line_dedup
+
+    docs = [*brute.ODD, *line_docs(30, 3)]
+    docs += [(700 + i, f"All rights reserved.\n}} \n版权所有不得转载本文内容\nhttps://example.org/{i}/a/long/path\na b c d\na b c d x{i}\n\nreserved ALL rights.") for i in range(6)]
+    df = spark.createDataFrame([(d, t) for d, t in docs], "doc_id bigint, text string")
+    gone = brute.repeated_lines(docs, min_words=1)
+    assert {(703, i) for i in (0, 1, 2, 4, 5, 7)} <= gone and not {(703, 3), (703, 6)} & gone
+    assert {tuple(r) for r in line_dedup.repeated_lines(df, min_words=1).collect()} == gone
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert op6_line_dedup(spark, str(tmp_path)).agg({"n_removed": "sum"}).first()[0] == sum((d, i) in gone for d, t in docs if t for i in range(len(t.split("\n"))))
+
+
 def test_long_texts_in_pieces_give_the_same_lines(monkeypatch):
     import pyarrow as pa
 
