@@ -478,3 +478,63 @@ def g8_coloring(spark, sf_dir):
 def g8_coloring_sequence(spark, sf_dir):
     e = materialised(walk(spark, sf_dir), "walk")
     return scores.color(e, scores.sequence_priorities(spark, walk_ids(spark, e).count()))
+
+
+# The queries that take the sparse form of the walk (a small fixture of every 31st edge), on all its edges
+
+_WALK_START = "(SELECT min(src) FROM walk)"
+
+
+def _whole(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = materialised(walk(spark, sf_dir), "walk")
+    return e, walk_ids(spark, e)
+
+
+@query("SELECT id, count(src) < 4 AS low FROM ids LEFT JOIN walk ON src = id GROUP BY id")
+def n11_low_degree_walk(spark, sf_dir):
+    return access.low_degree(access.out_degrees(*_whole(spark, sf_dir)))
+
+
+@query(", d AS (SELECT id, count(src) AS n FROM ids LEFT JOIN walk ON src = id GROUP BY id) SELECT count(*) FILTER (n > 9) AS seeds, count(*) FILTER (n <= 9) AS others FROM d")
+def n12_seed_filter_walk(spark, sf_dir):
+    return access.seed_counts(access.out_degrees(*_whole(spark, sf_dir)), above=9)
+
+
+@query()
+def g1_bfs_walk(spark, sf_dir):
+    e, _ = _whole(spark, sf_dir)
+    return traversal.bfs(e, _first(spark, e))
+
+
+@query(_arrival_sql("fc", _WALK_START), recursive=True)
+def g2_earliest_arrival_walk(spark, sf_dir):
+    e, _ = _whole(spark, sf_dir)
+    return traversal.earliest_arrival(e, e.agg(F.min("src").alias("id")), "first")
+
+
+@query(_arrival_sql("walk", _WALK_START), recursive=True)
+def g2_earliest_arrival_all_walk(spark, sf_dir):
+    e, _ = _whole(spark, sf_dir)
+    return traversal.earliest_arrival(e, e.agg(F.min("src").alias("id")), "all")
+
+
+@query(""", r AS (SELECT id, CAST(0 AS BIGINT) AS ts FROM ids UNION SELECT e.dst, e.ts FROM r JOIN fc e ON e.src = r.id WHERE r.ts <= e.ts)
+    SELECT id, min(ts) AS ts FROM r GROUP BY id""", recursive=True)
+def g4_temporal_reach_walk(spark, sf_dir):
+    return traversal.earliest_arrival(*_whole(spark, sf_dir))
+
+
+@query()
+def g3_components_walk(spark, sf_dir):
+    return traversal.components(*_whole(spark, sf_dir))
+
+
+@query()
+def g3_weak_components_walk(spark, sf_dir):
+    return traversal.weak_components(*_whole(spark, sf_dir))
+
+
+@query()
+def g8_coloring_walk(spark, sf_dir):
+    e, ids = _whole(spark, sf_dir)
+    return scores.color(e, ids.select("id", scores.hash_priority().alias("priority")))

@@ -36,3 +36,40 @@ def test_query(spark, tables, duck, name):
         assert sorted(names) == columns
         want = [tuple(plain(dict(zip(names, r, strict=True))[c]) for c in columns) for r in cursor.fetchall()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_whole_walk_equals_plain_python(spark, tables):
+    """The loops without SQL, on all edges of the walk."""
+    edges = {(r["src"], r["dst"]) for r in catalog.walk(spark, tables).collect()}
+    out, both, top = {}, {}, max(max(e) for e in edges)
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+
+    def reached(start, links):
+        dist, front = {start: 0}, [start]
+        for x in front:
+            for y in links.get(x, ()):
+                if y not in dist:
+                    dist[y] = dist[x] + 1
+                    front.append(y)
+        return dist
+
+    def least(links):
+        root = {}
+        for i in range(top + 1):
+            for x in reached(i, links) if i not in root else ():
+                root.setdefault(x, i)
+        return root
+
+    bfs = {r["id"]: r["dist"] for r in catalog.QUERIES["g1_bfs_walk"](spark, tables).collect()}
+    assert bfs == reached(min(out), out) and len(bfs) > 10
+    for name, links in (("g3_components_walk", out), ("g3_weak_components_walk", both)):
+        assert {r["id"]: r["root"] for r in catalog.QUERIES[name](spark, tables).collect()} == least(links)
+    ids = range(top + 1)
+    priority = {i: ((i * 2654435761) % 4294967296) // 16777216 for i in ids}
+    color = {}
+    for i in sorted(ids, key=lambda i: (-priority[i], i)):
+        color[i] = max([color[j] + 1 for j in out.get(i, ()) if j != i and (-priority[j], j) < (-priority[i], i)], default=0)
+    assert {r["id"]: r["color"] for r in catalog.QUERIES["g8_coloring_walk"](spark, tables).collect()} == color
