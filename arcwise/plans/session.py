@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where the cluster names none."""
+    """The folder that spark.checkpoint.dir names; one of our own only where the cluster names none and all runs in this process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     have = sc._jsc.sc().getCheckpointDir()
     if have.isEmpty():
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="arcwise-"))
         have = sc._jsc.sc().getCheckpointDir()
     return (named or have.get()).rstrip("/")
@@ -23,11 +26,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/arcwise-{name}-{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop has them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver delete the path when it ends."""
+    fs, at = _path(spark, path)
+    fs.deleteOnExit(at)
+
+
 def materialised(df: DataFrame, name: str = "state") -> DataFrame:
-    """The rows, written to the shared folder and read back: plans of loops stay short and lost executors cost nothing."""
-    path = new_path(df.sparkSession, name)
+    """The rows, written to the shared folder and read back: plans of loops stay short and lost executors cost nothing.
+
+    The table goes when the driver ends, or before that with ``discarded``.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gone_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialised`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_table_path", None):
+            fs, at = _path(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
