@@ -7,6 +7,8 @@ passes over bytes and never loops over characters. Batches are cut to a few MB o
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -105,9 +107,81 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_LANES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Up to so many bytes a word is hashed in lanes of eight; longer ones by BLAKE2.
+_LANE_BYTES = 64
+_TURN, _SPREAD = U64(29), U64(0xD6E8FEB86659FD93)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """At each place, the number of which the eight bytes from there on are the digits; zeros stand behind the end."""
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", held.data, strides=(1,))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes, A-Z as a-z."""
+    return data | ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the words, A-Z as a-z."""
-    return span_hashes(prefix_sums(LOWER[data]), starts, ends)
+    """64-bit hashes of the words, A-Z as a-z.
+
+    Words of up to eight bytes of UTF-8 all have hashes of their own. Longer ones are mixed lane after lane, so that no
+    sum of places cancels out; those of more than _LANE_BYTES bytes have eight bytes of BLAKE2.
+    """
+    low = lowered(data)
+    at = lanes(low)
+    size = ends - starts
+    h = at[starts]
+    h &= _LANES[np.minimum(size, 8)]
+    # 0xFF never stands in UTF-8: eight bytes are told apart from fewer and their number.
+    h ^= np.where(size < 8, size.astype(U64) << U64(56), U64(0xFFFFFFFFFFFFFFFF))
+    h = mix(h)
+    long = np.flatnonzero(size > 8)
+    if not len(long):
+        return h
+    huge = long[size[long] > _LANE_BYTES]
+    long = long[size[long] <= _LANE_BYTES]
+    start, left, x = starts[long], size[long], h[long]
+    x += left.astype(U64) * _SPREAD
+    while len(long):
+        start = start + 8
+        left = left - 8
+        x = mix(((x << _TURN) | (x >> U64(35))) ^ (at[start] & _LANES[np.minimum(left, 8)]))
+        more = left > 8
+        if not more.all():
+            h[long[~more]] = x[~more]
+            long, start, left, x = long[more], start[more], left[more], x[more]
+    for i in huge:
+        h[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether the words of one lower-cased text equal those of another, byte by byte."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    x, y, at = lanes(data), lanes(other), 0
+    open_ = np.flatnonzero(same)
+    while len(open_) and at < _LANE_BYTES:
+        mask = _LANES[np.minimum(size[open_] - at, 8)]
+        equal = (x[starts[open_] + at] & mask) == (y[other_starts[open_] + at] & mask)
+        same[open_[~equal]] = False
+        at += 8
+        open_ = open_[equal & (size[open_] > at)]
+    for i in open_:
+        same[i] = data[starts[i] + at : ends[i]].tobytes() == other[other_starts[i] + at : other_ends[i]].tobytes()
+    return same
+
+
+def _chained(size: int, word) -> np.ndarray:
+    """Hashes of ``size`` words in order; word(j): the hashes of the j-th ones."""
+    x = word(0) + U64(size * 0x9E3779B97F4A7C15 % (1 << 64))
+    for j in range(1, size):
+        x = (((x << _TURN) | (x >> U64(35))) ^ word(j)) * _SPREAD
+    return mix(x)
 
 
 def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +192,16 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     np.cumsum(count, out=at[1:])
     rows = np.repeat(np.arange(len(n)), count)
     starts = first[rows] + np.arange(at[-1]) - at[rows]
-    sums = prefix_sums(hashes)
-    return span_hashes(sums, starts, starts + np.minimum(n, size)[rows]), at
+    out = np.empty(at[-1], U64)
+    whole = n[rows] >= size
+    if whole.any():
+        runs = len(hashes) - size + 1
+        out[whole] = _chained(size, lambda j: hashes[j : j + runs])[starts[whole]]
+    for m in range(1, size):
+        own = np.flatnonzero((n == m))
+        if len(own):
+            out[at[own]] = _chained(m, lambda j: hashes[first[own] + j])  # noqa: B023
+    return out, at
 
 
 def bit_count(x: np.ndarray) -> np.ndarray:
