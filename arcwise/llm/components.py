@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from arcwise.llm.shared import written
+from arcwise.llm.shared import discarded, written
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -38,4 +38,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state == before or not state["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
-        now = written(_small(_large(now)), "links")
+        last, now = now, written(_small(_large(now)), "links")
+        discarded(last)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from arcwise.llm.blocks import U64, WORD_ALNUM, chunks, mix, text_bytes, word_hashes, words
-from arcwise.llm.shared import prepared
+from arcwise.llm.shared import in_batches, prepared
 
 WINDOW = 13
 TABLE_BYTES = 32_000_000
@@ -168,7 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-        return df.mapInArrow(run, schema)
+        return df.transform(in_batches, run, schema)
 
     groups = _grouped(benchmark, item, item_text, table_bytes)
     out = scanned(source, next(groups))
@@ -183,7 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=list(names))
 
-        both = had.mapInArrow(again, wide)
+        both = had.transform(in_batches, again, wide)
         spans = F.array_sort(F.concat("_spans", "hit_spans"))
         empty = F.array().cast("array<array<bigint>>")
 

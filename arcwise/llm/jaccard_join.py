@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, window_hashes, word_hashes, words
 from arcwise.llm.components import connected_components
-from arcwise.llm.shared import prepared, written
+from arcwise.llm.shared import in_batches, prepared, written
 
 SIZE = 4
 SHARE = 85
@@ -86,7 +86,7 @@ def _levels(docs: DataFrame, size: int) -> np.ndarray:
         yield sketch.batch(TaskContext.get().partitionId())
 
     source = docs.select("text")
-    return packed.levels(source.mapInArrow(run, packed.SKETCH_SCHEMA), source.rdd.getNumPartitions())
+    return packed.levels(source.transform(in_batches, run, packed.SKETCH_SCHEMA), source.rdd.getNumPartitions())
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 bits.append(bitmap(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary())], names=["doc", "n", "s1", "s2", "bits"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc bigint, n bigint, s1 bigint, s2 bigint, bits binary")
+    return docs.select("doc", "text").transform(in_batches, run, "doc bigint, n bigint, s1 bigint, s2 bigint, bits binary")
 
 
 def _rarest(docs: DataFrame, table, size: int, share: int) -> DataFrame:
@@ -129,7 +129,7 @@ def _rarest(docs: DataFrame, table, size: int, share: int) -> DataFrame:
                 out["n"] = np.repeat([n for _, n in sizes], [p for p, _ in sizes])
             yield packed.packed(mix(out["token"].copy()), out, buckets)
 
-    return docs.select("doc", "text").mapInArrow(run, "bucket int, block binary")
+    return docs.select("doc", "text").transform(in_batches, run, "bucket int, block binary")
 
 
 def _tiles(rows: DataFrame, share: int) -> DataFrame:
@@ -229,7 +229,7 @@ def _across(rows: DataFrame, share: int, nearest: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "token").sortWithinPartitions("token", "n").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition(n, "token").sortWithinPartitions("token", "n").transform(in_batches, run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, share: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, s
             ok = pa.array((n + m - apart) // 2 >= least_overlap(n, m, share))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    left = written(both.mapInArrow(bounded, "a bigint, b bigint").distinct(), "pairs")
+    left = written(both.transform(in_batches, bounded, "a bigint, b bigint").distinct(), "pairs")
     wanted = spark.sparkContext.broadcast(packed.bloom(left.select(F.col("a").alias("doc")).unionByName(left.select(F.col("b").alias("doc"))), "doc"))
 
     def sets(batches):
@@ -262,7 +262,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, s
             got = [s.tobytes() for s in shingle_sets(part, at, size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows)), pa.array(got, pa.binary())], names=["doc", "items"])
 
-    own = docs.filter("doc is not null").select("doc", "text", F.xxhash64("doc").alias("hash")).mapInArrow(sets, "doc bigint, items binary")
+    own = docs.filter("doc is not null").select("doc", "text", F.xxhash64("doc").alias("hash")).transform(in_batches, sets, "doc bigint, items binary")
     full = left.join(own.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(own.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
 
     def exact(batches):
@@ -274,7 +274,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, s
                 keep.append(np.count_nonzero(both[1:] == both[:-1]) >= least_overlap(len(x), len(y), share))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    return written(full.select("a", "b", "x", "y").mapInArrow(exact, "a bigint, b bigint").distinct(), "links")
+    return written(full.select("a", "b", "x", "y").transform(in_batches, exact, "a bigint, b bigint").distinct(), "links")
 
 
 def shingle_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = SIZE, share: int = SHARE) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from arcwise.llm.blocks import U64, chunks, mix, text_bytes
-from arcwise.llm.shared import least_hashed, prepared
+from arcwise.llm.shared import in_batches, least_hashed, prepared
 
 DIMS = 1 << 14
 SAMPLE = 1500
@@ -153,7 +153,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         place = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *place], pa.int32()), pa.array([n, *total[place]], pa.int64())], names=["place", "n"])
 
-    df = {r["place"]: r["n"] for r in rows.select("text").mapInArrow(frequencies, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()}  # dims + 1 rows at most
+    df = {r["place"]: r["n"] for r in rows.select("text").transform(in_batches, frequencies, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()}  # dims + 1 rows at most
     total = df.pop(-1, 0)
     seen = np.zeros(dims)
     seen[list(df)] = list(df.values())
@@ -166,7 +166,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([pa.array([p.astype("<i4").tobytes() for p, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary()), batch.column(1)], names=["place", "n", "lang"])
 
     chosen = least_hashed(rows, sample, "key").select("text", "lang")
-    own = chosen.mapInArrow(sparse, "place binary, n binary, lang string").collect()  # sample rows of dims places at most
+    own = chosen.transform(in_batches, sparse, "place binary, n binary, lang string").collect()  # sample rows of dims places at most
     languages = sorted({r["lang"] for r in own})
     if not languages:
         return Model([], np.zeros((0, dims)), idf, np.zeros(0), 1.0)
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores += s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).transform(in_batches, run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

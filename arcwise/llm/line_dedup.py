@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, word_hashes, words
-from arcwise.llm.shared import prepared, written
+from arcwise.llm.shared import in_batches, prepared, written
 
 MIN_WORDS = 5
 SHARE = 80
@@ -132,7 +132,7 @@ def _census(docs: DataFrame, min_words: int) -> DataFrame:
         b = sketch.batch(TaskContext.get().partitionId())
         yield pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, k) for k in kinds[:2]], *b.columns], names=names)
 
-    return docs.mapInArrow(run, "bucket int, block binary, slice int, task int, counts binary")
+    return docs.transform(in_batches, run, "bucket int, block binary, slice int, task int, counts binary")
 
 
 def _later_copies(blocks: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _rarest(docs: DataFrame, table, min_words: int, share: int, tokens=None) ->
             out["sum"] = sums[own]
             yield packed.packed(h, out, buckets)
 
-    return docs.mapInArrow(run, "bucket int, block binary")
+    return docs.transform(in_batches, run, "bucket int, block binary")
 
 
 def _words_of(docs: DataFrame, table, lines: DataFrame, min_words: int, share: int) -> DataFrame:
@@ -198,7 +198,7 @@ def _words_of(docs: DataFrame, table, lines: DataFrame, min_words: int, share: i
                 hit = packed.bloom_has(asked.value, _xxhash64(_line_id(doc[x.row], x.number)))
                 yield pa.RecordBatch.from_arrays([pa.array(h[kept][hit[own]].view(np.int64))], names=["word"])
 
-    return docs.mapInArrow(run, "word bigint")
+    return docs.transform(in_batches, run, "word bigint")
 
 
 def _asked(batches, ids):
@@ -276,7 +276,7 @@ def _matches(pairs: DataFrame, docs: DataFrame, min_words: int, share: int) -> D
             got = [h[x.starts[k] : x.starts[k] + x.sizes[k]].tobytes() for k in hit]
             yield pa.RecordBatch.from_arrays([pa.array(doc[x.row[hit]]), pa.array(x.number[hit].astype(np.int64)), pa.array(got, pa.binary())], names=["doc", "line", "items"])
 
-    own = written(docs.mapInArrow(sets, "doc bigint, line bigint, items binary"), "sets")
+    own = written(docs.transform(in_batches, sets, "doc bigint, line bigint, items binary"), "sets")
     full = pairs.select("doc", "line", "doc_a", "line_a").join(own.withColumnRenamed("items", "x"), ["doc", "line"])
     full = full.join(own.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("items").alias("y")), ["doc_a", "line_a"])
 
@@ -289,7 +289,7 @@ def _matches(pairs: DataFrame, docs: DataFrame, min_words: int, share: int) -> D
                 keep.append(np.count_nonzero(both[1:] == both[:-1]) * (100 + share) >= share * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column("doc").filter(pa.array(keep, pa.bool_())), batch.column("line").filter(pa.array(keep, pa.bool_()))], names=["doc", "line"])
 
-    return full.select("doc", "line", "x", "y").mapInArrow(exact, "doc bigint, line bigint")
+    return full.select("doc", "line", "x", "y").transform(in_batches, exact, "doc bigint, line bigint")
 
 
 def _line_id(doc, line):

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm.blocks import U64
+from arcwise.llm.shared import in_batches
 
 #: Buckets for each shuffle partition.
 BUCKETS = 4
@@ -52,7 +53,7 @@ def by_bucket(df: DataFrame, work, kind: np.dtype, schema) -> DataFrame:
         if parts:
             yield from work(np.concatenate(parts))
 
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return df.repartition(n, "bucket").sortWithinPartitions("bucket").transform(in_batches, run, schema)
 
 
 class Sketch:

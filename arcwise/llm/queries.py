@@ -22,7 +22,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def op1_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_round_trip(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe_round_trip(docs, RANKS, public_tokenizers.PATTERN, offsets=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256")
 
 
 def op2_language_id(spark, sf_dir):

@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of an Arrow batch: long texts then still make batches of tens of MB at most.
-BATCH_ROWS = 1000
+from arcwise.plans.session import discarded, materialised, shared_dir  # noqa: F401
+
+#: Rows and bytes of an Arrow batch; one longer text still stands in a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
+
+written = materialised
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Sets the Arrow batch size, and a checkpoint folder where the cluster has named none (as in tests)."""
+    """Sets the size of Arrow batches, and a checkpoint folder where none is named (as in tests)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     shared_dir(spark)
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what spark.checkpoint.dir names."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="arcwise-"))
-        have = sc._jsc.sc().getCheckpointDir()
-    return named or have.get()
+def released() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), after which a worker keeps nothing of a task."""
 
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes the rows as Parquet into the shared folder and reads them back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/arcwise-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.mapInArrow(task, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, mix, powers, prefix_sums, span_hashes, text_bytes
-from arcwise.llm.shared import prepared, written
+from arcwise.llm.shared import in_batches, prepared, written
 from arcwise.llm.suffix_groups import sort_many, sort_one
 
 LENGTH = 50
@@ -137,7 +137,7 @@ def _slots(docs: DataFrame, length: int, gram: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([tables[0]], pa.binary()), pa.array([tables[1]], pa.binary())], names=["low", "twice", "several"])
 
     out = np.zeros((2, (1 << SLOT_BITS) // 8), np.uint8)
-    for r in packed.by_bucket(docs.mapInArrow(seen, "bucket int, block binary"), count, _SEEN, "low bigint, twice binary, several binary").collect():  # 16 MB in all
+    for r in packed.by_bucket(docs.transform(in_batches, seen, "bucket int, block binary"), count, _SEEN, "low bigint, twice binary, several binary").collect():  # 16 MB in all
         for table, part in zip(out, (r["twice"], r["several"]), strict=True):
             table[r["low"] : r["low"] + len(part)] |= np.frombuffer(part, np.uint8)
     return out
@@ -174,7 +174,7 @@ def _travelling(docs: DataFrame, slots, length: int, gram: int) -> DataFrame:
                 known.append(int(np.count_nonzero(wide[a:b])))
             yield pa.RecordBatch.from_arrays([pa.array(where[cut], pa.int32()), pa.array(blocks, pa.binary()), pa.array(known, pa.int32()), pa.array(texts, pa.binary())], names=["bucket", "places", "known", "bytes"])
 
-    return docs.mapInArrow(run, "bucket int, places binary, known int, bytes binary")
+    return docs.transform(in_batches, run, "bucket int, places binary, known int, bytes binary")
 
 
 def least_ids(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], data: np.ndarray, length: int) -> list[np.ndarray]:
@@ -338,7 +338,7 @@ def _runs(travelling: DataFrame, length: int) -> DataFrame:
         if places:
             yield from work(places, known, texts)
 
-    return travelling.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, block binary")
+    return travelling.repartition(n, "bucket").sortWithinPartitions("bucket").transform(in_batches, run, "bucket int, block binary")
 
 
 def _spans(runs: DataFrame, length: int) -> DataFrame:
@@ -387,7 +387,7 @@ def suffix_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", lengt
                 kept.append(b"".join(data[x:y].tobytes() for x, y in zip(cuts[::2], cuts[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.list_(pa.int64())))], names=["doc", "kept", "removed"])
 
-    return repeated_strings(docs, doc, text, length, gram).mapInArrow(run, "doc bigint, kept binary, removed array<array<bigint>>")
+    return repeated_strings(docs, doc, text, length, gram).transform(in_batches, run, "doc bigint, kept binary, removed array<array<bigint>>")
 
 
 def suffix_digest(docs: DataFrame) -> DataFrame:
@@ -402,4 +402,4 @@ def suffix_digest(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return suffix_dedup(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return suffix_dedup(docs.select("doc_id", "text")).transform(in_batches, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm.components import connected_components
-from arcwise.llm.shared import least_hashed, prepared, written
+from arcwise.llm.shared import in_batches, least_hashed, prepared, written
 
 COSINE = 0.93
 SAMPLE = 20_000
@@ -151,7 +151,7 @@ def _asked(rows: DataFrame, index: MultiIndex, low: float, high: float, cosine:
                 rank[at : at + 200] = (cost <= cost[np.arange(len(own)), c][:, None]).sum(axis=1) - 1
             yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(rank), pa.array(n.astype(np.int64))], names=["query", "rank", "n"])
 
-    return rows.select("vec", "label", "embedding").mapInArrow(run, "query bigint, rank bigint, n bigint").groupBy("query", "rank").agg(F.sum("n").alias("n")), len(asked)
+    return rows.select("vec", "label", "embedding").transform(in_batches, run, "query bigint, rank bigint, n bigint").groupBy("query", "rank").agg(F.sum("n").alias("n")), len(asked)
 
 
 def cells_for(rows: DataFrame, index: MultiIndex, cosine: float, recall: float, queries: int = QUERIES, linked: int = LINKED) -> tuple[int, float]:
@@ -215,7 +215,7 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
                 yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("label"), pa.array([len(x) for x in xs], pa.int32()), batch.column("rows"), batch.column("embedding"), flat, seen], names=["vec", "label", "size", "rows", "embedding", "visits", "seen"])
 
     kind = reps.schema["label"].dataType.simpleString()
-    placed = reps.select("vec", "label", "rows", "embedding").mapInArrow(place, f"vec bigint, label {kind}, size int, rows bigint, embedding array<double>, visits array<int>, seen binary")
+    placed = reps.select("vec", "label", "rows", "embedding").transform(in_batches, place, f"vec bigint, label {kind}, size int, rows bigint, embedding array<double>, visits array<int>, seen binary")
     placed = written(placed.withColumn("home", F.element_at("visits", 1)), "placed")
     spread = placed.groupBy("label", "size", "home").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).withColumnRenamed("home", "cell")
     home = placed.withColumn("cell", F.col("home")).join(spread, ["label", "size", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec"), F.col("tiles")).cast("int"))

@@ -30,7 +30,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcwise.llm.shared import prepared, shared_dir
+from arcwise.llm.shared import in_batches, prepared, shared_dir
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 32_768
@@ -131,7 +131,7 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
                 out = [x for r in batch.slice(a, 64).to_pylist() for x in records_of(r["page"], r["url"], r["kind"], r["first"], r["digest"], r["html"], segment_bytes)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    out = rows.mapInArrow(work, "record binary").select(F.col("record").cast("string").alias("value"))
+    out = rows.transform(in_batches, work, "record binary").select(F.col("record").cast("string").alias("value"))
     out.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
 
 
@@ -193,10 +193,10 @@ def read_archives(spark, path: str) -> DataFrame:
                 head = (r["record_id"], r["page"], "response", None, r["payload_bytes"], r["payload_digest"])
                 yield batch_of([(*head, checked(head, block))] * copies, said)
 
-    whole = files.mapInArrow(parsed(False), schema(said))
+    whole = files.transform(in_batches, parsed(False), schema(said))
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
-    parts = files.mapInArrow(parsed(True), schema(part)).groupBy("record_id").agg(F.max("total").alias("total"), first("page"), first("payload_bytes"), first("payload_digest"), F.collect_list(F.struct("number", "block")).alias("parts"))
-    return whole.unionByName(parts.mapInArrow(joined, schema(said)))
+    parts = files.transform(in_batches, parsed(True), schema(part)).groupBy("record_id").agg(F.max("total").alias("total"), first("page"), first("payload_bytes"), first("payload_digest"), F.collect_list(F.struct("number", "block")).alias("parts"))
+    return whole.unionByName(parts.transform(in_batches, joined, schema(said)))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
