@@ -9,9 +9,10 @@ that stands earlier, by doc_id and line number, whether or not that one goes too
 
 Lines with equal sets meet by a signature of 128 bits, so copies need no pairs: all but the first go. Of the other lines
 each names its ``FEW`` earliest candidates for each word; the earliest is verified first, then the rest for
-lines still undecided. Lines with yet more candidates and no match among these are joined again with all.
+lines still undecided. Words of which a line has more candidates keep their rows, and lines without a match among the
+few are compared with all of these. Verification cuts only the lines that are asked for into words.
 
-Lines of fewer than ``min_words`` distinct words stay; with 1, every line that has a word takes part. Lines so short that
+Every line that has a word takes part; with a higher ``min_words`` lines of fewer distinct words stay. Lines so short that
 only equal sets are similar need no join: the signatures find them. Null texts stay null, empty texts empty. Rows that
 repeat a doc_id are handled alike; lines of equal doc_id and number are not earlier than one another.
 Rows without doc_id have no place in the order: they stay whole and remove nothing. Very long lines and texts
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, word_hashes, words
-from arcwise.llm.shared import in_batches, prepared, written
+from arcwise.llm.shared import free_names, in_batches, prepared, written
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 SHARE = 80
 FEW = 48
 _ROW = np.dtype([("token", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("n", "<u2"), ("at", "<u2"), ("sum", "<u4"), ("bits", "<u8", 2)])
@@ -42,56 +43,59 @@ _PAIRS = 2_000_000
 
 
 class Lines:
-    """The lines of min_words distinct words or more in a block of texts: their words as sorted keys of 64 - line bits."""
+    """The lines of min_words distinct words or more in a block of texts: the sorted hashes of their words, rare ones first if there is a table.
 
-    def __init__(self, data, offsets, min_words: int, table=None):
-        starts, ends, _ = words(data, offsets, WORD_SPACE)
-        h = word_hashes(data, starts, ends)
-        breaks = np.union1d(np.flatnonzero(data == 10), offsets[:-1]) if len(data) else np.zeros(0, np.int64)
-        line = np.searchsorted(breaks, starts, "right")
-        many = np.bincount(line, minlength=1)
-        ok = many >= min_words
-        near = np.cumsum(ok) - 1
-        keep = ok[line]
-        h, first = h[keep], starts[keep]
-        line = near[line[keep]]
-        self.width = 64 - max(int(line[-1] if len(line) else 0).bit_length(), 8)
-        key = h >> U64(64 - self.width)
-        if table is not None:
-            level = np.minimum(packed.level_of(table, h), 63).astype(U64)
-            key = (level << U64(self.width - 6)) | (key >> U64(6))
-        both = np.sort((line.astype(U64) << U64(self.width)) | key)
-        if len(both):
-            both = both[np.r_[True, both[1:] != both[:-1]]]
-        line2 = (both >> U64(self.width)).astype(np.int64)
-        n = np.bincount(line2, minlength=1)
-        good = n[line2] >= min_words
-        self.keys = both[good] & U64((1 << self.width) - 1)
-        at = line2[good]
-        new = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
-        self.starts = np.flatnonzero(new)
-        self.sizes = np.diff(np.r_[self.starts, len(at)])
-        ids = at[self.starts]
-        # Where each line's first word stands tells its text and its number there.
-        head = first[np.searchsorted(line, ids)] if len(ids) else np.zeros(0, np.int64)
-        self.lead = h[np.searchsorted(line, ids)] if len(ids) else np.zeros(0, U64)
-        self.row = np.searchsorted(offsets, head, "right") - 1
-        feeds = np.flatnonzero(data == 10)
-        self.number = np.searchsorted(feeds, head) - np.searchsorted(feeds, offsets[self.row])
-
-    def hashes(self) -> np.ndarray:
-        """Keys as hashes that don't depend on the block's own width."""
-        return (self.keys >> U64(self.width - 44)) << U64(20)
+    asked(row, number) leaves only some lines, before they are cut into words.
+    """
 
+    def __init__(self, data, offsets, min_words: int, table=None, asked=None, before: int = 0):
+        feeds = np.flatnonzero(data == 10)
+        at = np.union1d(offsets[:-1], feeds + 1)
+        at = at[at < len(data)]
+        row = np.searchsorted(offsets, at, "right") - 1
+        number = np.searchsorted(feeds, at) - np.searchsorted(feeds, offsets[row]) + before
+        size = np.diff(np.r_[at, len(data)])
+        if asked:
+            some = asked(row, number)
+            if not some.all():
+                data, row, number, size = data[np.repeat(some, size)], row[some], number[some], size[some]
+        starts, ends, first = words(data, np.r_[0, np.cumsum(size)], WORD_SPACE)
+        h = word_hashes(data, starts, ends)
+        line = np.repeat(np.arange(len(size)), np.diff(first))
+        key = h if table is None else packed.rarity_keys(table, h)
+        shift = U64(max(len(size), 2).bit_length())
+        near = (line.astype(U64) << (U64(64) - shift)) | (key >> shift)
+        order = np.argsort(near)
+        near, h, line = near[order], h[order], line[order]
+        same = near[1:] == near[:-1]
+        if (same & (h[1:] != h[:-1])).any():  # different words whose keys begin alike
+            order = np.lexsort((h, key[order], line))
+            h, line = h[order], line[order]
+            same = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
+        if same.any():
+            new = np.r_[True, ~same]
+            h, line = h[new], line[new]
+        size = np.bincount(line, minlength=len(row))
+        good = size >= min_words
+        if not good.all():
+            h = h[good[line]]
+        self.h, self.sizes, self.row, self.number = h, size[good], row[good], number[good]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
+def _blocks(batches, min_words, table=None, asked=None):
+    """(ids, lines) of blocks of texts; asked(doc, number) leaves only some lines."""
+
+    def some(docs):
+        return (lambda row, number: asked(docs[row], number)) if asked else None
 
-def _blocks(batches, min_words, table=None):
     for batch in batches:
-        docs = np.array([0 if d is None else d for d in batch.column("doc").to_pylist()], np.int64)
+        docs = batch.column("doc").to_numpy()
         data, offsets = text_bytes(batch.column("text"))
         for a, b in chunks(offsets):
             part = data[offsets[a] : offsets[b]]
             if len(part) <= _LONG:
-                yield docs[a:b], Lines(part, offsets[a : b + 1] - offsets[a], min_words, table)
+                yield docs[a:b], Lines(part, offsets[a : b + 1] - offsets[a], min_words, table, some(docs[a:b]))
                 continue
             # A very long text: in pieces that end with a line.
             feeds, at, before = np.flatnonzero(part == 10) + 1, 0, 0
@@ -100,9 +104,7 @@ def _blocks(batches, min_words, table=None):
                 to = int(feeds[nth - 1]) if nth > before else int(feeds[nth]) if nth < len(feeds) else len(part)
                 if nth == len(feeds) and len(part) - at <= _LONG:
                     to = len(part)
-                got = Lines(part[at:to], np.array([0, to - at]), min_words, table)
-                got.number = got.number + before
-                yield docs[a:b], got
+                yield docs[a:b], Lines(part[at:to], np.array([0, to - at]), min_words, table, some(docs[a:b]), before)
                 at, before = to, int(np.searchsorted(feeds, to, "right"))
 
 
@@ -119,13 +121,11 @@ def _census(docs: DataFrame, min_words: int) -> DataFrame:
         for ids, x in _blocks(batches, min_words):
             if not len(x.sizes):
                 continue
-            h = x.hashes()
-            sketch.add(h)
-            m = mix(h + U64(0x632BE59BD9B4E019))
+            sketch.add(x.h)
+            m = mix(x.h + U64(0x632BE59BD9B4E019))
             out = np.empty(len(x.sizes), _SAME)
             out["s1"] = np.bitwise_xor.reduceat(m, x.starts) + x.sizes.astype(U64)
-            # A line of one word is told by all 64 bits of it, not by the 44 of its key.
-            out["s2"] = np.where(x.sizes == 1, mix(x.lead.copy()), np.add.reduceat(m, x.starts))
+            out["s2"] = np.add.reduceat(m, x.starts)
             out["doc"], out["line"] = ids[x.row], x.number
             b = packed.packed(mix(out["s1"].copy()), out, buckets)
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, k) for k in kinds[2:]]], names=names)
@@ -149,33 +149,29 @@ def _later_copies(blocks: DataFrame) -> DataFrame:
     return packed.by_bucket(blocks, work, _SAME, "doc bigint, line bigint")
 
 
-def _prefix(x: Lines, share: int):
-    """(kept, line, place, hash): of each line's rarest words that other lines may have; hash: the key's upper 44 bits, mixed."""
+def _prefix(x: Lines, table: np.ndarray, share: int):
+    """(kept, line, place): each line's rarest words that other lines may have."""
     size = x.sizes - -(-share * x.sizes // 100) + 1
-    at = np.arange(len(x.keys)) - np.repeat(x.starts, x.sizes)
-    # Levels are part of the key, the same wherever the word stands.
-    h = mix((x.keys >> U64(x.width - 44)).copy())
-    kept = (at < np.repeat(np.where(x.sizes * 100 // share > x.sizes, size, 0), x.sizes)) & (x.keys >> U64(x.width - 6) > _ONCE)
-    return kept, np.repeat(np.arange(len(x.sizes)), x.sizes)[kept], at[kept], h
+    at = np.arange(len(x.h)) - np.repeat(x.starts, x.sizes)
+    kept = np.flatnonzero(at < np.repeat(np.where(x.sizes * 100 // share > x.sizes, size, 0), x.sizes))
+    kept = kept[packed.level_of(table, x.h[kept]) > _ONCE]
+    return kept, np.searchsorted(x.starts, kept, "right") - 1, at[kept]
 
 
-def _rarest(docs: DataFrame, table, min_words: int, share: int, tokens=None) -> DataFrame:
-    """Packed rows of each line's rarest words; tokens: a broadcast Bloom filter of the words that are asked about."""
+def _rarest(docs: DataFrame, table, min_words: int, share: int) -> DataFrame:
+    """Packed rows of each line's rarest words."""
     buckets = packed.buckets_of(docs.sparkSession)
 
     def run(batches):
         for ids, x in _blocks(batches, min_words, table.value):
             if not len(x.sizes):
                 continue
-            kept, own, at, h = _prefix(x, share)
-            one = U64(1) << (h & U64(63))
-            half = h & U64(64) > 0
+            kept, own, at = _prefix(x, table.value, share)
+            one = U64(1) << (x.h & U64(63))
+            half = x.h & U64(64) > 0
             bits = np.stack([np.bitwise_xor.reduceat(np.where(half == k, one, U64(0)), x.starts) for k in (False, True)], axis=1)
-            sums = np.add.reduceat(h, x.starts) >> U64(32)
-            h = h[kept]
-            if tokens:
-                ask = packed.bloom_has(tokens.value, _xxhash64(h.view(np.int64)))
-                own, at, h = own[ask], at[ask], h[ask]
+            sums = np.add.reduceat(x.h, x.starts) >> U64(32)
+            h = x.h[kept]
             out = np.empty(len(own), _ROW)
             out["token"] = (h >> U64(7)).astype(np.uint32)
             out["line"], out["doc"] = x.number[own], ids[x.row][own]
@@ -186,48 +182,46 @@ def _rarest(docs: DataFrame, table, min_words: int, share: int, tokens=None) ->
     return docs.transform(in_batches, run, "bucket int, block binary")
 
 
-def _words_of(docs: DataFrame, table, lines: DataFrame, min_words: int, share: int) -> DataFrame:
-    """(word): the rarest words of the given lines, and of others that the filters take for them."""
-    sc = docs.sparkSession.sparkContext
-    ids, asked = sc.broadcast(packed.bloom(lines, "doc")), sc.broadcast(packed.bloom(lines.select(_line_id(F.col("doc"), F.col("line")).alias("id")), "id"))
-
-    def run(batches):
-        for doc, x in _blocks(_asked(batches, ids), min_words, table.value):
-            if len(x.sizes):
-                kept, own, _, h = _prefix(x, share)
-                hit = packed.bloom_has(asked.value, _xxhash64(_line_id(doc[x.row], x.number)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[kept][hit[own]].view(np.int64))], names=["word"])
-
-    return docs.transform(in_batches, run, "word bigint")
-
-
-def _asked(batches, ids):
-    """Batches without the documents that a broadcast Bloom filter rules out."""
-    for batch in batches:
-        yield batch.filter(pa.array(packed.bloom_has(ids.value, _xxhash64(batch.column("doc").to_numpy()))))
+def _asked(lines):
+    """The lines that a broadcast Bloom filter of lines leaves, as _blocks asks for it."""
+    return lambda doc, number: packed.bloom_has(lines.value, _xxhash64(_line_id(doc, number)))
 
 
-_PAIR = "doc bigint, line bigint, doc_a bigint, line_a bigint, more boolean"
+_PAIR = "doc bigint, line bigint, doc_a bigint, line_a bigint, more boolean, bucket int, block binary"
+_NAMES = ["doc", "line", "doc_a", "line_a", "more", "bucket", "block"]
 
 
 def _candidates(rows: DataFrame, share: int, few: int | None, only=None) -> DataFrame:
     """(doc, line, doc_a, line_a, more): lines and earlier lines that the filters leave; the few earliest for each word, more: there were others.
+    Of words with such lines also (bucket, block): the word's rows, from which all candidates can be told later.
 
     only: a broadcast Bloom filter of the lines that are asked about.
     """
+    buckets = packed.buckets_of(rows.sparkSession)
 
     def work(r):
-        # Of lines with equal sets, told by 32 bits of sum besides bits, size and place, the earliest stands for all: the others go as copies.
-        r = r[np.lexsort((r["line"], r["doc"], r["at"], r["sum"], r["bits"][:, 0], r["bits"][:, 1], r["n"], r["token"]))]
+        # By word and size; lines of equal sets, told by 32 bits of sum besides bits, size and place, stand together.
+        key = (r["token"].astype(U64) << U64(32)) | (r["n"].astype(U64) << U64(16)) | (r["sum"] & 0xFFFF).astype(U64)
+        r = r[np.argsort(key)]
         if len(r):
-            r = r[np.r_[True, np.any([x[1:] != x[:-1] for x in (r["token"], r["n"], r["bits"][:, 0], r["bits"][:, 1], r["sum"], r["at"])], axis=0)]]
+            new = np.r_[True, np.any([x[1:] != x[:-1] for x in (r["token"], r["n"], r["sum"], r["at"], r["bits"][:, 0], r["bits"][:, 1])], axis=0)]
+            many = np.diff(np.r_[np.flatnonzero(new), len(r)])
+            # Of these the earliest stands for all: the others go as copies.
+            twice = np.flatnonzero(np.repeat(many > 1, many))
+            if len(twice):
+                run = np.cumsum(new)[twice]
+                twice = twice[np.lexsort((r["line"][twice], r["doc"][twice], run))]
+                heads = np.r_[True, run[1:] != run[:-1]]
+                keep = np.repeat(many == 1, many)
+                keep[twice[heads]] = True
+                r = r[keep]
         n, bits, at = r["n"].astype(np.int64), np.ascontiguousarray(r["bits"]), r["at"].astype(np.int64)
         group = np.cumsum(np.r_[True, r["token"][1:] != r["token"][:-1]])
         # Partners of row i are the rows after it, of the same word, up to the size that its own allows.
         stop = np.searchsorted((group << 20) + n, (group << 20) + n * 100 // share, "right")
         count = np.maximum(stop - np.arange(len(r)) - 1, 0)
         total = np.cumsum(count)
-        i0 = 0
+        i0, crowded = 0, np.zeros(len(r) + 1, bool)
         while i0 < len(r):
             i1 = max(i0 + 1, int(np.searchsorted(total, (total[i0 - 1] if i0 else 0) + _PAIRS, "right")))
             c = count[i0:i1]
@@ -255,8 +249,14 @@ def _candidates(rows: DataFrame, share: int, few: int | None, only=None) -> Data
             nth = np.arange(len(b)) - np.repeat(heads, many)
             keep = nth < (few or len(r))
             more = np.repeat(many > (few or len(r)), many)[keep]
-            a, b = r[a[keep]], r[b[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(b["doc"]), pa.array(b["line"].astype(np.int64)), pa.array(a["doc"]), pa.array(a["line"].astype(np.int64)), pa.array(more)], names=["doc", "line", "doc_a", "line_a", "more"])
+            a, b = a[keep], b[keep]
+            crowded[group[b[more]]] = True
+            a, b = r[a], r[b]
+            yield pa.RecordBatch.from_arrays([pa.array(b["doc"]), pa.array(b["line"].astype(np.int64)), pa.array(a["doc"]), pa.array(a["line"].astype(np.int64)), pa.array(more), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary())], names=_NAMES)
+        if crowded.any():
+            left = r[crowded[group]]
+            b = packed.packed(mix(left["token"].astype(U64)), left, buckets)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, k) for k in (*[pa.int64()] * 4, pa.bool_())], *b.columns], names=_NAMES)
 
     return packed.by_bucket(rows, work, _ROW, _PAIR)
 
@@ -265,16 +265,14 @@ def _matches(pairs: DataFrame, docs: DataFrame, min_words: int, share: int) -> D
     """The lines (doc, line) of pairs that are similar to (doc_a, line_a)."""
     spark = pairs.sparkSession
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")))
-    ids, lines = spark.sparkContext.broadcast(packed.bloom(ends, "doc")), spark.sparkContext.broadcast(packed.bloom(ends.select(_line_id(F.col("doc"), F.col("line")).alias("id")), "id"))
+    lines = spark.sparkContext.broadcast(packed.bloom(ends.select(_line_id(F.col("doc"), F.col("line")).alias("id")), "id"))
 
     def sets(batches):
-        for doc, x in _blocks(_asked(batches, ids), min_words):
-            if not len(x.sizes):
-                continue
-            hit = np.flatnonzero(packed.bloom_has(lines.value, _xxhash64(_line_id(doc[x.row], x.number))))
-            h = x.hashes()
-            got = [h[x.starts[k] : x.starts[k] + x.sizes[k]].tobytes() for k in hit]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[x.row[hit]]), pa.array(x.number[hit].astype(np.int64)), pa.array(got, pa.binary())], names=["doc", "line", "items"])
+        for doc, x in _blocks(batches, min_words, None, _asked(lines)):
+            if len(x.sizes):
+                flat = x.h.tobytes()
+                got = [flat[8 * a : 8 * b] for a, b in zip(x.starts.tolist(), (x.starts + x.sizes).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[x.row]), pa.array(x.number.astype(np.int64)), pa.array(got, pa.binary())], names=["doc", "line", "items"])
 
     own = written(docs.transform(in_batches, sets, "doc bigint, line bigint, items binary"), "sets")
     full = pairs.select("doc", "line", "doc_a", "line_a").join(own.withColumnRenamed("items", "x"), ["doc", "line"])
@@ -282,16 +280,37 @@ def _matches(pairs: DataFrame, docs: DataFrame, min_words: int, share: int) -> D
 
     def exact(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = np.sort(np.concatenate([x, y]))
-                keep.append(np.count_nonzero(both[1:] == both[:-1]) * (100 + share) >= share * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc").filter(pa.array(keep, pa.bool_())), batch.column("line").filter(pa.array(keep, pa.bool_()))], names=["doc", "line"])
+            x, nx = _numbers(batch.column("x"))
+            y, ny = _numbers(batch.column("y"))
+            keep = pa.array(_common(x, nx, y, ny) * (100 + share) >= share * (nx + ny))
+            yield pa.RecordBatch.from_arrays([batch.column("doc").filter(keep), batch.column("line").filter(keep)], names=["doc", "line"])
 
     return full.select("doc", "line", "x", "y").transform(in_batches, exact, "doc bigint, line bigint")
 
 
+def _numbers(column) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of a binary column of hashes, how many each row has)."""
+    data, offsets = text_bytes(column)
+    return data.view(U64), np.diff(offsets) // 8
+
+
+def _common(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """How many numbers the i-th set of x and the i-th set of y have in common."""
+    rows = len(nx)
+    row = np.concatenate([np.repeat(np.arange(rows), nx), np.repeat(np.arange(rows), ny)])
+    h = np.concatenate([x, y])
+    shift = U64(max(rows, 2).bit_length())
+    near = (row.astype(U64) << (U64(64) - shift)) | (h >> shift)
+    order = np.argsort(near)
+    near, h, row = near[order], h[order], row[order]
+    same = near[1:] == near[:-1]
+    if (same & (h[1:] != h[:-1])).any():  # different hashes that begin alike
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        same = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    return np.bincount(row[1:][same], minlength=rows)
+
+
 def _line_id(doc, line):
     """One number for a line; others may share it."""
     return doc % 1_000_000_007 * 1_000_003 + line
@@ -314,38 +333,48 @@ def _xxhash64(x: np.ndarray) -> np.ndarray:
 def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, share: int = SHARE) -> DataFrame:
     """(doc, line) of all lines that match an earlier one, each once; lines are numbered from 0."""
     spark = prepared(docs.sparkSession)
-    source = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
+    source = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc is not null and text is not null")
     tasks = source.rdd.getNumPartitions()
     census = written(_census(source, min_words), "census")
     table = spark.sparkContext.broadcast(packed.levels(census.filter("slice is not null").select("slice", "task", "counts"), tasks))
     gone = written(_later_copies(census.filter("bucket is not null").select("bucket", "block")).distinct(), "copies")
-    found = _candidates(_rarest(source, table, min_words, share), share, FEW).join(gone, ["doc", "line"], "left_anti")
-    found = written(found.groupBy("doc", "line", "doc_a", "line_a").agg(F.max("more").alias("more")), "candidates")
+    candidates = written(_candidates(_rarest(source, table, min_words, share), share, FEW), "candidates")
+    pair = ["doc", "line", "doc_a", "line_a"]
+    found = candidates.filter("bucket is null").join(gone, ["doc", "line"], "left_anti").groupBy(*pair).agg(F.max("more").alias("more"))
+    found = written(found, "pairs")
 
     first = found.groupBy("doc", "line").agg(F.min(F.struct("doc_a", "line_a")).alias("a")).select("doc", "line", "a.*")
     near = written(_matches(first, source, min_words, share).distinct(), "matches")
-    rest = written(found.join(near, ["doc", "line"], "left_anti").join(first, ["doc", "line", "doc_a", "line_a"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        near = written(near.unionByName(_matches(rest, source, min_words, share).distinct()), "matches")
-    open_ = written(found.filter("more").select("doc", "line").distinct().join(near, ["doc", "line"], "left_anti"), "open")
+    left = found.join(near, ["doc", "line"], "left_anti")
+    rest = left.select(*pair)
+    open_ = written(left.filter("more").select("doc", "line").distinct(), "open")
     if not open_.isEmpty():
         asked = spark.sparkContext.broadcast(packed.bloom(open_.select(_line_id(F.col("doc"), F.col("line")).alias("id")), "id"))
-        tokens = spark.sparkContext.broadcast(packed.bloom(_words_of(source, table, open_, min_words, share), "word"))
-        every = _candidates(_rarest(source, table, min_words, share, tokens), share, None, asked).join(open_, ["doc", "line"], "left_semi").select("doc", "line", "doc_a", "line_a").distinct()
-        near = near.unionByName(_matches(written(every, "candidates"), source, min_words, share).distinct())
+        every = _candidates(candidates.filter("bucket is not null").select("bucket", "block"), share, None, asked).filter("bucket is null")
+        rest = rest.unionByName(every.select(*pair).join(open_, ["doc", "line"], "left_semi")).distinct()
+    rest = written(rest.join(first, pair, "left_anti"), "rest")
+    if not rest.isEmpty():
+        near = written(near.unionByName(_matches(rest, source, min_words, share).distinct()), "matches")
     return gone.unionByName(near)
 
 
 def drop_repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, share: int = SHARE) -> DataFrame:
     """docs with the repeated lines cut out of the text, and n_lines and n_removed."""
-    gone = repeated_lines(docs, doc, text, min_words, share).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("line").alias("_gone"))
+    key, bits, lines = free_names(docs, "doc", "bits", "lines")
+    gone = repeated_lines(docs, doc, text, min_words, share).groupBy(F.col("doc").alias(key)).agg(F.array_sort(F.collect_set("line")).alias("at"))
+    # A byte for each line up to the last repeated one: a line is looked up at once, however many there are.
+    upto = F.arrays_zip(F.col("at").alias("at"), F.concat(F.array(F.lit(-1).cast("bigint")), F.slice("at", 1, F.size("at") - 1)).alias("before"))
+    marks = F.transform(upto, lambda x: F.concat(F.repeat(F.lit("0"), (x["at"] - x["before"] - 1).cast("int")), F.lit("1")))
+    gone = gone.select(key, F.array_join(marks, "").cast("binary").alias(bits))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept]).join(gone, F.col(doc) == F.col("_doc"), "left")
-    lines = F.split(text, "\n", -1)
-    number = F.transform(lines, lambda x, i: F.struct(i.cast("bigint").alias("i"), x.alias("x")))
-    left = F.array_join(F.transform(F.filter(number, lambda s: ~F.array_contains("_gone", s["i"])), lambda s: s["x"]), "\n")
-    n = F.coalesce(F.size(lines).cast("bigint"), F.lit(0).cast("bigint"))
-    return rows.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(f"`{c}`") for c in kept], F.when(F.col(text).isNull(), 0).otherwise(n).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    col = lambda c: F.col(f"`{c}`")
+    rows = docs.select(*[col(c) for c in kept], F.split(col(text), "\n", -1).alias(lines)).join(gone, col(doc) == col(key), "left")
+    left = F.filter(lines, lambda x, i: F.substring(col(bits), i + 1, F.lit(1)) != F.lit("1").cast("binary"))
+    repeated = col(bits).isNotNull() & col(text).isNotNull()
+    n = F.coalesce(F.size(lines), F.lit(0))
+    removed = F.when(repeated, n - F.size(left)).otherwise(0)
+    cut = F.when(repeated, F.array_join(left, "\n")).otherwise(col(text))
+    return rows.select(*[cut.alias(c) if c == text else col(c) for c in kept], F.when(col(text).isNull(), 0).otherwise(n).cast("bigint").alias("n_lines"), removed.cast("bigint").alias("n_removed"))
 
 
 def line_digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -58,3 +58,16 @@ def least_hashed(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     if total > 4 * n:
         rows = rows.filter(F.shiftrightunsigned(h, 32) < int((1 << 32) * 2 * n / total))
     return rows.orderBy(F.shiftrightunsigned(h, 32), *keys).limit(n)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name)
+    return out

@@ -106,7 +106,7 @@ def jaccard_components(docs, size=4, share=85):
     return sorted(((d, len(s), comp[d]) for d, s in sets), key=str)
 
 
-def repeated_lines(docs, min_words=5, share=80):
+def repeated_lines(docs, min_words=1, share=80):
     """(doc, line number) of lines that match an earlier one."""
     lines = sorted({(d, i, frozenset(re.findall(rb"[^\x20\x09-\x0d]+", lower(x).encode()))) for d, t in docs if d is not None and t is not None for i, x in enumerate(t.split("\n"))}, key=lambda x: x[:2])
     by, out = {}, set()

@@ -85,6 +85,37 @@ def test_line_dedup_equals_brute_force(spark, tables, monkeypatch):
     monkeypatch.setattr(line_dedup, "FEW", 1)  # so that lines stay open
     assert sorted_rows(line_dedup.line_digest(df.repartition(3))) == want
     assert line_dedup.line_digest(df.limit(0)).count() == 0
+    want = brute.repeated_lines(docs, min_words=5)
+    assert {tuple(r) for r in line_dedup.repeated_lines(df, min_words=5).collect()} == want
+
+
+def test_words_that_a_sum_of_places_takes_for_one(spark):
+    """Thue-Morse words and their complements: a polynomial modulo 2**64 gives both one hash."""
+    import numpy as np
+
+    from arcwise.llm.blocks import window_hashes, word_hashes
+
+    for n in (4, 8, 9, 64, 65, 1024, 4096):
+        a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        b = "".join("ba"[bin(i).count("1") & 1] for i in range(n))
+        data = np.frombuffer(f"{a} {b} {a.upper()}".encode(), np.uint8)
+        x = word_hashes(data, np.array([0, n + 1, 2 * n + 2]), np.array([n, 2 * n + 1, 3 * n + 2]))
+        assert x[0] == x[2] != x[1]
+    docs = [(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"one {a} two three"), (5, f"one {b} two three")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted_rows(jaccard_join.shingle_components(df)) == brute.jaccard_components(docs)
+    assert {tuple(r) for r in line_dedup.repeated_lines(df).collect()} == brute.repeated_lines(docs)
+    # Sequences of two words, as windows have them.
+    h = np.array([5, 9], np.uint64)[[bin(i).count("1") & 1 for i in range(64)]]
+    assert len(set(window_hashes(h, np.array([0, 32, 64]), 32)[0].tolist())) == 2
+
+
+def test_sets_that_differ_in_late_bits_only():
+    import numpy as np
+
+    x = np.array([1 << 50, (1 << 50) + 1, 7, 1 << 50, (1 << 50) + 2], np.uint64)
+    y = np.array([1 << 50, (1 << 50) + 2, 7, (1 << 50) + 1, 3], np.uint64)
+    assert line_dedup._common(x, np.array([3, 2]), y, np.array([3, 2])).tolist() == [2, 0]
 
 
 def test_short_and_unspaced_lines_equal_brute_force(spark, tmp_path):
@@ -93,9 +124,9 @@ def test_short_and_unspaced_lines_equal_brute_force(spark, tmp_path):
     docs = [*brute.ODD, *line_docs(30, 3)]
     docs += [(700 + i, f"All rights reserved.\n}} \n版权所有不得转载本文内容\nhttps://example.org/{i}/a/long/path\na b c d\na b c d x{i}\n\nreserved ALL rights.") for i in range(6)]
     df = spark.createDataFrame([(d, t) for d, t in docs], "doc_id bigint, text string")
-    gone = brute.repeated_lines(docs, min_words=1)
+    gone = brute.repeated_lines(docs)
     assert {(703, i) for i in (0, 1, 2, 4, 5, 7)} <= gone and not {(703, 3), (703, 6)} & gone
-    assert {tuple(r) for r in line_dedup.repeated_lines(df, min_words=1).collect()} == gone
+    assert {tuple(r) for r in line_dedup.repeated_lines(df).collect()} == gone
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert op6_line_dedup(spark, str(tmp_path)).agg({"n_removed": "sum"}).first()[0] == sum((d, i) in gone for d, t in docs if t for i in range(len(t.split("\n"))))
 
@@ -108,7 +139,7 @@ def test_long_texts_in_pieces_give_the_same_lines(monkeypatch):
     monkeypatch.setattr(line_dedup, "chunks", lambda o: [(0, 1)])
 
     def sets():
-        return [(int(n), x.hashes()[s : s + k].tolist()) for _, x in line_dedup._blocks([batch], 5) for n, s, k in zip(x.number, x.starts, x.sizes, strict=True)]
+        return [(int(n), x.h[s : s + k].tolist()) for _, x in line_dedup._blocks([batch], 5) for n, s, k in zip(x.number, x.starts, x.sizes, strict=True)]
 
     whole = sets()
     assert len(whole) == 301
