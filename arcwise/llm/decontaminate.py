@@ -3,16 +3,17 @@
 Symbols are words (runs of digits, letters and bytes from 0x80, A-Z as a-z), so a match is aligned
 to words by construction. Patterns are the windows of ``window`` consecutive words of each item;
 an item of fewer words is one shorter pattern. Patterns of one length are searched together: a
-table over hashed word pairs holds how far the window may move; where that is nought, the hash of
-the window's last words selects the patterns, and these are compared with the text word by word.
+table over hashed blocks of ``BLOCK`` words holds how far the window may move; where that is nought, the hash of
+the window's last block selects the patterns, and these are compared with the text word by word, byte by byte.
 Many segments of text move through the table in step, so the scan is a few numpy calls per move.
 
-Tables are broadcast only up to ``table_bytes`` of benchmark text. A larger benchmark is dealt into
-groups below that size, each scanned on its own, and the spans found are merged by document.
+Tables are broadcast, so their size is bounded: by ``table_bytes`` of what a group of items takes in them. A larger
+benchmark is dealt into groups below that size, each scanned on its own, and the spans found are merged by document.
 
-Null or wordless texts have no words, no hits and are clean. Null items and items without words
-have no windows. Repeated items all count, by their own id. Repeated documents are judged each on
-its own. Empty tables: nothing is hit. Other columns are kept; output columns replace namesakes.
+Null or wordless texts have no words, no hits and are clean. Null items' texts and items without words
+have no windows. Repeated items all count, by their own id; hits of items without id count, and stand as null among the
+item ids. Repeated documents are judged each on its own. Very long texts are scanned whole. Empty tables: nothing is
+hit. Other columns are kept; output columns replace namesakes.
 """
 
 from __future__ import annotations
@@ -21,44 +22,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from arcwise.llm.blocks import U64, WORD_ALNUM, chunks, mix, text_bytes, word_hashes, words
-from arcwise.llm.shared import in_batches, prepared
+from arcwise.llm.blocks import U64, WORD_ALNUM, chunks, lowered, mix, same_words, text_bytes, window_hashes, word_hashes, words
+from arcwise.llm.shared import free_names, in_batches, prepared
 
 WINDOW = 13
-TABLE_BYTES = 32_000_000
-_TABLE_BITS = 18
+BLOCK = 3
+#: Bytes of a group's tables, and what they hold for each word besides its text.
+TABLE_BYTES, WORD_BYTES = 32_000_000, 48
+#: Slots of a shift table: eight or more for each block.
+_SLOT_BITS = range(12, 25)
 #: Window starts that one lane covers.
 _LANE = 256
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * U64(0x9E3779B97F4A7C15) + b * U64(0xC2B2AE3D27D4EB4F))
+class Items:
+    """Words of benchmark items: bytes, places and hashes, and whose they are."""
+
+    def __init__(self, rows: list[tuple[str | None, str | None]]):
+        data, offsets = text_bytes(pa.array([t or "" for _, t in rows], pa.large_string()))
+        self.data = lowered(data)
+        self.starts, self.ends, self.first = words(data, offsets, WORD_ALNUM)
+        self.hashes = word_hashes(data, self.starts, self.ends)
+        self.ids = [i for i, _ in rows]
 
 
 class Patterns:
-    """The patterns of one length with shift table and suffix-hash buckets."""
-
-    def __init__(self, length: int, hashes: np.ndarray, items: np.ndarray):
-        self.length, self.block = length, min(2, length)
-        blocks = self.blocks(hashes.ravel()).reshape(hashes.shape[0], length) if self.block == 1 else _pair(hashes[:, :-1], hashes[:, 1:])
-        last = blocks.shape[1] - 1
-        self.shift = np.full(1 << _TABLE_BITS, last + 1, np.uint8)
-        for j in range(blocks.shape[1]):
-            np.minimum.at(self.shift, (blocks[:, j] >> U64(64 - _TABLE_BITS)).astype(np.int64), last - j)
-        order = np.argsort(blocks[:, last], kind="stable")
-        self.suffix, self.hashes, self.items = blocks[order, last], hashes[order], items[order]
+    """The windows of one length that begin at the given words, with shift table and suffix-hash buckets."""
+
+    def __init__(self, length: int, items: Items, starts: np.ndarray):
+        self.length, self.block, self.items = length, min(BLOCK, length), items
+        blocks = self.blocks(items.hashes)
+        self.bits = next((b for b in _SLOT_BITS if 1 << b >= 8 * len(starts)), _SLOT_BITS[-1])
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.uint8 if length < 255 else np.int32)
+        for j in range(self.block - 1, length):
+            np.minimum.at(self.shift, self.slots(blocks[starts + j]), length - 1 - j)
+        last = blocks[starts + length - 1]
+        order = np.argsort(last, kind="stable")
+        self.suffix, self.starts = last[order], starts[order]
 
     def blocks(self, h: np.ndarray) -> np.ndarray:
-        """Block that ends at each word; the first word's has no predecessor when blocks are pairs."""
-        if self.block == 1:
-            return mix(h.copy())
-        out = np.zeros(len(h), U64)
-        if len(h) > 1:
-            out[1:] = _pair(h[:-1], h[1:])
+        """Hash of the block that ends at each word; the first words' have no predecessors."""
+        out = h.copy()
+        for j in range(1, self.block):
+            out[j:] = mix((out[j:] << U64(29) | out[j:] >> U64(35)) ^ h[: len(h) - j])
         return out
 
-    def search(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start word, item) of every occurrence in the rows' words h."""
+    def slots(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks >> U64(64 - self.bits)).astype(np.int64)
+
+    def search(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start word, number of the item) of every occurrence in the rows' words."""
         m = self.length
         count = np.maximum(np.diff(first) - m + 1, 0)
         lanes = -(-count // _LANE)
@@ -67,8 +80,8 @@ class Patterns:
         at = first[row] + nth * _LANE
         stop = np.minimum(at + _LANE, first[row] + count[row])
         blocks = self.blocks(h)
+        moves = self.shift[self.slots(blocks)].astype(np.int64)
         found = []
-        moves = self.shift[(blocks >> U64(64 - _TABLE_BITS)).astype(np.int64)].astype(np.int64)
         while len(at):
             move = moves[at + m - 1]
             found.append(at[move == 0])
@@ -76,44 +89,56 @@ class Patterns:
             if not (live := at < stop).all():
                 at, stop = at[live], stop[live]
         at = np.concatenate(found) if found else np.zeros(0, np.int64)
-        low = np.searchsorted(self.suffix, blocks[at + m - 1], "left")
-        many = np.searchsorted(self.suffix, blocks[at + m - 1], "right") - low
-        place = np.repeat(at, many)
-        which = np.repeat(low, many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
+        low_, high = (np.searchsorted(self.suffix, blocks[at + m - 1], side) for side in ("left", "right"))
+        place = np.repeat(at, high - low_)
+        begun = self.starts[np.repeat(low_ - np.cumsum(high - low_) + high - low_, high - low_) + np.arange(len(place))]
+        own = self.items
+        # Hashes first, as they are cheap; what is left is compared byte by byte.
+        for j in range(m):
+            same = h[place + j] == own.hashes[begun + j]
+            place, begun = place[same], begun[same]
+        for j in range(m):
+            p, q = place + j, begun + j
+            same = same_words(low, starts[p], ends[p], own.data, own.starts[q], own.ends[q])
+            if not same.all():
+                place, begun = place[same], begun[same]
+        return place, np.searchsorted(own.first, begun, "right") - 1
+
+
+def patterns_of(rows: list[tuple[str | None, str | None]], window: int) -> tuple[list[str | None], list[Patterns]]:
+    """(ids of the items, their patterns by length); a window that an item repeats counts once."""
+    items = Items(rows)
+    many = np.diff(items.first)
+    out = []
+    for m in np.unique(np.minimum(many[many > 0], window)).tolist():
+        own = np.flatnonzero(many == m if m < window else many >= m)
+        count = many[own] - m + 1
+        item = np.repeat(own, count)
+        starts = items.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        h, _ = window_hashes(items.hashes, np.array([0, len(items.hashes)]), m)
+        order = np.lexsort((h[starts], item))
+        starts, item = starts[order], item[order]
+        again = (item[1:] == item[:-1]) & (h[starts[1:]] == h[starts[:-1]])
         for j in range(m):
-            same = h[place + j] == self.hashes[which, j]
-            place, which = place[same], which[same]
-        return place, self.items[which]
-
-
-def patterns_of(rows: list[tuple[int, str]], window: int) -> list[Patterns]:
-    """Patterns of all items, by length."""
-    by: dict[int, tuple[list, list]] = {}
-    data, offsets = text_bytes(pa.array([t or "" for _, t in rows], pa.large_string()))
-    starts, ends, first = words(data, offsets, WORD_ALNUM)
-    h = word_hashes(data, starts, ends)
-    for (item, _), a, b in zip(rows, first[:-1], first[1:], strict=True):
-        if m := min(window, b - a):
-            views = np.unique(np.lib.stride_tricks.sliding_window_view(h[a:b], m), axis=0)
-            got = by.setdefault(int(m), ([], []))
-            got[0].append(views)
-            got[1].append(np.full(len(views), item, np.int64))
-    return [Patterns(m, np.concatenate(v), np.concatenate(i)) for m, (v, i) in sorted(by.items())]
-
-
-def _scan(batch: pa.RecordBatch, text: str, groups: list[Patterns]):
-    """For each row: number of words, merged word spans that are hit, items found."""
+            again &= items.hashes[starts[1:] + j] == items.hashes[starts[:-1] + j]
+        out.append(Patterns(m, items, starts[np.r_[True, ~again]]))
+    return items.ids, out
+
+
+def _scan(column, patterns: list[Patterns]):
+    """For each text: number of words, merged word spans that are hit, numbers of the items found."""
     n_words, spans, items = [], [], []
-    data, offsets = text_bytes(batch.column(text))
+    data, offsets = text_bytes(column)
     for a, b in chunks(offsets):
         own = offsets[a : b + 1] - offsets[a]
         part = data[offsets[a] : offsets[b]]
         starts, ends, first = words(part, own, WORD_ALNUM)
         h = word_hashes(part, starts, ends)
+        low = lowered(part)
         hit = np.zeros(len(h) + 1, np.int64)
-        rows_found, items_found = [], []
-        for g in groups:
-            place, item = g.search(h, first)
+        rows_found, items_found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for g in patterns:
+            place, item = g.search(low, starts, ends, h, first)
             np.add.at(hit, place, 1)
             np.add.at(hit, place + g.length, -1)
             rows_found.append(np.searchsorted(first, place, "right") - 1)
@@ -125,21 +150,33 @@ def _scan(batch: pa.RecordBatch, text: str, groups: list[Patterns]):
         up = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[1:-1]))
         down = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[2:])) + 1
         row = np.searchsorted(first, up, "right") - 1
-        cut = np.searchsorted(row, np.arange(b - a + 1))
-        pairs = np.unique(np.stack([np.concatenate([*rows_found, np.zeros(0, np.int64)]), np.concatenate([*items_found, np.zeros(0, np.int64)])]), axis=1)
-        cut_items = np.searchsorted(pairs[0], np.arange(b - a + 1))
+        cut = np.searchsorted(row, np.arange(b - a + 1)).tolist()
+        pairs = np.unique(np.stack([np.concatenate(rows_found), np.concatenate(items_found)]), axis=1)
+        cut_items = np.searchsorted(pairs[0], np.arange(b - a + 1)).tolist()
+        n_words += np.diff(first).tolist()
         for i in range(b - a):
             s = slice(cut[i], cut[i + 1])
-            n_words.append(int(first[i + 1] - first[i]))
             spans.append(np.stack([up[s] - first[i], down[s] - first[i]], axis=1).tolist() if s.stop > s.start else [])
             items.append(pairs[1, cut_items[i] : cut_items[i + 1]].tolist() if cut_items[i + 1] > cut_items[i] else [])
     return n_words, spans, items
 
 
-def _grouped(benchmark: DataFrame, item: str, text: str, table_bytes: int) -> list[list[tuple[int, str]]]:
-    """The benchmark in groups of at most about table_bytes; each is fetched only when it is to be broadcast."""
-    b = benchmark.select(F.col(item).cast("bigint").alias("item"), F.col(text).alias("words")).filter("item is not null and words is not null")
-    size = b.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"]
+def _merged(spans: list[list[int]]) -> list[list[int]]:
+    """Spans as runs: of spans that meet or overlap one is made."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _grouped(benchmark: DataFrame, item: str, text: str, table_bytes: int):
+    """The benchmark in groups whose tables have about table_bytes at most; each is fetched only when it is to be broadcast."""
+    b = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").alias("words")).filter("words is not null")
+    taken = F.octet_length("words") + WORD_BYTES * F.regexp_count("words", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    size = b.agg(F.coalesce(F.sum(taken), F.lit(0)).alias("n")).first()["n"]
     n = int(-(-size // table_bytes)) or 1
     for k in range(n):
         yield [(r["item"], r["words"]) for r in (b if n == 1 else b.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k)).toLocalIterator()]
@@ -150,54 +187,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     sorted as strings) and contaminated (n_hit > 0 and share * n_hit >= n_words).
     """
     spark = prepared(docs.sparkSession)
-    outputs = [("n_words", "bigint"), ("hit_spans", "array<array<bigint>>"), ("item_ids", "array<string>")]
-    added = {n for n, _ in outputs} | {"n_hit", "contaminated"}
-    kept = [c for c in docs.columns if c not in added]
-    source = docs if text in kept else docs.withColumn("_decon_text", F.col(text))
-    source = source.select(*kept, *([] if text in kept else [F.col("_decon_text")]))
-    read = text if text in kept else "_decon_text"
-    schema = T.StructType([*[source.schema[c] for c in source.columns], *[T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs]])
-
-    def scanned(df: DataFrame, rows) -> DataFrame:
-        sent = spark.sparkContext.broadcast(patterns_of(rows, window))
-
+    col = lambda c: F.col(f"`{c}`")
+    kept = [c for c in docs.columns if c not in ("n_words", "hit_spans", "n_hit", "item_ids", "contaminated")]
+    read, n_words, hit_spans, item_ids = free_names(docs, "read", "n_words", "hit_spans", "item_ids")
+    out = docs.select(*[col(c) for c in kept], *([] if text in kept else [col(text).alias(read)]))
+    read = text if text in kept else read
+    new = [T.StructField(n, T._parse_datatype_string(t)) for n, t in ((n_words, "bigint"), (hit_spans, "array<array<bigint>>"), (item_ids, "array<string>"))]
+    schema = T.StructType([*out.schema.fields, *new])
+
+    def scan(sent):
         def run(batches):
+            ids, patterns = sent.value
             for batch in batches:
-                if batch.num_rows:
-                    n, spans, items = _scan(batch, read, sent.value)
-                    new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
-
-        return df.transform(in_batches, run, schema)
-
-    groups = _grouped(benchmark, item, item_text, table_bytes)
-    out = scanned(source, next(groups))
-    for rows in groups:  # a benchmark over table_bytes: scan again and merge row by row
-        had = out.withColumnsRenamed({"n_words": "_n", "hit_spans": "_spans", "item_ids": "_items"})
-        wide = T.StructType([*had.schema.fields, *schema.fields[-3:]])
-
-        def again(batches, sent=spark.sparkContext.broadcast(patterns_of(rows, window)), names=tuple(wide.names)):
-            for batch in batches:
-                if batch.num_rows:
-                    n, spans, items = _scan(batch, read, sent.value)
-                    new = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=list(names))
-
-        both = had.transform(in_batches, again, wide)
-        spans = F.array_sort(F.concat("_spans", "hit_spans"))
-        empty = F.array().cast("array<array<bigint>>")
+                if not batch.num_rows:
+                    continue
+                n, spans, items = _scan(batch.column(read), patterns)
+                names = [{ids[i] for i in x} for x in items]
+                if hit_spans in batch.schema.names:  # what the groups before have found
+                    spans = [_merged(x + y) if x and y else x or y for x, y in zip(batch.column(hit_spans).to_pylist(), spans, strict=True)]
+                    names = [x | set(y) for x, y in zip(names, batch.column(item_ids).to_pylist(), strict=True)]
+                names = [sorted(x, key=lambda i: (i is None, i)) for x in names]
+                columns = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in schema.names[:-3]], *columns], names=schema.names)
 
-        def joined(done, s):
-            last = F.element_at(done, -1)
-            fits = (F.size(done) > 0) & (s[0] <= F.try_element_at(F.try_element_at(done, F.lit(-1)), F.lit(2)))
-            return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.array(last[0], F.greatest(last[1], s[1]))))).otherwise(F.concat(done, F.array(s)))
+        return run
 
-        out = both.withColumn("hit_spans", F.aggregate(spans, empty, joined)).withColumn("item_ids", F.array_sort(F.array_distinct(F.concat("_items", "item_ids")))).drop("_n", "_spans", "_items")
-    n_hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda s, x: s + x[1] - x[0])
-    out = out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
-    return out.select(*kept, "n_words", "hit_spans", "n_hit", "item_ids", "contaminated")
+    for rows in _grouped(benchmark, item, item_text, table_bytes):
+        out = out.transform(in_batches, scan(spark.sparkContext.broadcast(patterns_of(rows, window))), schema)
+    n_hit = F.aggregate(col(hit_spans), F.lit(0).cast("bigint"), lambda s, x: s + x[1] - x[0])
+    return out.select(*[col(c) for c in kept], col(n_words).alias("n_words"), col(hit_spans).alias("hit_spans"), n_hit.alias("n_hit"), col(item_ids).alias("item_ids"), ((n_hit > 0) & (share * n_hit >= col(n_words))).alias("contaminated"))
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """An item without id counts in n_items and has no part in items_sha256."""
     found = decontaminate(docs.select("doc_id", "text"), benchmark)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")

@@ -33,15 +33,17 @@ def released() -> None:
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), after which a worker keeps nothing of a task."""
+    """df.mapInArrow(run, schema), after which a worker keeps nothing of a task. Columns may have any name."""
+    names = df.columns
 
     def task(batches):
         try:
-            yield from run(batches)
+            yield from run(batch.rename_columns(names) for batch in batches)
         finally:
             released()
 
-    return df.mapInArrow(task, schema)
+    # mapInArrow reads a dot in a name as a field of a column.
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(task, schema) if any(set(".`") & set(c) for c in names) else df.mapInArrow(task, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from arcwise.llm import byte_bpe, decontaminate, language, queries, secrets, warc
 from tests.llm import brute
@@ -45,11 +46,15 @@ def test_bpe_offsets_and_split_characters(spark):
     assert byte_bpe.bpe_encode(df.limit(0), queries.RANKS, P.PATTERN).count() == 0
 
 
+#: Words of 1024 letters to which a polynomial modulo 2**64 gives one hash.
+MORSE = ["".join(two[bin(i).count("1") & 1] for i in range(1024)) for two in ("ab", "ba")]
+
+
 def test_decontamination_equals_brute_force(spark, tables):
     docs = documents(spark, tables)
     bench = [(r[0], r[1]) for r in spark.read.parquet(f"{tables}/benchmark.parquet").select("item_id", "text").collect()]
-    bench += [(900, "Two words"), (901, None), (902, "--"), (903, "one"), (904, "stands here twice"), (905, "stands here TWICE")]
-    docs += [*brute.ODD, (20, bench[0][1] + " tail"), (21, "x " * 400 + bench[1][1]), (22, bench[2][1] + " " + bench[2][1])]
+    bench += [(900, "Two words"), (901, None), (902, "--"), (903, "one"), (904, "stands here twice"), (905, "stands here TWICE"), (906, " ".join(["again"] * 40)), (907, MORSE[0] + " tail"), (908, "long " * 500)]
+    docs += [*brute.ODD, (20, bench[0][1] + " tail"), (21, "x " * 400 + bench[1][1]), (22, bench[2][1] + " " + bench[2][1]), (23, "again " * 14), (24, MORSE[1] + " tail"), (25, MORSE[0] + " tail"), (26, MORSE[0].upper() + "! Tail")]
     df, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")
     want = sorted(brute.decontaminated(docs, bench), key=str)
     assert sum(w[5] for w in want) > 3
@@ -57,10 +62,13 @@ def test_decontamination_equals_brute_force(spark, tables):
 
 
 def test_decontamination_in_groups_equals_one_pass(spark, tables):
-    docs = spark.read.parquet(f"{tables}/documents.parquet").withColumnRenamed("source", "n_hit")
+    docs = spark.read.parquet(f"{tables}/documents.parquet").withColumnRenamed("source", "n_hit").selectExpr("*", "1 as _read", "2 as _spans", "3 as _items", "4 as _hit_spans", "5 as `a.b`", "6 as _n")
     bench = spark.read.parquet(f"{tables}/benchmark.parquet")
     one, many = (sorted_rows(decontaminate.decontaminate(docs, bench, table_bytes=n).select("doc_id", "n_words", "hit_spans", "n_hit", "item_ids", "contaminated")) for n in (10**7, 2000))
     assert one == many
+    nameless = sorted_rows(decontaminate.decontaminate(docs, bench.withColumn("item_id", F.lit(None)), table_bytes=20_000).select("doc_id", "n_words", "hit_spans", "n_hit", "item_ids", "contaminated"))
+    assert sorted(nameless, key=str) == sorted(((*r[:4], [None] * bool(r[3]), r[5]) for r in one), key=str)
+    assert decontaminate.decontaminate(docs, bench).columns[: len(docs.columns) - 1] == [c for c in docs.columns if c != "n_hit"]
     assert decontaminate.decontaminate(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
