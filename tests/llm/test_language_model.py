@@ -49,7 +49,7 @@ def test_base_equals_brute_force_and_model_beats_it(spark, tables):
             counts = sum(np.bincount(sequence(t), minlength=sub.end + 1) for d, t in docs if d is not None and brute.crc(d, 7) != 2) + 0.5
             plain = {d: np.log10(counts[sequence(t)] / counts.sum()).sum() for d, t in docs}
             held = [r for r in rows if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 100_000]
-            assert sum(r["score"] for r in held) > 0.85 * sum(plain[r["doc_id"]] for r in held)
+            assert sum(r["score"] for r in held) > 0.8 * sum(plain[r["doc_id"]] for r in held)
     assert scored(df.limit(0)).count() == 0
 
 
@@ -73,6 +73,56 @@ def test_probabilities_sum_to_one_and_each_id_is_scored_once():
     total[at[ok]] = np.take_along_axis(logp, m.classes[ids[np.maximum(at, 0)]][:, :, None], 2)[:, :, 0][ok] + m.share[ids[at[ok]]]
     assert np.allclose(one, np.add.reduceat(total, first[:-1]), rtol=1e-4)
     assert np.allclose(one, m.score(ids, first, batch=3), rtol=1e-5)
+    # Large numbers on the way change nothing but the numbers.
+    m.weights["b"] += 500
+    assert np.allclose(one, m.score(ids, first), rtol=1e-3)
+    m.weights["b"] -= 1000
+    assert np.allclose(one, m.score(ids, first), rtol=1e-3)
+
+
+def test_shares_by_the_class_before():
+    m = small_model(6)
+    r = np.random.default_rng(6)
+    ids, first = r.integers(0, 300, 5000).astype(np.int32), np.array([0, 0, 2, 900, 5000])
+    counts = np.bincount(ids, minlength=300)
+    pairs = np.zeros((lm.CLASSES, 300), np.int64)
+    for t in range(4):
+        last = m.classes[m.end]
+        for i in ids[first[t] : first[t + 1]]:
+            pairs[last, i] += 1
+            last = m.classes[i]
+    plain = m.score(ids, first).sum()
+    m.learn_shares(counts, pairs)
+    assert np.allclose([np.bincount(m.classes, weights=np.exp(row), minlength=lm.CLASSES)[np.unique(m.classes)] for row in m.given], 1, atol=1e-3)
+    k = m.before(ids, first)
+    assert k[0] == k[2] == k[900] == m.classes[m.end] and k[3] == m.classes[ids[2]]
+    smooth = np.exp(m.share)
+    for at in (0, 5, 4999):
+        own = pairs[k[at]]
+        want = (own[ids[at]] + lm.PRIOR * smooth[ids[at]]) / (own[m.classes == m.classes[ids[at]]].sum() + lm.PRIOR)
+        assert math.isclose(m.shares(ids, first)[at], math.log(want), rel_tol=1e-4)
+    assert m.score(ids, first).sum() > plain
+
+
+def test_learners_see_their_share_of_the_windows_and_are_averaged():
+    m = small_model(7)
+    r = np.random.default_rng(7)
+    texts = [(r.integers(0, 300, n).astype(np.int32), np.array([0, n // 3, n])) for n in (30, 5000, 1, 2000, 40_000)]
+    one, other = lm.Learner(m), lm.Learner(m)
+    for ids, first in texts:
+        one.see(ids, first)
+    windows = sum(len(m.windows(*t)[0]) for t in texts)
+    total = one.parameters()
+    assert one.passed == windows and total[-1] == one.trained == -(-windows // lm.EVERY)
+    other.see(*texts[1])
+    both = total + other.parameters()
+    mean = small_model(7)
+    lm.averaged(mean, both)
+    for k in m.weights:
+        want = (one.model.weights[k] * float(one.trained) + other.model.weights[k] * float(other.trained)) / (one.trained + other.trained)
+        assert np.allclose(mean.weights[k], want, atol=1e-5) and not np.array_equal(mean.weights[k], m.weights[k])
+    lm.averaged(m, np.zeros_like(both))  # nothing learned: as it was
+    assert np.array_equal(m.weights["W"], small_model(7).weights["W"])
 
 
 def test_scores_are_causal():
@@ -97,22 +147,24 @@ def test_training_finds_what_follows():
     assert m.score(ids, first).sum() > before
 
 
-def test_gradients():
+def test_gradients_equal_differences():
     m = small_model(4)
+    m.weights = {k: x.astype(np.float64) for k, x in m.weights.items()}
     ids = np.random.default_rng(5).integers(0, 300, 60).astype(np.int32)
-    first = np.array([0, 60])
-    inputs, at = m.windows(ids, first)
-
-    def loss():
-        logp = m.forward(inputs)[-1]
-        return -np.take_along_axis(logp, m.classes[ids[np.maximum(at, 0)]][:, :, None], 2)[:, :, 0][at >= 0].mean()
-
-    start = {k: x.copy() for k, x in m.weights.items()}
-    base = loss()
-    for _ in range(4):
-        m.train(ids, first, steps=3, batch=64, rate=1e-3)
-    assert loss() < base
-    assert all(not np.array_equal(start[k], m.weights[k]) for k in start)
+    inputs, at = m.windows(ids, np.array([0, 10, 60]))
+    data = (inputs, *m.wanted(ids, at))
+    _, g = m.gradients(*data)
+    r = np.random.default_rng(8)
+    for name, w in m.weights.items():
+        some = np.argwhere(g[name] != 0)
+        for place in some[r.integers(0, len(some), 6)]:
+            place, had = tuple(place), w[tuple(place)]
+            loss = []
+            for step in (1e-5, -1e-5):
+                w[place] = had + step
+                loss.append(m.gradients(*data)[0])
+            w[place] = had
+            assert math.isclose((loss[0] - loss[1]) / 2e-5, g[name][place], rel_tol=1e-4, abs_tol=1e-8), name
 
 
 def test_words_with_odd_spaces_are_encoded_one_by_one():
