@@ -33,6 +33,8 @@ class TemporalGraph:
     def read(cls, spark: SparkSession, path: str, low: int | None = None, high: int | None = None, level: StorageLevel | None = None) -> TemporalGraph:
         """A stored graph; ``level`` persists its edges."""
         e = sources.read_edges(spark, path)
+        if high is None and (known := sinks.read_properties(spark, path)):
+            low, high = known["low"] if low is None else low, known["high"]
         return cls.from_edges(e.persist(level) if level else e, low, high)
 
     @property
@@ -106,8 +108,11 @@ class TemporalGraph:
     def sweep(self, ks=storage.SWEEP_K, factors=storage.SWEEP_FACTORS) -> DataFrame:
         return storage.sweep(self.edges, ks, factors)
 
-    def write(self, path: str, partitions: int | None = None, compression: str = "zstd") -> None:
+    def write(self, path: str, partitions: int | None = None, compression: str = "zstd", stats: bool = False) -> None:
+        """Stores the edges and the vertex range; with ``stats`` also the storage statistics of ``stats()``."""
         sinks.write_graph(self.edges, path, partitions, compression)
+        more = {k: v for k, v in self.stats().first().asDict().items() if isinstance(v, (int, float))} if stats else {}
+        sinks.write_properties(self.edges.sparkSession, path, {"low": self.low, "high": self.high} | more)
 
 
 #: Names of the workloads and the words that stand for them.
@@ -128,8 +133,8 @@ def run_workload(graph: TemporalGraph, name: str, data: sources.Dataset) -> Data
     short = workload(name)
     g = graph.active(*data.active)
     if short == "RA":
-        probes = min(data.last + 1, g.high) - g.low
-        return g.random_access(access.hashed_probes(graph.edges.sparkSession, probes, g.low, g.high)) if data.random_access else g.scan()
+        probes = min(data.last + 1, g.high) - max(data.first, g.low)
+        return g.random_access(access.hashed_probes(graph.edges.sparkSession, probes, max(data.first, g.low), g.high)) if data.random_access else g.scan()
     if short == "BFS":
         return g.bfs(max(data.start, g.low))
     if short == "CC":

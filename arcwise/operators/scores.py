@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arcwise.operators.access import active, first_contacts
-from arcwise.plans.session import materialised
+from arcwise.plans.session import Grown, discarded, kept_by, materialised
 
 DAMPING = 0.85
 ALPHA = 0.1
 BUCKETS = 256
 #: Steps between lineage cuts.
 _CUT = 3
+#: Arcs (16 bytes each) that one task may hold.
+LOCAL_ARCS = 1_000_000
 
 
 def page_rank(edges: DataFrame, ids: DataFrame, iterations: int, damping: float = DAMPING, alpha: float = ALPHA, normalize: bool = False, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -22,8 +25,8 @@ def page_rank(edges: DataFrame, ids: DataFrame, iterations: int, damping: float
     inside = edges if low is None else active(edges, low, high)
     degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
     weight = damping * (1 - F.exp(-alpha * F.col("ts"))) / F.col("degree")
-    # Kept dealt out by source: each step joins it with the ranks on that key.
-    arcs = materialised(first_contacts(inside).join(degrees, "src").select("src", "dst", weight.alias("weight")), "arcs")
+    # Dealt out by source once: each step moves the ranks, not the arcs.
+    arcs = kept_by(first_contacts(inside).join(degrees, "src").select("src", "dst", weight.alias("weight")), "src")
     ranks = ids.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
     for step in range(iterations):
         got = arcs.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("weight") * F.col("rank")).alias("got"))
@@ -34,9 +37,16 @@ def page_rank(edges: DataFrame, ids: DataFrame, iterations: int, damping: float
             ranks = ranks.crossJoin(F.broadcast(total)).select("id", (F.col("rank") / F.col("total")).alias("rank"))  # one row
         elif step % _CUT == _CUT - 1 and step < iterations - 1:
             ranks = materialised(ranks, "ranks")
+    ranks = materialised(ranks, "ranks")
+    arcs.unpersist()
     return ranks
 
 
+def rank_sum(ranks: DataFrame) -> DataFrame:
+    """(total, ids): the sum of all ranks, and how many there are."""
+    return ranks.agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("total"), F.count("*").alias("ids"))
+
+
 def top_ranks(ranks: DataFrame, n: int = 10) -> DataFrame:
     """The n highest ranks; of equal ranks the least id."""
     return ranks.orderBy(F.desc("rank"), F.asc("id")).limit(n)
@@ -50,18 +60,22 @@ def _scaled(scores: DataFrame, column: str) -> DataFrame:
 
 def hits(edges: DataFrame, ids: DataFrame, iterations: int) -> DataFrame:
     """(id, hub, authority), both of length one after each half step; each pair counts once."""
-    pairs = materialised(edges.select("src", "dst").distinct(), "pairs")
+    # Each half step joins on the other end: pairs are dealt out both ways once.
+    by = {key: kept_by(edges.select("src", "dst").distinct(), key) for key in ("src", "dst")}
     hub = ids.select("id", F.lit(1.0).alias("hub"))
     authority = ids.select("id", F.lit(1.0).alias("authority"))
 
     def passed(scores, score, at, to, name):
-        got = pairs.join(scores, F.col(at) == F.col("id")).groupBy(to).agg(F.sum(score).alias("got"))
-        return _scaled(ids.join(got, F.col("id") == F.col(to), "left").select("id", F.coalesce("got", F.lit(0.0)).alias(name)), name)
+        got = by[at].join(scores.withColumnRenamed("id", at), at).groupBy(F.col(to).alias("id")).agg(F.sum(score).alias("got"))
+        return _scaled(ids.join(got, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias(name)), name)
 
     for _ in range(iterations):
         hub = passed(authority, "authority", "dst", "src", "hub")
         authority = passed(hub, "hub", "src", "dst", "authority")
-    return hub.join(authority, "id")
+    out = materialised(hub.join(authority, "id"), "scores")
+    for pairs in by.values():
+        pairs.unpersist()
+    return out
 
 
 def hash_priority(id_: str = "id") -> Column:
@@ -100,23 +114,57 @@ def sequence_priorities(spark: SparkSession, n: int, seed: int = 123, block: int
     return spark.range(-(-n // block)).mapInArrow(run, "id bigint, priority bigint")
 
 
-def color(edges: DataFrame, priorities: DataFrame, max_rounds: int = 512) -> DataFrame:
+def _layers(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, layer) of the ends of arcs without cycles: 0 where none begins, else one more than the highest layer that arcs lead to."""
+    ids, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    s, d = place[: len(src)], place[len(src) :]
+    order = np.argsort(d, kind="stable")
+    s, begin = s[order], np.searchsorted(d[order], np.arange(len(ids) + 1))
+    waits = np.bincount(s, minlength=len(ids))
+    layer = np.zeros(len(ids), np.int64)
+    ready, c = np.flatnonzero(waits == 0), 0
+    while len(ready):
+        layer[ready] = c
+        many = begin[ready + 1] - begin[ready]
+        freed = s[np.repeat(begin[ready] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        np.subtract.at(waits, freed, 1)
+        freed = np.unique(freed)
+        ready, c = freed[waits[freed] == 0], c + 1
+    return ids, layer
+
+
+def color(edges: DataFrame, priorities: DataFrame, max_rounds: int = 512, local_arcs: int = LOCAL_ARCS) -> DataFrame:
     """(id, color): 0 if no out-neighbour has a higher priority (or an equal one and a lesser id), else one more than their highest color.
 
     A node takes color c in round c once all such neighbours have one below c. Nodes left after max_rounds have null.
+    A round writes only the arcs that are left and the nodes it colors; when ``local_arcs`` arcs or fewer are left, one task does the rest.
     """
+    spark = edges.sparkSession
     p = materialised(priorities.select("id", "priority"), "priorities")
     arcs = edges.select("src", "dst").filter("src != dst").distinct()
     named = arcs.join(p.select(F.col("id").alias("src"), F.col("priority").alias("own")), "src").join(p.select(F.col("id").alias("dst"), F.col("priority").alias("other")), "dst")
     above = materialised(named.filter("other > own or (other = own and dst < src)").select("src", "dst"), "above")
-    done = None
-    open_ = p.select("id")
-    for c in range(max_rounds):
-        # Waiting: nodes with a higher neighbour that is still open.
-        waiting = above.join(open_.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-        now = materialised(open_.join(waiting, "id", "left_anti").select("id", F.lit(c).cast("bigint").alias("color")), "colored")
-        done = now if done is None else materialised(done.unionByName(now), "colors")
-        open_ = materialised(open_.join(now, "id", "left_anti"), "open")
-        if open_.isEmpty():
-            return done
-    return done.unionByName(open_.select("id", F.lit(None).cast("bigint").alias("color")))
+    done = Grown(spark, "id bigint, color bigint", "colors")
+    begins = lambda arcs: arcs.select(F.col("src").alias("id")).distinct()
+    now = done.add(p.select("id").join(begins(above), "id", "left_anti").filter(F.lit(max_rounds > 0)).select("id", F.lit(0).cast("bigint").alias("color")))
+    c = 0
+    while (left := above.count()) > local_arcs and c + 1 < max_rounds:
+        # Arcs lead to nodes without color, or to those of the round before: the latter go.
+        c += 1
+        step = materialised(above.join(now.select(F.col("id").alias("dst"), F.lit(True).alias("gone")), "dst", "left").select("src", "dst", F.coalesce("gone", F.lit(False)).alias("gone")), "above")
+        discarded(above)
+        above = step.filter("not gone").select("src", "dst")
+        above._table_path = step._table_path
+        now = done.add(begins(step.filter("gone")).join(begins(above), "id", "left_anti").select("id", F.lit(c).cast("bigint").alias("color")))
+    if 0 < left <= local_arcs:
+
+        def rest(batches):
+            import pyarrow as pa
+
+            t = pa.Table.from_batches(batches)
+            ids, layer = _layers(t.column("src").to_numpy(), t.column("dst").to_numpy())
+            some = (layer > 0) & (layer + c < max_rounds)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(layer[some] + c)], names=["id", "color"])
+
+        done.add(above.repartition(1).mapInArrow(rest, done.schema))
+    return p.select("id").join(done.rows, "id", "left")

@@ -1,7 +1,8 @@
 """Breadth-first search, earliest arrival, reachability and components as loops of DataFrame steps.
 
-Each step joins a frontier with the edges and writes the new state; the driver holds only whether the
-frontier is empty. Edges come pre-reduced to first contacts where the semantics allow it.
+Each step joins a frontier with the edges, reduces what it touches, and appends its new rows to the state, which is never
+written again. Edges are pre-reduced where the semantics allow it and stay dealt out by source, so that a step moves its
+frontier only. The driver holds only whether a frontier is empty.
 """
 
 from __future__ import annotations
@@ -9,54 +10,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from arcwise.operators.access import first_contacts
-from arcwise.plans.session import materialised, numbered
+from arcwise.plans.session import Grown, discarded, kept_by, materialised, numbered
 
 
-def bfs(edges: DataFrame, start: int) -> DataFrame:
-    """(id, dist, parent, ts): first touch in queue order; ts is the time of that pair's first contact. The start has parent -1 and ts 0."""
+def bfs(edges: DataFrame, start: int, parents: bool = True) -> DataFrame:
+    """(id, dist, parent, ts): first touch in queue order; ts is the time of that pair's first contact. The start has parent -1 and ts 0.
+
+    Without ``parents`` (id, dist): no order is kept. Steps are as many as the largest distance.
+    """
     spark = edges.sparkSession
-    contacts = materialised(first_contacts(edges), "contacts")
-    row = "id bigint, dist bigint, parent bigint, ts bigint, place bigint"
-    done = materialised(spark.createDataFrame([(start, 0, -1, 0, 0)], row), "seen")
-    frontier, dist = done, 0
-    while True:
+    contacts = kept_by(first_contacts(edges) if parents else edges.select("src", "dst").distinct(), "src")
+    done = Grown(spark, "id bigint, dist bigint, parent bigint, ts bigint, place bigint" if parents else "id bigint, dist bigint", "seen")
+    frontier = done.add(spark.createDataFrame([(start, 0, -1, 0, 0) if parents else (start, 0)], done.schema))
+    dist = 0
+    while not frontier.isEmpty():
         dist += 1
-        touched = contacts.join(frontier.select(F.col("id").alias("src"), F.col("place").alias("_from")), "src").join(done.select(F.col("id").alias("dst")), "dst", "left_anti")
-        best = touched.groupBy("dst").agg(F.min(F.struct("_from", "src", "ts")).alias("b")).select(F.col("dst").alias("id"), F.lit(dist).cast("bigint").alias("dist"), F.col("b.src").alias("parent"), F.col("b.ts").alias("ts"), F.col("b._from").alias("_from"))
-        best = materialised(best, "level")
-        if best.isEmpty():
-            return done.drop("place")
-        frontier = materialised(numbered(best, ["_from", "id"], "place").select("id", "dist", "parent", "ts", F.col("place").cast("bigint")), "frontier")
-        done = materialised(done.unionByName(frontier), "seen")
+        touched = contacts.join(frontier.select(F.col("id").alias("src"), *([F.col("place").alias("_from")] if parents else [])), "src")
+        by = touched.groupBy(F.col("dst").alias("id"))
+        best = (by.agg(F.min(F.struct("_from", "src", "ts")).alias("b")) if parents else by.agg(F.lit(dist).cast("bigint").alias("dist"))).join(done.rows.select("id"), "id", "left_anti")
+        if parents:
+            best = materialised(best.select("id", F.lit(dist).cast("bigint").alias("dist"), F.col("b.src").alias("parent"), F.col("b.ts").alias("ts"), F.col("b._from").alias("_from")), "level")
+            frontier = done.add(numbered(best, ["_from", "id"], "place").select("id", "dist", "parent", "ts", F.col("place").cast("bigint")))
+            discarded(best)
+        else:
+            frontier = done.add(best)
+    contacts.unpersist()
+    return done.rows.drop("place")
 
 
-def earliest_arrival(edges: DataFrame, starts: DataFrame, contacts: str = "first") -> DataFrame:
+def earliest_arrival(edges: DataFrame, starts: DataFrame, contacts: str = "first", parents: bool = False) -> DataFrame:
     """(id, ts): least time at which time-respecting paths from the start ids (id), at time 0, arrive.
 
-    ``contacts``: "first" lets only the first contact of each pair be taken, "all" any of them.
+    ``contacts``: "first" lets only the first contact of each pair be taken, "all" any of them. ``parents`` adds (parent): the
+    least id from which such a path takes its last contact at that time, -1 for starts. Steps are as many as the contacts of the
+    longest path that improves an arrival.
     """
-    e = materialised(first_contacts(edges) if contacts == "first" else edges.select("src", "dst", "ts").distinct(), "contacts")
-    best = materialised(starts.select("id", F.lit(0).cast("bigint").alias("ts")).distinct(), "times")
-    frontier = best
-    while True:
+    spark = edges.sparkSession
+    e = kept_by(first_contacts(edges) if contacts == "first" else edges.select("src", "dst", "ts").distinct(), "src")
+    times = Grown(spark, "id bigint, ts bigint", "times")
+    frontier = times.add(starts.select("id", F.lit(0).cast("bigint").alias("ts")).distinct())
+    best = lambda: times.rows.groupBy("id").agg(F.min("ts").alias("ts"))
+    while not frontier.isEmpty():
         offers = e.join(frontier.select(F.col("id").alias("src"), F.col("ts").alias("since")), "src").filter("since <= ts").groupBy(F.col("dst").alias("id")).agg(F.min("ts").alias("new"))
-        frontier = materialised(offers.join(best, "id", "left").filter("ts is null or new < ts").select("id", F.col("new").alias("ts")), "frontier")
-        if frontier.isEmpty():
-            return best
-        best = materialised(best.unionByName(frontier).groupBy("id").agg(F.min("ts").alias("ts")), "times")
+        frontier = times.add(offers.join(best(), "id", "left").filter("ts is null or new < ts").select("id", F.col("new").alias("ts")))
+    out = materialised(best(), "arrival")
+    if parents:
+        last = e.join(out.select(F.col("id").alias("src"), F.col("ts").alias("since")), "src").filter("since <= ts").groupBy(F.col("dst").alias("id"), "ts").agg(F.min("src").alias("by"))
+        first = starts.select("id", F.lit(-1).cast("bigint").alias("start")).distinct()
+        out = materialised(out.join(last, ["id", "ts"], "left").join(first, "id", "left").select("id", "ts", F.coalesce("start", "by").alias("parent")), "arrival")
+    e.unpersist()
+    times.discard()
+    return out
 
 
 def spread_minimum(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, label): the least label that edges (src, dst) carry to each id; only labels that changed are passed on."""
-    pairs = materialised(edges.select("src", "dst").distinct(), "pairs")
+    """(id, label): the least label that edges (src, dst) carry to each id; only labels that changed are passed on.
+
+    Steps are as many as the edges of the longest way that a label takes.
+    """
+    pairs = kept_by(edges.select("src", "dst").filter("src != dst").distinct(), "src")
     now = materialised(labels.select("id", "label"), "labels")
     changed = now
     while True:
-        offers = pairs.join(changed.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("new"))
-        changed = materialised(offers.join(now, "id").filter("new < label").select("id", F.col("new").alias("label")), "changed")
+        offers = pairs.join(changed.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("new"))
+        step = materialised(now.join(offers, "id", "left").select("id", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("changed")), "labels")
+        discarded(now)
+        now, changed = step.select("id", "label"), step.filter("changed").select("id", "label")
+        now._table_path = step._table_path
         if changed.isEmpty():
+            pairs.unpersist()
             return now
-        now = materialised(now.unionByName(changed).groupBy("id").agg(F.min("label").alias("label")), "labels")
 
 
 def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -66,7 +89,46 @@ def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return roots.join(names, "root").select("id", "root", F.col("component").cast("bigint"))
 
 
+def component_sizes(roots: DataFrame) -> DataFrame:
+    """(root, size): how many ids each component has."""
+    return roots.groupBy("root").agg(F.count("*").alias("size"))
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """For each u of links (u, v): the least of u and its v."""
+    return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def _large(links: DataFrame) -> DataFrame:
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small(links: DataFrame) -> DataFrame:
+    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
+    low = _least(down)
+    stars = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+    return stars.filter("u != v").distinct()
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): for every node with a link to another, the least node that links reach.
+
+    Self links and nulls are ignored; no links give an empty result. Large and small stars alternate: each round is
+    two pre-aggregated group-bys and joins. Rounds grow with the logarithm of the number of nodes, not with the length of paths.
+    """
+    now = materialised(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v").distinct(), "links")
+    before = None
+    while True:
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state == before or not state["n"]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        before = state
+        last, now = now, materialised(_small(_large(now)), "links")
+        discarded(last)
+
+
 def weak_components(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, root): the least id that paths in either direction reach."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return spread_minimum(both, ids.select("id", F.col("id").alias("label"))).withColumnRenamed("label", "root")
+    roots = connected_components(edges.select("src", "dst"), "src", "dst").select(F.col("node").alias("id"), "component")
+    return ids.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("root"))

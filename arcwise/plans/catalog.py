@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from arcwise.functions import codec
 from arcwise.operators import access, scores, storage, traversal
@@ -12,13 +12,11 @@ from arcwise.sources import edges as sources, sinks
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-#: Views in SQL: the event walk, its sparse form, and trades.
+#: Views in SQL: the event walk and trades.
 WALK = """w0 AS (SELECT user_id, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, ts, event_id FROM events),
 walk AS (SELECT CAST(user_id AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id FROM w0 WHERE dst IS NOT NULL),
-sparse AS (SELECT src, dst, ts FROM walk WHERE event_id % 31 = 0),
 ids AS (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) + 1 FROM walk))) AS id),
-fc AS (SELECT src, dst, min(ts) AS ts FROM walk GROUP BY src, dst),
-sfc AS (SELECT src, dst, min(ts) AS ts FROM sparse GROUP BY src, dst)"""
+fc AS (SELECT src, dst, min(ts) AS ts FROM walk GROUP BY src, dst)"""
 TRADES = """trades AS (SELECT CAST(o_custkey AS BIGINT) AS src, CAST(l_suppkey + 1000000 AS BIGINT) AS dst,
     CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
@@ -42,6 +40,12 @@ def walk_ids(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return access.vertices(spark, 0, (top if top is not None else -1) + 1)
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The walk, written once, and its ids."""
+    e = materialised(walk(spark, sf_dir), "walk")
+    return e, walk_ids(spark, e)
+
+
 def _first(spark: SparkSession, edges: DataFrame, column: str = "src") -> int:
     return edges.agg(F.min(column).alias("x")).first()["x"] or 0
 
@@ -53,9 +57,9 @@ def s6_event_walk(spark, sf_dir):
     return walk(spark, sf_dir)
 
 
-@query("SELECT src, dst, ts FROM sparse")
-def s10_sparse_walk(spark, sf_dir):
-    return sources.sparse_walk(spark, sf_dir)
+@query("SELECT id FROM ids")
+def s10_node_scan(spark, sf_dir):
+    return walk_ids(spark, walk(spark, sf_dir))
 
 
 @query("SELECT src, dst, ts FROM trades", TRADES)
@@ -151,14 +155,14 @@ def n10_skip(spark, sf_dir):
     return access.skipped(walk(spark, sf_dir), 5)
 
 
-@query("SELECT id, count(src) < 4 AS low FROM ids LEFT JOIN sparse ON src = id GROUP BY id")
+@query("SELECT id, count(src) < 4 AS low FROM ids LEFT JOIN walk ON src = id GROUP BY id")
 def n11_low_degree(spark, sf_dir):
-    return access.low_degree(access.out_degrees(sources.sparse_walk(spark, sf_dir), walk_ids(spark, walk(spark, sf_dir))))
+    return access.low_degree(access.out_degrees(*_whole(spark, sf_dir)))
 
 
-@query(", d AS (SELECT id, count(src) AS n FROM ids LEFT JOIN sparse ON src = id GROUP BY id) SELECT count(*) FILTER (n > 2) AS seeds, count(*) FILTER (n <= 2) AS others FROM d")
+@query(", d AS (SELECT id, count(src) AS n FROM ids LEFT JOIN walk ON src = id GROUP BY id) SELECT count(*) FILTER (n > 9) AS seeds, count(*) FILTER (n <= 9) AS others FROM d")
 def n12_seed_filter(spark, sf_dir):
-    return access.seed_counts(access.out_degrees(sources.sparse_walk(spark, sf_dir), walk_ids(spark, walk(spark, sf_dir))), above=2)
+    return access.seed_counts(access.out_degrees(*_whole(spark, sf_dir)))
 
 
 @query("SELECT a.src, count(b.dst) AS copied, count(*) - count(b.dst) AS extra FROM fc a LEFT JOIN fc b ON b.src = a.src - 1 AND b.dst = a.dst GROUP BY a.src")
@@ -366,59 +370,98 @@ def p1_sweep(spark, sf_dir):
 
 # Graph analytics
 
-_START = "(SELECT min(src) FROM sparse)"
+_START = "(SELECT min(src) FROM walk)"
+_LEVELS = f""", r AS (SELECT {_START} AS id, 0 AS d UNION SELECT fc.dst, r.d + 1 FROM r JOIN fc ON fc.src = r.id WHERE r.d < (SELECT count(*) FROM ids)),
+    lv AS (SELECT id, CAST(min(d) AS BIGINT) AS dist FROM r GROUP BY id)"""
 
 
-@query(f""", r AS (SELECT {_START} AS id, 0 AS d UNION SELECT sfc.dst, r.d + 1 FROM r JOIN sfc ON sfc.src = r.id WHERE r.d < (SELECT count(*) FROM ids))
-    SELECT id, CAST(min(d) AS BIGINT) AS dist FROM r GROUP BY id""", recursive=True)
+@query(f"{_LEVELS} SELECT id, dist FROM lv", recursive=True)
 def g1_bfs_levels(spark, sf_dir):
-    e = sources.sparse_walk(spark, sf_dir)
-    return traversal.bfs(e, _first(spark, e)).select("id", "dist")
+    e = walk(spark, sf_dir)
+    return traversal.bfs(e, _first(spark, e), parents=False)
 
 
-@query()
+#: Queue order within a level is the order of the paths by which ids came in; a parent has the least path of those that reach.
+@query(f"""{_LEVELS}, q AS (SELECT id, 0 AS d, [id] AS path, -1 AS parent, 0 AS ts FROM lv WHERE dist = 0
+    UNION ALL SELECT id, d, path, parent, ts FROM (SELECT fc.dst AS id, q.d + 1 AS d, list_append(q.path, fc.dst) AS path, q.id AS parent, fc.ts AS ts,
+        row_number() OVER (PARTITION BY fc.dst ORDER BY q.path) AS nth FROM q JOIN fc ON fc.src = q.id JOIN lv ON lv.id = fc.dst AND lv.dist = q.d + 1) WHERE nth = 1)
+    SELECT id, CAST(d AS BIGINT) AS dist, CAST(parent AS BIGINT) AS parent, CAST(ts AS BIGINT) AS ts FROM q""", recursive=True)
 def g1_bfs(spark, sf_dir):
-    e = sources.sparse_walk(spark, sf_dir)
+    e = walk(spark, sf_dir)
     return traversal.bfs(e, _first(spark, e))
 
 
-def _arrival_sql(table: str, start: str) -> str:
-    return f""", r AS (SELECT {start} AS id, CAST(0 AS BIGINT) AS ts UNION SELECT e.dst, e.ts FROM r JOIN {table} e ON e.src = r.id WHERE r.ts <= e.ts)
-    SELECT id, min(ts) AS ts FROM r GROUP BY id"""
+def _arrival_sql(table: str) -> str:
+    return f""", r AS (SELECT {_START} AS id, CAST(0 AS BIGINT) AS ts UNION SELECT e.dst, e.ts FROM r JOIN {table} e ON e.src = r.id WHERE r.ts <= e.ts),
+    b AS (SELECT id, min(ts) AS ts FROM r GROUP BY id)"""
 
 
-def _arrival(spark, sf_dir, contacts):
-    e = sources.sparse_walk(spark, sf_dir)
-    return traversal.earliest_arrival(e, e.agg(F.min("src").alias("id")), contacts)
+def _arrival(spark, sf_dir, contacts, **options):
+    e = walk(spark, sf_dir)
+    return traversal.earliest_arrival(e, e.agg(F.min("src").alias("id")), contacts, **options)
 
 
-@query(_arrival_sql("sfc", _START), recursive=True)
+@query(_arrival_sql("fc") + " SELECT id, ts FROM b", recursive=True)
 def g2_earliest_arrival(spark, sf_dir):
     return _arrival(spark, sf_dir, "first")
 
 
-@query(_arrival_sql("sparse", _START), recursive=True)
+@query(_arrival_sql("walk") + " SELECT id, ts FROM b", recursive=True)
 def g2_earliest_arrival_all(spark, sf_dir):
     return _arrival(spark, sf_dir, "all")
 
 
-@query(""", r AS (SELECT id, CAST(0 AS BIGINT) AS ts FROM ids WHERE id % 10 = 0 UNION SELECT e.dst, e.ts FROM r JOIN sfc e ON e.src = r.id WHERE r.ts <= e.ts)
+@query(_arrival_sql("fc") + f""" SELECT b.id, b.ts, CASE WHEN b.id = {_START} THEN -1 ELSE (SELECT min(e.src) FROM fc e JOIN b s ON s.id = e.src WHERE e.dst = b.id AND e.ts = b.ts AND s.ts <= e.ts) END AS parent FROM b""", recursive=True)
+def a5_arrival_parents(spark, sf_dir):
+    return _arrival(spark, sf_dir, "first", parents=True)
+
+
+@query(""", r AS (SELECT id, CAST(0 AS BIGINT) AS ts FROM ids UNION SELECT e.dst, e.ts FROM r JOIN fc e ON e.src = r.id WHERE r.ts <= e.ts)
     SELECT id, min(ts) AS ts FROM r GROUP BY id""", recursive=True)
 def g4_temporal_reach(spark, sf_dir):
-    e = sources.sparse_walk(spark, sf_dir)
-    return traversal.earliest_arrival(e, walk_ids(spark, walk(spark, sf_dir)).filter("id % 10 = 0"))
+    return traversal.earliest_arrival(*_whole(spark, sf_dir))
 
 
-@query(""", r AS (SELECT id AS root, id FROM ids UNION SELECT r.root, e.dst FROM r JOIN sfc e ON e.src = r.id), m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
-    SELECT id, root, dense_rank() OVER (ORDER BY root) - 1 AS component FROM m""", recursive=True)
+_ROOTS = ", r AS (SELECT id AS root, id FROM ids UNION SELECT r.root, e.dst FROM r JOIN fc e ON e.src = r.id), m AS (SELECT id, min(root) AS root FROM r GROUP BY id)"
+_WEAK = ", u AS (SELECT src, dst FROM fc UNION SELECT dst, src FROM fc), r AS (SELECT id AS root, id FROM ids UNION SELECT r.root, u.dst FROM r JOIN u ON u.src = r.id), m AS (SELECT id, min(root) AS root FROM r GROUP BY id)"
+
+
+@query(_ROOTS + " SELECT id, root, dense_rank() OVER (ORDER BY root) - 1 AS component FROM m", recursive=True)
 def g3_components(spark, sf_dir):
-    return traversal.components(sources.sparse_walk(spark, sf_dir), walk_ids(spark, walk(spark, sf_dir)))
+    return traversal.components(*_whole(spark, sf_dir))
 
 
-@query(""", b AS (SELECT src, dst FROM sfc UNION SELECT dst, src FROM sfc), r AS (SELECT id AS root, id FROM ids UNION SELECT r.root, b.dst FROM r JOIN b ON b.src = r.id)
-    SELECT id, min(root) AS root FROM r GROUP BY id""", recursive=True)
+@query(_WEAK + " SELECT id, root FROM m", recursive=True)
 def g3_weak_components(spark, sf_dir):
-    return traversal.weak_components(sources.sparse_walk(spark, sf_dir), walk_ids(spark, walk(spark, sf_dir)))
+    return traversal.weak_components(*_whole(spark, sf_dir))
+
+
+@query(_WEAK + " SELECT root, count(*) AS size FROM m GROUP BY root", recursive=True)
+def a11_component_sizes(spark, sf_dir):
+    return traversal.component_sizes(traversal.weak_components(*_whole(spark, sf_dir)))
+
+
+# Pairs that come again within an hour: a graph of many components
+
+_BURSTS = ", g AS (SELECT DISTINCT a.src, a.dst FROM walk a JOIN walk b ON a.src = b.src AND a.dst = b.dst WHERE b.ts > a.ts AND b.ts - a.ts <= 3600)"
+
+
+def _bursts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pairs that come again within an hour, and the walk's ids."""
+    e, ids = _whole(spark, sf_dir)
+    after = F.lead("ts").over(Window.partitionBy("src", "dst").orderBy("ts"))
+    again = e.select("src", "dst", "ts").distinct().withColumn("after", after).filter(F.col("after") - F.col("ts") <= 3600)
+    return materialised(again.select("src", "dst").distinct(), "bursts"), ids
+
+
+@query(_BURSTS + ", r AS (SELECT id AS root, id FROM ids UNION SELECT r.root, g.dst FROM r JOIN g ON g.src = r.id), m AS (SELECT id, min(root) AS root FROM r GROUP BY id) SELECT id, root, dense_rank() OVER (ORDER BY root) - 1 AS component FROM m", recursive=True)
+def g3_burst_components(spark, sf_dir):
+    return traversal.components(*_bursts(spark, sf_dir))
+
+
+@query(_BURSTS + ", u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), r AS (SELECT id AS root, id FROM ids UNION SELECT r.root, u.dst FROM r JOIN u ON u.src = r.id) SELECT id, min(root) AS root FROM r GROUP BY id", recursive=True)
+def g3_burst_weak_components(spark, sf_dir):
+    return traversal.weak_components(*_bursts(spark, sf_dir))
 
 
 def _rank_sql(steps: int, normalize: bool) -> str:
@@ -452,6 +495,11 @@ def w2_top_ranks(spark, sf_dir):
     return scores.top_ranks(_ranks(spark, sf_dir, False).select("id", F.round("rank", 9).alias("rank")))
 
 
+@query(_rank_sql(3, False) + " SELECT round(sum(rank), 6) AS total, count(*) AS ids FROM r3")
+def a11_rank_sum(spark, sf_dir):
+    return scores.rank_sum(_ranks(spark, sf_dir, False)).select(F.round("total", 6).alias("total"), "ids")
+
+
 def _hits_sql(steps: int) -> str:
     sql = ", a0 AS (SELECT id, 1.0::DOUBLE AS s FROM ids)"
     for i in range(1, steps + 1):
@@ -466,75 +514,21 @@ def g6_hits(spark, sf_dir):
     return scores.hits(e, walk_ids(spark, e), 3).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
-@query(""", p AS (SELECT id, ((id * 2654435761) % 4294967296) // 16777216 AS prio FROM ids),
-    up AS (SELECT sfc.src, sfc.dst FROM sfc JOIN p a ON a.id = sfc.src JOIN p b ON b.id = sfc.dst WHERE sfc.src <> sfc.dst AND (b.prio > a.prio OR (b.prio = a.prio AND sfc.dst < sfc.src))),
-    r AS (SELECT id, CAST(0 AS BIGINT) AS n FROM ids UNION SELECT up.src, r.n + 1 FROM r JOIN up ON up.dst = r.id) SELECT id, max(n) AS color FROM r GROUP BY id""", recursive=True)
-def g8_coloring(spark, sf_dir):
-    ids = walk_ids(spark, walk(spark, sf_dir))
-    return scores.color(sources.sparse_walk(spark, sf_dir), ids.select("id", scores.hash_priority().alias("priority")))
-
-
-@query()
-def g8_coloring_sequence(spark, sf_dir):
-    e = materialised(walk(spark, sf_dir), "walk")
-    return scores.color(e, scores.sequence_priorities(spark, walk_ids(spark, e).count()))
-
-
-# The queries that take the sparse form of the walk (a small fixture of every 31st edge), on all its edges
-
-_WALK_START = "(SELECT min(src) FROM walk)"
-
-
-def _whole(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    e = materialised(walk(spark, sf_dir), "walk")
-    return e, walk_ids(spark, e)
-
-
-@query("SELECT id, count(src) < 4 AS low FROM ids LEFT JOIN walk ON src = id GROUP BY id")
-def n11_low_degree_walk(spark, sf_dir):
-    return access.low_degree(access.out_degrees(*_whole(spark, sf_dir)))
-
-
-@query(", d AS (SELECT id, count(src) AS n FROM ids LEFT JOIN walk ON src = id GROUP BY id) SELECT count(*) FILTER (n > 9) AS seeds, count(*) FILTER (n <= 9) AS others FROM d")
-def n12_seed_filter_walk(spark, sf_dir):
-    return access.seed_counts(access.out_degrees(*_whole(spark, sf_dir)), above=9)
-
-
-@query()
-def g1_bfs_walk(spark, sf_dir):
-    e, _ = _whole(spark, sf_dir)
-    return traversal.bfs(e, _first(spark, e))
-
-
-@query(_arrival_sql("fc", _WALK_START), recursive=True)
-def g2_earliest_arrival_walk(spark, sf_dir):
-    e, _ = _whole(spark, sf_dir)
-    return traversal.earliest_arrival(e, e.agg(F.min("src").alias("id")), "first")
-
-
-@query(_arrival_sql("walk", _WALK_START), recursive=True)
-def g2_earliest_arrival_all_walk(spark, sf_dir):
-    e, _ = _whole(spark, sf_dir)
-    return traversal.earliest_arrival(e, e.agg(F.min("src").alias("id")), "all")
-
-
-@query(""", r AS (SELECT id, CAST(0 AS BIGINT) AS ts FROM ids UNION SELECT e.dst, e.ts FROM r JOIN fc e ON e.src = r.id WHERE r.ts <= e.ts)
-    SELECT id, min(ts) AS ts FROM r GROUP BY id""", recursive=True)
-def g4_temporal_reach_walk(spark, sf_dir):
-    return traversal.earliest_arrival(*_whole(spark, sf_dir))
-
-
-@query()
-def g3_components_walk(spark, sf_dir):
-    return traversal.components(*_whole(spark, sf_dir))
+def _color_sql(priorities: str) -> str:
+    return f""", p AS ({priorities}),
+    up AS (SELECT fc.src, fc.dst FROM fc JOIN p a ON a.id = fc.src JOIN p b ON b.id = fc.dst WHERE fc.src <> fc.dst AND (b.prio > a.prio OR (b.prio = a.prio AND fc.dst < fc.src))),
+    r AS (SELECT id, CAST(0 AS BIGINT) AS n FROM ids UNION SELECT up.src, r.n + 1 FROM r JOIN up ON up.dst = r.id) SELECT id, max(n) AS color FROM r GROUP BY id"""
 
 
-@query()
-def g3_weak_components_walk(spark, sf_dir):
-    return traversal.weak_components(*_whole(spark, sf_dir))
+@query(_color_sql("SELECT id, ((id * 2654435761) % 4294967296) // 16777216 AS prio FROM ids"), recursive=True)
+def g8_coloring(spark, sf_dir):
+    e, ids = _whole(spark, sf_dir)
+    return scores.color(e, ids.select("id", scores.hash_priority().alias("priority")))
 
 
-@query()
-def g8_coloring_walk(spark, sf_dir):
+#: The sequence is that of a linear congruence modulo 2**48, begun at (123 xor its factor): each state follows from the one before.
+@query(""", q AS (SELECT CAST(0 AS BIGINT) AS id, CAST(xor(123, 25214903917) AS HUGEINT) AS state UNION ALL SELECT id + 1, (state * 25214903917 + 11) % 281474976710656 FROM q WHERE id <= (SELECT max(id) FROM ids))"""
+    + _color_sql("SELECT id - 1 AS id, state // 1099511627776 AS prio FROM q WHERE id > 0"), recursive=True)
+def g8_coloring_sequence(spark, sf_dir):
     e, ids = _whole(spark, sf_dir)
-    return scores.color(e, ids.select("id", scores.hash_priority().alias("priority")))
+    return scores.color(e, scores.sequence_priorities(spark, ids.count()))

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
@@ -60,6 +61,34 @@ def discarded(*tables: DataFrame) -> None:
             fs.delete(at, True)
 
 
+def kept_by(df: DataFrame, key: str) -> DataFrame:
+    """The rows, written, then dealt out by the key and kept by the executors: joins on the key move the other side only.
+
+    What a lost executor kept is read again. To be given back with ``unpersist``.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialised(df, "kept").repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+class Grown:
+    """A table in the shared folder to which steps of a loop add rows."""
+
+    def __init__(self, spark: SparkSession, schema: str, name: str):
+        self.spark, self.schema, self.name, self.parts = spark, schema, name, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Adds the rows; returns them as written."""
+        self.parts.append(materialised(df, self.name))
+        return self.parts[-1]
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[p._table_path for p in self.parts])
+
+    def discard(self) -> None:
+        discarded(*self.parts)
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds the 0-based place of each row in the order, without bringing the rows into one partition.
 

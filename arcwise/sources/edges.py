@@ -12,26 +12,62 @@ _SECONDS = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as
 SCHEMA = "src bigint, dst bigint, ts bigint"
 
 
-def read_text_edges(spark: SparkSession, path: str, header: bool = False, shift: int = 0, partitions: int | None = None) -> DataFrame:
+def _lines(spark: SparkSession, path: str, header: bool) -> DataFrame:
+    """(line, file, block) of lines that aren't blank; with ``header`` without each file's first one."""
+    if header:
+        # The CSV reader leaves out the first line with text of a file, and only there; no line has its separator.
+        read = spark.read.schema("value string").option("header", True).option("sep", "\u0001").option("quote", "").option("enforceSchema", True).csv(path)
+    else:
+        read = spark.read.text(path)
+    line = F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line")
+    return read.select(line, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).filter("line != ''")
+
+
+def read_text_edges(spark: SparkSession, path: str, header: bool = False, shift: int = 0, partitions: int | None = None, check_sorted: bool = False) -> DataFrame:
     """Edges of whitespace-separated lines ``src dst <ignored> ts`` (gzip or plain).
 
     Blank lines are skipped; a line with fewer than four columns, a column that is no integer or a negative
     node fails the job. ``shift`` is added to node ids. ``header``: the first line that isn't blank of every file is left
-    out, told by its first column, which is no integer. A gzip file can't be split, so rows can be dealt
-    out anew by source with ``partitions``.
+    out, whatever stands in it. ``check_sorted`` reads the files once before and raises ValueError if a file's sources
+    decrease. A gzip file can't be split, so rows can be dealt out anew by source with ``partitions``.
     """
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line")).filter("line != ''")
+    lines = _lines(spark, path, header)
     cols = F.split("line", " ")
-    if header:
-        lines = lines.filter(F.get(cols, F.lit(0)).rlike(r"^-?\d+$"))
     number = lambda i: F.get(cols, F.lit(i)).try_cast("bigint")
-    rows = lines.select("line", *[number(i).alias(c) for i, c in enumerate(("src", "dst", "_skipped", "ts"))])
+    rows = lines.select("line", "file", "block", *[number(i).alias(c) for i, c in enumerate(("src", "dst", "_skipped", "ts"))])
     sound = F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col("_skipped").isNotNull() & F.col("ts").isNotNull() & (F.col("src") >= 0) & (F.col("dst") >= 0)
     bad = F.raise_error(F.concat(F.lit("not an edge: "), F.col("line"))).cast("bigint")
-    out = rows.select(*[F.when(sound, F.col(c) + (shift if c != "ts" else 0)).otherwise(bad).alias(c) for c in ("src", "dst", "ts")])
+    edge = [F.when(sound, F.col(c) + (shift if c != "ts" else 0)).otherwise(bad).alias(c) for c in ("src", "dst", "ts")]
+    if check_sorted and (found := unsorted_files(rows.select("file", "block", edge[0])).first()):
+        raise ValueError(f"sources decrease in {found['file']}, from {found['before']} to {found['src']}")
+    out = rows.select(*edge)
     return out.repartition(partitions, "src") if partitions else out
 
 
+def unsorted_files(rows: DataFrame) -> DataFrame:
+    """(file, before, src): where sources decrease within a file. rows (file, block, src) come as they are read, a file's blocks each in order.
+
+    A block gives one row; only these are put in order by file.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: dict = {}  # (file, block): [first, last, before, src] of this task's splits
+        for batch in batches:
+            for file, block, src in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "src")), strict=True):
+                s = seen.setdefault((file, block), [src, src, None, None])
+                if src < s[1] and s[2] is None:
+                    s[2:] = s[1], src
+                s[1] = src
+        columns = [*zip(*seen), *zip(*seen.values())] if seen else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["file", "block", "first", "last", "before", "src"])
+
+    blocks = rows.mapInArrow(run, "file string, block bigint, first bigint, last bigint, before bigint, src bigint")
+    prior = F.lag("last").over(Window.partitionBy("file").orderBy("block"))
+    return blocks.withColumn("prior", prior).select("file", F.coalesce("before", "prior").alias("before"), F.when(F.col("before").isNotNull(), F.col("src")).otherwise(F.col("first")).alias("src")).filter("src < before")
+
+
 def unsorted_sources(edges: DataFrame, position: str) -> DataFrame:
     """Positions at which the source is less than on the position before, in blocks of 2**16 positions with one border row each."""
     block = F.floor(F.col(position) / 65536)
@@ -63,11 +99,6 @@ def event_walk(spark: SparkSession, sf_dir: str, bucket_seconds: int = 21_600) -
     return out.filter("dst is not null").select(F.col("user_id").cast("bigint").alias("src"), F.col("dst").cast("bigint"), F.expr(_SECONDS).alias("ts"), "event_id")
 
 
-def sparse_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 31st edge of the walk."""
-    return event_walk(spark, sf_dir).filter("event_id % 31 = 0").select("src", "dst", "ts")
-
-
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from customers to suppliers (ids from a million on) at the day of shipping."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")

@@ -63,13 +63,13 @@ def test_whole_walk_equals_plain_python(spark, tables):
                 root.setdefault(x, i)
         return root
 
-    bfs = {r["id"]: r["dist"] for r in catalog.QUERIES["g1_bfs_walk"](spark, tables).collect()}
+    bfs = {r["id"]: r["dist"] for r in catalog.QUERIES["g1_bfs"](spark, tables).collect()}
     assert bfs == reached(min(out), out) and len(bfs) > 10
-    for name, links in (("g3_components_walk", out), ("g3_weak_components_walk", both)):
+    for name, links in (("g3_components", out), ("g3_weak_components", both)):
         assert {r["id"]: r["root"] for r in catalog.QUERIES[name](spark, tables).collect()} == least(links)
     ids = range(top + 1)
     priority = {i: ((i * 2654435761) % 4294967296) // 16777216 for i in ids}
     color = {}
     for i in sorted(ids, key=lambda i: (-priority[i], i)):
         color[i] = max([color[j] + 1 for j in out.get(i, ()) if j != i and (-priority[j], j) < (-priority[i], i)], default=0)
-    assert {r["id"]: r["color"] for r in catalog.QUERIES["g8_coloring_walk"](spark, tables).collect()} == color
+    assert {r["id"]: r["color"] for r in catalog.QUERIES["g8_coloring"](spark, tables).collect()} == color

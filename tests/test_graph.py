@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+import shutil
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arcwise.functions import codec
 from arcwise.graph import TemporalGraph, run_workload, workload
-from arcwise.operators import access, scores, storage
+from arcwise.operators import access, scores, storage, traversal
 from arcwise.sources import edges as sources, sinks
 from arcwise.streaming import ingest
 
@@ -203,6 +204,26 @@ def test_text_edges(spark, tmp_path):
     assert sources.read_text_edges(spark, str(path), shift=5).agg(F.min("src")).first()[0] == 5
     (tmp_path / "head.txt").write_text("src dst w ts\n1 2 3 4\n")
     assert [tuple(r) for r in sources.read_text_edges(spark, str(tmp_path / "head.txt"), header=True, partitions=2).collect()] == [(1, 2, 4)]
+    # Only the first line with text of each file is a header, whatever stands in it.
+    (tmp_path / "heads").mkdir()
+    (tmp_path / "heads" / "a.txt").write_text("\n7 8 9 10\n1 2 3 4\n\n1 \"3 4\" 5\n")
+    (tmp_path / "heads" / "b.txt").write_text("src dst w ts\n5 6 7 8\n")
+    with pytest.raises(Exception, match="not an edge"):
+        sources.read_text_edges(spark, str(tmp_path / "heads"), header=True).collect()
+    (tmp_path / "heads" / "a.txt").write_text("\n7 8 9 10\n1 2 3 4\n\n1 3 4 5\n")
+    assert sorted(map(tuple, sources.read_text_edges(spark, str(tmp_path / "heads"), header=True, check_sorted=True).collect())) == [(1, 2, 4), (1, 3, 5), (5, 6, 8)]
+    with pytest.raises(ValueError, match="sources decrease in .*a.txt, from 7 to 1"):
+        sources.read_text_edges(spark, str(tmp_path / "heads" / "a.txt"), check_sorted=True)
+    (tmp_path / "heads" / "a.txt").write_text("\n".join(f"{i} 1 1 1" for i in [*range(5000), 4000]))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")  # several splits of a file
+        with pytest.raises(ValueError, match="from 4999 to 4000"):
+            sources.read_text_edges(spark, str(tmp_path / "heads" / "a.txt"), check_sorted=True)
+        (tmp_path / "heads" / "a.txt").write_text("\n".join(f"{i} 1 1 1" for i in range(5000)))
+        assert sources.read_text_edges(spark, str(tmp_path / "heads" / "a.txt"), check_sorted=True).count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     for bad in ("1 2 3\n", "1 2 x 4\n", "-1 2 3 4\n"):
         (tmp_path / "bad.txt").write_text(bad)
         with pytest.raises(Exception, match="not an edge"):
@@ -214,9 +235,18 @@ def test_text_edges(spark, tmp_path):
 def test_stored_graph_and_stream(spark, t0, tmp_path):
     t0.write(str(tmp_path / "g"), partitions=3)
     assert sorted(map(tuple, TemporalGraph.read(spark, str(tmp_path / "g")).edges.collect())) == sorted(T0)
+    assert TemporalGraph.read(spark, str(tmp_path / "g")).high == 8 and sinks.read_properties(spark, str(tmp_path / "g")) == {"low": 0, "high": 8}
+    t0.active(2, 7).write(str(tmp_path / "s"), stats=True)
+    assert sinks.read_properties(spark, str(tmp_path / "s"))["arcs"] == 11 and TemporalGraph.read(spark, str(tmp_path / "s")).low == 2
     stream = ingest.edge_stream(spark, str(tmp_path / "g"), 1)
+    TemporalGraph.from_edges(spark.createDataFrame([(9, 9, 9)], sources.SCHEMA)).write(str(tmp_path / "out"))
     ingest.append_edges(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(T0)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted([*T0, (9, 9, 9)])
+    assert sinks.read_properties(spark, str(tmp_path / "out")) is None and TemporalGraph.read(spark, str(tmp_path / "out")).high == 10
+    # A batch that is tried again takes the place of its files.
+    shutil.rmtree(tmp_path / "check" / "commits")
+    ingest.append_edges(ingest.edge_stream(spark, str(tmp_path / "g"), 1), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted([*T0, (9, 9, 9)])
     counts = ingest.windowed_degrees(ingest.edge_stream(spark, str(tmp_path / "g")), "10 seconds", "0 seconds")
     q = counts.writeStream.format("memory").queryName("degrees").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -226,3 +256,39 @@ def test_stored_graph_and_stream(spark, t0, tmp_path):
 def test_packed_degrees(spark, t0):
     out = sinks.packed_degrees(t0.out_degrees(), 4).orderBy("block").collect()
     assert [int.from_bytes(b[i : i + 4], "big") for r in out for b in [bytes(r["bytes"])] for i in range(0, 16, 4)] == [3, 2, 1, 2, 0, 1, 1, 1]
+
+
+def test_hubs_are_read_as_a_stream(spark):
+    r = random.Random(8)
+    rows = [(r.choice([1, 1, 1, 2, 3]), r.randrange(9), r.randrange(-50, 100)) for _ in range(300)]
+    e, ids = spark.createDataFrame(rows, sources.SCHEMA), spark.range(0, 5)
+    whole, parts = (sorted(map(tuple, access.degree_centrality(e, ids, hub=h).collect())) for h in (1000, 70))
+    assert whole == parts and whole[4] == (4, 0, 0)
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    n, rounds = 5000, []
+    e = spark.range(n - 1).selectExpr("id * 7919 % 5000 as src", "(id + 1) * 7919 % 5000 as dst", "0L as ts")
+    monkeypatch.setattr(traversal, "discarded", lambda *t: rounds.append(t))
+    roots = traversal.weak_components(e, spark.range(n + 1))
+    assert {r["id"]: r["root"] for r in roots.collect()} == {**dict.fromkeys(range(n), 0), n: n}
+    assert len(rounds) < 30
+
+
+def test_coloring_is_the_same_in_one_task_and_in_rounds(spark):
+    r = random.Random(12)
+    rows = [(r.randrange(40), r.randrange(40), 0) for _ in range(300)]
+    e, p = spark.createDataFrame(rows, sources.SCHEMA), spark.range(45).selectExpr("id", "id * 7 % 5 as priority")
+    for most in (512, 3, 1):
+        whole, rounds, some = (sorted(map(tuple, scores.color(e, p, most, local_arcs=k).collect())) for k in (10**6, 0, 60))
+        assert whole == rounds == some
+        assert max(c for _, c in whole if c is not None) == (most - 1 if most < 9 else max(c for _, c in whole)) and len(whole) == 45
+
+
+def test_arrival_parents_and_rank_sum(spark, t0):
+    got = {r["id"]: (r["ts"], r["parent"]) for r in traversal.earliest_arrival(t0.edges, spark.createDataFrame([(0,)], "id bigint"), "all", parents=True).collect()}
+    assert got == {0: (0, -1), 1: (5, 0), 2: (3, 0), 3: (8, 1), 4: (12, 3)}
+    assert traversal.bfs(t0.edges, 0, parents=False).columns == ["id", "dist"]
+    total = scores.rank_sum(t0.page_rank(2, normalize=True)).first()
+    assert math.isclose(total["total"], 1) and total["ids"] == 8
+    assert sorted(map(tuple, traversal.component_sizes(traversal.weak_components(t0.edges, t0.ids)).collect())) == [(0, 6), (5, 2)]
