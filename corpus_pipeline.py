@@ -15,7 +15,7 @@ from arcwise.llm.jaccard_join import shingle_components
 from arcwise.llm.language import UNKNOWN, held_out, identify, train
 from arcwise.llm.line_dedup import drop_repeated_lines
 from arcwise.llm.queries import RANKS
-from arcwise.llm.shared import table, written
+from arcwise.llm.shared import free_names, table, written
 
 #: A document whose likeliest language is less likely than this is rejected.
 MIN_SCORE = 0.3
@@ -35,9 +35,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    groups = shingle_components(docs, size=5, share=80)
-    return docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Keeps one document of each group of near-duplicates, that of least id: five-word shingles, similarity 0.8 or more.
+
+    Rows without id and rows that share one are told apart by their text; they stand behind the others of their group.
+    """
+    node, again, row = free_names(docs, "node", "again", "row")
+    col = lambda c: F.col(f"`{c}`")
+    columns = [col(c) for c in docs.columns]
+    odd = written(docs.groupBy(col("doc_id").alias(node)).count().filter(f"count > 1 or {node} is null").select(node, F.lit(True).alias(again)), "again")
+    if odd.isEmpty():
+        groups = shingle_components(docs, size=5, share=80)
+        return docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(columns)
+    rows = docs.join(odd, F.col("doc_id").eqNullSafe(F.col(node)), "left").drop(node)
+    own = (1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
+    rows = rows.withColumn(node, F.when(col(again), own).otherwise(F.col("doc_id").cast("bigint")))
+    groups = shingle_components(rows, doc=node, size=5, share=80)
+    left = rows.join(groups.filter(col(node) != F.col("component_id")).select(node).distinct(), node, "left_anti")
+    # Rows that repeat both id and text are one document; empty ones are in no group.
+    wordy = F.coalesce(col(again) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = left.filter(wordy).groupBy(node).agg(F.first(F.struct(*columns)).alias(row)).select(f"{row}.*")
+    return left.filter(~wordy).select(columns).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
