@@ -14,7 +14,7 @@ overlap of intervals, by document and bin; a weak candidate is reported only if
 complete a credential: an identifier needs a secret, a secret an identifier, an endpoint both. One
 that overlaps a base span is not reported again.
 
-The join asks for each candidate whether complements exist, so no pair is emitted; a bin's list
+The join asks for each candidate whether complements exist in any of its bins, so no pair is emitted; a bin's list
 holds what fits into ``BIN`` characters, whatever the document's length.
 
 Null and empty texts have no spans. Very long texts are scanned whole. Rows that repeat an id are
@@ -73,8 +73,6 @@ def _linked(spans: DataFrame) -> DataFrame:
     reach = spans.select("key", "kind", F.struct("start", "end").alias("at"), bins(F.col("start") - SCOPE, F.col("end") + SCOPE))
     of = lambda kinds: F.collect_list(F.when(F.col("kind").isin(kinds), F.col("at")))
     held = reach.groupBy("key", "bin").agg(*[of(kinds).alias(role) for role, kinds in ROLES.items()], of(BASE).alias("base"))
-    # A bin without complementary parts completes nothing.
-    held = held.filter((F.size("identifier") > 0) & (F.size("secret") > 0))
 
     def near(role, far):
         return F.exists(role, lambda x: (x["start"] < F.col("end") + far) & (x["end"] > F.col("start") - far))
