@@ -35,7 +35,7 @@ _FOLD[48:58] = 48
 
 
 def grams(texts: list[str], dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, offsets): hashed n-grams of the texts, one after the other; places has a row for each length 1, 2 and 3."""
+    """(places, offsets): hashed n-grams of the texts, one after the other; places has a row for each length 1, 2 and 3, and dims where a text ends first."""
     low = [t.lower() for t in texts]
     code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     small = code < 128
@@ -46,14 +46,14 @@ def grams(texts: list[str], dims: int) -> tuple[np.ndarray, np.ndarray]:
     edge[: len(code)] = False
     edge[at[:-1]] = True
     c = code.astype(U64)
-    out = np.empty((3, len(code)), np.int32)
+    out = np.full((3, len(code)), dims, np.int32)
     h = np.zeros(len(code) + 2, U64)
     h[: len(code)] = mix(c)
     out[0] = h[: len(code)] & U64(dims - 1)
     two = h[:-2] * U64(3) ^ h[1:-1] * U64(0x9E3779B97F4A7C15)
-    out[1] = np.where(edge[1:-1], 0, mix(two) & U64(dims - 1))
+    out[1] = np.where(edge[1:-1], U64(dims), mix(two) & U64(dims - 1))
     three = two * U64(5) ^ h[2:] * U64(0xC2B2AE3D27D4EB4F)
-    out[2] = np.where(edge[1:-1] | edge[2:], 0, mix(three) & U64(dims - 1))
+    out[2] = np.where(edge[1:-1] | edge[2:], U64(dims), mix(three) & U64(dims - 1))
     return out, at
 
 
@@ -61,7 +61,7 @@ def counts(texts: list[str], dims: int):
     """For each text, how often each place occurs, as an array of length dims."""
     places, at = grams(texts, dims)
     for a, b in zip(at[:-1], at[1:], strict=True):
-        yield np.bincount(places[:, a:b].ravel(), minlength=dims)
+        yield np.bincount(places[:, a:b].ravel(), minlength=dims + 1)[:dims]
 
 
 @dataclass
@@ -161,9 +161,11 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
 
     def sparse(batches):
         for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            got = [(p := np.flatnonzero(c), c[p]) for c in counts(texts, dims)]
-            yield pa.RecordBatch.from_arrays([pa.array([p.astype("<i4").tobytes() for p, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary()), batch.column(1)], names=["place", "n", "lang"])
+            _, offsets = text_bytes(batch.column(0))
+            for a, b in chunks(offsets):
+                part = batch.slice(a, b - a)
+                got = [(p := np.flatnonzero(c), c[p]) for c in counts([x or "" for x in part.column(0).to_pylist()], dims)]
+                yield pa.RecordBatch.from_arrays([pa.array([p.astype("<i4").tobytes() for p, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary()), part.column(1)], names=["place", "n", "lang"])
 
     chosen = least_hashed(rows, sample, "key").select("text", "lang")
     own = chosen.transform(in_batches, sparse, "place binary, n binary, lang string").collect()  # sample rows of dims places at most
@@ -199,7 +201,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores += s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*kept).transform(in_batches, run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).transform(in_batches, run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
