@@ -10,7 +10,7 @@ decided by exact intersection of the sorted arrays.
 Work stays in proportion to links: sets that are equal meet by their signature; in each tile a
 document is first compared with the smallest set of its band (a star), whatever the number of near copies;
 after that only documents of different components are compared, and of these each names just its nearest
-in a tile, until that joins no more components; then all pairs that are left are compared.
+in a tile, in two rounds; then all pairs that are left are compared.
 Broadcast are the counters' levels (4 MB) and Bloom filters (1 MB), whose size doesn't grow.
 
 Null, empty and wordless texts have the empty set and link with nothing. Rows that repeat a doc_id are
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, window_hashes, word_hashes, words
-from arcwise.llm.components import connected_components
 from arcwise.llm.shared import in_batches, prepared, written
+from arcwise.operators.traversal import connected_components
 
 SIZE = 4
 SHARE = 85

@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcwise.llm.components import connected_components
 from arcwise.llm.shared import in_batches, least_hashed, prepared, written
+from arcwise.operators.traversal import connected_components
 
 COSINE = 0.93
 SAMPLE = 20_000

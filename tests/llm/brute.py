@@ -122,3 +122,88 @@ def repeated_lines(docs, min_words=1, share=80):
         for w in s:
             by.setdefault(w, []).append(k)
     return out
+
+
+WEAK = [("key_id", re.compile("(?<![A-Z0-9])AKIA[A-Z0-9]{8,13}(?![A-Z0-9])")), ("blob", re.compile("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")), ("endpoint", re.compile("https?://[A-Za-z0-9.-]+"))]
+
+
+def secret_spans(t, scope=400):
+    """Base spans and the weak ones that parts in reach complete, as (start, kind's place, end)."""
+    kinds = ["assign", "access", "hex", "value", "key_id", "blob", "endpoint"]
+    spans = [(name, a, b) for name, a, b in base_spans(t)]
+    weak = [("value", m.start(), m.end()) for m in BASE[0][1].finditer(t) if 6 <= len(m[2]) < 12]
+    for name, p in WEAK:
+        weak += [(name, m.start(), m.end()) for m in p.finditer(t) if name != "blob" or all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
+    every, out = spans + weak, list(spans)
+    for name, a, b in weak:
+        near = {k for k, x, y in every if x < b + scope and y > a - scope}
+        whole = (near & {"access", "key_id"} or name in ("access", "key_id")) and (near & {"assign", "hex", "value", "blob"} or name in ("value", "blob"))
+        if whole and not any(x < b and y > a for _, x, y in spans):
+            out.append((name, a, b))
+    return sorted((a, kinds.index(k), b) for k, a, b in out)
+
+
+def language_model(rows, sample, dims, epochs, alpha, beta, l1, l2, seed):
+    """(languages, scores of a text): rows (text, lang) give document frequencies, the sample's rows the weights, in their order."""
+    import math
+
+    import numpy as np
+
+    def mixed(x):
+        m = (1 << 64) - 1
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+        return x ^ (x >> 31)
+
+    def features(t):
+        m = (1 << 64) - 1
+        c = [48 if x in range(48, 58) else x if x > 127 or chr(x).isalpha() else 32 for x in map(ord, t.lower())]
+        count = {}
+        for i, x in enumerate(c):
+            keys = [mixed(x)]
+            if i + 1 < len(c):
+                two = (mixed(x) * 3 & m) ^ (mixed(c[i + 1]) * 0x9E3779B97F4A7C15 & m)
+                keys.append(mixed(two))
+                if i + 2 < len(c):
+                    keys.append(mixed((two * 5 & m) ^ (mixed(c[i + 2]) * 0xC2B2AE3D27D4EB4F & m)))
+            for k in keys:
+                count[k % dims] = count.get(k % dims, 0) + 1
+        return count
+
+    every = [features(t) for t, _ in rows]
+    seen = [0] * dims
+    for f in every:
+        for k in f:
+            seen[k] += 1
+    idf = [math.log((1 + len(rows)) / (1 + s)) + 1 for s in seen]
+
+    def vector(t):
+        x = {k: (1 + math.log(n)) * idf[k] for k, n in features(t).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {k: v / size for k, v in x.items()}
+
+    langs = sorted({lang for _, lang in sample})
+    z, n = ([{} for _ in langs] for _ in range(2))
+    bias = dims
+
+    def weight(c, k):
+        a = z[c].get(k, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((beta + math.sqrt(n[c].get(k, 0.0))) / alpha + l2)
+
+    data = [({**vector(t), bias: 0.1}, langs.index(lang)) for t, lang in sample]
+    fit = [d for i, d in enumerate(data) if i % 5 or len(data) < 20]
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in order.permutation(len(fit)):
+            x, label = fit[i]
+            w = [{k: weight(c, k) for k in x} for c in range(len(langs))]
+            s = [sum(w[c][k] * v for k, v in x.items()) for c in range(len(langs))]
+            e = [math.exp(v - max(s)) for v in s]
+            for c in range(len(langs)):
+                g0 = e[c] / sum(e) - (c == label)
+                for k, v in x.items():
+                    g = g0 * v
+                    had = n[c].get(k, 0.0)
+                    z[c][k] = z[c].get(k, 0.0) + g - (math.sqrt(had + g * g) - math.sqrt(had)) / alpha * w[c][k]
+                    n[c][k] = had + g * g
+    return langs, lambda t: [sum(weight(c, k) * v for k, v in {**vector(t), bias: 0.1}.items()) for c in range(len(langs))]

@@ -1,6 +1,7 @@
 import random
 
-from arcwise.llm import components, jaccard_join, line_dedup
+from arcwise.llm import jaccard_join, line_dedup
+from arcwise.operators import traversal as components
 from tests.llm import brute
 from tests.llm.test_text_operators import documents, sorted_rows
 

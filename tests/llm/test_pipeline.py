@@ -46,3 +46,17 @@ def test_stages_take_nulls_and_empty_tables(spark, tables):
         assert stage(spark, docs.limit(0), tables).count() == 0
         rows = stage(spark, docs, tables).collect()
         assert len(rows) == (0 if name == "language ID" else 3)
+
+
+def test_one_document_of_each_group_stays_whatever_its_id(spark, tables):
+    near = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    text = " ".join(f"word{i} of a long line" for i in range(30))
+    docs = [(5, text, "a"), (5, text, "a"), (6, text + " end", "b"), (None, text, "c"), (None, "quite another text without any copy at all", "d"), (7, "one more text of seven words here", "e"), (7, "and this one has the same id", "f"), (8, "", "g"), (8, "", "g"), (9, None, "h")]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, source string, _node string")
+    out = near(spark, df, tables)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["source"]) for r in out.collect()), key=str)
+    assert len([1 for _, s in got if s in "abc"]) == 1 and (6, "b") in got
+    assert [x for x in got if x[1] not in "abc"] == [(7, "e"), (7, "f"), (8, "g"), (8, "g"), (9, "h"), (None, "d")]
+    same = near(spark, spark.createDataFrame([(3, text), (3, text), (3, text)], "doc_id bigint, text string"), tables).collect()
+    assert [r["doc_id"] for r in same] == [3]

@@ -156,3 +156,41 @@ def test_secrets_link_only_complementary_parts(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",") if x] for r in secrets.secret_digest(df).collect()}
     assert got == {1: ["key_id", "value"], 2: [], 3: [], 4: ["endpoint", "key_id", "assign"], 5: ["assign"]}
+
+
+def test_secret_links_equal_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    parts = ["AKIAABCDEFGH12", "AKIA" + "Z9" * 8, "password=short1", "token: abcdefghijklmnop", "0123456789abcdef0", "https://api.example.com", "aB3" * 14, "deadbeef" * 5 + "Q", "é"]
+    docs = []
+    for d in range(120):
+        t = ""
+        for _ in range(r.randrange(1, 9)):
+            t += r.choice([" ", "\n", "x " * r.randrange(1, 30), "y " * r.choice([195, 199, 200, 201, 205, 390, 398, 400, 401, 410])]) + r.choice(parts)
+        docs.append((d, t))
+    # An identifier in one bin and a secret in the next, each only just in reach of an endpoint over the edge between them.
+    docs.append((500, "z " * 190 + "AKIAABCDEFGH12" + " " * 390 + "https://api.example.com/" + "q " * 190 + "password=short1"))
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_digest(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    want = {d: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute.secret_spans(t)) for d, t in docs}
+    assert got == want
+    assert sum("endpoint" in x for x in want.values()) > 10 and "endpoint" in want[500]
+
+
+def test_language_equals_a_plain_computation(spark, tables):
+    import numpy as np
+
+    from arcwise.llm.shared import least_hashed
+
+    df = spark.read.parquet(f"{tables}/documents.parquet").orderBy("doc_id").limit(60).select("doc_id", F.substring("text", 1, 150).alias("text"), "lang").cache()
+    learn = df.filter(~language.held_out() & F.col("lang").isNotNull())
+    sample = [(r["text"] or "", r["lang"]) for r in least_hashed(learn.withColumnRenamed("doc_id", "key"), 25, "key").collect()]
+    langs, scores = brute.language_model([(r["text"] or "", r["lang"]) for r in learn.collect()], sample, 512, 4, 2.0, 1.0, 2e-3, 1e-3, 7)
+    model = language.train(df, ~language.held_out(), dims=512, sample=25)
+    assert model.languages == langs and len(langs) > 1
+    texts = [r["text"] for r in df.collect()]
+    names, got = model.predict(texts)
+    for text, name, score in zip(texts, names, got, strict=True):
+        z = np.array(scores(text)) / model.temperature
+        p = np.exp(z - z.max())
+        assert name == langs[int(z.argmax())] and np.isclose(score, p.max() / p.sum(), rtol=1e-6)
