@@ -40,7 +40,7 @@ _PIECE, _TOGETHER, _ALONE = 500_000, 600_000, 6_000
 #: Groups that are sorted together at least.
 _ROWS = 64
 
-_SEEN = np.dtype([("h", "<u4"), ("h2", "u1"), ("f", "<u4")])
+_SEEN = np.dtype([("h", "<u4"), ("h2", "u1"), ("f", "<u8")])
 _PLACE = np.dtype([("h", "<u4"), ("h2", "u1"), ("doc", "<i8"), ("text", "<u2"), ("at", "<u4"), ("n", "u1")])
 _RUN = np.dtype([("doc", "<i8"), ("text", "<u2"), ("at", "<u4"), ("n", "u1")])
 
@@ -118,7 +118,7 @@ def _slots(docs: DataFrame, length: int, gram: int) -> np.ndarray:
     def seen(batches):
         for *_, h, _, _, f in _pieces(batches, length, gram):
             out = np.empty(len(h), _SEEN)
-            out["h"], out["h2"], out["f"] = h >> U64(32), (h >> U64(24)) & U64(255), f >> U64(32)
+            out["h"], out["h2"], out["f"] = h >> U64(32), (h >> U64(24)) & U64(255), f
             yield packed.packed(h, out, buckets)
 
     def count(r):
@@ -177,76 +177,80 @@ def _travelling(docs: DataFrame, slots, length: int, gram: int) -> DataFrame:
     return docs.transform(in_batches, run, "bucket int, places binary, known int, bytes binary")
 
 
-def least_ids(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], data: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each group (starts, string counts, least ids of its distinct fragments): the least id of each string of each fragment, in order.
+def _places(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... (many[i] of them), one after the other."""
+    ends = np.cumsum(many)
+    return np.repeat(begin - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
 
-    A group's fragments are joined, a 0 behind each, and its suffixes sorted; symbols are byte values plus one, of which 256 becomes the
-    free value 255 where the group allows it.
-    """
-    out: list = [None] * len(groups)
-    sizes = np.array([int(np.sum(n + length)) for _, n, _ in groups])
-
-    def joined(k):
-        starts, n, _ = groups[k]
-        x = np.zeros(sizes[k], np.int64)
-        at = np.r_[0, np.cumsum(n + length)]
-        for a, s, m in zip(at[:-1], starts, n, strict=True):
-            x[a : a + m + length - 1] = data[s : s + m + length - 1].astype(np.int64) + 1
-        return x, at
-
-    def decided(k, x, at, order):
-        _, n, low = groups[k]
-        owner = np.searchsorted(at, order, "right") - 1
-        own = order - at[owner] < n[np.minimum(owner, len(n) - 1)]
-        own &= owner < len(n)
+
+class _Joined:
+    """The texts of some groups, one after the other: a group's fragments are joined, a 0 behind each; symbols are byte values plus one."""
+
+    def __init__(self, groups, data: np.ndarray, length: int):
+        self.length = length
+        starts, self.n, self.low = (np.concatenate([g[i] for g in groups]) for i in range(3))
+        self.n = self.n.astype(np.int64)
+        size = self.n + length
+        self.at = np.cumsum(size) - size
+        self.x = np.zeros(int(size.sum()), np.int16)
+        self.x[_places(self.at, size - 1)] = data[_places(starts, size - 1)].astype(np.int16) + 1
+        self.many = np.array([len(g[0]) for g in groups])  # fragments of each group
+        self.first = np.r_[0, np.cumsum(self.many)]
+        self.edge = np.r_[self.at, len(self.x)][self.first]  # where each group begins
+
+    def text(self, k: int) -> np.ndarray:
+        return self.x[self.edge[k] : self.edge[k + 1]]
+
+    def decided(self, orders: list[np.ndarray]) -> list[np.ndarray]:
+        """For each group, the least id of each string of each fragment, given its suffixes in order."""
+        order = np.concatenate([o + e for o, e in zip(orders, self.edge, strict=False)])
+        owner = np.searchsorted(self.at, order, "right") - 1
+        own = order - self.at[owner] < self.n[owner]
         order, owner = order[own], owner[own]
-        views = np.lib.stride_tricks.sliding_window_view(x, length)
+        group = np.repeat(np.arange(len(self.many)), self.many)[owner]
+        views = np.lib.stride_tricks.sliding_window_view(self.x, self.length)
         same = np.zeros(len(order), bool)
         for i in range(0, len(order) - 1, 20_000):
             j = min(i + 20_000, len(order) - 1)
             same[i + 1 : j + 1] = (views[order[i + 1 : j + 1]] == views[order[i:j]]).all(axis=1)
+        same[1:] &= group[1:] == group[:-1]
         head = np.flatnonzero(~same)
-        least = np.minimum.reduceat(low[owner], head)
+        nth = np.cumsum(self.n) - self.n
         place = np.empty(len(order), np.int64)
-        nth = np.r_[0, np.cumsum(n)]
-        place[nth[owner] + order - at[owner]] = np.repeat(least, np.diff(np.r_[head, len(order)]))
-        out[k] = place
+        place[nth[owner] + order - self.at[owner]] = np.repeat(np.minimum.reduceat(self.low[owner], head), np.diff(np.r_[head, len(order)]))
+        return np.split(place, np.r_[nth, len(order)][self.first[1:-1]])
 
+
+def least_ids(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], data: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each group (starts, string counts, least ids of its distinct fragments): the least id of each string of each fragment, in order.
+
+    Suffixes that share their first ``length`` symbols stand together in a group's order. Symbol 256 becomes the free value 255 where
+    the group allows it.
+    """
+    out: list = [None] * len(groups)
+    sizes = np.array([int(np.sum(n.astype(np.int64) + length)) for _, n, _ in groups])
     ranked = np.argsort(sizes, kind="stable")
     i = 0
     while i < len(ranked):
-        k = ranked[i]
-        if sizes[k] > _ALONE:
-            x, at = joined(k)
-            decided(k, x, at, np.array(sort_one(x.tolist())))
-            i += 1
-            continue
-        j = i
-        while j < len(ranked) and sizes[ranked[j]] <= _ALONE and sizes[ranked[j]] * (j - i + 1) <= _TOGETHER and sizes[ranked[j]] <= max(1.3 * sizes[k], sizes[k] + 40):
+        low = sizes[ranked[i]]
+        j = i + 1
+        while j < len(ranked) and sizes[ranked[j]] <= _ALONE and sizes[ranked[j]] * (j - i + 1) <= _TOGETHER and sizes[ranked[j]] <= max(1.3 * low, low + 40):
             j += 1
-        if j - i < _ROWS:
-            # Too few for a step in all rows at once to pay.
-            for k in ranked[i:j]:
-                x, at = joined(k)
-                decided(k, x, at, np.array(sort_one(x.tolist())))
-            i = j
-            continue
-        texts = [joined(k) for k in ranked[i:j]]
-        width = int(sizes[ranked[j - 1]])
-        table = np.zeros((j - i, width), np.uint8)
-        odd = []
-        for row, (k, (x, at)) in enumerate(zip(ranked[i:j], texts, strict=True)):
-            if (x == 256).any():  # byte 255 never stands in UTF-8; other bytes may be anything
-                odd.append((k, x, at))
-            else:
-                table[row, : len(x)] = x
-        orders = sort_many(table)
-        for row, (k, (x, at)) in enumerate(zip(ranked[i:j], texts, strict=True)):
-            if not (x == 256).any():
+        t = _Joined([groups[k] for k in ranked[i:j]], data, length)
+        orders: list = [None] * (j - i)
+        if j - i >= _ROWS:
+            table = np.zeros((j - i, int(sizes[ranked[j - 1]])), np.uint8)
+            for row in range(j - i):
+                x = t.text(row)
+                if x.max() < 256:  # byte 255 never stands in UTF-8; other bytes may be anything
+                    table[row, : len(x)] = x
+            for row, order in enumerate(sort_many(table)):
                 # Behind a row's text come zeros; their suffixes are no strings.
-                decided(k, x, at, orders[row][orders[row] < len(x)])
-        for k, x, at in odd:
-            decided(k, x, at, np.array(sort_one(x.tolist())))
+                orders[row] = order[order < len(t.text(row))] if table[row].any() else None
+        # Too few for a step in all rows at once to pay, or with a symbol that no row can hold: one by one.
+        t_orders = [np.array(sort_one(t.text(row).tolist())) if o is None else o for row, o in enumerate(orders)]
+        for k, least in zip(ranked[i:j], t.decided(t_orders), strict=True):
+            out[k] = least
         i = j
     return out
 
@@ -266,44 +270,35 @@ def _removed(rows: np.ndarray, known: np.ndarray, data: np.ndarray, length: int)
     new_key = np.r_[True, key[1:] != key[:-1]]
     new_kind = new_key | np.r_[True, kind[1:] != kind[:-1]]
     heads = np.flatnonzero(new_kind)  # the least id's fragment of each kind
+    ends = np.r_[heads[1:], len(rows)]
     kinds = np.cumsum(new_kind) - 1
     low = doc[heads]
-    gone = doc > low[kinds]
-    runs = [np.stack([np.flatnonzero(gone), np.zeros(gone.sum(), np.int64), n[gone]])]
+    gone = np.flatnonzero(doc > low[kinds])
+    runs = [np.stack([gone, np.zeros(len(gone), np.int64), n[gone]])]
     starts = np.flatnonzero(new_key[heads])
     many = np.diff(np.r_[starts, len(heads)])
-    groups = []
-    for a in np.flatnonzero((many > 1)):
-        own = slice(starts[a], starts[a] + many[a])
-        if low[own].min() != doc[kinds_last(heads, own, len(doc))].max():
-            groups.append(own)
-    decided = least_ids([(known[heads[g]], n[heads[g]], low[g]) for g in groups], data, length)
-    ends = np.r_[heads[1:], len(rows)]
-    for g, least in zip(groups, decided, strict=True):
-        at = 0
-        for k in range(g.start, g.stop):
-            m = int(n[heads[k]])
-            hit = least[at : at + m] < low[k]
-            at += m
-            if hit.any():
-                edge = np.diff(np.r_[0, hit.astype(np.int8), 0])
-                a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                for i in range(heads[k], ends[k]):
-                    if doc[i] != low[k]:
-                        break  # later ones are gone whole
-                    runs.append(np.stack([np.full(len(a), i), a, b - a]))
+    # Nothing goes among the kinds of one document.
+    mixed = (many > 1) & (np.minimum.reduceat(low, starts) != np.maximum.reduceat(doc[ends - 1], starts))
+    groups = [slice(a, a + m) for a, m in zip(starts[mixed].tolist(), many[mixed].tolist(), strict=True)]
+    if groups:
+        least = np.concatenate(least_ids([(known[heads[g]], n[heads[g]], low[g]) for g in groups], data, length))
+        some = _places(starts[mixed], many[mixed])  # the kinds of these groups
+        size = n[heads[some]]
+        own = np.repeat(np.arange(len(some)), size)
+        hit = least < low[some][own]
+        inner = own[1:] == own[:-1]
+        begin = np.flatnonzero(hit & np.r_[True, ~(hit[:-1] & inner)])
+        end = np.flatnonzero(hit & np.r_[~(hit[1:] & inner), True]) + 1
+        at = begin - (np.cumsum(size) - size)[own[begin]]
+        # Each fragment of the kind's least document loses them; those of later ones are gone whole.
+        copies = np.add.reduceat((doc == low[kinds]).astype(np.int64), heads)[some[own[begin]]]
+        runs.append(np.stack([_places(heads[some[own[begin]]], copies), np.repeat(at, copies), np.repeat(end - begin, copies)]))
     place, shift, size = np.concatenate(runs, axis=1)
     out = np.empty(len(place), _RUN)
     out["doc"], out["text"], out["at"], out["n"] = doc[place], rows["text"][place], rows["at"][place] + shift, size
     return out
 
 
-def kinds_last(heads: np.ndarray, own: slice, total: int) -> np.ndarray:
-    """Places of the last fragment of each kind: the one of the largest id."""
-    ends = np.r_[heads[own.start + 1 : own.stop], heads[own.stop] if own.stop < len(heads) else total]
-    return ends - 1
-
-
 def _runs(travelling: DataFrame, length: int) -> DataFrame:
     """(bucket, block) of removed runs, by document."""
     spark = travelling.sparkSession

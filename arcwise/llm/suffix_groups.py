@@ -138,10 +138,25 @@ def sort_one(text: bytes | list[int]) -> list[int]:
     prev = [-1] * n
     g = below[n]
     while g > 0:
+        if len(member[g]) == 1:
+            # One suffix alone hits one at most, which leaves its group unless it is alone there.
+            (i,) = member[g]
+            j = i - 1
+            while group[j] >= g:  # place -1 is the last one, of the least group
+                j = prev[j]
+            prev[i] = j
+            if j >= 0 and len(own := member[old := group[j]]) > 1:
+                own.remove(j)
+                new = old + len(own)
+                group[j] = new
+                member[new] = {j}
+                below[new + 1], below[new] = new, old
+            g = below[g]
+            continue
         hits: dict[int, int] = {}
         for i in sorted(member[g]):
             j = i - 1
-            while j >= 0 and group[j] >= g:
+            while group[j] >= g:
                 j = prev[j]
             prev[i] = j
             if j >= 0:
