@@ -8,7 +8,7 @@ least number with which a vector that has links finds ``recall`` of them on aver
 Vectors are sampled until ``LINKED`` of them have links, or all were asked; the number of cells has no bound but the
 grid. Pairs that meet are verified by cosine in double precision.
 
-Every row is indexed. Vectors with equal label and components are one vector with a count. Cells with more than
+Codebooks grow with the root of the number of vectors, so that a cell holds about ``FILL`` of them. Every row is indexed. Vectors with equal label and components are one vector with a count. Cells with more than
 ``TILE`` vectors are dealt into tiles; a visitor goes to all tiles of a cell. A tile gives counts and a
 spanning forest of its links, never pairs, so a large group of near copies costs comparisons in blocks only.
 
@@ -33,10 +33,14 @@ SAMPLE = 20_000
 #: Vectors asked in the first round; each round asks four times as many as the one before, up to ROUND.
 QUERIES = 1_000
 ROUND = 16_000
+#: Distances to codewords that a round's queries, or a batch's vectors, have at most.
+_DISTANCES = 8_000_000
 #: Asked vectors with links that are enough: if all find theirs, recall is 0.99 or more at a confidence of 0.95.
 LINKED = 300
 RECALL = 0.999
 TILE = 2_000
+#: Vectors that a cell is to hold, and codewords of a half at least and at most.
+FILL, WORDS = 200, (4, 2_048)
 
 
 def vectors_of(column: pa.Array) -> list[np.ndarray]:
@@ -95,8 +99,12 @@ class MultiIndex:
 def _clean(vectors: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
     """The vectors that can link, each once with its least id and the number of rows."""
     x = F.col("embedding")
-    rows = vectors.select(F.col(key).cast("bigint").alias("vec"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
-    sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
+    # Floats go as they are: a double has their value. Other numbers become doubles.
+    given = F.col(f"`{embedding}`")
+    if vectors.schema[embedding].dataType.simpleString() != "array<float>":
+        given = given.cast("array<double>")
+    rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("vec"), F.col(f"`{label}`").alias("label"), given.alias("embedding"))
+    sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
     rows = rows.filter(F.col("vec").isNotNull() & F.col("label").isNotNull() & x.isNotNull()).filter(sound)
     return rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
 
@@ -108,7 +116,7 @@ def fit(rows: DataFrame, total: int, sample: int = SAMPLE) -> MultiIndex | None:
         return None
     size = int(np.bincount([len(x) for x in own]).argmax())
     points = unit(own, size)
-    k = int(np.clip(np.ceil((total / 200) ** 0.5), 4, 128))
+    k = int(np.clip(np.ceil((total / FILL) ** 0.5), *WORDS))
     return MultiIndex(codebook(points[:, : size // 2], k), codebook(points[:, size // 2 :], k, seed=2))
 
 
@@ -126,7 +134,7 @@ def _asked(rows: DataFrame, index: MultiIndex, low: float, high: float, cosine:
 
     def run(batches):
         index, (d1, d2), groups = sent.value
-        cells = len(index.first) * len(index.second)
+        cells, order2 = len(index.first) * len(index.second), np.sort(d2, axis=1)
         for batch in batches:
             xs, labels, vec = vectors_of(batch.column("embedding")), batch.column("label").to_pylist(), batch.column("vec").to_numpy()
             home = index.visits(unit(xs, index.size), 1)[:, 0]
@@ -145,10 +153,10 @@ def _asked(rows: DataFrame, index: MultiIndex, low: float, high: float, cosine:
             pair, n = np.unique(np.concatenate(met), return_counts=True)
             query, cell = pair // cells, pair % cells
             rank = np.empty(len(pair), np.int64)
-            for at in range(0, len(pair), 200):
-                own, c = query[at : at + 200], cell[at : at + 200]
-                cost = (d1[own][:, :, None] + d2[own][:, None, :]).reshape(len(own), cells)
-                rank[at : at + 200] = (cost <= cost[np.arange(len(own)), c][:, None]).sum(axis=1) - 1
+            for i, (q, c) in enumerate(zip(query.tolist(), cell.tolist(), strict=True)):
+                # Cells that are no farther than this one, by the second half's distances in order.
+                cost = d1[q, c // len(index.second)] + d2[q, c % len(index.second)] + 1e-12
+                rank[i] = max(int(np.searchsorted(order2[q], cost - d1[q], "right").sum()) - 1, 0)
             yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(rank), pa.array(n.astype(np.int64))], names=["query", "rank", "n"])
 
     return rows.select("vec", "label", "embedding").transform(in_batches, run, "query bigint, rank bigint, n bigint").groupBy("query", "rank").agg(F.sum("n").alias("n")), len(asked)
@@ -165,7 +173,7 @@ def cells_for(rows: DataFrame, index: MultiIndex, cosine: float, recall: float,
             of = got.groupBy("query").agg(F.sum("n").alias("all"))
             for r in got.join(of, "query").groupBy("rank").agg(F.sum(F.col("n") / F.col("all")).alias("share")).collect():  # a row for each rank
                 found[r["rank"]] += r["share"]
-        some, low, size = found.sum() + 1e-6, high, min(size * 4, ROUND)
+        some, low, size = found.sum() + 1e-6, high, min(size * 4, ROUND, _DISTANCES // len(index.first))
     if not found.any():
         return 4, 1.0  # all were asked, and none has links
     share = np.cumsum(found) / found.sum()
@@ -201,21 +209,15 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
     sent = spark.sparkContext.broadcast(index)
 
     def place(batches):
-        step = max(1, 8_000_000 // grid)
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                xs = vectors_of(batch.column("embedding"))
-                visits = sent.value.visits(unit(xs, sent.value.size), cells)
-                n = visits.shape[1]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, visits.size + 1, n), pa.int32()), pa.array(visits.ravel().astype(np.int32)))
-                bits = np.zeros((len(xs), grid), bool)
-                np.put_along_axis(bits, visits, True, 1)
-                seen = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("label"), pa.array([len(x) for x in xs], pa.int32()), batch.column("rows"), batch.column("embedding"), flat, seen], names=["vec", "label", "size", "rows", "embedding", "visits", "seen"])
-
-    kind = reps.schema["label"].dataType.simpleString()
-    placed = reps.select("vec", "label", "rows", "embedding").transform(in_batches, place, f"vec bigint, label {kind}, size int, rows bigint, embedding array<double>, visits array<int>, seen binary")
+        step = _DISTANCES // 4 // len(sent.value.first)
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            xs = vectors_of(batch.column("embedding"))
+            visits = sent.value.visits(unit(xs, sent.value.size), cells)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, visits.size + 1, visits.shape[1]), pa.int32()), pa.array(visits.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("label"), pa.array([len(x) for x in xs], pa.int32()), batch.column("rows"), batch.column("embedding"), flat], names=["vec", "label", "size", "rows", "embedding", "visits"])
+
+    kind, number = (reps.schema[c].dataType.simpleString() for c in ("label", "embedding"))
+    placed = reps.select("vec", "label", "rows", "embedding").transform(in_batches, place, f"vec bigint, label {kind}, size int, rows bigint, embedding {number}, visits array<int>")
     placed = written(placed.withColumn("home", F.element_at("visits", 1)), "placed")
     spread = placed.groupBy("label", "size", "home").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).withColumnRenamed("home", "cell")
     home = placed.withColumn("cell", F.col("home")).join(spread, ["label", "size", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec"), F.col("tiles")).cast("int"))
@@ -223,9 +225,10 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
     visitor = placed.withColumn("cell", F.explode("visits")).join(spread, ["label", "size", "cell"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     # Visitors of a tile are dealt too, so that a task holds TILE of each at most on average.
     crowd = visitor.groupBy("label", "size", "cell").agg(F.ceil(F.countDistinct("vec") / TILE).cast("int").alias("parts"))
-    columns = ["label", "size", "cell", "tile", "part", "vec", "rows", "embedding", "seen", "home"]
-    home = home.join(crowd, ["label", "size", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns, F.lit(True).alias("owner"))
-    visitor = visitor.join(crowd, ["label", "size", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec", F.lit(3)), F.col("parts")).cast("int")).select(*columns, F.lit(False).alias("owner"))
+    # Only a tile's own vectors bring what they visit along.
+    columns = ["label", "size", "cell", "tile", "part", "vec", "rows", "embedding", "home"]
+    home = home.join(crowd, ["label", "size", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns, "visits", F.lit(True).alias("owner"))
+    visitor = visitor.join(crowd, ["label", "size", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec", F.lit(3)), F.col("parts")).cast("int")).select(*columns, F.lit(None).cast("array<int>").alias("visits"), F.lit(False).alias("owner"))
 
     def tile(table):
         owner = table.column("owner").to_numpy(zero_copy_only=False)
@@ -234,7 +237,9 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
         x = np.stack(vectors_of(table.column("embedding").combine_chunks()))
         x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         vec, rows, home = (table.column(c).to_numpy() for c in ("vec", "rows", "home"))
-        seen = np.frombuffer(b"".join(table.column("seen").to_pylist()), np.uint8).reshape(len(vec), -1)
+        lists = table.column("visits").combine_chunks()
+        many = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        seen = np.sort(np.repeat(np.arange(len(vec)), many) * grid + lists.flatten().to_numpy(zero_copy_only=False))
         ids, node = np.unique(vec, return_inverse=True)
         links, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
         own, guests = np.flatnonzero(owner), np.flatnonzero(~owner)
@@ -246,7 +251,8 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
             i, j = i[ok], j[ok]
             np.add.at(links, node[i], rows[j])
             # A pair of which only one visits the other counts for both.
-            one = (seen[j, home[i] >> 3] >> (7 - (home[i] & 7)) & 1) == 0
+            key = j * grid + home[i]
+            one = seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
             np.add.at(links, node[j[one]], rows[i[one]])
             low = _forest(len(ids), np.concatenate([node[i], np.arange(len(ids))]), np.concatenate([node[j], low]))
         some = (links > 0) | (low != np.arange(len(ids)))
