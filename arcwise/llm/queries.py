@@ -89,6 +89,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
             sha256(from_hex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
         FROM b LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    # Lines by their sets of words; a similar earlier set shares one of the rarest words, so only these are joined.
+    "op6_line_dedup": f"""
+        WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS xs, string_split({_LOWER}, chr(10)) AS low FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, unnest(range(0, len(xs))) AS i, unnest(xs) AS x, unnest(low) AS y FROM t),
+        w AS (SELECT doc_id, i, x, list_sort(list_distinct(regexp_extract_all(y, '[^\\x20\\x09-\\x0D]+'))) AS ws FROM l),
+        s AS (SELECT row_number() OVER () AS id, ws, len(ws) AS n, min(doc_id * 1000000 + i) AS pos FROM w WHERE len(ws) > 0 GROUP BY ws),
+        u AS (SELECT id, n, pos, unnest(ws) AS word FROM s),
+        f AS (SELECT word, count(*) AS k FROM u GROUP BY word),
+        p AS (SELECT id, n, pos, word FROM u JOIN f USING (word) QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, word) <= n - (80 * n + 99) // 100 + 1),
+        c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.word = b.word AND a.pos < b.pos AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+        g AS (SELECT DISTINCT b AS id FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE 180 * len(list_intersect(x.ws, y.ws)) >= 80 * (x.n + y.n)),
+        r AS (SELECT doc_id, i, x, s.id IS NOT NULL AND (s.pos < doc_id * 1000000 + i OR g.id IS NOT NULL) AS gone FROM w LEFT JOIN s USING (ws) LEFT JOIN g ON g.id = s.id),
+        k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)""",
     "op7_decontamination": f"""
         WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
         bw AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
