@@ -9,6 +9,9 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+#: Bytes of a table's file, as the source has them, and shuffle partitions that make one file.
+FILE_BYTES, SHUFFLED = 128 << 20, 8
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of our own only where the cluster names none and all runs in this process."""
@@ -39,14 +42,30 @@ def gone_at_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(at)
 
 
-def materialised(df: DataFrame, name: str = "state") -> DataFrame:
+def table_files(source: DataFrame) -> int:
+    """How many files a table of about the source's bytes is to have: of FILE_BYTES each, but two for each core at least.
+
+    Of a source whose size Spark doesn't know the number is so large that it bounds nothing.
+    """
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * source.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1 << 30))
+
+
+def few_files(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df in no more partitions than ``table_files`` of its source: many small partitions would make as many small files."""
+    return df.coalesce(table_files(source))
+
+
+def materialised(df: DataFrame, name: str = "state", files: int | None = None) -> DataFrame:
     """The rows, written to the shared folder and read back: plans of loops stay short and lost executors cost nothing.
 
+    ``files``: how many files it has at most; else one for SHUFFLED shuffle partitions, but two for each core at least.
     The table goes when the driver ends, or before that with ``discarded``.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    files = files or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHUFFLED)
+    df.coalesce(files).write.parquet(path)
     gone_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
