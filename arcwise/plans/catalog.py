@@ -74,6 +74,15 @@ def k1_stored_graph(spark, sf_dir):
     return sources.read_edges(spark, path)
 
 
+@query("SELECT src, dst, ts FROM walk")
+def k8_recompressed(spark, sf_dir):
+    """A stored graph, read and stored again with another codec."""
+    first, second = new_path(spark, "graph"), new_path(spark, "graph")
+    sinks.write_graph(walk(spark, sf_dir), first)
+    sinks.write_graph(sources.read_edges(spark, first), second, compression="snappy")
+    return sources.read_edges(spark, second)
+
+
 @query("SELECT src + 5 AS src, dst + 5 AS dst, ts FROM walk")
 def k4_text_round_trip(spark, sf_dir):
     path = new_path(spark, "text")
@@ -132,12 +141,13 @@ def n6_full_scan(spark, sf_dir):
     return access.scan_digest(sources.trades(spark, sf_dir))
 
 
-@query(""", p AS (SELECT probe, ((probe + 12345) * 2654435761 % 4294967296) % (SELECT count(*) FROM ids) AS id FROM (SELECT unnest(range(0, 2000)) AS probe)),
+@query(""", p AS (SELECT probe, ((probe + 12345) * 2654435761 % 4294967296) % (SELECT count(*) FROM ids) AS id FROM (SELECT unnest(range(0, (SELECT count(*) FROM ids))) AS probe)),
     d AS (SELECT src, count(*) AS n, min(ts) AS min_ts, max(ts) AS max_ts, CAST(sum(dst) AS BIGINT) AS sum_dst FROM walk GROUP BY src)
     SELECT probe, id, coalesce(n, 0) AS n, min_ts, max_ts, sum_dst FROM p LEFT JOIN d ON src = id""")
 def n7_random_probes(spark, sf_dir):
-    e = walk(spark, sf_dir)
-    return access.random_access(access.hashed_probes(spark, 2_000, 0, walk_ids(spark, e).count()), e)
+    e, ids = _whole(spark, sf_dir)
+    n = ids.count()
+    return access.random_access(access.hashed_probes(spark, n, 0, n), e)
 
 
 @query("SELECT src, dst, ts FROM walk WHERE src BETWEEN 5 AND 89 AND dst BETWEEN 5 AND 89")
@@ -235,6 +245,16 @@ def w3_encoded_times(spark, sf_dir):
     return storage.encode_times(walk(spark, sf_dir))
 
 
+@query("SELECT src, row_number() OVER (PARTITION BY src ORDER BY dst, ts) - 1 AS nth, dst, ts // 60 * 60 AS ts FROM walk")
+def k3_stored_times(spark, sf_dir):
+    """The time stream and its index, stored and read back; the index says where each source's times start."""
+    e = walk(spark, sf_dir)
+    path = new_path(spark, "times")
+    sinks.write_times(storage.encode_times(e, 60), storage.offsets(e), path)
+    times, index = sinks.read_times(spark, path)
+    return storage.decode_times(times.join(index, "src", "left_semi"), _first(spark, e, "ts"), 60)
+
+
 @query("SELECT src, row_number() OVER (PARTITION BY src ORDER BY dst, ts) - 1 AS nth, dst, ts // 60 * 60 AS ts FROM walk")
 def w3_decoded_times(spark, sf_dir):
     e = walk(spark, sf_dir)
@@ -296,6 +316,48 @@ def a6_gap_histogram(spark, sf_dir):
     return storage.gap_histogram(walk(spark, sf_dir))
 
 
+@query(_LISTS + f" SELECT CAST(CASE WHEN gap > 0 THEN {_log('greatest(gap, 1)')} ELSE -1 END AS BIGINT) AS bin, count(*) AS n, CAST(sum(gap) AS BIGINT) AS total FROM res GROUP BY 1")
+def a6_residual_histogram(spark, sf_dir):
+    return storage.residual_histogram(walk(spark, sf_dir), 3)
+
+
+@query("SELECT src, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS nth, dst FROM walk")
+def j8_merged_lists(spark, sf_dir):
+    return storage.merged(walk(spark, sf_dir), 3)
+
+
+#: A run's number counts the changes between copied and skipped before it, from copied on.
+_REFERENCES = f""", o AS (SELECT DISTINCT src, dst FROM walk),
+m AS (SELECT a.src + ref AS src, ref, a.dst, o.dst IS NOT NULL AS hit FROM (SELECT src, dst, unnest(range(1, 8)) AS ref FROM o) a SEMI JOIN o h ON h.src = a.src + ref LEFT JOIN o ON o.src = a.src + ref AND o.dst = a.dst),
+m1 AS (SELECT *, CASE WHEN hit <> lag(hit, 1, true) OVER (PARTITION BY src, ref ORDER BY dst) THEN 1 ELSE 0 END AS turn FROM m),
+m2 AS (SELECT *, sum(turn) OVER (PARTITION BY src, ref ORDER BY dst) AS run FROM m1),
+m3 AS (SELECT src, ref, run, count(*) AS len, bool_or(hit) AS hit, max(run) OVER (PARTITION BY src, ref) AS last FROM m2 GROUP BY src, ref, run),
+bl AS (SELECT src, ref, sum(CASE WHEN hit THEN len ELSE 0 END) AS copied, {_gamma('max(last)')} + sum(CASE WHEN run < last THEN CASE WHEN run = 0 THEN {_gamma('len')} ELSE {_gamma('(len - 1)')} END ELSE 0 END) + CASE WHEN min(run) > 0 THEN 1 ELSE 0 END AS b FROM m3 GROUP BY src, ref),
+ev AS (SELECT src, ref FROM bl UNION ALL SELECT DISTINCT src, 0 FROM o),
+x0 AS (SELECT o.src, ev.ref, o.dst FROM o JOIN ev USING (src) ANTI JOIN (SELECT * FROM m WHERE hit) y ON y.src = o.src AND y.ref = ev.ref AND y.dst = o.dst),
+x1 AS (SELECT *, lag(dst) OVER (PARTITION BY src, ref ORDER BY dst) AS before FROM x0),
+x2 AS (SELECT src, ref, CASE WHEN before IS NULL THEN {_nat('dst - src')} ELSE dst - before - 1 END AS gap FROM x1),
+x3 AS (SELECT src, ref, count(*) AS extra, sum({_zeta('gap', 3)}) AS b FROM x2 GROUP BY src, ref),
+rf AS (SELECT ev.src, ev.ref, CAST(coalesce(copied, 0) AS BIGINT) AS copied, CAST(coalesce(extra, 0) AS BIGINT) AS extra, CAST(ev.ref + 1 + coalesce(bl.b, 0) + coalesce(x3.b, 0) AS BIGINT) AS bits
+    FROM ev LEFT JOIN bl USING (src, ref) LEFT JOIN x3 USING (src, ref)),
+best AS (SELECT * FROM rf QUALIFY row_number() OVER (PARTITION BY src ORDER BY bits, ref) = 1)"""
+
+
+@query(_REFERENCES + " SELECT src, ref, copied, extra, bits FROM rf")
+def c9_reference_bits(spark, sf_dir):
+    return storage.reference_bits(walk(spark, sf_dir))
+
+
+@query(_REFERENCES + " SELECT src, ref, copied, extra, bits FROM best")
+def w11_best_references(spark, sf_dir):
+    return storage.best_references(walk(spark, sf_dir))
+
+
+@query(_REFERENCES + ", d AS (SELECT src, ref, 0 AS depth FROM best WHERE ref = 0 UNION ALL SELECT b.src, b.ref, d.depth + 1 FROM best b JOIN d ON d.src = b.src - b.ref AND b.ref > 0) SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n FROM d GROUP BY 1", recursive=True)
+def a8_reference_depths(spark, sf_dir):
+    return storage.reference_depths(storage.best_references(walk(spark, sf_dir)))
+
+
 def _stirling(x: str) -> str:
     return f"({x} * ln({x}) - {x} + 0.5 * ln(2 * pi() * {x}))"
 
@@ -315,9 +377,9 @@ def c9_node_bits(spark, sf_dir):
     return storage.node_bits(walk(spark, sf_dir))
 
 
-@query(_BITS + f""", s AS (SELECT CAST(sum(arcs) AS BIGINT) AS arcs, CAST(sum(time_bits) AS BIGINT) AS time_bits, CAST(sum(multiple_bits + interval_bits + residual_bits) AS BIGINT) AS graph_bits, (SELECT count(*) FROM ids) AS nodes FROM nb),
+@query(_BITS + f""", s AS (SELECT CAST(sum(arcs) AS BIGINT) AS arcs, CAST(sum(time_bits) AS BIGINT) AS time_bits, CAST(sum(multiple_bits + interval_bits + residual_bits) AS BIGINT) AS graph_bits, sum(multiple_bits) AS am, sum(interval_bits) AS ai, sum(residual_bits) AS ar, (SELECT count(*) FROM ids) AS nodes FROM nb),
     f AS (SELECT *, CAST(nodes AS DOUBLE) * nodes AS n2, CAST(arcs AS DOUBLE) AS a FROM s)
-    SELECT nodes, arcs, graph_bits, time_bits, round(graph_bits / a, 6) AS bits_per_link, round(graph_bits / CAST(nodes AS DOUBLE), 6) AS bits_per_node,
+    SELECT nodes, arcs, graph_bits, time_bits, round(graph_bits / a, 6) AS bits_per_link, round(graph_bits / CAST(nodes AS DOUBLE), 6) AS bits_per_node, round(am / CAST(nodes AS DOUBLE), 6) AS avg_multiple_bits, round(ai / CAST(nodes AS DOUBLE), 6) AS avg_interval_bits, round(ar / CAST(nodes AS DOUBLE), 6) AS avg_residual_bits,
     CASE WHEN n2 > a THEN round(graph_bits / (({_stirling('n2')} - {_stirling('a')} - {_stirling('greatest(n2 - a, 1)')}) / ln(2)), 6) END AS ratio FROM f""")
 def a7_properties(spark, sf_dir):
     e = walk(spark, sf_dir)
@@ -331,6 +393,15 @@ def c1_code_lengths(spark, sf_dir):
     return x.select("x", codec.int2nat("x").alias("nat"), codec.gamma_bits(size).alias("gamma"), codec.zeta_bits(size, 2).alias("zeta2"), codec.zeta_bits(size, 3).alias("zeta3"), codec.unary_bits(size).alias("unary"))
 
 
+_SIZE = _log("(x + 1)")
+
+
+@query(f"""SELECT x, CAST({_SIZE} + {_gamma(_SIZE)} AS BIGINT) AS delta, CASE WHEN x = 0 THEN 4 ELSE 4 * ({_log('greatest(x, 1)')} // 3 + 1) END AS nibble,
+    x // 6 + 1 + CASE WHEN x % 6 < 2 THEN 2 ELSE 3 END AS golomb6, x + 1 AS golomb1 FROM (SELECT unnest(range(0, 5000)) AS x)""", "one AS (SELECT 1)")
+def c6_code_lengths(spark, sf_dir):
+    return spark.range(5_000).select(F.col("id").alias("x"), codec.delta_bits("id").alias("delta"), codec.nibble_bits("id").alias("nibble"), codec.golomb_bits("id", 6).alias("golomb6"), codec.golomb_bits("id", 1).alias("golomb1"))
+
+
 @query("SELECT n, CASE WHEN n % 2 = 0 THEN n // 2 ELSE -(n // 2) - 1 END AS x FROM (SELECT unnest(range(0, 5000)) AS n)", "one AS (SELECT 1)")
 def c2_nat2int(spark, sf_dir):
     return spark.range(5_000).select(F.col("id").alias("n"), codec.nat2int("id").alias("x"))

@@ -30,6 +30,17 @@ def read_properties(spark: SparkSession, path: str) -> dict | None:
     return spark.read.parquet(f"{path}/{PROPERTIES}").first().asDict()
 
 
+def write_times(encoded: DataFrame, offsets: DataFrame, path: str, compression: str = "zstd") -> None:
+    """Stores a time stream (src, nth, dst, delta) and its index (src, bits, offset), both range-partitioned and sorted by source."""
+    for table, rows, order in (("times", encoded, ["src", "nth"]), ("index", offsets, ["src"])):
+        rows.repartitionByRange("src").sortWithinPartitions(*order).write.mode("overwrite").option("compression", compression).parquet(f"{path}/{table}")
+
+
+def read_times(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(time stream, index) as write_times stored them."""
+    return spark.read.parquet(f"{path}/times"), spark.read.parquet(f"{path}/index")
+
+
 def export_text(edges: DataFrame, path: str, shift: int = 0, temporal: bool = False) -> None:
     """Writes ``src<TAB>dst`` lines, or ``src dst 1 ts`` lines that read_text_edges takes, with shifted ids."""
     s, d = F.col("src") + shift, F.col("dst") + shift
