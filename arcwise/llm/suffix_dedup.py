@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, mix, powers, prefix_sums, span_hashes, text_bytes
-from arcwise.llm.shared import in_batches, prepared, written
+from arcwise.llm.shared import few_files, in_batches, prepared
 from arcwise.llm.suffix_groups import sort_many, sort_one
 
 LENGTH = 50
@@ -364,7 +364,7 @@ def repeated_strings(docs: DataFrame, doc: str = "doc_id", text: str = "text", l
     rows = docs.select(F.col(doc).cast("bigint").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("kind", F.pmod(F.xxhash64("text"), F.lit(65_536)).cast("int"))
     some = rows.filter("doc is not null")
     slots = spark.sparkContext.broadcast(_slots(some, length, gram))
-    spans = written(_spans(_runs(_travelling(some, slots, length, gram), length), length), "spans")
+    spans = _spans(_runs(_travelling(some, slots, length, gram), length), length)
     return rows.join(spans, ["doc", "kind"], "left").select("doc", "text", "spans")
 
 
@@ -397,4 +397,5 @@ def suffix_digest(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return suffix_dedup(docs.select("doc_id", "text")).transform(in_batches, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = suffix_dedup(docs.select("doc_id", "text")).transform(in_batches, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return few_files(out, docs)

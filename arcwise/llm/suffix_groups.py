@@ -129,32 +129,38 @@ def sort_one(text: bytes | list[int]) -> list[int]:
         place[c] = at
         at += many[c]
     group = [place[c] for c in text]
+    # Groups of several suffixes are sets; the far more that have one are just that.
     member: dict[int, set] = {}
     for i, g in enumerate(group):
         member.setdefault(g, set()).add(i)
     below = [0] * (n + 1)  # the group that ends before a place
-    for g, m in member.items():
+    alone = [-1] * (n + 1)
+    for g, m in list(member.items()):
         below[g + len(m)] = g
+        if len(m) == 1:
+            (alone[g],) = member.pop(g)
     prev = [-1] * n
     g = below[n]
     while g > 0:
-        if len(member[g]) == 1:
-            # One suffix alone hits one at most, which leaves its group unless it is alone there.
-            (i,) = member[g]
+        if (i := alone[g]) >= 0:
+            # It hits one suffix at most, which leaves its group unless it is alone there.
             j = i - 1
             while group[j] >= g:  # place -1 is the last one, of the least group
                 j = prev[j]
             prev[i] = j
-            if j >= 0 and len(own := member[old := group[j]]) > 1:
+            if j >= 0 and (own := member.get(old := group[j])):
                 own.remove(j)
                 new = old + len(own)
                 group[j] = new
-                member[new] = {j}
+                alone[new] = j
                 below[new + 1], below[new] = new, old
+                if len(own) == 1:
+                    alone[old] = own.pop()
+                    del member[old]
             g = below[g]
             continue
         hits: dict[int, int] = {}
-        for i in sorted(member[g]):
+        for i in sorted(member.pop(g)):
             j = i - 1
             while group[j] >= g:
                 j = prev[j]
@@ -165,28 +171,35 @@ def sort_one(text: bytes | list[int]) -> list[int]:
         for j in hits:
             moved.setdefault(group[j], []).append(j)
         for old, items in moved.items():
+            own = member.get(old)
+            if not own:
+                continue  # a suffix alone stays where it is
             items.sort(key=hits.__getitem__)
-            own = member[old]
             while items:
                 k = hits[items[-1]]
-                new = old + len(own)
-                fresh = set()
+                end = old + len(own)
+                fresh = []
                 while items and hits[items[-1]] == k:
-                    fresh.add(items.pop())
-                new -= len(fresh)
-                below[new + len(fresh)] = new
+                    fresh.append(items.pop())
+                new = end - len(fresh)
                 if new == old:
-                    member[old] = fresh
-                    break
-                own -= fresh
-                below[new] = old
+                    break  # all that are left stay together
+                own.difference_update(fresh)
+                below[end], below[new] = new, old
                 for j in fresh:
                     group[j] = new
-                member[new] = fresh
+                if len(fresh) == 1:
+                    alone[new] = fresh[0]
+                else:
+                    member[new] = set(fresh)
+            if len(own) == 1:
+                alone[old] = own.pop()
+                del member[old]
         g = below[g]
-    out, free, done = [0] * n, [0] * n, [False] * n
+    del member, alone, below
+    out, free, done = [0] * n, [0] * n, bytearray(n)
     out[0] = n - 1
-    done[n - 1] = True
+    done[n - 1] = 1
     free[group[n - 1]] = 1
     for step in range(n):
         j = out[step] - 1
@@ -194,6 +207,6 @@ def sort_one(text: bytes | list[int]) -> list[int]:
             g = group[j]
             out[g + free[g]] = j
             free[g] += 1
-            done[j] = True
+            done[j] = 1
             j = prev[j]
     return out
