@@ -14,8 +14,8 @@ chunked framing is decoded. Only records that were segmented are shuffled, compr
 
 Null html is an empty payload. Payloads under ``revisit_bytes`` are always responses. Very long
 pages are segmented. Null page ids are archived too, as id ``null``, which counts after all others.
-Every row has its record: rows that repeat a page id with another html are told apart by digest, rows
-that repeat both are all of one type and come back as often as they were given. Empty tables give
+Every row has its record, with an identifier of its own: rows that repeat a page id with another html are told apart by
+digest, rows that repeat both are all of one type and come back as often as they were given. Empty tables give
 empty archives. Extra columns are ignored.
 A record whose segments are missing or don't add up raises ValueError with its identifier.
 """
@@ -30,7 +30,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arcwise.llm.shared import in_batches, prepared, shared_dir
+from arcwise.llm.shared import few_files, in_batches, prepared, shared_dir
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 32_768
@@ -69,9 +69,9 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode() + block
 
 
-def records_of(page: str, url: str | None, kind: str, refers: str | None, digest: str, payload: bytes, segment_bytes: int) -> list[bytes]:
-    """The record of a page, or its segments."""
-    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}:{digest}')}>"
+def records_of(page: str, url: str | None, kind: str, refers: str | None, digest: str, payload: bytes, segment_bytes: int, row: str = "") -> list[bytes]:
+    """The record of a page, or its segments. row: tells rows apart that repeat page and payload."""
+    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}:{digest}:{row}')}>"
     target = "".join(url.split()) if url else "about:blank"
     head = [("WARC-Record-ID", own), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-ID", page), ("X-Payload-Length", str(len(payload)))]
     if kind == "revisit":
@@ -126,13 +126,18 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
     rows = rows.select(F.coalesce(F.col("page").cast("string"), F.lit("null")).alias("page"), "url", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("kind"), "first", "digest", F.col("html").cast("binary").alias("html"))
 
     def work(batches):
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
-                out = [x for r in batch.slice(a, 64).to_pylist() for x in records_of(r["page"], r["url"], r["kind"], r["first"], r["digest"], r["html"], segment_bytes)]
+                rows = batch.slice(a, 64).to_pylist()
+                out = [x for i, r in enumerate(rows, n) for x in records_of(r["page"], r["url"], r["kind"], r["first"], r["digest"], r["html"], segment_bytes, f"{task}:{i}")]
+                n += len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     out = rows.transform(in_batches, work, "record binary").select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
+    few_files(out, base).write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -185,13 +190,12 @@ def read_archives(spark, path: str) -> DataFrame:
     def joined(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                by = {p["number"]: p["block"] for p in r["parts"]}
-                copies = len(r["parts"]) // len(by)
-                block = b"".join(zlib.decompress(by[n]) for n in sorted(by))
-                if sorted(p["number"] for p in r["parts"]) != sorted([*range(1, len(by) + 1)] * copies) or len(block) != r["total"]:
+                parts = sorted((p["number"], p["block"]) for p in r["parts"])
+                block = b"".join(zlib.decompress(b) for _, b in parts)
+                if [n for n, _ in parts] != [*range(1, len(parts) + 1)] or len(block) != r["total"]:
                     raise ValueError(f"segments of {r['record_id']} are missing or of the wrong length")
                 head = (r["record_id"], r["page"], "response", None, r["payload_bytes"], r["payload_digest"])
-                yield batch_of([(*head, checked(head, block))] * copies, said)
+                yield batch_of([(*head, checked(head, block))], said)
 
     whole = files.transform(in_batches, parsed(False), schema(said))
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
@@ -205,4 +209,5 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/arcwise-warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
     number = lambda c: F.when(F.col(c) != "null", F.col(c).cast("bigint"))
-    return read_archives(spark, path).select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    out = read_archives(spark, path).select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return few_files(out, pages)
