@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, word_hashes, words
-from arcwise.llm.shared import free_names, in_batches, prepared, written
+from arcwise.llm.shared import few_files, free_names, in_batches, prepared, table_files, written
 
 MIN_WORDS = 1
 SHARE = 80
@@ -111,8 +111,11 @@ def _blocks(batches, min_words, table=None, asked=None):
 def _census(docs: DataFrame, min_words: int) -> DataFrame:
     """One pass for the counters of words (slice, task, counts) and the packed signatures of lines (bucket, block)."""
     buckets = packed.buckets_of(docs.sparkSession)
-    names = ["bucket", "block", "slice", "task", "counts"]
-    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["bucket", "block", "slice", "task", "counts", "doc", "line"]
+    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+    def row(n, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def run(batches):
         from pyspark import TaskContext
@@ -127,23 +130,31 @@ def _census(docs: DataFrame, min_words: int) -> DataFrame:
             out["s1"] = np.bitwise_xor.reduceat(m, x.starts) + x.sizes.astype(U64)
             out["s2"] = np.add.reduceat(m, x.starts)
             out["doc"], out["line"] = ids[x.row], x.number
-            b = packed.packed(mix(out["s1"].copy()), out, buckets)
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, k) for k in kinds[2:]]], names=names)
+            # Copies within a block are told at once: a line with very many of them sends one row a block.
+            first, late = _first_copies(out)
+            if len(late):
+                yield row(len(late), doc=late["doc"], line=late["line"].astype(np.int64))
+            b = packed.packed(mix(first["s1"].copy()), first, buckets)
+            yield row(b.num_rows, bucket=b.column(0), block=b.column(1))
         b = sketch.batch(TaskContext.get().partitionId())
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(b.num_rows, k) for k in kinds[:2]], *b.columns], names=names)
+        yield row(b.num_rows, slice=b.column(0), task=b.column(1), counts=b.column(2))
+
+    return docs.transform(in_batches, run, "bucket int, block binary, slice int, task int, counts binary, doc bigint, line bigint")
+
 
-    return docs.transform(in_batches, run, "bucket int, block binary, slice int, task int, counts binary")
+def _first_copies(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold a set first, rows of later copies) of signatures. Lines at the first one's place, of rows that repeat a doc_id, are neither."""
+    r = r[np.lexsort((r["line"], r["doc"], r["s2"], r["s1"]))]
+    same = (r["s1"][1:] == r["s1"][:-1]) & (r["s2"][1:] == r["s2"][:-1])
+    lead = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(r)), 0))
+    return r[np.unique(lead)], r[(r["doc"] != r["doc"][lead]) | (r["line"] != r["line"][lead])]
 
 
 def _later_copies(blocks: DataFrame) -> DataFrame:
-    """(doc, line) of the lines whose set an earlier line has."""
+    """(doc, line) of the lines whose set an earlier line of another block has."""
 
     def work(r):
-        r = r[np.lexsort((r["line"], r["doc"], r["s2"], r["s1"]))]
-        same = (r["s1"][1:] == r["s1"][:-1]) & (r["s2"][1:] == r["s2"][:-1])
-        # Lines at the first one's place, of rows that repeat a doc_id, are not later.
-        lead = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(r)), 0))
-        late = r[(r["doc"] != r["doc"][lead]) | (r["line"] != r["line"][lead])]
+        _, late = _first_copies(r)
         yield pa.RecordBatch.from_arrays([pa.array(late["doc"]), pa.array(late["line"].astype(np.int64))], names=["doc", "line"])
 
     return packed.by_bucket(blocks, work, _SAME, "doc bigint, line bigint")
@@ -170,13 +181,21 @@ def _rarest(docs: DataFrame, table, min_words: int, share: int) -> DataFrame:
             one = U64(1) << (x.h & U64(63))
             half = x.h & U64(64) > 0
             bits = np.stack([np.bitwise_xor.reduceat(np.where(half == k, one, U64(0)), x.starts) for k in (False, True)], axis=1)
-            sums = np.add.reduceat(x.h, x.starts) >> U64(32)
+            sums = np.add.reduceat(x.h, x.starts)
+            # Of lines with equal sets in a block the earliest stands for all.
+            order = np.lexsort((x.number, ids[x.row], sums, bits[:, 0], bits[:, 1], x.sizes))
+            again = np.r_[False, np.all([k[order][1:] == k[order][:-1] for k in (sums, bits[:, 0], bits[:, 1], x.sizes)], axis=0)]
+            if again.any():
+                lone = np.ones(len(order), bool)
+                lone[order[again]] = False
+                some = lone[own]
+                kept, own, at = kept[some], own[some], at[some]
             h = x.h[kept]
             out = np.empty(len(own), _ROW)
             out["token"] = (h >> U64(7)).astype(np.uint32)
             out["line"], out["doc"] = x.number[own], ids[x.row][own]
             out["n"], out["at"], out["bits"] = np.minimum(x.sizes, 65535)[own], np.minimum(at, 65535), bits[own]
-            out["sum"] = sums[own]
+            out["sum"] = sums[own] >> U64(32)
             yield packed.packed(h, out, buckets)
 
     return docs.transform(in_batches, run, "bucket int, block binary")
@@ -335,9 +354,10 @@ def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min
     spark = prepared(docs.sparkSession)
     source = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc is not null and text is not null")
     tasks = source.rdd.getNumPartitions()
-    census = written(_census(source, min_words), "census")
+    census = written(_census(source, min_words), "census", table_files(source))
     table = spark.sparkContext.broadcast(packed.levels(census.filter("slice is not null").select("slice", "task", "counts"), tasks))
-    gone = written(_later_copies(census.filter("bucket is not null").select("bucket", "block")).distinct(), "copies")
+    gone = _later_copies(census.filter("bucket is not null").select("bucket", "block")).unionByName(census.filter("line is not null").select("doc", "line"))
+    gone = written(gone.distinct(), "copies")
     candidates = written(_candidates(_rarest(source, table, min_words, share), share, FEW), "candidates")
     pair = ["doc", "line", "doc_a", "line_a"]
     found = candidates.filter("bucket is null").join(gone, ["doc", "line"], "left_anti").groupBy(*pair).agg(F.max("more").alias("more"))
@@ -374,7 +394,8 @@ def drop_repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text"
     n = F.coalesce(F.size(lines), F.lit(0))
     removed = F.when(repeated, n - F.size(left)).otherwise(0)
     cut = F.when(repeated, F.array_join(left, "\n")).otherwise(col(text))
-    return rows.select(*[cut.alias(c) if c == text else col(c) for c in kept], F.when(col(text).isNull(), 0).otherwise(n).cast("bigint").alias("n_lines"), removed.cast("bigint").alias("n_removed"))
+    out = rows.select(*[cut.alias(c) if c == text else col(c) for c in kept], F.when(col(text).isNull(), 0).otherwise(n).cast("bigint").alias("n_lines"), removed.cast("bigint").alias("n_removed"))
+    return few_files(out, docs)
 
 
 def line_digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

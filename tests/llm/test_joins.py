@@ -111,6 +111,23 @@ def test_words_that_a_sum_of_places_takes_for_one(spark):
     assert len(set(window_hashes(h, np.array([0, 32, 64]), 32)[0].tolist())) == 2
 
 
+def test_very_many_repeated_lines_in_one_document(spark):
+    n, line = 100_000, "the same line of words"
+    docs = [(1, "\n".join([line] * n)), (2, f"{line}\nother"), (3, "\n".join(f"{line} and {i} more of {i * 7}" for i in range(300)))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted_rows(line_dedup.line_digest(df.repartition(2)))
+    assert got[:2] == [(1, n, n - 1, brute.sha(line)), (2, 2, 1, brute.sha("other"))]
+    gone = brute.repeated_lines(docs[2:])
+    assert got[2][2] == len(gone) > 0
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = "one line of words\nsecond line here"
+    df = spark.createDataFrame([(1, text, 5, 6, 7, 8), (2, text, 5, 6, 7, 8)], "doc_id bigint, text string, _doc int, _gone int, `a.b` int, _bits int")
+    rows = sorted(line_dedup.drop_repeated_lines(df).collect())
+    assert [tuple(r) for r in rows] == [(1, text, 5, 6, 7, 8, 2, 0), (2, "", 5, 6, 7, 8, 2, 2)]
+
+
 def test_sets_that_differ_in_late_bits_only():
     import numpy as np
 
