@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, window_hashes, word_hashes, words
-from arcwise.llm.shared import in_batches, prepared, written
+from arcwise.llm.shared import few_files, in_batches, prepared, table_files, written
 from arcwise.operators.traversal import connected_components
 
 SIZE = 4
@@ -107,12 +107,15 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _rarest(docs: DataFrame, table, size: int, share: int) -> DataFrame:
-    """Packed (token, doc, n) of the rarest items, of which similar sets share one. Of equal sets in a batch only the first is named."""
+    """Packed (token, doc, n) of the rarest items, of which similar sets share one. Of equal sets in a task only the first is named."""
     buckets = packed.buckets_of(docs.sparkSession)
 
     def run(batches):
+        seen = set()
         for batch, data, offsets in _batches(batches, "text"):
-            tokens, ids, sizes, seen = [], [], [], set()
+            tokens, ids, sizes = [], [], []
+            if len(seen) > 100_000:
+                seen.clear()
             for doc, s in zip(batch.column("doc").to_pylist(), shingle_sets(data, offsets, size), strict=True):
                 if not len(s) or doc is None or (key := (len(s), int(s[0]), int(s.sum(dtype=U64)), int(np.bitwise_xor.reduce(mix(s))))) in seen:
                     continue
@@ -280,9 +283,9 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, s
 def shingle_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = SIZE, share: int = SHARE) -> DataFrame:
     """(doc id, n_shingles, component_id: least id that links reach, the row's own included), a row for every row of docs."""
     spark = prepared(docs.sparkSession)
-    source = docs.select(F.col(doc).cast("bigint").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     table = spark.sparkContext.broadcast(_levels(source, size))
-    signed = written(_signed(source, size), "signatures")
+    signed = written(_signed(source, size), "signatures", table_files(source))
     tiles = written(_tiles(_rarest(source, table, size, share), share), "tiles")
     some = signed.filter("n > 0 and doc is not null")
     same = some.groupBy("n", "s1", "s2").agg(F.min("doc").alias("b"), F.count("*").alias("k")).filter("k > 1")
@@ -306,4 +309,4 @@ def shingle_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
             first = written(connected_components(links), "components")
         tested = tested.unionByName(pairs)
     ids = signed.select(F.col("doc").alias("node"), F.col("n").alias("n_shingles")).join(first, "node", "left")
-    return ids.select(F.col("node").alias(doc), "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    return few_files(ids.select(F.col("node").alias(doc), "n_shingles", F.coalesce("component", "node").alias("component_id")), source)
