@@ -15,7 +15,7 @@ from arcwise.llm.jaccard_join import shingle_components
 from arcwise.llm.language import UNKNOWN, held_out, identify, train
 from arcwise.llm.line_dedup import drop_repeated_lines
 from arcwise.llm.queries import RANKS
-from arcwise.llm.shared import free_names, table, written
+from arcwise.llm.shared import few_files, free_names, table, table_files, written
 
 #: A document whose likeliest language is less likely than this is rejected.
 MIN_SCORE = 0.3
@@ -24,7 +24,7 @@ MIN_SCORE = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of which no language is likely."""
     found = identify(docs, train(docs, ~held_out()))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns).transform(few_files, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     odd = written(docs.groupBy(col("doc_id").alias(node)).count().filter(f"count > 1 or {node} is null").select(node, F.lit(True).alias(again)), "again")
     if odd.isEmpty():
         groups = shingle_components(docs, size=5, share=80)
-        return docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(columns)
+        return docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(columns).transform(few_files, docs)
     rows = docs.join(odd, F.col("doc_id").eqNullSafe(F.col(node)), "left").drop(node)
     own = (1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
     rows = rows.withColumn(node, F.when(col(again), own).otherwise(F.col("doc_id").cast("bigint")))
@@ -54,18 +54,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Rows that repeat both id and text are one document; empty ones are in no group.
     wordy = F.coalesce(col(again) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     once = left.filter(wordy).groupBy(node).agg(F.first(F.struct(*columns)).alias(row)).select(f"{row}.*")
-    return left.filter(~wordy).select(columns).unionByName(once)
+    return left.filter(~wordy).select(columns).unionByName(once).transform(few_files, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark windows in a twentieth of their words or more."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns).transform(few_files, docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
     out = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN, keep_ids=True)
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256").transform(few_files, docs)
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("byte-level BPE", byte_bpe)]
@@ -78,5 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; each stage's rows are written to the shared folder and reread."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        docs = written(stage(spark, docs, sf_dir), "stage", table_files(docs))
     return docs
