@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from arcwise.functions import codec
 from arcwise.operators import access, scores, storage, traversal
-from arcwise.plans.session import materialised, new_path
+from arcwise.plans.session import gone_at_exit, materialised, new_path
 from arcwise.sources import edges as sources, sinks
 
 QUERIES: dict = {}
@@ -71,6 +71,7 @@ def s6_trades(spark, sf_dir):
 def k1_stored_graph(spark, sf_dir):
     path = new_path(spark, "graph")
     sinks.write_graph(walk(spark, sf_dir), path)
+    gone_at_exit(spark, path)
     return sources.read_edges(spark, path)
 
 
@@ -80,6 +81,8 @@ def k8_recompressed(spark, sf_dir):
     first, second = new_path(spark, "graph"), new_path(spark, "graph")
     sinks.write_graph(walk(spark, sf_dir), first)
     sinks.write_graph(sources.read_edges(spark, first), second, compression="snappy")
+    gone_at_exit(spark, first)
+    gone_at_exit(spark, second)
     return sources.read_edges(spark, second)
 
 
@@ -87,6 +90,7 @@ def k8_recompressed(spark, sf_dir):
 def k4_text_round_trip(spark, sf_dir):
     path = new_path(spark, "text")
     sinks.export_text(walk(spark, sf_dir), path, shift=2, temporal=True)
+    gone_at_exit(spark, path)
     return sources.read_text_edges(spark, path, shift=3)
 
 
@@ -251,6 +255,7 @@ def k3_stored_times(spark, sf_dir):
     e = walk(spark, sf_dir)
     path = new_path(spark, "times")
     sinks.write_times(storage.encode_times(e, 60), storage.offsets(e), path)
+    gone_at_exit(spark, path)
     times, index = sinks.read_times(spark, path)
     return storage.decode_times(times.join(index, "src", "left_semi"), _first(spark, e, "ts"), 60)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -27,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has."""
     return f"{shared_dir(spark)}/arcwise-{name}-{uuid.uuid4().hex}"
 
 
@@ -37,7 +39,7 @@ def _path(spark: SparkSession, path: str):
 
 
 def gone_at_exit(spark: SparkSession, path: str) -> None:
-    """Has the driver delete the path when it ends."""
+    """Has the driver delete the path, which must be there, when it ends."""
     fs, at = _path(spark, path)
     fs.deleteOnExit(at)
 
@@ -80,6 +82,12 @@ def discarded(*tables: DataFrame) -> None:
             fs.delete(at, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: shuffle files of plans that are done go then, and not at some time later."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def kept_by(df: DataFrame, key: str) -> DataFrame:
     """The rows, written, then dealt out by the key and kept by the executors: joins on the key move the other side only.
 

@@ -84,14 +84,17 @@ def read_edges(spark: SparkSession, path: str, format: str = "parquet", **option
     return spark.read.format(format).load(path).select("src", "dst", "ts")
 
 
-def event_walk(spark: SparkSession, sf_dir: str, bucket_seconds: int = 21_600) -> DataFrame:
+def event_walk(spark: SparkSession, sf_dir: str, bucket_rows: int = 100_000) -> DataFrame:
     """Edges from each event's user to the next event's user, in order of (ts, event_id); the last event has none.
 
-    The next row is found within buckets of time; only each bucket's first row goes to the bucket before it, so
-    no task holds all events.
+    The next row is found within buckets of time, as wide as ``bucket_rows`` events take on average; only each bucket's first
+    row goes to the bucket before it, so no task holds all events.
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
-    e = e.withColumn("bucket", F.floor(F.expr(_SECONDS) / bucket_seconds))
+    at = F.expr(_SECONDS)
+    seen = e.agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).first()
+    width = max(1, (seen["high"] - seen["low"] + 1) * bucket_rows // seen["n"]) if seen["n"] else 1
+    e = e.withColumn("bucket", F.floor(at / width))
     firsts = e.groupBy("bucket").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
     firsts = firsts.select("bucket", F.lead("first").over(Window.orderBy("bucket")).alias("after"))
     inside = F.lead("user_id").over(Window.partitionBy("bucket").orderBy("ts", "event_id"))

@@ -2,7 +2,9 @@
 
 import gzip
 import math
+import pathlib
 import random
+import re
 import shutil
 
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from arcwise.functions import codec
 from arcwise.graph import TemporalGraph, run_workload, workload
 from arcwise.operators import access, scores, storage, traversal
+from arcwise.plans import session
 from arcwise.sources import edges as sources, sinks
 from arcwise.streaming import ingest
 
@@ -258,6 +261,25 @@ def test_packed_degrees(spark, t0):
     assert [int.from_bytes(b[i : i + 4], "big") for r in out for b in [bytes(r["bytes"])] for i in range(0, 16, 4)] == [3, 2, 1, 2, 0, 1, 1, 1]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from arcwise.__main__ import main
+
+    path = tmp_path / "raw" / "Comm.raw.txt.gz"
+    path.parent.mkdir()
+    with gzip.open(path, "wt") as f:
+        f.write("".join(f"{s} {d} 1 {t}\n" for s, d, t in sorted(T0)))
+    main(["comm", "--root", str(tmp_path), "--prepare-only"])
+    assert capsys.readouterr().out == "" and (tmp_path / "stored" / "Comm" / "_SUCCESS").exists()
+    main(["Comm", "bfs", "--root", str(tmp_path), "--out", str(tmp_path / "out")])
+    assert re.fullmatch(r"RESULT dataset=Comm workload=BFS rows=5 elapsed_ns=\d+\n", capsys.readouterr().out)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_walk_in_narrow_buckets(spark, tables):
+    rows = [sorted(map(tuple, sources.event_walk(spark, tables, n).collect())) for n in (7, 100_000)]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
+
+
 def test_hubs_are_read_as_a_stream(spark):
     r = random.Random(8)
     rows = [(r.choice([1, 1, 1, 2, 3]), r.randrange(9), r.randrange(-50, 100)) for _ in range(300)]
@@ -292,3 +314,28 @@ def test_arrival_parents_and_rank_sum(spark, t0):
     total = scores.rank_sum(t0.page_rank(2, normalize=True)).first()
     assert math.isclose(total["total"], 1) and total["ids"] == 8
     assert sorted(map(tuple, traversal.component_sizes(traversal.weak_components(t0.edges, t0.ids)).collect())) == [(0, 6), (5, 2)]
+
+
+def test_tables_have_few_files_and_go(spark, tmp_path):
+    many = spark.range(0, 1000, 1, 64)
+    table = session.materialised(many, "few")
+    assert len(table.inputFiles()) <= 8 and table.count() == 1000  # two for each of four cores
+    assert len(session.materialised(many, "few", 3).inputFiles()) == 3
+    many.write.parquet(str(tmp_path / "many"))
+    read = spark.read.parquet(str(tmp_path / "many"))
+    assert session.table_files(read) == 8 and session.few_files(read, read).rdd.getNumPartitions() <= 8
+    assert session.table_files(spark.createDataFrame([(1,)], "x int")) > 1 << 20  # of unknown size: no bound
+    folder = pathlib.Path(table._table_path.removeprefix("file:"))
+    assert folder.exists()
+    session.discarded(table)
+    assert not folder.exists()
+
+
+def test_grown_tables_and_kept_edges(spark, t0):
+    grown = session.Grown(spark, "id bigint", "ids")
+    for part in (spark.range(3), spark.range(3, 5), spark.range(0)):
+        grown.add(part)
+    assert sorted(r["id"] for r in grown.rows.collect()) == [0, 1, 2, 3, 4]
+    kept = session.kept_by(t0.edges, "src")
+    assert kept.groupBy(F.spark_partition_id().alias("part"), "src").count().groupBy("src").count().filter("count > 1").isEmpty()
+    kept.unpersist()
