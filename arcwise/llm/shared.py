@@ -7,7 +7,7 @@ import ctypes
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arcwise.plans.session import discarded, few_files, materialised, shared_dir, table_files  # noqa: F401
+from arcwise.plans.session import discarded, few_files, materialised, shared_dir, swept, table_files  # noqa: F401
 
 #: Rows and bytes of an Arrow batch; one longer text still stands in a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000

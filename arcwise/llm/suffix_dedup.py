@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, mix, powers, prefix_sums, span_hashes, text_bytes
-from arcwise.llm.shared import few_files, in_batches, prepared
+from arcwise.llm.shared import few_files, in_batches, prepared, swept
 from arcwise.llm.suffix_groups import sort_many, sort_one
 
 LENGTH = 50
@@ -364,6 +364,7 @@ def repeated_strings(docs: DataFrame, doc: str = "doc_id", text: str = "text", l
     rows = docs.select(F.col(doc).cast("bigint").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("kind", F.pmod(F.xxhash64("text"), F.lit(65_536)).cast("int"))
     some = rows.filter("doc is not null")
     slots = spark.sparkContext.broadcast(_slots(some, length, gram))
+    swept(spark)  # the first pass's exchange
     spans = _spans(_runs(_travelling(some, slots, length, gram), length), length)
     return rows.join(spans, ["doc", "kind"], "left").select("doc", "text", "spans")
 
