@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, window_hashes, word_hashes, words
-from arcwise.llm.shared import few_files, in_batches, prepared, table_files, written
+from arcwise.llm.shared import few_files, in_batches, prepared, swept, table_files, written
 from arcwise.operators.traversal import connected_components
 
 SIZE = 4
@@ -287,6 +287,7 @@ def shingle_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     table = spark.sparkContext.broadcast(_levels(source, size))
     signed = written(_signed(source, size), "signatures", table_files(source))
     tiles = written(_tiles(_rarest(source, table, size, share), share), "tiles")
+    swept(spark)
     some = signed.filter("n > 0 and doc is not null")
     same = some.groupBy("n", "s1", "s2").agg(F.min("doc").alias("b"), F.count("*").alias("k")).filter("k > 1")
     copies = some.join(same, ["n", "s1", "s2"]).filter("doc != b").select(F.col("doc").alias("a"), "b")
@@ -308,5 +309,6 @@ def shingle_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
             links = written(links.unionByName(more), "links")
             first = written(connected_components(links), "components")
         tested = tested.unionByName(pairs)
+        swept(spark)
     ids = signed.select(F.col("doc").alias("node"), F.col("n").alias("n_shingles")).join(first, "node", "left")
     return few_files(ids.select(F.col("node").alias(doc), "n_shingles", F.coalesce("component", "node").alias("component_id")), source)

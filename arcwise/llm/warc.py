@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm.shared import few_files, in_batches, prepared, shared_dir
+from arcwise.plans.session import gone_at_exit
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 32_768
@@ -208,6 +209,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/arcwise-warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
+    gone_at_exit(spark, path)
     number = lambda c: F.when(F.col(c) != "null", F.col(c).cast("bigint"))
     out = read_archives(spark, path).select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
     return few_files(out, pages)

@@ -31,7 +31,10 @@ def scored(df, **options):
 
 
 def test_base_equals_brute_force_and_model_beats_it(spark, tables):
-    docs = [*documents(spark, tables), *[(d and d + 100_000, t) for d, t in brute.ODD]]
+    # Two words of 1024 letters to which a polynomial modulo 2**64 gives one hash: only one of them is learned from.
+    morse = ["".join(two[bin(i).count("1") & 1] for i in range(1024)) for two in ("ab", "ba")]
+    seen, unseen = (next(d for d in range(200_000, 200_100) if (brute.crc(d, 7) == 2) == held) for held in (False, True))
+    docs = [*documents(spark, tables), *[(d and d + 100_000, t) for d, t in brute.ODD], (seen, morse[0]), (unseen, f"{morse[1]} {morse[0]}")]
     df = spark.createDataFrame([(d, t, 0.5) for d, t in docs], "doc_id bigint, text string, score double")
     want = expected(docs)
     for top in (lm.TOP, 50):
