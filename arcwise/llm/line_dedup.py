@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, word_hashes, words
-from arcwise.llm.shared import few_files, free_names, in_batches, prepared, table_files, written
+from arcwise.llm.shared import few_files, free_names, in_batches, lookup, prepared, table_files, written
 
 MIN_WORDS = 1
 SHARE = 80
@@ -385,7 +385,7 @@ def drop_repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text"
     # A byte for each line up to the last repeated one: a line is looked up at once, however many there are.
     upto = F.arrays_zip(F.col("at").alias("at"), F.concat(F.array(F.lit(-1).cast("bigint")), F.slice("at", 1, F.size("at") - 1)).alias("before"))
     marks = F.transform(upto, lambda x: F.concat(F.repeat(F.lit("0"), (x["at"] - x["before"] - 1).cast("int")), F.lit("1")))
-    gone = gone.select(key, F.array_join(marks, "").cast("binary").alias(bits))
+    gone = lookup(gone.select(key, F.array_join(marks, "").cast("binary").alias(bits)), F.octet_length(bits) + 40)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     col = lambda c: F.col(f"`{c}`")
     rows = docs.select(*[col(c) for c in kept], F.split(col(text), "\n", -1).alias(lines)).join(gone, col(doc) == col(key), "left")

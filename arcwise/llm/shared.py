@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arcwise.plans.session import discarded, few_files, materialised, shared_dir, swept, table_files  # noqa: F401
 
@@ -46,6 +46,20 @@ def in_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(task, schema) if any(set(".`") & set(c) for c in names) else df.mapInArrow(task, schema)
 
 
+#: Bytes in memory up to which a table is broadcast to be looked up.
+LOOKUP_BYTES = 32_000_000
+
+
+def lookup(small: DataFrame, row_bytes: Column, most: int | None = None) -> DataFrame:
+    """A table that texts are joined with, written. Where its rows take no more than ``most`` bytes it is broadcast, so that the texts
+    stay where they are; a larger one is joined by an exchange.
+    """
+    most = LOOKUP_BYTES if most is None else most
+    out = written(small, "lookup")
+    taken = out.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(out) if taken <= most else out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

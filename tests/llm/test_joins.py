@@ -121,6 +121,22 @@ def test_very_many_repeated_lines_in_one_document(spark):
     assert got[2][2] == len(gone) > 0
 
 
+def test_lines_are_looked_up_or_joined_alike(spark, monkeypatch):
+    from arcwise.llm import shared
+
+    df = spark.createDataFrame(line_docs(20, 9), "doc_id bigint, text string")
+    small = line_dedup.line_digest(df)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    rows = sorted_rows(small)
+    monkeypatch.setattr(shared, "LOOKUP_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = line_dedup.line_digest(df)
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString() and sorted_rows(large) == rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     text = "one line of words\nsecond line here"
     df = spark.createDataFrame([(1, text, 5, 6, 7, 8), (2, text, 5, 6, 7, 8)], "doc_id bigint, text string, _doc int, _gone int, `a.b` int, _bits int")
