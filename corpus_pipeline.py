@@ -15,7 +15,7 @@ from arcwise.llm.jaccard_join import shingle_components
 from arcwise.llm.language import UNKNOWN, held_out, identify, train
 from arcwise.llm.line_dedup import drop_repeated_lines
 from arcwise.llm.queries import RANKS
-from arcwise.llm.shared import few_files, free_names, table, table_files, written
+from arcwise.llm.shared import few_files, free_names, lookup, table, table_files, written
 
 #: A document whose likeliest language is less likely than this is rejected.
 MIN_SCORE = 0.3
@@ -45,7 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     odd = written(docs.groupBy(col("doc_id").alias(node)).count().filter(f"count > 1 or {node} is null").select(node, F.lit(True).alias(again)), "again")
     if odd.isEmpty():
         groups = shingle_components(docs, size=5, share=80)
-        return docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(columns).transform(few_files, docs)
+        gone = lookup(groups.filter("doc_id != component_id").select("doc_id").distinct(), F.lit(40))
+        return docs.join(gone, "doc_id", "left_anti").select(columns).transform(few_files, docs)
     rows = docs.join(odd, F.col("doc_id").eqNullSafe(F.col(node)), "left").drop(node)
     own = (1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
     rows = rows.withColumn(node, F.when(col(again), own).otherwise(F.col("doc_id").cast("bigint")))
