@@ -10,8 +10,8 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-#: Bytes of a table's file, as the source has them, and shuffle partitions that make one file.
-FILE_BYTES, SHUFFLED = 128 << 20, 8
+#: Bytes that a file is to have at least on average, as the source has them, and shuffle partitions that make one file.
+FILE_BYTES, SHUFFLED = 16 << 20, 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,13 +61,15 @@ def few_files(df: DataFrame, source: DataFrame) -> DataFrame:
 def materialised(df: DataFrame, name: str = "state", files: int | None = None) -> DataFrame:
     """The rows, written to the shared folder and read back: plans of loops stay short and lost executors cost nothing.
 
-    ``files``: how many files it has at most; else one for SHUFFLED shuffle partitions, but two for each core at least.
-    The table goes when the driver ends, or before that with ``discarded``.
+    ``files``: how many files it has at most, 0: as many as partitions; else one for SHUFFLED shuffle partitions, but two for each
+    core at least. What Python workers make should be put together before they get it: a task that runs one worker after the other
+    keeps the buffers of all. The table goes when the driver ends, or before that with ``discarded``.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    files = files or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHUFFLED)
-    df.coalesce(files).write.parquet(path)
+    if files is None:
+        files = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHUFFLED)
+    (df.coalesce(files) if files else df).write.parquet(path)
     gone_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
