@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, window_hashes, word_hashes, words
-from arcwise.llm.shared import few_files, in_batches, prepared, swept, table_files, written
+from arcwise.llm.shared import few_files, in_batches, prepared, swept, written
 from arcwise.operators.traversal import connected_components
 
 SIZE = 4
@@ -285,8 +285,8 @@ def shingle_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     spark = prepared(docs.sparkSession)
     source = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     table = spark.sparkContext.broadcast(_levels(source, size))
-    signed = written(_signed(source, size), "signatures", table_files(source))
-    tiles = written(_tiles(_rarest(source, table, size, share), share), "tiles")
+    signed = written(_signed(few_files(source, source), size), "signatures", 0)
+    tiles = written(_tiles(_rarest(source, table, size, share), share), "tiles", 0)
     swept(spark)
     some = signed.filter("n > 0 and doc is not null")
     same = some.groupBy("n", "s1", "s2").agg(F.min("doc").alias("b"), F.count("*").alias("k")).filter("k > 1")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, word_hashes, words
-from arcwise.llm.shared import few_files, free_names, in_batches, lookup, prepared, table_files, written
+from arcwise.llm.shared import few_files, free_names, in_batches, lookup, prepared, written
 
 MIN_WORDS = 1
 SHARE = 80
@@ -293,7 +293,7 @@ def _matches(pairs: DataFrame, docs: DataFrame, min_words: int, share: int) -> D
                 got = [flat[8 * a : 8 * b] for a, b in zip(x.starts.tolist(), (x.starts + x.sizes).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[x.row]), pa.array(x.number.astype(np.int64)), pa.array(got, pa.binary())], names=["doc", "line", "items"])
 
-    own = written(docs.transform(in_batches, sets, "doc bigint, line bigint, items binary"), "sets")
+    own = written(few_files(docs, docs).transform(in_batches, sets, "doc bigint, line bigint, items binary"), "sets", 0)
     full = pairs.select("doc", "line", "doc_a", "line_a").join(own.withColumnRenamed("items", "x"), ["doc", "line"])
     full = full.join(own.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("items").alias("y")), ["doc_a", "line_a"])
 
@@ -353,12 +353,12 @@ def repeated_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min
     """(doc, line) of all lines that match an earlier one, each once; lines are numbered from 0."""
     spark = prepared(docs.sparkSession)
     source = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc is not null and text is not null")
-    tasks = source.rdd.getNumPartitions()
-    census = written(_census(source, min_words), "census", table_files(source))
+    tasks = few_files(source, source).rdd.getNumPartitions()
+    census = written(_census(few_files(source, source), min_words), "census", 0)
     table = spark.sparkContext.broadcast(packed.levels(census.filter("slice is not null").select("slice", "task", "counts"), tasks))
     gone = _later_copies(census.filter("bucket is not null").select("bucket", "block")).unionByName(census.filter("line is not null").select("doc", "line"))
     gone = written(gone.distinct(), "copies")
-    candidates = written(_candidates(_rarest(source, table, min_words, share), share, FEW), "candidates")
+    candidates = written(_candidates(_rarest(source, table, min_words, share), share, FEW), "candidates", 0)
     pair = ["doc", "line", "doc_a", "line_a"]
     found = candidates.filter("bucket is null").join(gone, ["doc", "line"], "left_anti").groupBy(*pair).agg(F.max("more").alias("more"))
     found = written(found, "pairs")

@@ -366,7 +366,7 @@ def repeated_strings(docs: DataFrame, doc: str = "doc_id", text: str = "text", l
     slots = spark.sparkContext.broadcast(_slots(some, length, gram))
     swept(spark)  # the first pass's exchange
     spans = _spans(_runs(_travelling(some, slots, length, gram), length), length)
-    return rows.join(spans, ["doc", "kind"], "left").select("doc", "text", "spans")
+    return few_files(rows.join(spans, ["doc", "kind"], "left").select("doc", "text", "spans"), docs)
 
 
 def suffix_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -398,5 +398,4 @@ def suffix_digest(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = suffix_dedup(docs.select("doc_id", "text")).transform(in_batches, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return few_files(out, docs)
+    return suffix_dedup(docs.select("doc_id", "text")).transform(in_batches, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -218,7 +218,7 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
 
     kind, number = (reps.schema[c].dataType.simpleString() for c in ("label", "embedding"))
     placed = reps.select("vec", "label", "rows", "embedding").transform(in_batches, place, f"vec bigint, label {kind}, size int, rows bigint, embedding {number}, visits array<int>")
-    placed = written(placed.withColumn("home", F.element_at("visits", 1)), "placed")
+    placed = written(placed.withColumn("home", F.element_at("visits", 1)), "placed", 0)
     spread = placed.groupBy("label", "size", "home").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).withColumnRenamed("home", "cell")
     home = placed.withColumn("cell", F.col("home")).join(spread, ["label", "size", "cell"]).withColumn("tile", F.pmod(F.xxhash64("vec"), F.col("tiles")).cast("int"))
     # A visitor's own cell is among those it visits.
@@ -259,7 +259,7 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
         return pa.Table.from_pydict({"vec": ids[some], "links": links[some], "root": ids[low[some]]})
 
     found = home.unionByName(visitor).groupBy("label", "size", "cell", "tile", "part").applyInArrow(tile, "vec bigint, links bigint, root bigint")
-    found = written(found, "found")
+    found = written(found, "found", 0)
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("vec").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("vec"), "component")
     # Links of the representatives; a vector's copies are its links too. Ids on several rows share a node.

@@ -137,8 +137,8 @@ def write_archives(pages: DataFrame, path: str, page: str = "page_id", url: str
                 n += len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    out = rows.transform(in_batches, work, "record binary").select(F.col("record").cast("string").alias("value"))
-    few_files(out, base).write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
+    out = few_files(rows, base).transform(in_batches, work, "record binary").select(F.col("record").cast("string").alias("value"))
+    out.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -211,5 +211,4 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     write_archives(pages, path)
     gone_at_exit(spark, path)
     number = lambda c: F.when(F.col(c) != "null", F.col(c).cast("bigint"))
-    out = read_archives(spark, path).select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
-    return few_files(out, pages)
+    return read_archives(spark, path).select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
