@@ -15,7 +15,7 @@ from arcwise.llm.jaccard_join import shingle_components
 from arcwise.llm.language import UNKNOWN, held_out, identify, train
 from arcwise.llm.line_dedup import drop_repeated_lines
 from arcwise.llm.queries import RANKS
-from arcwise.llm.shared import few_files, free_names, lookup, table, table_files, written
+from arcwise.llm.shared import few_files, free_names, lookup, table, written
 
 #: A document whose likeliest language is less likely than this is rejected.
 MIN_SCORE = 0.3
@@ -23,8 +23,8 @@ MIN_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of which no language is likely."""
-    found = identify(docs, train(docs, ~held_out()))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns).transform(few_files, docs)
+    found = identify(few_files(docs, docs), train(docs, ~held_out()))
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,13 +60,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark windows in a twentieth of their words or more."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns).transform(few_files, docs)
+    return decontaminate(few_files(docs, docs), table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
-    out = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN, keep_ids=True)
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256").transform(few_files, docs)
+    out = bpe_round_trip(few_files(docs, docs).select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN, keep_ids=True)
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("byte-level BPE", byte_bpe)]
@@ -79,5 +79,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; each stage's rows are written to the shared folder and reread."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage", table_files(docs))
+        docs = written(stage(spark, docs, sf_dir), "stage", 0)
     return docs
