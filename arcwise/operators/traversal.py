@@ -2,7 +2,7 @@
 
 Each step joins a frontier with the edges, reduces what it touches, and appends its new rows to the state, which is never
 written again. Edges are pre-reduced where the semantics allow it and stay dealt out by source, so that a step moves its
-frontier only. The driver holds only whether a frontier is empty.
+frontier only. The driver holds only whether a frontier is empty, and how many contacts slices of time have.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from arcwise.operators.access import first_contacts
 from arcwise.plans.session import Grown, discarded, kept_by, materialised, numbered
 
+#: Contacts that one task takes in order of time.
+LOCAL_CONTACTS = 1_000_000
+
 
 def bfs(edges: DataFrame, start: int, parents: bool = True) -> DataFrame:
     """(id, dist, parent, ts): first touch in queue order; ts is the time of that pair's first contact. The start has parent -1 and ts 0.
@@ -38,27 +41,106 @@ def bfs(edges: DataFrame, start: int, parents: bool = True) -> DataFrame:
     return done.rows.drop("place")
 
 
-def earliest_arrival(edges: DataFrame, starts: DataFrame, contacts: str = "first", parents: bool = False) -> DataFrame:
+def _in_order(src: list, dst: list, ts: list, reached: set) -> dict:
+    """The ids that contacts (in order of time) reach besides those reached before, each with its time; contacts at one time may follow one another."""
+    new = {}
+    i = 0
+    while i < len(ts):
+        now, links, begins = ts[i], {}, i
+        while i < len(ts) and ts[i] == now:
+            i += 1
+        for k in range(begins, i):
+            if dst[k] not in reached:
+                links.setdefault(src[k], []).append(dst[k])
+        front = [x for x in links if x in reached]
+        for x in front:
+            for y in links[x]:
+                if y not in reached:
+                    reached.add(y)
+                    new[y] = now
+                    if y in links:
+                        front.append(y)
+    return new
+
+
+def _by_slices(contacts: DataFrame, local: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """(the contacts with a number ``part`` that grows with time, slices of parts (first, last, rows) in order of time).
+
+    Contacts at one time stand in one part. A slice has ``local`` contacts at most unless it is one part.
+    """
+    n = contacts.count()
+    if not n:
+        return contacts, []
+    parts = materialised(contacts.select("src", "dst", "ts").repartitionByRange(max(1, -(-4 * n // local)), "ts").withColumn("part", F.spark_partition_id()), "slices", 0, "part")
+    slices: list[tuple[int, int, int]] = []
+    for r in parts.groupBy("part").count().orderBy("part").collect():  # a row for local / 4 contacts
+        if slices and slices[-1][2] + r["count"] <= local:
+            slices[-1] = slices[-1][0], r["part"], slices[-1][2] + r["count"]
+        else:
+            slices.append((r["part"], r["part"], r["count"]))
+    return parts, slices
+
+
+def _step_by_step(contacts: DataFrame, times: Grown) -> None:
+    """Adds to times what contacts improve, by steps that take one contact of each path."""
+    e = kept_by(contacts, "src")
+    best = lambda: times.rows.groupBy("id").agg(F.min("ts").alias("ts"))
+    frontier = best()
+    while not frontier.isEmpty():
+        offers = e.join(frontier.select(F.col("id").alias("src"), F.col("ts").alias("since")), "src").filter("since <= ts").groupBy(F.col("dst").alias("id")).agg(F.min("ts").alias("new"))
+        frontier = times.add(offers.join(best(), "id", "left").filter("ts is null or new < ts").select("id", F.col("new").alias("ts")))
+    e.unpersist()
+
+
+def earliest_arrival(edges: DataFrame, starts: DataFrame, contacts: str = "first", parents: bool = False, local: int = LOCAL_CONTACTS) -> DataFrame:
     """(id, ts): least time at which time-respecting paths from the start ids (id), at time 0, arrive.
 
     ``contacts``: "first" lets only the first contact of each pair be taken, "all" any of them. ``parents`` adds (parent): the
-    least id from which such a path takes its last contact at that time, -1 for starts. Steps are as many as the contacts of the
-    longest path that improves an arrival.
+    least id from which such a path takes its last contact at that time, -1 for starts.
+
+    Contacts are taken in slices of time, earliest first, so an id's first time is its least. A slice has ``local`` contacts at most, which one task
+    takes in order; contacts to ids that are reached already go, from all slices left after the 1st, 3rd, 7th ... of them. Thus there are as many
+    steps as slices, however long paths are. More contacts than that at one time are taken step by step.
     """
     spark = edges.sparkSession
-    e = kept_by(first_contacts(edges) if contacts == "first" else edges.select("src", "dst", "ts").distinct(), "src")
+    e = materialised((first_contacts(edges) if contacts == "first" else edges.select("src", "dst", "ts").distinct()).filter("src is not null"), "contacts")
     times = Grown(spark, "id bigint, ts bigint", "times")
-    frontier = times.add(starts.select("id", F.lit(0).cast("bigint").alias("ts")).distinct())
-    best = lambda: times.rows.groupBy("id").agg(F.min("ts").alias("ts"))
-    while not frontier.isEmpty():
-        offers = e.join(frontier.select(F.col("id").alias("src"), F.col("ts").alias("since")), "src").filter("since <= ts").groupBy(F.col("dst").alias("id")).agg(F.min("ts").alias("new"))
-        frontier = times.add(offers.join(best(), "id", "left").filter("ts is null or new < ts").select("id", F.col("new").alias("ts")))
-    out = materialised(best(), "arrival")
+    times.add(starts.select("id", F.lit(0).cast("bigint").alias("ts")).distinct())
+    known = lambda side: times.rows.select(F.col("id").alias(side)).distinct()
+    useful = lambda rows: rows.join(known("dst"), "dst", "left_anti").select("src", "dst", "ts")
+
+    def ordered(batches):
+        import pyarrow as pa
+
+        rows = [batch.select(["src", "dst", "ts", "known"]).to_pydict() for batch in batches]
+        src, dst, ts, seen = ([x for r in rows for x in r[c]] for c in ("src", "dst", "ts", "known"))
+        new = _in_order(src, dst, ts, {x for x, is_known in zip(src, seen, strict=True) if is_known})
+        yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.int64())], names=["id", "ts"])
+
+    rest = materialised(useful(e.filter("ts >= 0")), "contacts")
+    many = 1
+    while True:
+        parts, slices = _by_slices(rest, local)
+        discarded(rest)
+        for low, high, rows in slices[:many]:
+            own = useful(parts.filter(F.col("part").between(low, high)))
+            if rows > local:
+                _step_by_step(own, times)
+            else:
+                marked = own.join(known("src").withColumn("known", F.lit(True)), "src", "left").select("src", "dst", "ts", F.coalesce("known", F.lit(False)).alias("known"))
+                times.add(marked.repartition(1).sortWithinPartitions("ts").mapInArrow(ordered, times.schema))
+        if len(slices) <= many:
+            discarded(parts)
+            break
+        rest = materialised(useful(parts.filter(F.col("part") > slices[many - 1][1])), "contacts")
+        discarded(parts)
+        many *= 2
+    out = materialised(times.rows.groupBy("id").agg(F.min("ts").alias("ts")), "arrival")
     if parents:
         last = e.join(out.select(F.col("id").alias("src"), F.col("ts").alias("since")), "src").filter("since <= ts").groupBy(F.col("dst").alias("id"), "ts").agg(F.min("src").alias("by"))
         first = starts.select("id", F.lit(-1).cast("bigint").alias("start")).distinct()
         out = materialised(out.join(last, ["id", "ts"], "left").join(first, "id", "left").select("id", "ts", F.coalesce("start", "by").alias("parent")), "arrival")
-    e.unpersist()
+    discarded(e)
     times.discard()
     return out
 

@@ -58,18 +58,18 @@ def few_files(df: DataFrame, source: DataFrame) -> DataFrame:
     return df.coalesce(table_files(source))
 
 
-def materialised(df: DataFrame, name: str = "state", files: int | None = None) -> DataFrame:
+def materialised(df: DataFrame, name: str = "state", files: int | None = None, by: str | None = None) -> DataFrame:
     """The rows, written to the shared folder and read back: plans of loops stay short and lost executors cost nothing.
 
     ``files``: how many files it has at most, 0: as many as partitions; else one for SHUFFLED shuffle partitions, but two for each
     core at least. What Python workers make should be put together before they get it: a task that runs one worker after the other
-    keeps the buffers of all. The table goes when the driver ends, or before that with ``discarded``.
+    keeps the buffers of all. ``by``: the last column, a folder for each value of it. The table goes when the driver ends, or before that with ``discarded``.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if files is None:
         files = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHUFFLED)
-    (df.coalesce(files) if files else df).write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path, partitionBy=by)
     gone_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path

@@ -339,3 +339,35 @@ def test_grown_tables_and_kept_edges(spark, t0):
     kept = session.kept_by(t0.edges, "src")
     assert kept.groupBy(F.spark_partition_id().alias("part"), "src").count().groupBy("src").count().filter("count > 1").isEmpty()
     kept.unpersist()
+
+
+def test_arrival_along_a_long_path_takes_few_steps(spark, monkeypatch):
+    """Steps don't grow with the contacts of a path."""
+    n = 400
+    edges = spark.createDataFrame([(i, i + 1, 10 + i) for i in range(n)], "src bigint, dst bigint, ts bigint")
+    steps, add = [], traversal.Grown.add
+    monkeypatch.setattr(traversal.Grown, "add", lambda self, df: steps.append(1) or add(self, df) if len(steps) < 20 else pytest.fail("a step for each contact"))
+    got = {r["id"]: r["ts"] for r in traversal.earliest_arrival(edges, spark.createDataFrame([(0,)], "id bigint"), "all").collect()}
+    assert got == {0: 0} | {i + 1: 10 + i for i in range(n)}
+    assert len(steps) <= 2
+
+
+@pytest.mark.parametrize("local", [4, 40, 1000])
+def test_arrival_in_slices_equals_plain_python(spark, local):
+    """Slices of few contacts, ties in time across a whole slice, times before the start, and contacts without an end."""
+    import random
+
+    r = random.Random(local)
+    rows = [(r.randrange(40), r.randrange(40), r.choice([-3, 0, 5, 5, 5, r.randrange(60)])) for _ in range(150)] + [(None, 3, 1), (3, None, 50), (1, 2, None)]
+    links = [x for x in rows if None not in x]
+    best, more = {0: 0, 7: 0}, True
+    while more:
+        more = False
+        for a, b, t in links:
+            if a in best and best[a] <= t and t < best.get(b, 1 << 40):
+                best[b], more = t, True
+    parent = {i: -1 if i in (0, 7) else min(a for a, b, t in links if b == i and t == ts and best.get(a, 1 << 40) <= t) for i, ts in best.items()}
+    edges, starts = spark.createDataFrame(rows, "src bigint, dst bigint, ts bigint"), spark.createDataFrame([(0,), (7,)], "id bigint")
+    got = {x["id"]: (x["ts"], x["parent"]) for x in traversal.earliest_arrival(edges, starts, "all", parents=True, local=local).collect()}
+    got.pop(None, None)
+    assert got == {i: (ts, parent[i]) for i, ts in best.items()}
