@@ -6,10 +6,11 @@ the id before it. Classes are predicted by one layer of causal self-attention wi
 Without normalisation before the attention, queries, keys and values are sums of a row for the id and one for the
 place, so scoring looks them up.
 
-All training texts are learned from: in one pass each task counts words, ids and ids by the class before them, and trains
-the model on one window in ``EVERY`` of its texts; the tasks' parameters are averaged by their windows. Where they
-start from (classes, and parameters after ``STEPS`` steps) is fitted on the driver on ``SAMPLE`` training texts of least id hash,
-of up to ``SAMPLE_BYTES`` bytes each.
+All training texts are learned from, in two passes. In the first each task counts words and ids, sums what stands around each id,
+and writes the ids of its texts; from these sums over all training texts come the classes. In the second, over the ids, each task counts ids
+by the class before them and trains the model on every window of its texts (one in ``EVERY``, which is 1); the tasks' parameters are
+averaged by their windows. The parameters that all tasks begin with come from ``STEPS`` steps on the driver on ``SAMPLE`` training texts
+of least id hash, of up to ``SAMPLE_BYTES`` bytes each; nothing else is taken from these.
 
 Texts are scored in windows of ``WINDOW`` inputs that overlap by ``WINDOW - STRIDE``: each window scores its last
 ``STRIDE`` ids, so each id is scored once, with at least ``WINDOW - STRIDE`` inputs before it; windows are scored in batches.
@@ -48,8 +49,10 @@ GROUPS = 72
 #: Ids with a row of their own; others share their class's row.
 OWN = 4_000
 STEPS = 2_000
-#: Of the windows of training texts, one in so many is trained on; windows of a step; step size.
-EVERY, BATCH, RATE = 16, 256, 0.006
+#: Of the windows of training texts, one in so many is trained on: all; windows of a step; step size, and the steps after which it falls.
+EVERY, BATCH, RATE, EVEN = 1, 512, 0.006, 100
+#: Random dimensions of what stands around ids, and how many ids stand together.
+AROUND, BESIDE = 24, 24
 #: Counts by which shares given the class before lean on the shares in all places.
 PRIOR = 20
 _END_WORD = U64(0x0E5D)
@@ -121,25 +124,26 @@ def gathered(starts: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple
     return values[np.repeat(starts[which] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)], many
 
 
-def contexts(ids: np.ndarray, first: np.ndarray, n: int, seed: int, reach: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n ids: the mean of random vectors of the ids around its occurrences, and how often it occurs."""
-    vectors = np.random.default_rng(seed).normal(size=(n, 24)).astype(np.float32)
-    around = np.zeros((n, 24))
-    # Some texts at a time.
-    at = 0
-    while at < len(first) - 1:
-        to = max(at + 1, int(np.searchsorted(first, first[at] + 50_000, "right")) - 1)
-        part, own = ids[first[at] : first[to]], first[at : to + 1] - first[at]
-        at = to
-        sums = np.concatenate([np.zeros((1, 24)), np.cumsum(vectors[part], axis=0, dtype=np.float64)])
-        text = np.repeat(np.arange(len(own) - 1), np.diff(own))
-        place = np.arange(len(part))
-        low, high = np.maximum(place - reach, own[text]), np.minimum(place + reach + 1, own[text + 1])
-        near = (sums[high] - sums[low] - vectors[part]) / np.maximum(high - low - 1, 1)[:, None]
-        for d in range(24):
-            around[:, d] += np.bincount(part, weights=near[:, d], minlength=n)
-    seen = np.bincount(ids, minlength=n)
-    return around / np.maximum(seen, 1)[:, None], seen
+def directions(n: int, seed: int = 5) -> np.ndarray:
+    """A random vector for each of n ids."""
+    return np.random.default_rng(seed).normal(size=(n, AROUND)).astype(np.float32)
+
+
+def contexts(ids: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """(dimension, id): for each id, the sum over its occurrences of the mean vector of the other ids in its piece of BESIDE ids of a text."""
+    size = np.diff(first)
+    many = -(-size // BESIDE)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    begin = np.repeat(first[:-1], many) + nth * BESIDE
+    long = np.diff(np.r_[begin, len(ids)])
+    out = np.empty((AROUND, len(vectors)))
+    if not len(ids):
+        return np.zeros_like(out)
+    part, others = np.repeat(np.arange(len(begin)), long), 1 / np.maximum(long - 1, 1)
+    for d, v in enumerate(np.ascontiguousarray(vectors.T)):
+        own = v[ids]
+        out[d] = np.bincount(ids, weights=((np.add.reduceat(own, begin)[part] - own) * others[part]), minlength=len(vectors))
+    return out
 
 
 def clusters(points: np.ndarray, mass: np.ndarray, flags: np.ndarray, seed: int) -> np.ndarray:
@@ -168,8 +172,8 @@ class AttentionModel:
     weights: dict = field(default_factory=dict)
 
     @classmethod
-    def begin(cls, counts: np.ndarray, starts_word: np.ndarray, ids: np.ndarray | None = None, first: np.ndarray | None = None, seed: int = 5) -> AttentionModel:
-        """Classes: the most frequent ids alone; ids that the sample (ids, first) has by what stands around them; the rest in bands of frequency."""
+    def begin(cls, counts: np.ndarray, starts_word: np.ndarray, around: np.ndarray | None = None, seed: int = 5) -> AttentionModel:
+        """Classes: the most frequent ids alone; ids that occur three times by what stands around them (sums of ``contexts``); the rest in bands of frequency."""
         n = len(counts)
         order = np.argsort(-counts, kind="stable")
         classes = np.zeros(n, np.int64)
@@ -181,11 +185,10 @@ class AttentionModel:
             mass = np.cumsum(counts[own] + 0.01)
             if len(own):
                 classes[own] = CLASSES - 12 + flag * 6 + np.minimum((6 * mass / mass[-1]).astype(np.int64), 5)
-        if ids is not None and len(ids):
-            around, seen = contexts(ids, first, n, seed)
-            own = rest[seen[rest] >= 3]
+        if around is not None:
+            own = rest[counts[rest] >= 3]
             if len(own) > GROUPS:
-                classes[own] = single + clusters(around[own], seen[own], starts_word[own], seed)
+                classes[own] = single + clusters(around.T[own] / counts[own, None], counts[own], starts_word[own], seed)
         rows = np.full(n, -1, np.int64)
         rows[order[:OWN]] = np.arange(min(OWN, n))
         own = np.where(rows >= 0, rows, min(OWN, n) + classes)
@@ -251,28 +254,55 @@ class AttentionModel:
     def gradients(self, inputs: np.ndarray, want: np.ndarray, ok: np.ndarray) -> tuple[float, dict]:
         """(mean loss of the classes ``want`` where ok, its gradient by parameter)."""
         w = self.weights
-        e, x, q, k, v, a, h, logp = self.forward(inputs)
-        loss = -np.take_along_axis(logp, want[:, :, None], 2)[ok].mean()
-        dz = np.exp(logp)
-        np.put_along_axis(dz, want[:, :, None], np.take_along_axis(dz, want[:, :, None], 2) - 1, 2)
-        dz *= (ok[:, :, None] / max(ok.sum(), 1)).astype(dz.dtype)
+        e = self.own[inputs]
+        x = np.take(w["E"], e, axis=0)
+        x += w["P"]
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"W": flat(h).T @ flat(dz), "b": dz.sum(axis=(0, 1))}
-        dh = dz @ w["W"].T
+        top = np.ascontiguousarray(x[:, WINDOW - STRIDE :])
+        q, k, v = ((flat(t) @ w[n]).reshape(t.shape) for t, n in ((top, "Q"), (x, "K"), (x, "V")))
+        a = q @ k.transpose(0, 2, 1)
+        a *= a.dtype.type(DIM**-0.5)
+        a += _HIDDEN.astype(a.dtype)
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        a /= a.sum(axis=2, keepdims=True)
+        h = top + a @ v
+        # Only scored places have a class.
+        rows = np.flatnonzero(ok)
+        whole = len(rows) == ok.size
+        near = flat(h) if whole else flat(h)[rows]
+        dz = near @ w["W"]
+        dz += w["b"]
+        if len(dz) and (dz.max() > 60 or dz.min() < -60):
+            dz -= dz.max(axis=1, keepdims=True)
+        at, named = np.arange(len(dz)), want.ravel()[rows]
+        chosen = dz[at, named]
+        np.exp(dz, out=dz)
+        total = dz @ np.ones(dz.shape[1], dz.dtype)
+        loss = (np.log(total) - chosen).mean()
+        one = dz.dtype.type(1 / max(len(rows), 1))
+        dz *= (one / total)[:, None]
+        dz[at, named] -= one
+        g = {"W": near.T @ dz, "b": np.ones(len(dz), dz.dtype) @ dz}
+        dh = np.zeros_like(h)
+        flat(dh)[slice(None) if whole else rows] = dz @ w["W"].T
         da = dh @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * a.dtype.type(DIM**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["Q"] = flat(np.ascontiguousarray(x[:, WINDOW - STRIDE :])).T @ flat(dq)
+        da -= np.einsum("wij,wij->wi", da, a)[:, :, None]
+        da *= a
+        da *= a.dtype.type(DIM**-0.5)
+        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+        g["Q"] = flat(top).T @ flat(dq)
         g["K"], g["V"] = flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ w["K"].T + dv @ w["V"].T
-        dx[:, WINDOW - STRIDE :] += dh + dq @ w["Q"].T
+        dx = (flat(dk) @ w["K"].T + flat(dv) @ w["V"].T).reshape(x.shape)
+        dx[:, WINDOW - STRIDE :] += dh + (flat(dq) @ w["Q"].T).reshape(dh.shape)
         g["P"] = dx.sum(axis=0)
-        row = e.ravel()
+        row = e.ravel().astype(np.int16)  # few numbers, sorted by their digits
         order = np.argsort(row, kind="stable")
-        at = np.flatnonzero(np.r_[True, row[order][1:] != row[order][:-1]])
+        row = row[order]
+        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         g["E"] = np.zeros_like(w["E"])
-        g["E"][row[order][at]] = np.add.reduceat(flat(dx)[order], at, axis=0)
+        g["E"][row[at]] = np.add.reduceat(np.take(flat(dx), order, axis=0), at, axis=0)
         return float(loss), g
 
     def steps(self, batches, rates, gain: float = 0.99):
@@ -313,29 +343,36 @@ class AttentionModel:
         xq, pxq, kv, pkv, out, bias, mask = self.tables()
         inputs, scored = self.windows(ids, first)
         total = np.zeros(len(ids), np.float64)
+        reach, high, ones = np.sqrt((out * out).sum(axis=0).max()), np.abs(bias).max(), np.ones(len(bias), np.float32)
+        few = np.ones(WINDOW, np.float32)
         for a in range(0, len(inputs), batch):
             e = self.own[inputs[a : a + batch]]
-            late = xq[e[:, WINDOW - STRIDE :]] + pxq
-            both = kv[e] + pkv
+            late = np.take(xq, e[:, WINDOW - STRIDE :], axis=0)
+            late += pxq
+            both = np.take(kv, e, axis=0)
+            both += pkv
             s = late[:, :, DIM:] @ both[:, :, :DIM].transpose(0, 2, 1)
             s += mask
             if s.max() > 60:
                 s -= s.max(axis=2, keepdims=True)
             np.exp(s, out=s)
-            weight = s.sum(axis=2)
+            weight = s @ few
             h = s @ both[:, :, DIM:]
             h /= weight[:, :, None]
             h += late[:, :, :DIM]
             at = scored[a : a + batch]
             ok = at >= 0
-            z = h[ok] @ out
-            z += bias
             place = at[ok]
-            if len(z) and (z.max() > 80 or z.min() < -80):
+            near = h[ok]
+            # No number is larger than the lengths allow; only if that isn't enough are the numbers themselves looked at.
+            small = len(near) and np.sqrt(np.einsum("ij,ij->i", near, near).max()) * reach + high < 80
+            z = near @ out
+            z += bias
+            if len(z) and not small and (z.max() > 80 or z.min() < -80):
                 z -= z.max(axis=1, keepdims=True)
             want = z[np.arange(len(z)), self.classes[ids[place]]].astype(np.float64)
             np.exp(z, out=z)
-            total[place] = want - np.log(z.sum(axis=1, dtype=np.float32))
+            total[place] = want - np.log(z @ ones)
         total += self.shares(ids, first)
         sums = np.r_[0, np.cumsum(total)]
         return sums[first[1:]] - sums[first[:-1]]
@@ -343,6 +380,7 @@ class AttentionModel:
 
 #: Query i of a window, at place WINDOW - STRIDE + i, sees the keys up to its own.
 _MASK = np.arange(WINDOW)[None, :] <= (WINDOW - STRIDE + np.arange(STRIDE))[:, None]
+_HIDDEN = np.where(_MASK, 0.0, -1e9)
 _loaded: dict[bytes, Subwords] = {}
 
 
@@ -394,7 +432,7 @@ class Learner:
         self.model = copy.deepcopy(model)
         self.passed = self.trained = 0
         self.held: list = []
-        self.rest = self.model.steps(self.batches(), itertools.repeat(RATE))
+        self.rest = self.model.steps(self.batches(), (RATE * min(1.0, (EVEN / step) ** 0.5) for step in itertools.count(1)))
 
     def see(self, ids: np.ndarray, first: np.ndarray) -> None:
         size = np.diff(first)
@@ -439,19 +477,21 @@ def averaged(model: AttentionModel, total: np.ndarray) -> None:
             at += w.size
 
 
-def _counts(train: DataFrame, content, sent, pattern: str) -> DataFrame:
-    """One pass over the training texts: packed word counts (bucket, block); from each task counts of ids, of ids by the class before them (slice), and parameters."""
-    buckets = packed.buckets_of(train.sparkSession)
-    names = ["bucket", "block", "ids", "weights", "slice", "pairs"]
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+def _row(names: list[str], kinds: list, n: int, **columns) -> pa.RecordBatch:
+    """A batch of n rows that has the columns given, and nulls in the others."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
-    def row(n, **columns):
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+def _counts(train: DataFrame, content, pattern: str) -> DataFrame:
+    """The first pass over the training texts: packed word counts (bucket, block); the ids of texts, and how many each has (texts, many); from each task, counts of ids and, by dimension (slice), what stands around them."""
+    buckets = packed.buckets_of(train.sparkSession)
+    names = ["bucket", "block", "texts", "many", "ids", "slice", "around"]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
-        sub, learner = _subwords(content.value, pattern), Learner(sent.value)
-        ids = np.zeros(sub.end + 1, np.int64)
-        pairs = np.zeros((CLASSES, sub.end + 1), np.int32)
+        sub = _subwords(content.value, pattern)
+        vectors = directions(sub.end + 1)
+        ids, around = np.zeros(sub.end + 1, np.int64), np.zeros((AROUND, sub.end + 1))
         parts, held = [], 0
 
         def blocks(parts):
@@ -459,14 +499,14 @@ def _counts(train: DataFrame, content, sent, pattern: str) -> DataFrame:
             out = np.zeros(len(h), _COUNT)
             out["h"], out["uid"], out["n"] = h, -1, n
             b = packed.packed(mix(h), out, buckets)
-            return row(b.num_rows, bucket=b.column(0), block=b.column(1))
+            return _row(names, kinds, b.num_rows, bucket=b.column(0), block=b.column(1))
 
         for _, x in _texts(batches):
             own = np.bincount(x.which, minlength=len(x.hashes))
             got, first = x.sequences(sub)
             ids += np.bincount(got, minlength=len(ids))
-            np.add.at(pairs, (learner.model.before(got, first), got), 1)
-            learner.see(got, first)
+            around += contexts(got, first, vectors)
+            yield _row(names, kinds, 1, texts=[got.astype(_packed_ids(sub.end)).tobytes()], many=[np.diff(first).astype(np.int64).tobytes()])
             parts.append((x.hashes, own))
             held += len(own)
             if held > 500_000:
@@ -474,11 +514,38 @@ def _counts(train: DataFrame, content, sent, pattern: str) -> DataFrame:
                 parts, held = [], 0
         if parts:
             yield blocks(parts)
-        yield row(1, ids=[zlib.compress(ids.tobytes(), 1)], weights=[zlib.compress(learner.parameters().tobytes(), 1)])
+        yield _row(names, kinds, 1, ids=[zlib.compress(ids.tobytes(), 1)])
+        if ids.any():
+            for k, sums in enumerate(around):
+                yield _row(names, kinds, 1, slice=[k], around=[zlib.compress(sums.tobytes(), 1)])
+
+    return train.select("text").transform(in_batches, run, "bucket int, block binary, texts binary, many binary, ids binary, slice int, around binary")
+
+
+def _packed_ids(end: int) -> np.dtype:
+    """The type that ids up to ``end`` are written in."""
+    return np.dtype("<u2" if end < 1 << 16 else "<i4")
+
+
+def _learned(sequences: DataFrame, sent, end: int) -> DataFrame:
+    """The second pass, over the ids (texts, many): from each task parameters, and counts of ids by the class before them (slice)."""
+    names, kinds = ["weights", "slice", "pairs"], [pa.binary(), pa.int32(), pa.binary()]
+
+    def run(batches):
+        learner = Learner(sent.value)
+        pairs = np.zeros(CLASSES * (end + 1), np.int32)
+        for batch in batches:
+            for texts, many in zip(batch.column("texts"), batch.column("many"), strict=True):
+                got = np.frombuffer(texts.as_buffer(), _packed_ids(end)).astype(np.int32)
+                first = np.r_[0, np.cumsum(np.frombuffer(many.as_buffer(), np.int64))]
+                np.add.at(pairs, learner.model.before(got, first) * (end + 1) + got, 1)
+                learner.see(got, first)
+        yield _row(names, kinds, 1, weights=[zlib.compress(learner.parameters().tobytes(), 1)])
+        pairs = pairs.reshape(CLASSES, end + 1)
         for k in np.flatnonzero(pairs.any(axis=1)).tolist():
-            yield row(1, slice=[k], pairs=[zlib.compress(pairs[k].astype(np.int64).tobytes(), 1)])
+            yield _row(names, kinds, 1, slice=[k], pairs=[zlib.compress(pairs[k].astype(np.int64).tobytes(), 1)])
 
-    return train.select("text").transform(in_batches, run, "bucket int, block binary, ids binary, weights binary, slice int, pairs binary")
+    return sequences.transform(in_batches, run, "weights binary, slice int, pairs binary")
 
 
 _BINS = 4_096
@@ -548,14 +615,17 @@ def score_texts(docs: DataFrame, held: Column, path: str, pattern: str, key: str
     chosen = [r["text"] for r in least_hashed(train.filter(F.octet_length("text") <= SAMPLE_BYTES).select("key", "text"), sample, "key").collect()]
     data, offsets = text_bytes(pa.array(chosen, pa.large_string()))
     got, first = _Texts(data, offsets).sequences(sub)
-    model = AttentionModel.begin(np.bincount(got, minlength=sub.end + 1), np.array([sub.encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(sub.end)] + [True]), got, first)
+    counted = written(_counts(few_files(train, rows), content, pattern), "counts", 0)
+    ids = _added(counted, "ids", sub.end + 1)
+    around = _added(counted, "around", sub.end + 1, np.float64, "slice")[:AROUND]
+    model = AttentionModel.begin(ids, np.array([sub.encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(sub.end)] + [True]), around)
     if chosen:
         model.train(got, first, steps)
     begun = sc.broadcast(model)
-    counted = written(_counts(few_files(train, rows), content, begun, pattern), "counts", 0)
-    ids = _added(counted, "ids", sub.end + 1)
-    averaged(model, _added(counted, "weights", sum(w.size for w in model.weights.values()) + 1, np.float64))
-    model.learn_shares(ids, _added(counted, "pairs", sub.end + 1, by="slice"))
+    sequences = counted.filter("texts is not null").select("texts", "many")
+    learned = written(_learned(few_files(sequences, rows), begun, sub.end), "learned", 0)
+    averaged(model, _added(learned, "weights", sum(w.size for w in model.weights.values()) + 1, np.float64))
+    model.learn_shares(ids, _added(learned, "pairs", sub.end + 1, by="slice"))
     begun.destroy()
     texts = int(ids[-1])
     summed = written(_summed(counted.filter("bucket is not null").select("bucket", "block")), "words", 0)

@@ -175,3 +175,26 @@ def test_words_with_odd_spaces_are_encoded_one_by_one():
     for strings in (["a", " b", " ", "don't,", "été"], ["plain", "words"]):
         ids, many = sub.encode(strings)
         assert [ids[e - n : e].tolist() for e, n in zip(np.cumsum(many), many, strict=True)] == [sub.encoding.encode_ordinary(f" {s}") for s in strings]
+
+
+def test_classes_and_training_take_all_training_texts(spark, monkeypatch):
+    """Whatever the sample that the first parameters come from: counts, contexts and windows are those of all training texts."""
+    r = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(d, " ".join(r.choice(words, r.integers(1, 120)))) for d in range(80)] + [(80, None), (81, "")]
+    sub = lm.Subwords(open(queries.RANKS, "rb").read(), P.PATTERN)
+    sequences = [lm._Texts(*text_bytes(pa.array([t or ""]))).sequences(sub)[0] for d, t in docs if brute.crc(d, 7) != 2]
+    seen = {}
+    begin, averaged = lm.AttentionModel.begin.__func__, lm.averaged
+    monkeypatch.setattr(lm.AttentionModel, "begin", classmethod(lambda cls, counts, flags, around: seen.update(counts=counts, around=around) or begin(cls, counts, flags, around)))
+    monkeypatch.setattr(lm, "averaged", lambda model, total: seen.update(windows=total[-1]) or averaged(model, total))
+    assert scored(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), sample=2, steps=5).count() == len(docs)
+    assert np.array_equal(seen["counts"], sum(np.bincount(s, minlength=sub.end + 1) for s in sequences))
+    assert seen["windows"] == sum(-(-len(s) // lm.STRIDE) for s in sequences)
+    vectors, want = lm.directions(sub.end + 1), np.zeros((lm.AROUND, sub.end + 1))
+    for s in sequences:
+        for a in range(0, len(s), lm.BESIDE):
+            piece = vectors[s[a : a + lm.BESIDE]].astype(float)
+            for i, own in zip(s[a : a + lm.BESIDE], piece, strict=True):
+                want[:, i] += (piece.sum(axis=0) - own) / max(len(piece) - 1, 1)
+    assert np.allclose(seen["around"], want, atol=1e-3)
