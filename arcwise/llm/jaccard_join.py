@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, WORD_SPACE, bit_count, chunks, mix, text_bytes, window_hashes, word_hashes, words
-from arcwise.llm.shared import few_files, in_batches, prepared, swept, written
+from arcwise.llm.shared import discarded, few_files, in_batches, prepared, swept, written
 from arcwise.operators.traversal import connected_components
 
 SIZE = 4
@@ -251,6 +251,7 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, s
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     left = written(both.transform(in_batches, bounded, "a bigint, b bigint").distinct(), "pairs")
+    swept(spark)  # the exchanges of signatures
     wanted = spark.sparkContext.broadcast(packed.bloom(left.select(F.col("a").alias("doc")).unionByName(left.select(F.col("b").alias("doc"))), "doc"))
 
     def sets(batches):
@@ -277,7 +278,11 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, size: int, s
                 keep.append(np.count_nonzero(both[1:] == both[:-1]) >= least_overlap(len(x), len(y), share))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    return written(full.select("a", "b", "x", "y").transform(in_batches, exact, "a bigint, b bigint").distinct(), "links")
+    links = written(full.select("a", "b", "x", "y").transform(in_batches, exact, "a bigint, b bigint").distinct(), "links")
+    discarded(left)
+    wanted.destroy()
+    swept(spark)  # the exchanges of sets
+    return links
 
 
 def shingle_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = SIZE, share: int = SHARE) -> DataFrame:
@@ -291,23 +296,32 @@ def shingle_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     some = signed.filter("n > 0 and doc is not null")
     same = some.groupBy("n", "s1", "s2").agg(F.min("doc").alias("b"), F.count("*").alias("k")).filter("k > 1")
     copies = some.join(same, ["n", "s1", "s2"]).filter("doc != b").select(F.col("doc").alias("a"), "b")
-    stars = tiles.filter("doc != lead").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
-    links = written(copies.unionByName(_verified(stars, some, source, size, share)).distinct(), "links")
+    stars = written(tiles.filter("doc != lead").select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct(), "pairs")
+    swept(spark)
+    near = _verified(stars, some, source, size, share)
+    links = written(copies.unionByName(near).distinct(), "links")
+    discarded(near)
     first = written(connected_components(links), "components")
+    swept(spark)
 
     # Tiles of three documents or more that still hold different components; where two meet, the star has compared them.
-    tested, rest = stars, tiles.filter("many > 2").select("token", "doc", "n")
+    tested, rest, stored = stars, tiles.filter("many > 2").select("token", "doc", "n"), tiles
     for nearest in (True, True, False):
         known = rest.join(first.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         mixed = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("token")
         known = written(known.join(mixed, "token"), "open")
-        rest = known.select("token", "doc", "n")
+        discarded(stored)  # what is still open is read from here on
+        rest, stored = known.select("token", "doc", "n"), known
+        swept(spark)
         signs = known.join(some.select("doc", F.col("n").alias("size"), "bits"), "doc").filter("n = size").select("token", "doc", "n", "component", "bits")
         pairs = written(_across(signs, share, nearest).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        swept(spark)  # the exchange of the tiles' signatures
         more = _verified(pairs, some, source, size, share)
         if not more.isEmpty():
+            had = links, first, more
             links = written(links.unionByName(more), "links")
             first = written(connected_components(links), "components")
+            discarded(*had)
         tested = tested.unionByName(pairs)
         swept(spark)
     ids = signed.select(F.col("doc").alias("node"), F.col("n").alias("n_shingles")).join(first, "node", "left")
