@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 
 import pyarrow as pa
@@ -32,6 +33,18 @@ def released() -> None:
         pass
 
 
+@contextlib.contextmanager
+def exchanges_gone(spark: SparkSession):
+    """Within it, the shuffle files of a query go when it ends, without waiting for the driver's garbage. For queries that are run once."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if had is None else spark.conf.set(name, had)
+
+
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema), after which a worker keeps nothing of a task. Columns may have any name."""
     names = df.columns

@@ -1,20 +1,20 @@
 """Suffix-array dedup: removes bytes inside strings of ``length`` bytes that also start in a document with a smaller id.
 
 Every string of ``length`` bytes belongs to the least hash of its runs of ``GRAM`` bytes, so equal strings meet under the
-same hash wherever they stand; neighbouring strings under one hash make a fragment. A first pass tells
-which hashes occur once (nothing to do), with one fragment only, or with several. In the second pass
-fragments of the second kind go by place, those of the third with their bytes. Under each hash the distinct
-fragments are joined to one text, whose suffixes are sorted by Lyndon-prefix groups (suffix_groups); suffixes that
-share their first ``length`` bytes stand together, and the least id among their fragments decides for all of them.
-Where a hash has one distinct fragment, its order is that fragment's. Removed strings are merged to runs by document.
+same hash wherever they stand; neighbouring strings under one hash make a fragment. Texts are dealt out in an order that
+doesn't change, and cut to parts. In a first pass the hashes of fragments meet, and each part gets back two bits for each of its fragments:
+whether its hash occurs again, and whether with several kinds of fragments. In the second pass fragments that are alone stay, those of
+one kind go by place, and those of several with their bytes. Under each hash the strings of its distinct fragments that may
+have an equal one (by a hash, which never misses one) are joined to one text, whose suffixes are sorted by Lyndon-prefix groups
+(suffix_groups); suffixes that share their first ``length`` bytes stand together, and the least id among their fragments decides for all
+of them. Where a hash has one distinct fragment, its order is that fragment's. Removed strings are merged to runs by part.
 
-What the first pass tells is a table of fixed size (two bits for each of 2**SLOT_BITS slots, 16 MB); where hashes share a slot more
-fragments travel than need be, and the result is the same. No document text is shuffled but those bytes, and once
-the texts themselves to meet their runs.
+Nothing is broadcast, and what travels follows from the fragments' own company, however large the table is: no hash shares a table's slot
+with others. Texts travel three times, to be cut and to meet their bits and their runs, each time after what the pass before left is gone.
 
 Null and empty texts have no bytes. Texts under ``length`` bytes lose nothing. Very long texts count whole, in pieces.
-Rows that repeat a doc_id don't come before one another, and are told apart by 16 bits of their text's hash. Rows
-without doc_id keep all bytes and take none from others. An empty table gives an empty result. Extra columns are ignored.
+Rows that repeat a doc_id don't come before one another. Rows without doc_id keep all bytes and take none from others. An
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,22 +27,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from arcwise.llm import packed
 from arcwise.llm.blocks import U64, mix, powers, prefix_sums, span_hashes, text_bytes
-from arcwise.llm.shared import few_files, in_batches, prepared, swept
+from arcwise.llm.shared import discarded, exchanges_gone, few_files, in_batches, prepared, written
 from arcwise.llm.suffix_groups import sort_many, sort_one
 
 LENGTH = 50
 GRAM = 20
-SLOT_BITS = 26
 #: Strings of one fragment at most.
 _MOST = 64
 #: Bytes of text that a pass looks at together, bytes of joined fragments sorted together, and from where on one hash's are sorted alone.
 _PIECE, _TOGETHER, _ALONE = 500_000, 600_000, 6_000
+#: Bytes of a part (one longer text is a part of its own), and buckets for each shuffle partition.
+_PART, _BUCKETS = 4_000_000, 2
+#: Bits of a part's number within its partition.
+_PART_BITS = 24
 #: Groups that are sorted together at least.
 _ROWS = 64
 
 _SEEN = np.dtype([("h", "<u4"), ("h2", "u1"), ("f", "<u8")])
-_PLACE = np.dtype([("h", "<u4"), ("h2", "u1"), ("doc", "<i8"), ("text", "<u2"), ("at", "<u4"), ("n", "u1")])
-_RUN = np.dtype([("doc", "<i8"), ("text", "<u2"), ("at", "<u4"), ("n", "u1")])
+_PLACE = np.dtype([("h", "<u4"), ("h2", "u1"), ("doc", "<i8"), ("at", "<u4"), ("n", "u1")])
+_RUN = np.dtype([("part", "<i8"), ("at", "<u4"), ("n", "u1")])
 
 
 def fragments(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int):
@@ -107,74 +110,157 @@ def _pieces(batches, length: int, gram: int):
             yield part, ids[rows[which]], kinds[rows[which]], begins[which] + start - base[which], h, start, n, f
 
 
-def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
+def _dealt(rows: DataFrame, n: int, more: DataFrame | None = None) -> DataFrame:
+    """(deal, doc, text, part, bucket, more): texts dealt out to n partitions in an order of their own, behind the rows (part, bucket, more) of their partition."""
+    none = lambda kind: F.lit(None).cast(kind)
+    out = rows.select(F.pmod(F.xxhash64("doc", "text"), F.lit(n)).cast("int").alias("deal"), "doc", "text", none("bigint").alias("part"), none("int").alias("bucket"), none("binary").alias("more"))
+    if more is not None:
+        out = out.union(more.select(F.shiftright("part", _PART_BITS).cast("int"), none("bigint"), none("string"), "part", "bucket", "more"))
+    return out.repartitionById(n, F.col("deal")).sortWithinPartitions("deal", "doc", "text")
+
+
+def _parts(batches):
+    """(part, ids, offsets, bytes, its (bucket, more) rows) of parts of the dealt texts; where they are cut doesn't depend on the batches."""
+    deal, number, said, held, total = None, 0, {}, [], 0
+
+    def part():
+        docs, sizes, texts = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = int(deal) << _PART_BITS | number
+        return at, docs, np.r_[0, np.cumsum(sizes)], texts, said.get(at, ())
+
+    for batch in batches:
+        deals, texts = batch.column("deal").to_numpy(), batch.column("doc").is_valid().to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.r_[True, (deals[1:] != deals[:-1]) | (texts[1:] != texts[:-1])])
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(deals)], strict=True):
+            if deals[a] != deal:
+                if held:
+                    yield part()
+                deal, number, said, held, total = deals[a], 0, {}, [], 0
+            own = batch.slice(a, b - a)
+            if not texts[a]:
+                for at, bucket, more in zip(own.column("part").to_pylist(), own.column("bucket").to_pylist(), own.column("more"), strict=True):
+                    said.setdefault(at, []).append((bucket, more.as_py()))
+                continue
+            data, offsets = text_bytes(own.column("text"))
+            docs = own.column("doc").to_numpy()
+            weight = np.r_[0, np.cumsum(np.diff(offsets) + 16)]
+            x = 0
+            while x < b - a:
+                y = int(np.searchsorted(weight, weight[x] + _PART - total, "right")) - 1
+                if y <= x and held:
+                    yield part()
+                    number, held, total = number + 1, [], 0
+                    continue
+                y = max(y, x + 1)
+                held.append((docs[x:y], np.diff(offsets[x : y + 1]), data[offsets[x] : offsets[y]].copy()))
+                total += int(weight[y] - weight[x])
+                x = y
+    if held:
+        yield part()
+
+
+def _fragments(batches, length: int, gram: int):
+    """(part, bytes, its rows, doc, byte, place, fragments) of parts that have any. A place is one more than the byte for each text before: no two texts touch."""
+    for part, docs, offsets, data, said in _parts(batches):
+        texts = pa.Array.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        block = pa.RecordBatch.from_arrays([pa.array(docs), texts, pa.array(np.arange(len(docs), dtype=np.int32))], names=["doc", "text", "kind"])
+        held = []
+        for _, doc, text, at, h, _, n, f in _pieces([block], length, gram):
+            byte = offsets[text] + at
+            held.append((doc, byte, byte + text, h, n, f))
+        if held:
+            yield part, data, said, *(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _where(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
 
 
-def _slots(docs: DataFrame, length: int, gram: int) -> np.ndarray:
-    """(2, 2**SLOT_BITS / 8) bits: whether a slot has a hash that occurs twice, and one with several fragments."""
-    buckets = packed.buckets_of(docs.sparkSession)
+def company(key: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each fragment, whether its key occurs again, and whether with several kinds."""
+    order = np.lexsort((kind, key))
+    key, kind = key[order], kind[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    group = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    other = np.r_[False, kind[1:] != kind[:-1]] & ~new
+    out = np.empty((2, len(key)), bool)
+    out[0, order] = (np.diff(np.r_[heads, len(key)]) > 1)[group]
+    out[1, order] = np.logical_or.reduceat(other, heads)[group]
+    return out[0], out[1]
+
+
+def _met(dealt: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+    """(part, bucket, more): ``company`` of a part's fragments in a bucket as bits, in their order; rows without any are left out."""
+    names = ["part", "bucket", "more"]
 
     def seen(batches):
-        for *_, h, _, _, f in _pieces(batches, length, gram):
+        for part, _, _, _, _, _, h, _, f in _fragments(batches, length, gram):
             out = np.empty(len(h), _SEEN)
             out["h"], out["h2"], out["f"] = h >> U64(32), (h >> U64(24)) & U64(255), f
-            yield packed.packed(h, out, buckets)
-
-    def count(r):
-        key = (r["h"].astype(np.int64) << 8) | r["h2"]
-        order = np.lexsort((r["f"], key))
-        key, f = key[order], r["f"][order]
-        same = key[1:] == key[:-1]
-        twice, several = key[1:][same], key[1:][same & (f[1:] != f[:-1])]
-        low = int(key[0] >> (40 - SLOT_BITS) >> 3)
-        tables = []
-        for k in (twice, several):
-            slot = np.unique(k >> (40 - SLOT_BITS)) - low * 8
-            bits = np.zeros((int(key[-1] >> (40 - SLOT_BITS) >> 3) - low + 1) * 8, np.uint8)
-            bits[slot] = 1
-            tables.append(np.packbits(bits).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([tables[0]], pa.binary()), pa.array([tables[1]], pa.binary())], names=["low", "twice", "several"])
-
-    out = np.zeros((2, (1 << SLOT_BITS) // 8), np.uint8)
-    for r in packed.by_bucket(docs.transform(in_batches, seen, "bucket int, block binary"), count, _SEEN, "low bigint, twice binary, several binary").collect():  # 16 MB in all
-        for table, part in zip(out, (r["twice"], r["several"]), strict=True):
-            table[r["low"] : r["low"] + len(part)] |= np.frombuffer(part, np.uint8)
-    return out
+            b = packed.packed(h, out, n * _BUCKETS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part)), *b.columns], names=names)
+
+    def answers(bucket, parts, blocks):
+        sizes = [len(b) // _SEEN.itemsize for b in blocks]
+        r = np.frombuffer(b"".join(blocks), _SEEN)
+        twice, several = company((r["h"].astype(np.int64) << 8) | r["h2"], r["f"])
+        out, a = [], 0
+        for part, m in zip(parts, sizes, strict=True):
+            if twice[a : a + m].any():
+                out.append((part, np.packbits(np.r_[twice[a : a + m], several[a : a + m]]).tobytes()))
+            a += m
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=names)
+
+    return _by_bucket(dealt.transform(in_batches, seen, "part bigint, bucket int, more binary"), n, answers, "part bigint, bucket int, more binary")
+
+
+def _by_bucket(rows: DataFrame, n: int, work, schema: str) -> DataFrame:
+    """work(bucket, columns) for each bucket's rows: values of the other columns, those of binary ones as buffers."""
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            others = [x for x, name in zip(batch.columns, batch.schema.names, strict=True) if name != "bucket"]
+            columns = [(v.as_buffer() for v in x) if pa.types.is_binary(x.type) else x.to_pylist() for x in others]
+            for bucket, *row in zip(batch.column("bucket").to_pylist(), *columns, strict=True):
+                if bucket != now and held:
+                    yield from work(now, *zip(*held, strict=True))
+                    held = []
+                now = bucket
+                held.append(row)
+        if held:
+            yield from work(now, *zip(*held, strict=True))
+
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").transform(in_batches, run, schema)
 
 
-def _travelling(docs: DataFrame, slots, length: int, gram: int) -> DataFrame:
-    """(bucket, places, known, bytes): fragments that have company; the last ``known`` bytes belong to those with several kinds, which come last."""
-    buckets = packed.buckets_of(docs.sparkSession)
+def _travelling(dealt: DataFrame, n: int, length: int, gram: int) -> DataFrame:
+    """(bucket, part, places, known, bytes): fragments that have company; the last ``known`` bytes belong to those with several kinds, which come last."""
 
     def run(batches):
-        twice, several = slots.value
-        for part, doc, kind, at, h, start, n, _ in _pieces(batches, length, gram):
-            slot = (h >> U64(64 - SLOT_BITS)).astype(np.int64)
-            bit = np.uint8(128) >> (slot & 7).astype(np.uint8)
-            has = lambda t: t[slot >> 3] & bit > 0  # noqa: E731, B023
-            go, with_bytes = has(twice), has(several)
-            sel = np.flatnonzero(go)
-            where = _buckets(h[sel], buckets)
-            order = np.lexsort((with_bytes[sel], where))
-            sel, where = sel[order], where[order]
-            rows = np.empty(len(sel), _PLACE)
-            rows["h"], rows["h2"] = h[sel] >> U64(32), (h[sel] >> U64(24)) & U64(255)
-            rows["doc"], rows["text"], rows["at"], rows["n"] = doc[sel], kind[sel], at[sel], n[sel]
-            cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(sel) else np.zeros(0, np.int64)
-            wide = with_bytes[sel]
-            sizes = np.where(wide, n[sel] + length - 1, 0)
-            ends = np.r_[0, np.cumsum(sizes)]
-            src = np.repeat(start[sel] - ends[:-1], sizes) + np.arange(ends[-1])
-            text = part[src]
-            blocks, texts, known = [], [], []
-            for a, b in zip(cut, np.r_[cut[1:], len(sel)], strict=False):
-                blocks.append(rows[a:b].tobytes())
-                texts.append(text[ends[a] : ends[b]].tobytes())
-                known.append(int(np.count_nonzero(wide[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(where[cut], pa.int32()), pa.array(blocks, pa.binary()), pa.array(known, pa.int32()), pa.array(texts, pa.binary())], names=["bucket", "places", "known", "bytes"])
-
-    return docs.transform(in_batches, run, "bucket int, places binary, known int, bytes binary")
+        for part, data, said, doc, byte, place, h, many, _ in _fragments(batches, length, gram):
+            bits, own = dict(said), _where(h, n * _BUCKETS)
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            where, blocks, texts, known = [], [], [], []
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(own)], strict=True):
+                if (got := bits.get(int(own[a]))) is None:
+                    continue
+                twice, several = np.unpackbits(np.frombuffer(got, np.uint8), count=2 * (b - a)).view(bool).reshape(2, -1)
+                wide = order[a:b][several]
+                sel = np.r_[order[a:b][twice & ~several], wide]
+                rows = np.empty(len(sel), _PLACE)
+                rows["h"], rows["h2"] = h[sel] >> U64(32), (h[sel] >> U64(24)) & U64(255)
+                rows["doc"], rows["at"], rows["n"] = doc[sel], place[sel], many[sel]
+                where.append(int(own[a]))
+                blocks.append(rows.tobytes())
+                texts.append(data[_places(byte[wide], many[wide] + length - 1)].tobytes())
+                known.append(len(wide))
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([part] * len(where), pa.int64()), pa.array(blocks, pa.binary()), pa.array(known, pa.int32()), pa.array(texts, pa.binary())], names=["bucket", "part", "places", "known", "bytes"])
+
+    return dealt.transform(in_batches, run, "bucket int, part bigint, places binary, known int, bytes binary")
 
 
 def _places(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -255,7 +341,25 @@ def least_ids(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], data: np.
     return out
 
 
-def _removed(rows: np.ndarray, known: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+def _bounds(hit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the runs of places that are hit and have one owner."""
+    inner = own[1:] == own[:-1]
+    return np.flatnonzero(hit & np.r_[True, ~(hit[:-1] & inner)]), np.flatnonzero(hit & np.r_[~(hit[1:] & inner), True]) + 1
+
+
+def _may_equal(hashes: np.ndarray, group: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Whether a string may equal one of its group that has another least id: whether its hash does. Equal strings have equal hashes."""
+    key = hashes + mix(group.astype(U64))
+    order = np.argsort(key, kind="stable")
+    key, low = key[order], low[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    heads = np.flatnonzero(new)
+    out = np.empty(len(key), bool)
+    out[order] = (np.minimum.reduceat(low, heads) < np.maximum.reduceat(low, heads))[np.cumsum(new) - 1]
+    return out
+
+
+def _removed(rows: np.ndarray, part: np.ndarray, known: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     """Runs of removed strings among a bucket's fragments; known: start of each fragment's bytes in data, or -1."""
     key = (rows["h"].astype(np.int64) << 8) | rows["h2"]
     n = rows["n"].astype(np.int64)
@@ -264,8 +368,8 @@ def _removed(rows: np.ndarray, known: np.ndarray, data: np.ndarray, length: int)
     if has.any():
         sums = prefix_sums(data)
         kind[has] = span_hashes(sums, known[has], known[has] + n[has] + length - 1)
-    order = np.lexsort((rows["at"], rows["text"], rows["doc"], kind, key))
-    rows, key, kind, known, n = rows[order], key[order], kind[order], known[order], n[order]
+    order = np.lexsort((rows["at"], part, rows["doc"], kind, key))
+    rows, key, kind, known, n, part = rows[order], key[order], kind[order], known[order], n[order], part[order]
     doc = rows["doc"]
     new_key = np.r_[True, key[1:] != key[:-1]]
     new_kind = new_key | np.r_[True, kind[1:] != kind[:-1]]
@@ -279,32 +383,35 @@ def _removed(rows: np.ndarray, known: np.ndarray, data: np.ndarray, length: int)
     many = np.diff(np.r_[starts, len(heads)])
     # Nothing goes among the kinds of one document.
     mixed = (many > 1) & (np.minimum.reduceat(low, starts) != np.maximum.reduceat(doc[ends - 1], starts))
-    groups = [slice(a, a + m) for a, m in zip(starts[mixed].tolist(), many[mixed].tolist(), strict=True)]
-    if groups:
-        least = np.concatenate(least_ids([(known[heads[g]], n[heads[g]], low[g]) for g in groups], data, length))
+    if mixed.any():
         some = _places(starts[mixed], many[mixed])  # the kinds of these groups
+        group = np.repeat(np.arange(np.count_nonzero(mixed)), many[mixed])
         size = n[heads[some]]
         own = np.repeat(np.arange(len(some)), size)
-        hit = least < low[some][own]
-        inner = own[1:] == own[:-1]
-        begin = np.flatnonzero(hit & np.r_[True, ~(hit[:-1] & inner)])
-        end = np.flatnonzero(hit & np.r_[~(hit[1:] & inner), True]) + 1
-        at = begin - (np.cumsum(size) - size)[own[begin]]
-        # Each fragment of the kind's least document loses them; those of later ones are gone whole.
-        copies = np.add.reduceat((doc == low[kinds]).astype(np.int64), heads)[some[own[begin]]]
-        runs.append(np.stack([_places(heads[some[own[begin]]], copies), np.repeat(at, copies), np.repeat(end - begin, copies)]))
+        string = _places(known[heads[some]], size)
+        may = _may_equal(span_hashes(sums, string, string + length), group[own], low[some][own])
+        begin, end = _bounds(may, own)
+        cuts = np.flatnonzero(np.r_[True, np.diff(group[own[begin]]) > 0, True]) if len(begin) else begin
+        left = [(string[begin[x:y]], end[x:y] - begin[x:y], low[some[own[begin[x:y]]]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        if left:
+            # The order of their suffixes tells which strings are equal.
+            hit = np.zeros(len(own), bool)
+            hit[may] = np.concatenate(least_ids(left, data, length)) < low[some][own][may]
+            begin, end = _bounds(hit, own)
+            at = begin - (np.cumsum(size) - size)[own[begin]]
+            # Each fragment of the kind's least document loses them; those of later ones are gone whole.
+            copies = np.add.reduceat((doc == low[kinds]).astype(np.int64), heads)[some[own[begin]]]
+            runs.append(np.stack([_places(heads[some[own[begin]]], copies), np.repeat(at, copies), np.repeat(end - begin, copies)]))
     place, shift, size = np.concatenate(runs, axis=1)
     out = np.empty(len(place), _RUN)
-    out["doc"], out["text"], out["at"], out["n"] = doc[place], rows["text"][place], rows["at"][place] + shift, size
+    out["part"], out["at"], out["n"] = part[place], rows["at"][place] + shift, size
     return out
 
 
-def _runs(travelling: DataFrame, length: int) -> DataFrame:
-    """(bucket, block) of removed runs, by document."""
-    spark = travelling.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _runs(travelling: DataFrame, n: int, length: int) -> DataFrame:
+    """(bucket, block) of removed runs, by part."""
 
-    def work(places, known, texts):
+    def work(_, parts, places, known, texts):
         rows, starts, base = [], [], 0
         for p, k, t in zip(places, known, texts, strict=True):
             r = np.frombuffer(p, _PLACE)
@@ -315,58 +422,60 @@ def _runs(travelling: DataFrame, length: int) -> DataFrame:
             rows.append(r)
             starts.append(at)
             base += len(t)
-        out = _removed(np.concatenate(rows), np.concatenate(starts), np.frombuffer(b"".join(texts), np.uint8), length)
-        # Each bucket writes a block for each partition of documents.
-        yield packed.packed(mix(out["doc"].astype(np.int64).view(U64)), out, n)
+        part = np.repeat(np.array(parts, np.int64), [len(r) for r in rows])
+        out = _removed(np.concatenate(rows), part, np.concatenate(starts), np.frombuffer(b"".join(texts), np.uint8), length)
+        # Each bucket writes a block for each partition of parts.
+        yield packed.packed(mix(out["part"].astype(np.int64).view(U64)), out, n)
 
-    def run(batches):
-        now, places, known, texts = None, [], [], []
-        for batch in batches:
-            for bucket, p, k, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if bucket != now and places:
-                    yield from work(places, known, texts)
-                    places, known, texts = [], [], []
-                now = bucket
-                places.append(p.as_buffer())
-                known.append(k)
-                texts.append(t.as_buffer())
-        if places:
-            yield from work(places, known, texts)
-
-    return travelling.repartition(n, "bucket").sortWithinPartitions("bucket").transform(in_batches, run, "bucket int, block binary")
+    return _by_bucket(travelling, n, work, "bucket int, block binary")
 
 
 def _spans(runs: DataFrame, length: int) -> DataFrame:
-    """(doc, kind, spans): each document's removed bytes as merged (start, end) pairs of int64."""
+    """(part, more): each part's removed places as merged (start, end) pairs of int64."""
 
     def work(r):
-        r = r[np.lexsort((r["at"], r["text"], r["doc"]))]
+        r = r[np.lexsort((r["at"], r["part"]))]
         start, end = r["at"].astype(np.int64), r["at"].astype(np.int64) + r["n"] + length - 1
-        new = np.r_[True, (r["doc"][1:] != r["doc"][:-1]) | (r["text"][1:] != r["text"][:-1])]
-        # Ends so far within a document: documents are set apart by more than any place.
+        new = np.r_[True, r["part"][1:] != r["part"][:-1]]
+        # Ends so far within a part: parts are set apart by more than any place.
         apart = np.cumsum(new).astype(np.int64) << 33
         reach = np.maximum.accumulate(end + apart)
         fresh = new | np.r_[True, (start + apart)[1:] > reach[:-1]]
         at = np.flatnonzero(fresh)
         a, b = start[at], (reach - apart)[np.r_[at[1:] - 1, len(r) - 1]]
-        doc, kind = r["doc"][at], r["text"][at]
+        part = r["part"][at]
         heads = np.flatnonzero(new[at])
         spans = np.stack([a, b], axis=1).astype("<i8")
         blocks = [spans[x:y].tobytes() for x, y in zip(heads, np.r_[heads[1:], len(at)], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[heads]), pa.array(kind[heads].astype(np.int32)), pa.array(blocks, pa.binary())], names=["doc", "kind", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array(blocks, pa.binary())], names=["part", "more"])
 
-    return packed.by_bucket(runs, work, _RUN, "doc bigint, kind int, spans binary")
+    return packed.by_bucket(runs, work, _RUN, "part bigint, more binary")
+
+
+def _apart(batches):
+    """(doc, text, spans) of dealt texts behind their parts' spans."""
+    for _, docs, offsets, data, said in _parts(batches):
+        spans = np.frombuffer(b"".join(x for _, x in said), "<i8").reshape(-1, 2)
+        begins = offsets[:-1] + np.arange(len(docs))
+        first = np.searchsorted(spans[:, 0], np.r_[begins, 1 << 62])
+        blocks = [(spans[a:b] - begin).tobytes() if b > a else None for a, b, begin in zip(first[:-1], first[1:], begins, strict=True)]
+        texts = pa.Array.from_buffers(pa.large_string(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(docs), texts, pa.array(blocks, pa.binary())], names=["doc", "text", "spans"])
 
 
 def repeated_strings(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, text, spans) for every row: spans is null or the removed bytes' (start, end) pairs as little-endian int64."""
     spark = prepared(docs.sparkSession)
-    rows = docs.select(F.col(doc).cast("bigint").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("kind", F.pmod(F.xxhash64("text"), F.lit(65_536)).cast("int"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(doc).cast("bigint").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     some = rows.filter("doc is not null")
-    slots = spark.sparkContext.broadcast(_slots(some, length, gram))
-    swept(spark)  # the first pass's exchange
-    spans = _spans(_runs(_travelling(some, slots, length, gram), length), length)
-    return few_files(rows.join(spans, ["doc", "kind"], "left").select("doc", "text", "spans"), docs)
+    with exchanges_gone(spark):
+        met = written(_met(_dealt(some, n), n, length, gram), "met", 0)
+        runs = written(_runs(_travelling(_dealt(some, n, met), n, length, gram), n, length), "runs", 0)
+    discarded(met)
+    spans = _spans(runs, length).select("part", F.lit(None).cast("int").alias("bucket"), "more")
+    out = _dealt(some, n, spans).transform(in_batches, _apart, "doc bigint, text string, spans binary")
+    return few_files(out.union(rows.filter("doc is null").withColumn("spans", F.lit(None).cast("binary"))), docs)
 
 
 def suffix_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -87,3 +87,49 @@ def test_pieces_and_paths_agree(monkeypatch):
     one = suffix_dedup.least_ids(groups, data, 50)
     monkeypatch.setattr(suffix_dedup, "_ALONE", 10)
     assert all(np.array_equal(a, b) for a, b in zip(one, suffix_dedup.least_ids(groups, data, 50), strict=True))
+
+
+def dealt_batches(docs, rows, more=()):
+    """Dealt rows as Arrow batches of ``rows`` rows; docs: (deal, doc, text), more: (part, bucket, bytes)."""
+    import pyarrow as pa
+
+    said = [(part >> suffix_dedup._PART_BITS, None, None, part, bucket, x) for part, bucket, x in more]
+    table = sorted([*said, *[(deal, d, t, None, None, None) for deal, d, t in docs]], key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] or ""))
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
+    for a in range(0, len(table), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*table[a : a + rows], strict=True), kinds, strict=True)], names=["deal", "doc", "text", "part", "bucket", "more"])
+
+
+def test_parts_are_cut_alike_whatever_the_batches(monkeypatch):
+    r = random.Random(2)
+    docs = [(deal, d, "é" * r.randrange(0, 90)) for deal in (0, 1, 3) for d in range(40)] + [(3, 41, "x" * 5000), (3, 42, "")]
+    monkeypatch.setattr(suffix_dedup, "_PART", 700)
+    more = [(deal << suffix_dedup._PART_BITS | k, 5, b"%d %d" % (deal, k)) for deal in (0, 3) for k in range(4)]
+    plain = lambda rows: [(int(p), d.tolist(), o.tolist(), bytes(x), list(s)) for p, d, o, x, s in suffix_dedup._parts(dealt_batches(docs, rows, more))]
+    want = plain(1000)
+    assert len(want) > 15 and [d for _, ids, *_ in want for d in ids] == [d for _, d, _ in sorted(docs)]
+    assert b"".join(x for *_, x, _ in want).decode() == "".join(t for _, _, t in sorted(docs))
+    assert all(s == [m[1:] for m in more if m[0] == p] for p, *_, s in want)
+    assert plain(1) == plain(7) == want
+
+
+def test_only_fragments_that_have_company_travel(spark):
+    """What travels follows from the fragments' own company, exactly, so that it doesn't rise with the size of the table."""
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    shared, copied = text(200), text(3000)
+    docs = [(d, text(r.randrange(100, 9000))) for d in range(150)] + [(200 + d, text(100) + shared + text(100)) for d in range(5)] + [(300, copied), (301, copied)]
+    rows = spark.createDataFrame(docs, "doc bigint, text string").repartition(3)
+    met = suffix_dedup._met(suffix_dedup._dealt(rows, 3), 3, 50, 20)
+    went = suffix_dedup._travelling(suffix_dedup._dealt(rows, 3, met), 3, 50, 20).collect()
+    keys, kinds = {}, {}
+    for *_, doc, _, place, h, n, f in suffix_dedup._fragments(dealt_batches([(0, d, t) for d, t in docs], 50), 50, 20):
+        for key, d, m, kind in zip((h >> np.uint64(24)).tolist(), doc.tolist(), n.tolist(), f.tolist(), strict=True):
+            keys.setdefault(key, []).append((d, m))
+            kinds.setdefault(key, set()).add(kind)
+    got = np.concatenate([np.frombuffer(x["places"], suffix_dedup._PLACE) for x in went])
+    want = sorted(x for key, own in keys.items() if len(own) > 1 for x in own)
+    assert 100 < len(want) < sum(map(len, keys.values())) / 20
+    assert sorted(zip(got["doc"].tolist(), got["n"].tolist(), strict=True)) == want
+    assert sum(x["known"] for x in went) == sum(len(own) for key, own in keys.items() if len(kinds[key]) > 1)
+    assert sum(len(x["bytes"]) for x in went) == sum(m + 49 for key, own in keys.items() if len(kinds[key]) > 1 for _, m in own)
