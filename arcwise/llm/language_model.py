@@ -51,6 +51,8 @@ OWN = 4_000
 STEPS = 2_000
 #: Of the windows of training texts, one in so many is trained on: all; windows of a step; step size, and the steps after which it falls.
 EVERY, BATCH, RATE, EVEN = 1, 512, 0.006, 100
+#: Windows of a step, or of texts that are scored, that are handled together.
+BLOCK = 64
 #: Random dimensions of what stands around ids, and how many ids stand together.
 AROUND, BESIDE = 24, 24
 #: Counts by which shares given the class before lean on the shares in all places.
@@ -252,9 +254,25 @@ class AttentionModel:
         return e, x, q, k, v, a, h, logp
 
     def gradients(self, inputs: np.ndarray, want: np.ndarray, ok: np.ndarray) -> tuple[float, dict]:
-        """(mean loss of the classes ``want`` where ok, its gradient by parameter)."""
+        """(mean loss of the classes ``want`` where ok, its gradient by parameter): sums over blocks of windows that stay in the processor's cache."""
+        w = self.weights
+        g = {k: np.zeros_like(x) for k, x in w.items() if k != "E"}
+        e, dx = self.own[inputs], np.empty((*inputs.shape, DIM), w["E"].dtype)
+        one, loss = dx.dtype.type(1 / max(np.count_nonzero(ok), 1)), 0.0
+        for i in range(0, len(inputs), BLOCK):
+            block = slice(i, i + BLOCK)
+            loss += self._add_gradients(e[block], want[block], ok[block], one, dx[block], g)
+        row = e.ravel().astype(np.int16)  # few numbers, sorted by their digits
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        g["E"] = np.zeros_like(w["E"])
+        g["E"][row[at]] = np.add.reduceat(np.take(dx.reshape(-1, DIM), order, axis=0), at, axis=0)
+        return float(loss * one), g
+
+    def _add_gradients(self, e: np.ndarray, want: np.ndarray, ok: np.ndarray, one, dx: np.ndarray, g: dict) -> float:
+        """Adds a block's gradients to g and sets those of its inputs' rows; each scored place counts ``one``. Returns the sum of losses."""
         w = self.weights
-        e = self.own[inputs]
         x = np.take(w["E"], e, axis=0)
         x += w["P"]
         flat = lambda t: t.reshape(-1, t.shape[-1])
@@ -262,11 +280,14 @@ class AttentionModel:
         q, k, v = ((flat(t) @ w[n]).reshape(t.shape) for t, n in ((top, "Q"), (x, "K"), (x, "V")))
         a = q @ k.transpose(0, 2, 1)
         a *= a.dtype.type(DIM**-0.5)
+        small = a.max() < 60 and a.min() > -60
         a += _HIDDEN.astype(a.dtype)
-        a -= a.max(axis=2, keepdims=True)
+        if not small:
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        h = top + a @ v
+        a /= (a @ np.ones(WINDOW, a.dtype))[:, :, None]
+        h = a @ v
+        h += top
         # Only scored places have a class.
         rows = np.flatnonzero(ok)
         whole = len(rows) == ok.size
@@ -279,31 +300,30 @@ class AttentionModel:
         chosen = dz[at, named]
         np.exp(dz, out=dz)
         total = dz @ np.ones(dz.shape[1], dz.dtype)
-        loss = (np.log(total) - chosen).mean()
-        one = dz.dtype.type(1 / max(len(rows), 1))
+        loss = float((np.log(total) - chosen).sum(dtype=np.float64))
         dz *= (one / total)[:, None]
         dz[at, named] -= one
-        g = {"W": near.T @ dz, "b": np.ones(len(dz), dz.dtype) @ dz}
-        dh = np.zeros_like(h)
-        flat(dh)[slice(None) if whole else rows] = dz @ w["W"].T
+        g["W"] += near.T @ dz
+        g["b"] += np.ones(len(dz), dz.dtype) @ dz
+        if whole:
+            dh = (dz @ w["W"].T).reshape(h.shape)
+        else:
+            dh = np.zeros_like(h)
+            flat(dh)[rows] = dz @ w["W"].T
         da = dh @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dh
         da -= np.einsum("wij,wij->wi", da, a)[:, :, None]
         da *= a
         da *= a.dtype.type(DIM**-0.5)
         dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        g["Q"] = flat(top).T @ flat(dq)
-        g["K"], g["V"] = flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = (flat(dk) @ w["K"].T + flat(dv) @ w["V"].T).reshape(x.shape)
-        dx[:, WINDOW - STRIDE :] += dh + (flat(dq) @ w["Q"].T).reshape(dh.shape)
-        g["P"] = dx.sum(axis=0)
-        row = e.ravel().astype(np.int16)  # few numbers, sorted by their digits
-        order = np.argsort(row, kind="stable")
-        row = row[order]
-        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        g["E"] = np.zeros_like(w["E"])
-        g["E"][row[at]] = np.add.reduceat(np.take(flat(dx), order, axis=0), at, axis=0)
-        return float(loss), g
+        g["Q"] += flat(top).T @ flat(dq)
+        g["K"] += flat(x).T @ flat(dk)
+        g["V"] += flat(x).T @ flat(dv)
+        np.add((flat(dk) @ w["K"].T).reshape(x.shape), (flat(dv) @ w["V"].T).reshape(x.shape), out=dx)
+        dx[:, WINDOW - STRIDE :] += dh
+        dx[:, WINDOW - STRIDE :] += (flat(dq) @ w["Q"].T).reshape(dh.shape)
+        g["P"] += dx.sum(axis=0)
+        return loss
 
     def steps(self, batches, rates, gain: float = 0.99):
         """Adam over (inputs, classes, scored or not), one after the other; yields the losses."""
@@ -338,7 +358,7 @@ class AttentionModel:
         late = slice(WINDOW - STRIDE, WINDOW)
         return f(np.hstack([x, q * DIM**-0.5])), f(np.hstack([px, pq * DIM**-0.5])[late]), f(np.hstack([k, v])), f(np.hstack([pk, pv])), f(w["W"]), f(w["b"]), f(np.where(_MASK, 0, -1e4))
 
-    def score(self, ids: np.ndarray, first: np.ndarray, batch: int = 256) -> np.ndarray:
+    def score(self, ids: np.ndarray, first: np.ndarray, batch: int = BLOCK) -> np.ndarray:
         """Natural log probability of each text."""
         xq, pxq, kv, pkv, out, bias, mask = self.tables()
         inputs, scored = self.windows(ids, first)

@@ -198,3 +198,24 @@ def test_classes_and_training_take_all_training_texts(spark, monkeypatch):
             for i, own in zip(s[a : a + lm.BESIDE], piece, strict=True):
                 want[:, i] += (piece.sum(axis=0) - own) / max(len(piece) - 1, 1)
     assert np.allclose(seen["around"], want, atol=1e-3)
+
+
+def test_gradients_of_a_step_are_taken_in_blocks(monkeypatch):
+    """A step's batch is handled in blocks that stay in cache, and its gradients are those of the batch at once, also where places aren't scored or numbers are large."""
+    m = small_model(9)
+    r = np.random.default_rng(9)
+    ids, first = r.integers(0, 300, 9000).astype(np.int32), np.array([0, 5, 700, 9000])
+    inputs, at = m.windows(ids, first)
+    data = (inputs, *m.wanted(ids, at))
+    sizes, add = [], lm.AttentionModel._add_gradients
+    monkeypatch.setattr(lm.AttentionModel, "_add_gradients", lambda self, e, *rest: sizes.append(len(e)) or add(self, e, *rest))
+    for gain in (1, 40):
+        m.weights["Q"] *= gain
+        monkeypatch.setattr(lm, "BLOCK", len(inputs))
+        loss, whole = m.gradients(*data)
+        monkeypatch.setattr(lm, "BLOCK", 64)
+        sizes.clear()
+        other, g = m.gradients(*data)
+        assert max(sizes) == 64 and sum(sizes) == len(inputs) and math.isclose(loss, other, rel_tol=1e-5)
+        assert math.isclose(loss, -np.take_along_axis(m.forward(inputs)[-1], data[1][:, :, None], 2)[:, :, 0][data[2]].mean(), rel_tol=1e-4)
+        assert all(np.abs(g[k] - whole[k]).max() < 1e-4 * np.abs(whole[k]).max() for k in m.weights)
