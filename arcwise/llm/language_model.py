@@ -53,6 +53,8 @@ STEPS = 2_000
 EVERY, BATCH, RATE, EVEN = 1, 512, 0.006, 100
 #: Windows of a step, or of texts that are scored, that are handled together.
 BLOCK = 64
+#: Windows of which products are taken at once: larger matrices are packed first, which takes longer than the product.
+TOGETHER = 4
 #: Random dimensions of what stands around ids, and how many ids stand together.
 AROUND, BESIDE = 24, 24
 #: Counts by which shares given the class before lean on the shares in all places.
@@ -131,6 +133,54 @@ def directions(n: int, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(n, AROUND)).astype(np.float32)
 
 
+def row_sums(values: np.ndarray, which: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows of values that each stretch of ``which``, from one start to the next, names; none is empty. Eight rows of all stretches at a time, as reduceat takes each number by itself."""
+    many = np.diff(np.r_[starts, len(which)])
+    parts = -(-many // 8)
+    ends = np.cumsum(parts)
+    nth = np.arange(parts.sum()) - np.repeat(ends - parts, parts)
+    begin = np.repeat(starts, parts) + nth * 8
+    long = np.minimum(np.repeat(many, parts) - nth * 8, 8)
+    total = np.take(values, which[begin], axis=0)
+    for k in range(1, 8):
+        more = np.flatnonzero(long > k)
+        if 2 * len(more) > len(long):
+            got = np.take(values, which[np.minimum(begin + k, len(which) - 1)], axis=0)
+            got[long <= k] = 0
+            total += got
+        else:
+            total[more] += np.take(values, which[begin[more] + k], axis=0)
+    again = np.flatnonzero(parts > 1)
+    if not len(again):
+        return total
+    out = total[ends - parts]
+    out[again] = row_sums(total, np.flatnonzero(np.repeat(parts > 1, parts)), np.cumsum(parts[again]) - parts[again])
+    return out
+
+
+def sums_by_row(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows, the sum of the values dealt to it."""
+    row = row.astype(np.int16 if n < 1 << 15 else np.int64)  # few numbers are sorted by their digits
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])[: len(row)]
+    many = np.diff(np.r_[at, len(row)])
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    # Most rows come a few times; of the others two columns are added as one complex number, which halves the calls.
+    few = many <= 4
+    begin, long = at[few], many[few]
+    total = np.take(values, order[begin], axis=0)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(long > k)
+        total[more] += np.take(values, order[begin[more] + k], axis=0)
+    out[row[begin]] = total
+    if len(total) < len(at):
+        long = many[~few]
+        pairs = np.take(values, order[np.repeat(~few, many)], axis=0).view(np.result_type(values, np.complex64))
+        out[row[at[~few]]] = np.add.reduceat(pairs, np.cumsum(long) - long, axis=0).view(values.dtype)
+    return out
+
+
 def contexts(ids: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """(dimension, id): for each id, the sum over its occurrences of the mean vector of the other ids in its piece of BESIDE ids of a text."""
     size = np.diff(first)
@@ -138,14 +188,25 @@ def contexts(ids: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndar
     nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     begin = np.repeat(first[:-1], many) + nth * BESIDE
     long = np.diff(np.r_[begin, len(ids)])
-    out = np.empty((AROUND, len(vectors)))
+    out = np.zeros((len(vectors), AROUND))
     if not len(ids):
-        return np.zeros_like(out)
+        return out.T
     part, others = np.repeat(np.arange(len(begin)), long), 1 / np.maximum(long - 1, 1)
-    for d, v in enumerate(np.ascontiguousarray(vectors.T)):
-        own = v[ids]
-        out[d] = np.bincount(ids, weights=((np.add.reduceat(own, begin)[part] - own) * others[part]), minlength=len(vectors))
-    return out
+    pieces = np.empty((len(begin), AROUND))
+    for a in range(0, len(begin), 1 << 11):  # here and below so few at a time that they stay in cache
+        some = slice(a, a + (1 << 11))
+        at = begin[some]
+        pieces[some] = row_sums(vectors, ids[at[0] : at[-1] + long[some][-1]], at - at[0])
+    pieces /= np.maximum(long - 1, 1)[:, None]
+    # The pieces' sums go to their ids, each id's one after the other; then what the ids themselves brought goes.
+    order = np.argsort(ids.astype(np.uint16) if len(vectors) <= 1 << 16 else ids, kind="stable")
+    for a in range(0, len(order), 1 << 14):
+        some = order[a : a + (1 << 14)]
+        row = ids[some]
+        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        out[row[at]] += row_sums(pieces, part[some], at)
+    out -= vectors * np.bincount(ids, weights=others[part], minlength=len(vectors))[:, None]
+    return out.T
 
 
 def clusters(points: np.ndarray, mass: np.ndarray, flags: np.ndarray, seed: int) -> np.ndarray:
@@ -162,6 +223,12 @@ def clusters(points: np.ndarray, mass: np.ndarray, flags: np.ndarray, seed: int)
     return near
 
 
+def together(t: np.ndarray) -> np.ndarray:
+    """The rows of each TOGETHER windows as one matrix; of each window, where these don't divide."""
+    n = 1 if len(t) % TOGETHER else TOGETHER
+    return t.reshape(len(t) // n, n * t.shape[1], t.shape[2])
+
+
 @dataclass
 class AttentionModel:
     """Parameters and tables. own: for each id, its row of the embedding."""
@@ -231,11 +298,19 @@ class AttentionModel:
         nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         if which is not None:
             row, nth = row[which], nth[which]
-        at = nth[:, None] * STRIDE + np.arange(-(WINDOW - STRIDE), STRIDE)[None, :]
-        inside = (at >= 1) & (at < size[row][:, None])
-        inputs = np.where(inside, ids[np.clip(first[row][:, None] + at - 1, 0, len(ids) - 1)], self.end)
-        scored = at[:, WINDOW - STRIDE :]
-        return inputs, np.where(scored < size[row][:, None], first[row][:, None] + scored, -1)
+        # All inputs are laid out once, each text's behind ends and before ends up to a whole window; windows are slices of that.
+        lead = WINDOW - STRIDE
+        room = many * STRIDE + lead
+        begin = np.cumsum(room) - room
+        laid = np.full(int(room.sum()) + WINDOW, self.end, np.int32)
+        laid[np.arange(first[0], first[-1]) + np.repeat(begin + lead + 1 - first[:-1], size)] = ids[first[0] : first[-1]]
+        laid[(begin + lead + size)[size > 0]] = self.end  # a text's last id is no input
+        inputs = np.lib.stride_tricks.sliding_window_view(laid, WINDOW)[begin[row] + nth * STRIDE]
+        at = first[row] + nth * STRIDE
+        scored = at[:, None] + np.arange(STRIDE)
+        last = np.flatnonzero(at + STRIDE > first[row + 1])
+        scored[last] = np.where(scored[last] < first[row[last] + 1][:, None], scored[last], -1)
+        return inputs, scored
 
     def forward(self, inputs: np.ndarray):
         w = self.weights
@@ -256,73 +331,82 @@ class AttentionModel:
     def gradients(self, inputs: np.ndarray, want: np.ndarray, ok: np.ndarray) -> tuple[float, dict]:
         """(mean loss of the classes ``want`` where ok, its gradient by parameter): sums over blocks of windows that stay in the processor's cache."""
         w = self.weights
-        g = {k: np.zeros_like(x) for k, x in w.items() if k != "E"}
-        e, dx = self.own[inputs], np.empty((*inputs.shape, DIM), w["E"].dtype)
-        one, loss = dx.dtype.type(1 / max(np.count_nonzero(ok), 1)), 0.0
+        kind = w["E"].dtype.type
+        joined = np.hstack([w["K"], w["V"], w["Q"] * kind(DIM**-0.5)])
+        sums = {"P": np.zeros_like(w["P"]), "KVQ": np.zeros_like(joined), "W": np.zeros_like(w["W"]), "b": np.zeros_like(w["b"])}
+        e, dx = self.own[inputs], np.empty((*inputs.shape, DIM), kind)
+        one, loss = kind(1 / max(np.count_nonzero(ok), 1)), 0.0
         for i in range(0, len(inputs), BLOCK):
             block = slice(i, i + BLOCK)
-            loss += self._add_gradients(e[block], want[block], ok[block], one, dx[block], g)
-        row = e.ravel().astype(np.int16)  # few numbers, sorted by their digits
-        order = np.argsort(row, kind="stable")
-        row = row[order]
-        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        g["E"] = np.zeros_like(w["E"])
-        g["E"][row[at]] = np.add.reduceat(np.take(dx.reshape(-1, DIM), order, axis=0), at, axis=0)
+            loss += self._add_gradients(e[block], want[block], ok[block], one, dx[block], sums, joined)
+        k, v, q = np.split(sums["KVQ"], 3, axis=1)
+        g = {"E": sums_by_row(e.ravel(), dx.reshape(-1, DIM), len(w["E"])), "P": sums["P"], "Q": q * kind(DIM**-0.5), "K": k, "V": v, "W": sums["W"], "b": sums["b"]}
         return float(loss * one), g
 
-    def _add_gradients(self, e: np.ndarray, want: np.ndarray, ok: np.ndarray, one, dx: np.ndarray, g: dict) -> float:
-        """Adds a block's gradients to g and sets those of its inputs' rows; each scored place counts ``one``. Returns the sum of losses."""
-        w = self.weights
+    def _add_gradients(self, e: np.ndarray, want: np.ndarray, ok: np.ndarray, one, dx: np.ndarray, sums: dict, joined: np.ndarray) -> float:
+        """Adds a block's gradients to sums (of keys, values and queries together, as they stand in ``joined``) and sets those of its inputs' rows; each scored place counts ``one``. Returns the sum of losses."""
+        w, kind, lead = self.weights, dx.dtype, WINDOW - STRIDE
         x = np.take(w["E"], e, axis=0)
         x += w["P"]
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        top = np.ascontiguousarray(x[:, WINDOW - STRIDE :])
-        q, k, v = ((flat(t) @ w[n]).reshape(t.shape) for t, n in ((top, "Q"), (x, "K"), (x, "V")))
-        a = q @ k.transpose(0, 2, 1)
-        a *= a.dtype.type(DIM**-0.5)
-        small = a.max() < 60 and a.min() > -60
-        a += _HIDDEN.astype(a.dtype)
-        if not small:
+        kvq = (together(x) @ joined).reshape(*e.shape, 3 * DIM)
+        k, v, q = kvq[:, :, :DIM], kvq[:, :, DIM : 2 * DIM], kvq[:, lead:, 2 * DIM :]
+        turned = np.ascontiguousarray(kvq[:, :, : 2 * DIM].transpose(0, 2, 1))  # small products of turned matrices take longer than turning them
+        ones = np.ones(max(WINDOW, CLASSES), kind)
+        # Without the largest number taken off first; the sums tell whether that was needed.
+        with np.errstate(over="ignore"):
+            a = q @ turned[:, :DIM]
+            a += _HIDDEN.astype(kind)
+            np.exp(a, out=a)
+            weight = a @ ones[:WINDOW]
+        if not (weight.min() > 1e-10 and weight.max() < 1e10):
+            a = q @ turned[:, :DIM]
+            a += _HIDDEN.astype(kind)
             a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= (a @ np.ones(WINDOW, a.dtype))[:, :, None]
-        h = a @ v
-        h += top
-        # Only scored places have a class.
-        rows = np.flatnonzero(ok)
-        whole = len(rows) == ok.size
-        near = flat(h) if whole else flat(h)[rows]
-        dz = near @ w["W"]
-        dz += w["b"]
-        if len(dz) and (dz.max() > 60 or dz.min() < -60):
-            dz -= dz.max(axis=1, keepdims=True)
-        at, named = np.arange(len(dz)), want.ravel()[rows]
-        chosen = dz[at, named]
-        np.exp(dz, out=dz)
-        total = dz @ np.ones(dz.shape[1], dz.dtype)
-        loss = float((np.log(total) - chosen).sum(dtype=np.float64))
-        dz *= (one / total)[:, None]
-        dz[at, named] -= one
-        g["W"] += near.T @ dz
-        g["b"] += np.ones(len(dz), dz.dtype) @ dz
-        if whole:
-            dh = (dz @ w["W"].T).reshape(h.shape)
-        else:
-            dh = np.zeros_like(h)
-            flat(dh)[rows] = dz @ w["W"].T
-        da = dh @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh
-        da -= np.einsum("wij,wij->wi", da, a)[:, :, None]
+            np.exp(a, out=a)
+            weight = a @ ones[:WINDOW]
+        a /= weight[:, :, None]
+        seen = a @ v
+        h = seen + x[:, lead:]
+        near = together(h)
+        # exp(z + b) is exp(z) * exp(b), so b goes into the sums over classes and the weights behind them; places that aren't scored get the factor 0.
+        b = w["b"] - w["b"].max()
+        grown = np.exp(b)
+        with np.errstate(over="ignore"):
+            products = near @ w["W"]
+            p = products.reshape(-1, CLASSES)
+            at = np.arange(0, p.size, CLASSES) + want.ravel()
+            chosen = p.take(at) + b[want.ravel()]
+            np.exp(p, out=p)
+            total = p @ grown
+        if not (b.min() > -60 and total.min() > 1e-10 and total.max() < 1e10):
+            np.matmul(near, w["W"], out=products)
+            p += b
+            p -= p.max(axis=1, keepdims=True)
+            chosen = p.take(at)
+            np.exp(p, out=p)
+            grown = ones[:CLASSES]
+            total = p @ grown
+        scored = ok.ravel()
+        loss = float((np.log(total) - chosen)[scored].sum(dtype=np.float64))
+        factor = np.where(scored, one / total, kind.type(0))
+        p.ravel()[at] -= total / grown[want.ravel()]
+        sums["W"] += ((near * factor.reshape(*near.shape[:2], 1)).transpose(0, 2, 1) @ products).sum(axis=0) * grown
+        sums["b"] += (factor @ p) * grown
+        dh = (products @ np.ascontiguousarray((w["W"] * grown).T)).reshape(h.shape)
+        dh *= factor.reshape(*h.shape[:2], 1)
+        d = np.empty_like(kvq)
+        d[:, :lead, 2 * DIM :] = 0
+        np.matmul(a.transpose(0, 2, 1), dh, out=d[:, :, DIM : 2 * DIM])
+        da = dh @ turned[:, DIM:]
+        seen *= dh
+        da -= (seen @ ones[:DIM])[:, :, None]
         da *= a
-        da *= a.dtype.type(DIM**-0.5)
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-        g["Q"] += flat(top).T @ flat(dq)
-        g["K"] += flat(x).T @ flat(dk)
-        g["V"] += flat(x).T @ flat(dv)
-        np.add((flat(dk) @ w["K"].T).reshape(x.shape), (flat(dv) @ w["V"].T).reshape(x.shape), out=dx)
-        dx[:, WINDOW - STRIDE :] += dh
-        dx[:, WINDOW - STRIDE :] += (flat(dq) @ w["Q"].T).reshape(dh.shape)
-        g["P"] += dx.sum(axis=0)
+        np.matmul(da.transpose(0, 2, 1), q, out=d[:, :, :DIM])
+        np.matmul(da, k, out=d[:, lead:, 2 * DIM :])
+        sums["KVQ"] += (together(x).transpose(0, 2, 1) @ together(d)).sum(axis=0)
+        np.matmul(together(d), joined.T, out=together(dx))
+        dx[:, lead:] += dh
+        sums["P"] += dx.sum(axis=0)
         return loss
 
     def steps(self, batches, rates, gain: float = 0.99):
@@ -339,7 +423,7 @@ class AttentionModel:
 
     def wanted(self, ids: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class at each scored place, whether it is one)."""
-        return self.classes[ids[np.maximum(scored, 0)]], scored >= 0
+        return self.classes[ids].astype(np.int16)[scored], scored >= 0
 
     def train(self, ids: np.ndarray, first: np.ndarray, steps: int = STEPS, batch: int = 48, rate: float = 0.015, seed: int = 3) -> float:
         """Random batches of windows of texts at hand; returns the mean loss of the last fifty steps."""
@@ -364,14 +448,15 @@ class AttentionModel:
         inputs, scored = self.windows(ids, first)
         total = np.zeros(len(ids), np.float64)
         reach, high, ones = np.sqrt((out * out).sum(axis=0).max()), np.abs(bias).max(), np.ones(len(bias), np.float32)
-        few = np.ones(WINDOW, np.float32)
+        few, grown = np.ones(WINDOW, np.float32), np.exp(bias) if high < 80 else None
+        named, done, whole = self.classes[ids], 0, np.arange(batch * STRIDE) * CLASSES
         for a in range(0, len(inputs), batch):
             e = self.own[inputs[a : a + batch]]
             late = np.take(xq, e[:, WINDOW - STRIDE :], axis=0)
             late += pxq
             both = np.take(kv, e, axis=0)
             both += pkv
-            s = late[:, :, DIM:] @ both[:, :, :DIM].transpose(0, 2, 1)
+            s = late[:, :, DIM:] @ np.ascontiguousarray(both[:, :, :DIM].transpose(0, 2, 1))
             s += mask
             if s.max() > 60:
                 s -= s.max(axis=2, keepdims=True)
@@ -380,17 +465,29 @@ class AttentionModel:
             h = s @ both[:, :, DIM:]
             h /= weight[:, :, None]
             h += late[:, :, :DIM]
-            at = scored[a : a + batch]
-            ok = at >= 0
-            place = at[ok]
-            near = h[ok]
+            # Windows follow their texts, so the places they score follow one another.
+            ok = scored[a : a + batch] >= 0
+            n = np.count_nonzero(ok)
+            if n == h.size // DIM and len(h) % TOGETHER == 0:
+                near = h.reshape(-1, DIM)
+            else:
+                near = np.zeros((-(-n // (TOGETHER * STRIDE)) * TOGETHER * STRIDE, DIM), np.float32)
+                near[:n] = h[ok]
+            place = slice(done, done := done + n)
             # No number is larger than the lengths allow; only if that isn't enough are the numbers themselves looked at.
-            small = len(near) and np.sqrt(np.einsum("ij,ij->i", near, near).max()) * reach + high < 80
-            z = near @ out
+            small = n and np.sqrt(np.einsum("ij,ij->i", near, near).max()) * reach + high < 80
+            z = (near.reshape(-1, TOGETHER * STRIDE, DIM) @ out).reshape(-1, CLASSES)[:n]
+            own = named[place]
+            if small:
+                # exp(z + bias) is exp(z) * exp(bias).
+                want = z.take(whole[:n] + own).astype(np.float64) + bias[own]
+                np.exp(z, out=z)
+                total[place] = want - np.log(z @ grown)
+                continue
             z += bias
-            if len(z) and not small and (z.max() > 80 or z.min() < -80):
+            if len(z) and (z.max() > 80 or z.min() < -80):
                 z -= z.max(axis=1, keepdims=True)
-            want = z[np.arange(len(z)), self.classes[ids[place]]].astype(np.float64)
+            want = z.take(whole[:n] + own).astype(np.float64)
             np.exp(z, out=z)
             total[place] = want - np.log(z @ ones)
         total += self.shares(ids, first)
@@ -445,6 +542,13 @@ def _merged(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def add_counts(totals: np.ndarray, which: np.ndarray) -> None:
+    """Adds to each total how often it is named. Sorted first, so that the totals are gone through in order and each once."""
+    which = np.sort(which.astype(np.int32) if len(totals) < 1 << 31 else which)
+    at = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])[: len(which)]
+    totals[which[at]] += np.diff(np.r_[at, len(which)]).astype(totals.dtype)
+
+
 class Learner:
     """Trains a copy of a model on one window in EVERY of the texts that come by."""
 
@@ -558,7 +662,7 @@ def _learned(sequences: DataFrame, sent, end: int) -> DataFrame:
             for texts, many in zip(batch.column("texts"), batch.column("many"), strict=True):
                 got = np.frombuffer(texts.as_buffer(), _packed_ids(end)).astype(np.int32)
                 first = np.r_[0, np.cumsum(np.frombuffer(many.as_buffer(), np.int64))]
-                np.add.at(pairs, learner.model.before(got, first) * (end + 1) + got, 1)
+                add_counts(pairs, learner.model.before(got, first) * (end + 1) + got)
                 learner.see(got, first)
         yield _row(names, kinds, 1, weights=[zlib.compress(learner.parameters().tobytes(), 1)])
         pairs = pairs.reshape(CLASSES, end + 1)

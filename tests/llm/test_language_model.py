@@ -219,3 +219,41 @@ def test_gradients_of_a_step_are_taken_in_blocks(monkeypatch):
         assert max(sizes) == 64 and sum(sizes) == len(inputs) and math.isclose(loss, other, rel_tol=1e-5)
         assert math.isclose(loss, -np.take_along_axis(m.forward(inputs)[-1], data[1][:, :, None], 2)[:, :, 0][data[2]].mean(), rel_tol=1e-4)
         assert all(np.abs(g[k] - whole[k]).max() < 1e-4 * np.abs(whole[k]).max() for k in m.weights)
+
+
+def test_sums_and_counts_taken_in_bulk():
+    r = np.random.default_rng(10)
+    for n in (0, 1, 5, 3000):
+        row, values = (40 * r.random(n) ** 3).astype(np.int64), r.normal(size=(n, lm.DIM)).astype(np.float32)
+        want = np.zeros((50, lm.DIM))
+        np.add.at(want, row, values)
+        assert np.allclose(lm.sums_by_row(row, values, 50), want, atol=1e-3)
+        counts, other = np.zeros(50, np.int32), np.zeros(50, np.int32)
+        for _ in range(2):
+            lm.add_counts(counts, row)
+            np.add.at(other, row, 1)
+        assert np.array_equal(counts, other)
+    starts = np.array([0, 1, 9, 18, 400])
+    which = r.integers(0, 3000, 500)
+    assert np.allclose(lm.row_sums(values, which, starts), np.add.reduceat(values[which], starts, axis=0), atol=1e-3)
+
+
+def test_gradients_and_scores_of_any_number_of_windows_and_any_bias():
+    """Windows are multiplied in groups and the bias is left out of the large arrays: neither changes a result."""
+    r = np.random.default_rng(12)
+    ids, first = r.integers(0, 300, 3000).astype(np.int32), np.array([0, 1, 1, 49, 3000])
+    for shift in (0, 500, -500, "spread"):
+        m = small_model(12)
+        m.weights["b"] += r.normal(size=lm.CLASSES).astype(np.float32) * 60 if shift == "spread" else shift
+        inputs, at = m.windows(ids, first)
+        logp = m.forward(inputs)[-1]
+        named = np.take_along_axis(logp, m.classes[ids[np.maximum(at, 0)]][:, :, None], 2)[:, :, 0]
+        for n in (1, 3, 4, 65, len(inputs)):
+            data = (inputs[:n], *m.wanted(ids, at[:n]))
+            loss, g = m.gradients(*data)
+            assert math.isclose(loss, -named[:n][at[:n] >= 0].mean(), rel_tol=1e-3) and all(np.isfinite(x).all() for x in g.values())
+            grown = np.exp(logp[:n])[at[:n] >= 0].sum(axis=0) - np.bincount(m.classes[ids[at[:n][at[:n] >= 0]]], minlength=lm.CLASSES)
+            assert np.allclose(g["b"], grown / (at[:n] >= 0).sum(), atol=1e-4)
+        total = np.zeros(len(ids))
+        total[at[at >= 0]] = named[at >= 0]
+        assert math.isclose(m.score(ids, first).sum(), (total + m.share[ids]).sum(), rel_tol=1e-3)
